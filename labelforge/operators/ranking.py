@@ -81,11 +81,12 @@ def rank_by_value(df: DataFrame, by: list[str], key: str, idx: str, buckets: int
             bounds = F.broadcast(bounds)
         d = _null_safe_join(df, bounds, list(by))
         if descending:
-            bucket = F.size(F.filter("__bounds", lambda x: x > F.col(key)))
+            bucket = F.when(F.col(key).isNull(), F.lit(buckets)).otherwise(
+                F.size(F.filter("__bounds", lambda x: x > F.col(key))))
         else:
             bucket = F.size(F.filter("__bounds", lambda x: x < F.col(key)))
     else:
         d, bucket = df.withColumn("__bounds", F.lit(None)), F.lit(0)
-    k = F.col(key).desc() if descending else F.col(key).asc()
+    k = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()
     out = rank_within(d, by, [k, F.col(idx).asc()], bucket, rank_col, total_col, bounded_groups)
     return out.drop("__bounds")

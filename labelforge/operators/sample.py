@@ -88,7 +88,7 @@ def weighted_sample_replacement(df: DataFrame, weights: DataFrame, epoch: int, t
     w = Window.partitionBy(F.lit(1)).orderBy(label)
     cls = (per.withColumn("hi", F.sum("mass").over(w.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("lo", F.col("hi") - F.col("mass"))
-              .withColumn("tot", F.sum("mass").over(Window.partitionBy(F.lit(1)))))
+              .withColumn("tot", F.max("hi").over(Window.partitionBy(F.lit(1)))))
     draws = spark.range(1, total + 1).withColumnRenamed("id", "pos")
     du = lambda salt: (h32(F.col("pos"), f"r{epoch}-{salt}") + F.lit(0.5)) / F.lit(TWO32)
     draws = draws.withColumn("__u1", du("c")).withColumn("__u2", du("p"))

@@ -185,7 +185,7 @@ def class_distribution(df: DataFrame, K: int, label: str = "label") -> DataFrame
     spark = df.sparkSession
     counts = df.groupBy(F.col(label).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
     classes = spark.range(K).select(F.col("id").cast("int").alias("cls"))
-    j = classes.join(F.broadcast(counts) if False else counts, "cls", "left") \
+    j = classes.join(counts, "cls", "left") \
         .withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("bigint"))
     tot = F.sum("n").over(Window.partitionBy(F.lit(1)))
     return j.withColumn("p", F.col("n") / tot)
