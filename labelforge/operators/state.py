@@ -69,9 +69,9 @@ def ema_scan(stats: DataFrame, by: list[str], order: str, col: str, m: float,
     loc = d.groupBy(*by, "__ch").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).cast("double").alias("x")))).alias("__xs"))
     loc = loc.withColumn("__st", F.aggregate(
-        "__xs", F.array().cast("array<double>"),
-        lambda acc, e: F.concat(acc, F.array(
-            F.coalesce(F.element_at(acc, -1), F.lit(0.0)) * mm + (F.lit(1.0) - mm) * e["x"]))))
+        "__xs", F.array(F.lit(0.0)),
+        lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) * mm + (F.lit(1.0) - mm) * e["x"]))))
+    loc = loc.withColumn("__st", F.slice("__st", 2, F.size("__xs")))
     loc = loc.withColumn("__n", F.size("__xs")).withColumn("__first", F.col("__xs")[0]["x"])
     # level 2: carry-in per chunk by folding chunk summaries (A = m^n, B = last local state)
     summ = loc.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(

@@ -61,6 +61,8 @@ def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> dict:
         do = sorted(range(len(dcols)), key=lambda i: dcols[i])
         sl = sorted("|".join(_canon(r[i]) for i in so) for r in srows)
         dl = sorted("|".join(_canon(r[i]) for i in do) for r in drows)
-        diff = [(a, b) for a, b in zip(sl, dl) if a != b]
-        out["first_diff"] = diff[:2]
+        from collections import Counter
+        cs, cd = Counter(sl), Counter(dl)
+        out["only_spark"] = list((cs - cd).elements())[:3]
+        out["only_duck"] = list((cd - cs).elements())[:3]
     return out
