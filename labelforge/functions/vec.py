@@ -17,6 +17,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value, body) -> Column:
+    """Bind ``value`` once and evaluate ``body(v)`` with it.
+
+    Catalyst inlines a dropped helper column into every lambda that reads it,
+    and a lambda re-evaluates captured expressions per element; binding via a
+    one-element ``transform`` evaluates the value exactly once per row.
+    """
+    return F.element_at(F.transform(F.array(_c(value)), body), 1)
+
+
 def as_double(arr) -> Column:
     return F.transform(_c(arr), lambda x: x.cast("double"))
 
@@ -35,11 +45,12 @@ def norm(arr) -> Column:
 
 def l2norm(arr, eps: float = 0.0) -> Column:
     """X / ||x||; with ``eps`` the norm is floored (x / max(||x||, eps))."""
-    a = _c(arr)
-    n = norm(a)
-    if eps:
-        n = F.greatest(n, F.lit(eps))
-    return F.transform(a, lambda x: x / n)
+    def body(a):
+        n = norm(a)
+        if eps:
+            n = F.greatest(n, F.lit(eps))
+        return let(n, lambda nn: F.transform(a, lambda x: x / nn))
+    return let(arr, body)
 
 
 def scale(arr, s) -> Column:
@@ -62,36 +73,31 @@ def mul(a, b) -> Column:
 def lerp(a, b, w) -> Column:
     """w·a + (1−w)·b elementwise; ``w`` is a scalar column or float."""
     w = w if isinstance(w, Column) else F.lit(float(w))
-    return F.zip_with(_c(a), _c(b), lambda x, y: w * x + (1 - w) * y)
+    return let(w, lambda ww: F.zip_with(_c(a), _c(b), lambda x, y: ww * x + (1 - ww) * y))
 
 
 def normalize_sum(arr) -> Column:
-    a = _c(arr)
-    s = vsum(a)
-    return F.transform(a, lambda x: x / s)
+    return let(arr, lambda a: let(vsum(a), lambda s: F.transform(a, lambda x: x / s)))
 
 
 def softmax(logits, T: float | Column = 1.0) -> Column:
     """softmax(logits / T), max subtracted first for stability."""
-    a = _c(logits)
     t = T if isinstance(T, Column) else F.lit(float(T))
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp((x - m) / t))
-    return normalize_sum(e)
+    return let(logits, lambda a: let(F.array_max(a), lambda m: normalize_sum(
+        F.transform(a, lambda x: F.exp((x - m) / t)))))
 
 
 def log_softmax(logits, T: float | Column = 1.0) -> Column:
-    a = _c(logits)
     t = T if isinstance(T, Column) else F.lit(float(T))
-    m = F.array_max(a)
-    lse = F.log(vsum(F.transform(a, lambda x: F.exp((x - m) / t))))
-    return F.transform(a, lambda x: (x - m) / t - lse)
+    def body(a, m):
+        lse = F.log(vsum(F.transform(a, lambda x: F.exp((x - m) / t))))
+        return let(lse, lambda l: F.transform(a, lambda x: (x - m) / t - l))
+    return let(logits, lambda a: let(F.array_max(a), lambda m: body(a, m)))
 
 
 def argmax(arr) -> Column:
     """0-based index of the first maximum."""
-    a = _c(arr)
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    return let(arr, lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int"))
 
 
 def max_prob(arr) -> Column:
