@@ -49,7 +49,8 @@ def kl_chain(logits_w, logits_m, logits_s, mask, T: float = 0.5) -> tuple[Column
     """KL terms m←w, s←m, s←w, × mask. Targets are softmax(probs/T) of the
     teacher view's *probabilities* (kept as in the reference)."""
     pw, pm = vec.softmax(logits_w), vec.softmax(logits_m)
-    lm, ls = F.transform(vec.softmax(logits_m), F.log), F.transform(vec.softmax(logits_s), F.log)
+    lm = F.transform(vec.softmax(logits_m), lambda x: F.log(x))
+    ls = F.transform(vec.softmax(logits_s), lambda x: F.log(x))
     mw = vec.kl_div(lm, vec.softmax(pw, T)) * vec._c(mask)
     sm = vec.kl_div(ls, vec.softmax(pm, T)) * vec._c(mask)
     sw = vec.kl_div(ls, vec.softmax(pw, T)) * vec._c(mask)
@@ -104,8 +105,8 @@ def debiased_ce(lb: DataFrame, ulb: DataFrame, cutoff: float, probs: str = "prob
         m = (vec.max_prob(probs) >= F.lit(cutoff)).cast("double")
         return d.select(batch, (vec.ce_hard(logits_s, vec.argmax(probs)) * m).alias("__l")) \
             .groupBy(batch).agg(F.avg("__l").alias(name))
-    t = term(ulb, "unsup").join(term(lb, "anti"), batch)
-    return t.withColumn("debiased", F.col("unsup") - F.col("anti"))
+    t = term(ulb, "unsup").join(term(lb, "anti_loss"), batch)
+    return t.withColumn("debiased", F.col("unsup") - F.col("anti_loss"))
 
 
 def transfer_kl(logits_s, logits_w, la, t_logit_of_pred, mask, T: float = 1.0) -> Column:
