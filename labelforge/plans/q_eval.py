@@ -1,3 +1,206 @@
-"""Registered queries."""
+"""Evaluation and reporting.
+
+L6–L10 read an evaluation history derived by Spark from ``events``:
+run = event_type_setting_seed, one evaluation per event in time order.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from labelforge.functions import vec
+from labelforge.functions.hashing import u
+from labelforge.operators import metrics as mt
+from labelforge.plans import fixtures as fx
+from labelforge.plans import sqlfrag as q
+from labelforge.plans.registry import query
+
+W = "WITH " + q.fixture_ctes()
+PP = f"""pp AS (SELECT idx, label AS truth, logits_w, {q.softmax('logits_w')} AS probs FROM ulb),
+pq AS (SELECT *, {q.argmax('probs')} AS pred FROM pp)"""
+
+
+def _pred(spark, sf_dir):
+    u_ = fx.ulb_pred(spark, sf_dir).withColumnRenamed("label", "truth")
+    return u_.withColumn("probs", vec.softmax("logits_w")).withColumn("pred", vec.argmax("probs"))
+
+
+@query("l1_accuracy", sql=f"""{W}, {PP}
+SELECT round(avg(CASE WHEN pred = truth THEN 1.0 ELSE 0.0 END), 6) AS acc,
+       round(avg(-({q.log_softmax('logits_w')})[truth + 1]), 6) AS loss, count(*) AS n FROM pq WHERE truth IS NOT NULL""")
+def l1_accuracy(spark, sf_dir):
+    a = mt.accuracy(_pred(spark, sf_dir), "logits_w", "truth")
+    return a.select(F.round("acc", 6).alias("acc"), F.round("loss", 6).alias("loss"), "n")
+
+
+@query("l2_topk_accuracy", sql=f"""{W}, {PP}
+SELECT round(avg(CASE WHEN len(list_filter(probs, lambda p: p > probs[truth + 1])) < 5 THEN 1.0 ELSE 0.0 END), 6) AS top5_acc
+FROM pq WHERE truth IS NOT NULL""")
+def l2_topk_accuracy(spark, sf_dir):
+    return mt.topk_accuracy(_pred(spark, sf_dir), 5).select(F.round("top5_acc", 6).alias("top5_acc"))
+
+
+@query("l3_balanced_accuracy", sql=f"""{W}, {PP}
+SELECT round(avg(r), 6) AS balanced_acc FROM (SELECT truth, avg(CASE WHEN pred = truth THEN 1.0 ELSE 0.0 END) AS r FROM pq GROUP BY truth)""")
+def l3_balanced_accuracy(spark, sf_dir):
+    return mt.balanced_accuracy(_pred(spark, sf_dir)).select(F.round("balanced_acc", 6).alias("balanced_acc"))
+
+
+PRF_SQL = """t AS (SELECT truth AS cls, count(*) AS n_true, sum(CASE WHEN pred = truth THEN 1 ELSE 0 END) AS tp FROM pq GROUP BY truth),
+p AS (SELECT pred AS cls, count(*) AS n_pred FROM pq GROUP BY pred),
+j AS (SELECT coalesce(t.cls, p.cls) AS cls, coalesce(n_true, 0) AS n_true, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred
+      FROM t FULL OUTER JOIN p ON t.cls = p.cls),
+pr AS (SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS prec, CASE WHEN n_true > 0 THEN tp / n_true ELSE 0.0 END AS rec FROM j),
+f AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM pr)"""
+
+
+@query("l4_macro_prf", sql=f"""{W}, {PP}, {PRF_SQL}
+SELECT round(avg(prec), 6) AS precision, round(avg(rec), 6) AS recall, round(avg(f1), 6) AS f1 FROM f""")
+def l4_macro_prf(spark, sf_dir):
+    m = mt.macro_prf(_pred(spark, sf_dir))
+    return m.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("l5_confusion", sql=f"""{W}, {PP},
+cls AS (SELECT DISTINCT c FROM (SELECT truth AS c FROM pq UNION ALL SELECT pred FROM pq)),
+g AS (SELECT a.c AS truth_cls, b.c AS pred_cls FROM cls a, cls b),
+n AS (SELECT truth AS truth_cls, pred AS pred_cls, count(*) AS n FROM pq GROUP BY truth, pred),
+j AS (SELECT g.truth_cls, g.pred_cls, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (truth_cls, pred_cls))
+SELECT truth_cls, pred_cls, n, round(CASE WHEN sum(n) OVER (PARTITION BY truth_cls) > 0 THEN n / sum(n) OVER (PARTITION BY truth_cls) ELSE 0.0 END, 6) AS rate
+FROM j""")
+def l5_confusion(spark, sf_dir):
+    c = mt.confusion(_pred(spark, sf_dir))
+    return c.select("truth_cls", "pred_cls", "n", F.round("rate", 6).alias("rate"))
+
+
+# ---- evaluation history derived from events ------------------------------------------
+
+def history(spark, sf_dir):
+    """run, algorithm, setting, seed, it, acc: one evaluation per event."""
+    e = fx.table(spark, sf_dir, "events")
+    mx = e.agg(F.max("value").alias("__mx"))
+    d = e.crossJoin(F.broadcast(mx)).select(
+        "event_id", "ts", F.col("event_type").alias("algorithm"),
+        F.concat(F.lit("h"), F.floor(F.hour(F.col("ts").cast("timestamp")) / 8).cast("string")).alias("setting"),
+        F.floor(u(F.col("user_id"), "seed") * 3).cast("int").alias("seed"),
+        (F.col("value") / F.col("__mx")).alias("acc"))
+    d = d.withColumn("run", F.concat_ws("_", "algorithm", "setting", F.col("seed").cast("string")))
+    w = Window.partitionBy("run").orderBy("ts", "event_id")
+    return d.withColumn("it", (F.row_number().over(w) * 100).cast("bigint"))
+
+
+HIST_SQL = f"""hist0 AS (SELECT event_id, ts, event_type AS algorithm, 'h' || CAST(CAST(floor(hour(ts) / 8) AS BIGINT) AS VARCHAR) AS setting,
+   CAST(floor({q.u('user_id', 'seed')} * 3) AS INTEGER) AS seed, value / (SELECT max(value) FROM events) AS acc FROM events),
+hist1 AS (SELECT *, algorithm || '_' || setting || '_' || CAST(seed AS VARCHAR) AS run FROM hist0),
+hist AS (SELECT *, CAST(row_number() OVER (PARTITION BY run ORDER BY ts, event_id) * 100 AS BIGINT) AS it FROM hist1)"""
+
+
+@query("l6_best_so_far", sql=f"""WITH {HIST_SQL},
+b AS (SELECT *, max(acc) OVER (PARTITION BY run ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_acc,
+       CASE WHEN acc > coalesce(max(acc) OVER (PARTITION BY run ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e308) THEN it END AS imp FROM hist)
+SELECT run, it, round(best_acc, 6) AS best_acc,
+       max(imp) OVER (PARTITION BY run ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_it FROM b""")
+def l6_best_so_far(spark, sf_dir):
+    b = mt.best_so_far(history(spark, sf_dir), ["run"])
+    return b.select("run", "it", F.round("best_acc", 6).alias("best_acc"), "best_it")
+
+
+# Marker of a completed run in the log (fixed value).
+FINISHED = "1048000 iteration"
+
+
+def log_lines(spark, sf_dir):
+    """R11-shaped log lines rendered from the history; a run whose last
+    evaluation is at least its mean evaluation also gets the completion line."""
+    h = mt.best_so_far(history(spark, sf_dir), ["run"])
+    acc4 = F.format_string("%.4f", "acc")
+    line = F.concat(F.lit("[INFO] "), F.col("it").cast("string"), F.lit(" iteration, USE_EMA: True, {'eval/top-1-acc': "),
+                    acc4, F.lit(", 'eval/top-5-acc': "), F.format_string("%.4f", F.sqrt("acc")),
+                    F.lit("},BEST_EVAL_ACC: "), F.format_string("%.4f", "best_acc"), F.lit(", at "),
+                    F.col("best_it").cast("string"), F.lit(" iters"))
+    lines = h.select("run", F.col("it").alias("seq"), line.alias("line"))
+    last = (h.withColumn("__r", F.row_number().over(Window.partitionBy("run").orderBy(F.col("it").desc())))
+             .withColumn("__m", F.avg("acc").over(Window.partitionBy("run"))).filter("__r = 1 AND acc >= __m"))
+    done = last.select("run", (F.col("it") + 1).alias("seq"),
+                       F.concat(F.lit("[INFO] "), F.lit(FINISHED), F.lit(", done")).alias("line"))
+    return lines.unionByName(done)
+
+
+LOG_SQL = f"""{HIST_SQL},
+b AS (SELECT *, max(acc) OVER (PARTITION BY run ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_acc,
+       CASE WHEN acc > coalesce(max(acc) OVER (PARTITION BY run ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e308) THEN it END AS imp FROM hist),
+bb AS (SELECT *, max(imp) OVER (PARTITION BY run ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_it FROM b),
+fin AS (SELECT run FROM (SELECT run, acc, row_number() OVER (PARTITION BY run ORDER BY it DESC) AS r,
+        avg(acc) OVER (PARTITION BY run) AS m FROM bb) WHERE r = 1 AND acc >= m),
+parsed AS (SELECT bb.run, it AS seq, round(acc, 4) AS top1, round(sqrt(acc), 4) AS top5, round(best_acc, 4) AS best_acc, best_it
+           FROM bb JOIN fin USING (run))"""
+
+
+@query("l7_parse_logs", sql=f"""WITH {LOG_SQL}
+SELECT run, seq, top1, top5, best_acc, best_it FROM parsed""")
+def l7_parse_logs(spark, sf_dir):
+    return mt.parse_logs(log_lines(spark, sf_dir), FINISHED)
+
+
+@query("l8_last_n_mean", sql=f"""WITH {LOG_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq DESC) AS rn FROM parsed)
+SELECT run, round(sum(CASE WHEN rn <= 1 THEN top1 ELSE 0.0 END) / 1.0, 6) AS top1_1,
+       round(sum(CASE WHEN rn <= 20 THEN top1 ELSE 0.0 END) / 20.0, 6) AS top1_20,
+       round(sum(CASE WHEN rn <= 50 THEN top1 ELSE 0.0 END) / 50.0, 6) AS top1_50 FROM r GROUP BY run""")
+def l8_last_n_mean(spark, sf_dir):
+    m = mt.last_n_mean(mt.parse_logs(log_lines(spark, sf_dir), FINISHED))
+    return m.select("run", *[F.round(c, 6).alias(c) for c in ("top1_1", "top1_20", "top1_50")])
+
+
+MS_SQL = f"""{LOG_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq DESC) AS rn FROM parsed),
+ln AS (SELECT run, sum(CASE WHEN rn <= 1 THEN top1 ELSE 0.0 END) / 1.0 AS top1_1,
+              sum(CASE WHEN rn <= 20 THEN top1 ELSE 0.0 END) / 20.0 AS top1_20 FROM r GROUP BY run),
+ms AS (SELECT regexp_extract(run, '^(.*)_[^_]*$', 1) AS exp,
+              CAST(round(avg(top1_1 * 100.0), 2) AS VARCHAR) || '±' || CAST(round(stddev_pop(top1_1 * 100.0), 2) AS VARCHAR) AS top1_1,
+              CAST(round(avg(top1_20 * 100.0), 2) AS VARCHAR) || '±' || CAST(round(stddev_pop(top1_20 * 100.0), 2) AS VARCHAR) AS top1_20
+       FROM ln GROUP BY 1)"""
+
+
+def _mean_std(spark, sf_dir):
+    m = mt.last_n_mean(mt.parse_logs(log_lines(spark, sf_dir), FINISHED), ns=(1, 20))
+    return mt.mean_std(m, cols=("top1_1", "top1_20"))
+
+
+@query("l9_mean_std", sql=f"""WITH {MS_SQL} SELECT exp, top1_1, top1_20 FROM ms""")
+def l9_mean_std(spark, sf_dir):
+    return _mean_std(spark, sf_dir)
+
+
+# Report layout (fixed values): the event types as algorithms (one never run) and the time-of-day settings.
+REPORT_ALGS = ["click", "error", "purchase", "signup", "view", "refund"]
+REPORT_SETTINGS = ["h0", "h1", "h2"]
+
+
+@query("l10_report", sql=f"""WITH {MS_SQL},
+cells AS (SELECT regexp_extract(exp, '^([^_]*)_', 1) AS algorithm, regexp_extract(exp, '_([^_]*)$', 1) AS setting, top1_1 AS value FROM ms),
+algs AS (SELECT * FROM (VALUES {", ".join(f"('{a}')" for a in REPORT_ALGS)}) t(algorithm))
+SELECT a.algorithm, {", ".join(f"coalesce(max(CASE WHEN setting = '{s}' THEN value END), 'None') AS {s}" for s in REPORT_SETTINGS)}
+FROM algs a LEFT JOIN cells c USING (algorithm) GROUP BY a.algorithm""")
+def l10_report(spark, sf_dir):
+    ms = _mean_std(spark, sf_dir)
+    cells = ms.select(F.regexp_extract("exp", r"^([^_]*)_", 1).alias("algorithm"),
+                      F.regexp_extract("exp", r"_([^_]*)$", 1).alias("setting"), F.col("top1_1").alias("value"))
+    return mt.report(cells, REPORT_ALGS, REPORT_SETTINGS)
+
+
+@query("l12_experiment_grid", sql="""
+WITH algs AS (SELECT DISTINCT event_type AS algorithm FROM events),
+ds AS (SELECT lang AS dataset, count(DISTINCT source) AS num_classes FROM documents GROUP BY lang),
+lbl AS (SELECT dataset, unnest([1, 4]) AS per_class FROM ds),
+g AS (SELECT algorithm, dataset, num_classes, per_class, unnest([0, 1, 2]) AS seed FROM algs, ds JOIN lbl USING (dataset))
+SELECT algorithm, dataset, seed, CAST(per_class * num_classes AS BIGINT) AS num_labels,
+       algorithm || '_' || dataset || '_' || CAST(per_class * num_classes AS VARCHAR) || '_' || CAST(seed AS VARCHAR) AS save_name FROM g""")
+def l12_experiment_grid(spark, sf_dir):
+    algs = fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("algorithm")).distinct()
+    ds = fx.table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("dataset")).agg(
+        F.countDistinct("source").alias("num_classes"))
+    lbl = ds.select("dataset", F.explode(F.array(F.lit(1), F.lit(4))).alias("per_class"))
+    g = mt.experiment_grid(algs, ds, lbl, [0, 1, 2])
+    return g.select("algorithm", "dataset", "seed", F.col("num_labels").cast("bigint").alias("num_labels"), "save_name")
