@@ -19,11 +19,15 @@ from labelforge.functions.hashing import h32, u
 from labelforge.operators.ranking import default_buckets, rank_by_hash, rank_by_value
 
 
-@F.pandas_udf("double")
-def _beta(seed: pd.Series, a: pd.Series) -> pd.Series:
+def _beta_draws(seed: pd.Series, a: pd.Series) -> pd.Series:
     return pd.Series([np.random.default_rng(int(s)).beta(x, x) for s, x in zip(seed, a)], dtype="float64")
 
 
+def _beta(seed: Column, a: Column) -> Column:
+    """Arrow-batched pandas UDF (built per call, so importing this module needs no session)."""
+    return F.pandas_udf(_beta_draws, "double")(seed, a)
+
+
 def beta_draw(key: Column, salt: str, alpha: float) -> Column:
     """λ ~ Beta(α, α) seeded by md5(salt-key)."""
     return _beta(h32(key, salt), F.lit(float(alpha)))

@@ -1,3 +1,116 @@
-"""Registered queries."""
+"""Rebalancing, self-training and fitted scorers (H1–H6, K3, K4)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from labelforge.functions import vec
+from labelforge.operators import align as al
+from labelforge.operators import rebalance as rb
+from labelforge.operators import scorers as sc
+from labelforge.operators import split as sp
+from labelforge.plans import fixtures as fx
+from labelforge.plans import sqlfrag as q
+from labelforge.plans.q_align import LT, LT_SQL, _lt_lb
+from labelforge.plans.q_pseudo import PR, W
+from labelforge.plans.registry import query
+from labelforge.session import checkpoint_dir
+
+K = fx.K_EMB
+
+
+def _u(spark, sf_dir, feat=False):
+    u = fx.scored(spark, sf_dir, with_feat=feat).filter(~F.col("is_lb"))
+    return u.withColumn("probs", vec.softmax("logits_w"))
+
+
+@query("h1_effective_weights", sql=f"""WITH {LT_SQL},
+c AS (SELECT label AS cls, count(*) AS n FROM lt GROUP BY label),
+b AS (SELECT avg(n) AS nn, count(*) AS kk FROM c),
+w AS (SELECT cls, (1 - (nn - 1) / nn) / (1 - pow((nn - 1) / nn, n)) AS w, kk FROM c, b)
+SELECT cls, round(w / sum(w) OVER () * kk, 6) AS weight FROM w""")
+def h1_effective_weights(spark, sf_dir):
+    lt = _lt_lb(spark, sf_dir)
+    c = lt.groupBy(F.col("label").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    return rb.effective_weights(c).select("cls", F.round("weight", 6).alias("weight"))
+
+
+RATES = rb.crest_quota(LT, K, 3.0)
+
+
+@query("h2_crest_pick", sql=f"""{W}, {PR}, {LT_SQL},
+rt AS (SELECT * FROM (VALUES {", ".join(f"({k}, {r!r})" for k, r in enumerate(RATES))}) t(pred, rate)),
+rk AS (SELECT idx, pred, row_number() OVER (PARTITION BY pred ORDER BY conf DESC, idx) AS rn, count(*) OVER (PARTITION BY pred) AS n_c FROM cp)
+SELECT idx, label, false AS picked FROM lt
+UNION ALL SELECT idx, pred AS label, true AS picked FROM rk JOIN rt USING (pred) WHERE rn <= floor(n_c * rate + 1e-12)""")
+def h2_crest_pick(spark, sf_dir):
+    u = _u(spark, sf_dir)
+    pred = u.select("idx", vec.argmax("probs").alias("pred"), vec.max_prob("probs").alias("conf"))
+    return rb.crest_pick(pred, _lt_lb(spark, sf_dir), K, 3.0, lb_counts=LT).select("idx", "label", "picked")
+
+
+@query("h3_self_train")
+def h3_self_train(spark, sf_dir):
+    """Generational self-training (rows-only check): 3 generations of
+    prototype fit → score → progressive alignment → CReST pick, lineage cut
+    by a reliable checkpoint each generation."""
+    from labelforge.plans.recipes import self_train
+    e = fx.embeddings(spark, sf_dir)
+    lt = _lt_lb(spark, sf_dir)
+    pool = e.join(lt.select("idx"), "idx", "left_anti")
+    checkpoint_dir(spark)
+    return self_train(lt, pool, K, gens=3, alpha=3.0, lb_counts=LT)
+
+
+@query("h4_tail_blend")
+def h4_tail_blend(spark, sf_dir):
+    """Minority feature blending; λ ~ Beta(0.75, 0.75) from a seeded pandas UDF (rows-only check)."""
+    out = rb.tail_blend(_lt_lb(spark, sf_dir), _u(spark, sf_dir, True), K, seed=0)
+    return out.select("label", "r", "own_idx", "other_idx", F.round("lam", 6).alias("lam"),
+                      vec.round_arr("feat").alias("feat"))
+
+
+@query("h5_mixup")
+def h5_mixup(spark, sf_dir):
+    """Mixup within batches; one λ ~ Beta(0.5, 0.5) per batch (rows-only check)."""
+    u = _u(spark, sf_dir, True).withColumn("target", F.col("probs"))
+    m = rb.mixup(u, 0.5, True, 0)
+    return m.select("idx", "batch_id", "partner", F.round("lam", 6).alias("lam"),
+                    vec.round_arr("mixed_feat").alias("mixed_feat"), vec.round_arr("mixed_target").alias("mixed_target"))
+
+
+@query("h6_online_blend", sql=f"""{W}, {LT_SQL},
+lb2 AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY md5('s0-ltb-' || CAST(idx AS VARCHAR)), idx) - 1) / 4) AS BIGINT) AS batch_id FROM lt),
+cn AS (SELECT label, count(*) AS n_c FROM lt GROUP BY label),
+pmx AS (SELECT label, (max(n_c) OVER () - n_c) / max(n_c) OVER () AS p_mix FROM cn),
+a AS (SELECT lb2.*, p_mix, row_number() OVER (PARTITION BY batch_id ORDER BY idx) AS pos FROM lb2 JOIN pmx USING (label)),
+b AS (SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY idx) AS pos, idx AS partner FROM ulb),
+j AS (SELECT a.*, b.partner FROM a LEFT JOIN b USING (batch_id, pos))
+SELECT idx, partner, round(CASE WHEN {q.u('idx', 's0-om')} < p_mix AND partner IS NOT NULL
+       THEN 0.6 + (1 - 0.6) * {q.u('idx', 's0-oml')} ELSE 1.0 END, 6) AS lam FROM j""")
+def h6_online_blend(spark, sf_dir):
+    lt = sp.batch_ids(_lt_lb(spark, sf_dir), 4, 0, "ltb")
+    out = rb.online_blend(lt, _u(spark, sf_dir, True), 0.6, 0)
+    return out.select("idx", "partner", F.round("lam", 6).alias("lam"))
+
+
+@query("k3_fit_linear")
+def k3_fit_linear(spark, sf_dir):
+    """Supervised multinomial logistic regression on the labelled rows; predictions for all rows (rows-only)."""
+    lb = fx.split(spark, sf_dir).filter("is_lb")
+    model = sc.fit_linear(lb, max_iter=30)
+    p = sc.predict_linear(model, fx.embeddings(spark, sf_dir))
+    return p.select("idx", "label", vec.argmax("logits").alias("pred"))
+
+
+@query("k4_fit_with_pseudo")
+def k4_fit_with_pseudo(spark, sf_dir):
+    """Refit with confident pseudo-labels (λ_u·mask weights) and predict (rows-only)."""
+    s = fx.scored(spark, sf_dir, with_feat=True)
+    lb = s.filter("is_lb")
+    ulb = (s.filter("NOT is_lb").withColumn("probs", vec.softmax("logits_w"))
+           .withColumn("pseudo_label", vec.argmax("probs"))
+           .withColumn("mask", (vec.max_prob("probs") >= F.lit(0.45)).cast("double")))
+    model = sc.fit_with_pseudo(lb, ulb, 1.0, max_iter=30)
+    p = sc.predict_linear(model, fx.embeddings(spark, sf_dir))
+    return p.select("idx", "label", vec.argmax("logits").alias("pred"))

@@ -1,3 +1,142 @@
-"""Registered queries."""
+"""One query per named recipe (P1–P19, Q1–Q9) and the extension hooks.
+
+Recipes compose operators that are oracle-checked one by one; the recipe
+queries themselves are rows-only checks except fixmatch, adsh and the
+extension hooks, which have plain-SQL equivalents.
+"""
 
 from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from labelforge.functions import vec
+from labelforge.plans import fixtures as fx
+from labelforge.plans import recipes as rc
+from labelforge.plans import sqlfrag as q
+from labelforge.plans.q_align import _lt_lb
+from labelforge.plans.q_pseudo import PR, W
+from labelforge.plans.registry import query
+
+CUT = 0.45
+
+
+def _inputs(spark, sf_dir):
+    s = fx.scored(spark, sf_dir, with_feat=True)
+    return s.filter(~F.col("is_lb")), s.filter("is_lb")
+
+
+def _out(d, extra=()):
+    return d.select(*rc.OUT, *extra).withColumn("confidence", F.round("confidence", 6)) \
+        .withColumn("weight", F.round("weight", 6)).withColumn("unsup_loss", F.round("unsup_loss", 6))
+
+
+def _register(key, name, extra=(), **params):
+    def run(spark, sf_dir):
+        ulb, lb = _inputs(spark, sf_dir)
+        return _out(rc.get_recipe(name)(ulb, lb, **params), extra)
+    run.__doc__ = f"Recipe {name} on the scored embeddings."
+    query(key)(run)
+
+
+_register("p1_pseudolabel", "pseudolabel", p_cutoff=CUT)
+_register("p3_uda", "uda", p_cutoff=CUT)
+_register("p4_flexmatch", "flexmatch", p_cutoff=CUT)
+_register("p5_freematch", "freematch", extra=("fairness",), m=0.9)
+_register("p6_softmatch", "softmatch", m=0.9)
+_register("p7_adamatch", "adamatch", p_cutoff=0.95, m=0.9)
+_register("p8_dash", "dash")
+_register("p9_mixmatch", "mixmatch")
+_register("p10_remixmatch", "remixmatch", m=0.9)
+_register("p11_comatch", "comatch", extra=("contrast",), Q=64, p_cutoff=CUT, contrast_cutoff=0.2)
+_register("p12_simmatch", "simmatch", p_cutoff=CUT)
+_register("p13_crmatch", "crmatch", extra=("cos_margin",), p_cutoff=CUT)
+_register("p14_sequencematch", "sequencematch", extra=("kl_chain",), p_cutoff=CUT)
+_register("p15_refixmatch", "refixmatch", extra=("kl_rejected",), p_cutoff=CUT)
+_register("p16_defixmatch", "defixmatch", extra=("debiased",), p_cutoff=CUT)
+_register("p17_pimodel", "pimodel")
+_register("p18_meanteacher", "meanteacher")
+_register("p19_supervised", "supervised")
+_register("q4_darp", "darp", rounds=3)
+_register("q5_daso", "daso", Q=16)
+_register("q6_debiaspl", "debiaspl", m=0.9, p_cutoff=CUT)
+_register("q7_saw", "saw", p_cutoff=CUT)
+_register("q8_tras", "tras", extra=("transfer_kl",), p_cutoff=CUT)
+
+
+@query("p2_fixmatch", sql=f"""{W}, {PR}
+SELECT idx, batch_id, pred AS pseudo_label, round(conf, 6) AS confidence,
+       round(CASE WHEN conf >= {CUT} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 6) AS weight,
+       round((-({q.log_softmax('logits_s')})[pred + 1]) * CASE WHEN conf >= {CUT} THEN 1.0 ELSE 0.0 END, 6) AS unsup_loss FROM cp""")
+def p2_fixmatch(spark, sf_dir):
+    ulb, lb = _inputs(spark, sf_dir)
+    return _out(rc.get_recipe("fixmatch")(ulb, lb, p_cutoff=CUT))
+
+
+def _lt_inputs(spark, sf_dir):
+    ulb, _ = _inputs(spark, sf_dir)
+    lt = _lt_lb(spark, sf_dir)
+    return ulb, lt
+
+
+@query("q1_abc")
+def q1_abc(spark, sf_dir):
+    ulb, lt = _lt_inputs(spark, sf_dir)
+    return _out(rc.with_imbalance("fixmatch", "abc")(ulb, lt, epoch=3, epochs=10, p_cutoff=CUT))
+
+
+@query("q2_adsh")
+def q2_adsh(spark, sf_dir):
+    ulb, lt = _lt_inputs(spark, sf_dir)
+    return _out(rc.with_imbalance("fixmatch", "adsh")(ulb, lt, tau=CUT))
+
+
+@query("q3_crest")
+def q3_crest(spark, sf_dir):
+    ulb, lt = _lt_inputs(spark, sf_dir)
+    return rc.with_imbalance("fixmatch", "crest")(ulb, lt).select("idx", "label", "picked")
+
+
+@query("q3_crest_plus")
+def q3_crest_plus(spark, sf_dir):
+    ulb, lt = _lt_inputs(spark, sf_dir)
+    return rc.with_imbalance("fixmatch", "crest+")(ulb, lt, progressive=True, gen=2, m=0.9).select("idx", "label", "picked")
+
+
+@query("q9_cossl")
+def q9_cossl(spark, sf_dir):
+    from labelforge.operators.split import batch_ids
+    ulb, lt = _lt_inputs(spark, sf_dir)
+    lt = batch_ids(lt, 4, 0, "ltb")
+    return rc.with_imbalance("fixmatch", "cossl")(ulb, lt).select("idx", "label", F.round("lam", 6).alias("lam"), "kind")
+
+
+@query("u2_pluggable_steps", sql=f"""{W}, {PR}
+SELECT idx, CASE WHEN conf >= {CUT} THEN 1 ELSE 0 END AS mask, pred AS pseudo_label FROM cp""")
+def u2_pluggable_steps(spark, sf_dir):
+    from labelforge.operators import masks as mk
+    ulb, _ = _inputs(spark, sf_dir)
+    run = rc.pipeline(mask=lambda d: mk.mask_fixed(d, CUT))
+    return run(ulb).select("idx", "mask", "pseudo_label")
+
+
+@query("u4_augment", sql="""
+SELECT conv_id * 1000 + turn AS idx, md5(replace(text, chr(10), ' ')) AS aug_md5 FROM conversations""")
+def u4_augment(spark, sf_dir):
+    """User batch augmentation (here: line breaks to spaces) over Arrow batches of 64 rows."""
+    c = fx.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), "text")
+    a = rc.augment(c, lambda s: s.str.replace("\n", " ", regex=False), "text", "aug", batch_size=64)
+    return a.select("idx", F.md5("aug").alias("aug_md5"))
+
+
+def _double_scores(s: pd.Series) -> pd.Series:
+    return s.apply(lambda v: [2.0 * float(x) for x in v])
+
+
+@query("u5_score_with", sql="""
+SELECT vec_id AS idx, list_transform(list_slice(embedding, 1, 4), lambda x: round(2.0 * CAST(x AS DOUBLE), 6)) AS logits FROM embeddings""")
+def u5_score_with(spark, sf_dir):
+    """User scoring function applied through an iterator pandas UDF."""
+    e = fx.embeddings(spark, sf_dir).withColumn("feat", F.slice("feat", 1, 4))
+    s = rc.score_with(e, _double_scores, "feat", "logits")
+    return s.select("idx", vec.round_arr("logits").alias("logits"))
