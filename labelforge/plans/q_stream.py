@@ -1,3 +1,90 @@
-"""Registered queries."""
+"""Streaming queries (S1–S6): the derived scored batches are written as one
+parquet file per training batch and replayed with maxFilesPerTrigger=1, so
+the online result can be compared with the batch operator."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from labelforge.functions import vec
+from labelforge.plans import fixtures as fx
+from labelforge.plans import sqlfrag as q
+from labelforge.plans.q_align import QP_SQL
+from labelforge.plans.q_pseudo import PR, VISITS, W, _flex_sql, _sat_sql, _visits
+from labelforge.plans.registry import query
+from labelforge.session import scratch_path
+from labelforge.streaming import online as on
+
+K = fx.K_EMB
+
+
+def _replay(spark, df, order_col, name):
+    src = scratch_path(spark, f"{name}-src")
+    d = df.cache()
+    on.write_stream_input(d, order_col, src)
+    schema = d.schema
+    d.unpersist()
+    return src, schema
+
+
+def _ulb_src(spark, sf_dir, name):
+    u = fx.ulb_pred(spark, sf_dir).select("idx", "batch_id", "logits_w")
+    return _replay(spark, u, "batch_id", name)
+
+
+@query("s1_stream_align", sql=f"""{W}, {PR},
+cm AS (SELECT batch_id, cls, avg(p) AS x FROM (SELECT batch_id, unnest(generate_series(0, len(probs) - 1)) AS cls,
+       unnest(probs) AS p FROM pr) GROUP BY batch_id, cls),
+cl AS (SELECT cls, list(x ORDER BY batch_id) AS xs FROM cm GROUP BY cls),
+pmod AS (SELECT cm.batch_id, cm.cls, list_reduce(list_slice(xs, 1, cm.batch_id + 1), lambda a, v: 0.9 * a + 0.09999999999999998 * v) AS pm
+         FROM cm JOIN cl USING (cls)),
+rt AS (SELECT batch_id, list((0.1::DOUBLE + 1e-6) / (pm + 1e-6) ORDER BY cls) AS ratio FROM pmod GROUP BY batch_id),
+al AS (SELECT idx, {q.normalize_sum("list_transform(generate_series(1, len(probs)), lambda i: probs[i] * ratio[i])")} AS pa FROM pr JOIN rt USING (batch_id))
+SELECT idx, {q.rnd('pa')} AS probs_aligned, CAST(list_max(pa) >= 0.45 AS INTEGER) AS mask FROM al""")
+def s1_stream_align(spark, sf_dir):
+    src, schema = _ulb_src(spark, sf_dir, "s1")
+    r = on.stream_align(spark, src, schema, K, 0.9, 0.45)
+    return r.select("idx", vec.round_arr("probs_aligned").alias("probs_aligned"), "mask")
+
+
+S2_SQL = _flex_sql(True).replace("SELECT idx, batch_id, round(coalesce(status, 0.0), 6) AS status,", "SELECT idx, batch_id,")
+
+
+@query("s2_stream_flex", sql=S2_SQL)
+def s2_stream_flex(spark, sf_dir):
+    v = _visits(spark, sf_dir)
+    n = v.select("idx").distinct().count()
+    src, schema = _replay(spark, v, "batch_id", "s2")
+    r = on.stream_flex(spark, src, schema, K, n, 0.45, True)
+    return r.select("idx", "batch_id", "mask")
+
+
+@query("s3_stream_selfadaptive", sql=_sat_sql(False))
+def s3_stream_selfadaptive(spark, sf_dir):
+    src, schema = _ulb_src(spark, sf_dir, "s3")
+    r = on.stream_selfadaptive(spark, src, schema, K, 0.9)
+    return r.select("idx", "batch_id", F.round("threshold", 6).alias("threshold"), "mask")
+
+
+@query("s4_stream_class_queue", sql=f"""WITH {QP_SQL} SELECT label, {q.rnd('proto')} AS proto FROM qp""")
+def s4_stream_class_queue(spark, sf_dir):
+    e = fx.embeddings(spark, sf_dir).withColumn("seq", F.col("idx")).withColumn("chunk", F.floor(F.col("idx") / 100))
+    src, schema = _replay(spark, e, "chunk", "s4")
+    r = on.stream_class_queue(spark, src, schema, 16)
+    return r.select("label", vec.round_arr("proto").alias("proto"))
+
+
+@query("s5_stream_label_counts", sql=f"""{W}, {PR}
+SELECT CAST(floor(batch_id / 3) AS BIGINT) AS win, pred AS cls, count(*) AS cnt FROM cp GROUP BY 1, 2""")
+def s5_stream_label_counts(spark, sf_dir):
+    u = fx.ulb_pred(spark, sf_dir).select("idx", "batch_id", vec.softmax("logits_w").alias("probs"))
+    src, schema = _replay(spark, u, "batch_id", "s5")
+    return on.stream_label_counts(spark, src, schema, 3).select("win", "cls", "cnt")
+
+
+@query("s6_stream_eval")
+def s6_stream_eval(spark, sf_dir):
+    """Every 3 micro-batches: accuracy of the window and the best so far (rows-only check)."""
+    u = fx.ulb_pred(spark, sf_dir).select("idx", "batch_id", "logits_w", "label")
+    src, schema = _replay(spark, u, "batch_id", "s6")
+    return on.stream_eval(spark, src, schema, 3).select(F.round("acc", 6).alias("acc"), F.round("best_acc", 6).alias("best_acc"), "best_epoch")
