@@ -1,3 +1,180 @@
-"""Registered queries."""
+"""Sources and sinks.
+
+Each query writes a layout derived from the given tables into a fresh
+sub-folder of the shared checkpoint folder and reads it back through the
+reader, so the work grows with the tables.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from labelforge.functions import text as tx
+from labelforge.operators import split as sp
+from labelforge.plans import fixtures as fx
+from labelforge.plans import sqlfrag as q
+from labelforge.plans.q_eval import MS_SQL, REPORT_ALGS, REPORT_SETTINGS, _mean_std, history
+from labelforge.plans.q_split import B3_SQL, DOCS_SQL, _docs
+from labelforge.plans.registry import query
+from labelforge.session import scratch_path
+from labelforge.sources import readers as rd
+from labelforge.sources import writers as wr
+
+LANG_URL = r"https?://[^/]+/([a-z]+)/"
+
+
+@query("a1_read_views", sql=f"""WITH {DOCS_SQL}
+SELECT CAST(idx AS VARCHAR) AS idx, md5(text) AS ori, md5("right"(text, 1024)) AS aug_0, md5({B3_SQL}) AS aug_1, label FROM docs""")
+def a1_read_views(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("idx", F.col("text").alias("ori"), tx.tail_chars("text", 1024).alias("aug_0"),
+                                    tx.drop_lead_words("text", 100).alias("aug_1"), F.col("label").cast("string").alias("label"))
+    path = scratch_path(spark, "a1")
+    wr.write_views(d, path, rows_per_file=250)
+    v = rd.read_views(spark, path)
+    return v.select("idx", F.md5("ori").alias("ori"), F.md5("aug_0").alias("aug_0"), F.md5("aug_1").alias("aug_1"), "label")
+
+
+@query("a1_read_views_eval", sql=f"""WITH {DOCS_SQL}
+SELECT CAST(idx AS VARCHAR) AS idx, md5(text) AS ori, 'None' AS aug_0, 'None' AS aug_1, label FROM docs""")
+def a1_read_views_eval(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("idx", F.col("text").alias("ori"), F.col("label").cast("string").alias("label"))
+    path = scratch_path(spark, "a1e")
+    wr.write_views(d, path, rows_per_file=250)
+    v = rd.read_views(spark, path, with_augs=False)
+    return v.select("idx", F.md5("ori").alias("ori"), "aug_0", "aug_1", "label")
+
+
+def _page_tree(spark, sf_dir, name):
+    p = fx.table(spark, sf_dir, "pages").withColumn("lang", F.regexp_extract("url", LANG_URL, 1))
+    root = scratch_path(spark, name)
+    wr.write_text_tree(p, root, "lang", "page_id", "html")
+    return root
+
+
+@query("a2_read_text_tree", sql=f"""
+SELECT CAST(page_id AS BIGINT) AS page_id, regexp_extract(url, '{LANG_URL}', 1) AS class_name,
+       CAST(dense_rank() OVER (ORDER BY regexp_extract(url, '{LANG_URL}', 1)) - 1 AS INTEGER) AS label,
+       md5(replace(replace(html || chr(10), '<br />', ''), chr(10), '')) AS text_md5 FROM pages""")
+def a2_read_text_tree(spark, sf_dir):
+    root = _page_tree(spark, sf_dir, "a2")
+    t = rd.read_text_tree(spark, root)
+    return t.select(F.regexp_extract("path", r"name=([0-9]+)/", 1).cast("bigint").alias("page_id"), "class_name", "label",
+                    F.md5(tx.clean_text("value")).alias("text_md5"))
+
+
+@query("a3_read_labeled_csv", sql=f"""WITH {DOCS_SQL}
+SELECT CAST(label AS INTEGER) AS label, md5(source || ' ' || text) AS text_md5 FROM docs""")
+def a3_read_labeled_csv(spark, sf_dir):
+    d = _docs(spark, sf_dir).select((F.col("label") + 1).cast("string").alias("class"), F.col("source").alias("title"),
+                                    F.col("text").alias("body"))
+    path = scratch_path(spark, "a3")
+    d.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+    r = rd.read_labeled_csv(spark, path, "class", ["title", "body"])
+    r = sp.normalize_labels(r)
+    return r.select("label", F.md5("text").alias("text_md5"))
+
+
+@query("a4_index_file_tree", sql=f"""
+SELECT CAST(dense_rank() OVER (ORDER BY regexp_extract(url, '{LANG_URL}', 1)) - 1 AS INTEGER) AS class_id,
+       CAST(octet_length(encode(html)) + 1 AS BIGINT) AS length FROM pages""")
+def a4_index_file_tree(spark, sf_dir):
+    root = _page_tree(spark, sf_dir, "a4")
+    f = rd.index_file_tree(spark, root, "*.txt")
+    return f.select("class_id", "length")
+
+
+@query("a5_read_split_list", sql=f"""
+WITH l AS (SELECT regexp_extract(url, '{LANG_URL}', 1) || '/' || CAST(page_id AS VARCHAR) || '.html' AS rel_path,
+             CAST(dense_rank() OVER (ORDER BY regexp_extract(url, '{LANG_URL}', 1)) - 1 AS INTEGER) AS label FROM pages)
+SELECT '/data/pages/' || rel_path AS path, label, (SELECT count(DISTINCT label) FROM l) AS num_classes FROM l""")
+def a5_read_split_list(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "pages").withColumn("lang", F.regexp_extract("url", LANG_URL, 1))
+    rows, _ = sp.encode_labels(p, "lang")
+    lines = rows.select(F.concat_ws(" ", F.concat_ws("/", "lang", F.concat(F.col("page_id").cast("string"), F.lit(".html"))),
+                                    F.col("label").cast("string")).alias("value"))
+    path = scratch_path(spark, "a5")
+    lines.write.mode("overwrite").text(path)
+    r = rd.read_split_list(spark, path, "/data/pages")
+    return r.select("path", "label", "num_classes")
+
+
+@query("a6_read_array_records", sql="""
+SELECT vec_id AS idx, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings""")
+def a6_read_array_records(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings")
+    path = scratch_path(spark, "a6")
+    e.repartition(4, "vec_id").write.mode("overwrite").parquet(path)
+    r = rd.read_array_records(spark, f"{path}/part-*.parquet")
+    return r.select(F.col("vec_id").alias("idx"), F.size("embedding").alias("dim"),
+                    F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("a8_write_splits", sql=f"""
+WITH s AS (SELECT label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {q.md5key('vec_id', 's0')}, vec_id) <= 4
+             THEN 'train_lb' ELSE 'train_ulb' END AS split FROM embeddings)
+SELECT split, label, count(*) AS n FROM s GROUP BY split, label""")
+def a8_write_splits(spark, sf_dir):
+    s = sp.ssl_split(fx.embeddings(spark, sf_dir), 4 * fx.K_EMB, fx.K_EMB, 0)
+    s = s.withColumn("split", F.when(F.col("is_lb"), F.lit("train_lb")).otherwise(F.lit("train_ulb"))).drop("feat")
+    path = scratch_path(spark, "a8")
+    wr.write_splits(s.select("idx", "label", "split"), path, "json")
+    back = spark.read.schema("idx long, label int, split string").json(path)
+    return back.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a10_split_manifest", sql=f"""
+SELECT vec_id AS idx, label FROM embeddings
+QUALIFY row_number() OVER (PARTITION BY label ORDER BY {q.md5key('vec_id', 's0')}, vec_id) <= 4""")
+def a10_split_manifest(spark, sf_dir):
+    e = fx.embeddings(spark, sf_dir)
+    s = sp.ssl_split(e, 4 * fx.K_EMB, fx.K_EMB, 0)
+    root = scratch_path(spark, "a10")
+    wr.save_split(s.filter("is_lb"), root, 40, 1.0, 0)
+    return wr.load_split(spark, e, root, 40, 1.0, 0).select("idx", "label")
+
+
+@query("a11_state_roundtrip")
+def a11_state_roundtrip(spark, sf_dir):
+    """Save and restore the self-adaptive state tables; rows-only (values equal E4 state)."""
+    from labelforge.functions import vec
+    from labelforge.operators import masks as mk
+    u = fx.ulb_pred(spark, sf_dir).withColumn("probs", vec.softmax("logits_w"))
+    d = u.withColumn("conf", vec.max_prob("probs")).withColumn("pred", vec.argmax("probs"))
+    tp, cs = mk.selfadaptive_state(d, fx.K_EMB, 0.9, False, "probs", "batch_id")
+    path = scratch_path(spark, "a11")
+    wr.save_state({"time_p": tp, "class_state": cs}, path)
+    st = wr.load_state(spark, path, ["time_p", "class_state"])
+    return st["class_state"].join(st["time_p"], "batch_id").select(
+        "batch_id", F.col("cls").cast("int").alias("cls"), F.round("p_model", 6).alias("p_model"),
+        F.round("label_hist", 6).alias("label_hist"), F.round("time_p", 6).alias("time_p"))
+
+
+@query("a12_log_metrics", sql="""
+WITH h0 AS (SELECT event_id, ts, event_type || '_' || 'h' || CAST(CAST(floor(hour(ts) / 8) AS BIGINT) AS VARCHAR) || '_' ||
+             CAST(CAST(floor((('0x' || substring(md5('seed-' || CAST(user_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0) * 3) AS INTEGER) AS VARCHAR) AS run,
+             value / (SELECT max(value) FROM events) AS acc FROM events),
+h AS (SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY ts, event_id) - 1 AS BIGINT) AS it, acc FROM h0)
+SELECT run, it, 'acc' AS key, round(acc, 6) AS value FROM h WHERE (it + 1) % 5 = 0""")
+def a12_log_metrics(spark, sf_dir):
+    h = history(spark, sf_dir).select("run", (F.col("it") / 100 - 1).cast("bigint").alias("it"), "acc",
+                                      F.sqrt("acc").alias("acc_top5"))
+    path = scratch_path(spark, "a12")
+    wr.log_metrics(h, path, 5, ["acc"])
+    back = spark.read.parquet(path)
+    return back.select("run", "it", "key", F.round("value", 6).alias("value"))
+
+
+@query("l11_read_results", sql=f"""WITH {MS_SQL},
+cells AS (SELECT regexp_extract(exp, '^([^_]*)_', 1) AS algorithm, regexp_extract(exp, '_([^_]*)$', 1) AS setting, top1_1 AS value FROM ms),
+algs AS (SELECT * FROM (VALUES {", ".join(f"('{a}')" for a in REPORT_ALGS)}) t(algorithm)),
+grid AS (SELECT a.algorithm, s.setting FROM algs a, (VALUES {", ".join(f"('{s}')" for s in REPORT_SETTINGS)}) s(setting))
+SELECT g.algorithm, g.setting, TRY_CAST(split_part(value, '±', 1) AS DOUBLE) AS mean, TRY_CAST(split_part(value, '±', 2) AS DOUBLE) AS std
+FROM grid g LEFT JOIN cells c USING (algorithm, setting)""")
+def l11_read_results(spark, sf_dir):
+    from labelforge.operators.metrics import report
+    ms = _mean_std(spark, sf_dir)
+    cells = ms.select(F.regexp_extract("exp", r"^([^_]*)_", 1).alias("algorithm"),
+                      F.regexp_extract("exp", r"_([^_]*)$", 1).alias("setting"), F.col("top1_1").alias("value"))
+    path = scratch_path(spark, "l11")
+    report(cells, REPORT_ALGS, REPORT_SETTINGS).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    return rd.read_results(spark, path)
