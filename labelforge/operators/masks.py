@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from labelforge.functions import vec
 from labelforge.functions.hashing import u
 from labelforge.operators.ranking import default_buckets, rank_by_value
-from labelforge.operators.state import ema_scan, prefix_max, prefix_sum
+from labelforge.operators.state import ema_scan, materialize_small, prefix_max, prefix_sum
 
 
 def _conf_pred(df: DataFrame, probs: str) -> DataFrame:
@@ -67,12 +67,12 @@ def flex_status(df: DataFrame, cutoff: float, N: int, K: int, warmup: bool = Tru
     denom = F.col("mx_all") if warmup else F.col("mx_pos")
     c = c.withColumn("acc", F.when(F.col("mx_all") < N, F.col("cnt") / denom))
     # frozen batches keep the status of the last batch that updated it (0 at start)
-    c = prefix_max(c.withColumn("__vb", F.when(F.col("acc").isNotNull(), F.col(batch))),
-                   ["cls"], batch, "__vb", "__last")
+    c = materialize_small(prefix_max(c.withColumn("__vb", F.when(F.col("acc").isNotNull(), F.col(batch))),
+                                     ["cls"], batch, "__vb", "__last"))
     valid = c.filter(F.col("acc").isNotNull()).select("cls", F.col(batch).alias("__last"), F.col("acc").alias("__acc"))
     c = c.join(valid, ["cls", "__last"], "left").select(
         "cls", (F.col(batch) + 1).alias(batch), F.coalesce(F.col("__acc"), F.lit(0.0)).alias("status"))
-    return c  # status after batch b is in force for batch b+1
+    return materialize_small(c)  # status after batch b is in force for batch b+1
 
 
 def mask_flex(df: DataFrame, cutoff: float, K: int, N: int | None = None, warmup: bool = True,

@@ -24,6 +24,16 @@ from pyspark.sql import functions as F
 CHUNK = 1024
 
 
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Write a small state table (bounded by batches × classes) to the shared
+    checkpoint folder and continue from it: later plans start at this leaf
+    instead of re-deriving (and re-planning) its whole lineage, and a lost
+    executor does not send recomputation back through the row-level stages."""
+    from labelforge.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _chunk(order: str, chunk: int) -> Column:
     return F.floor(F.col(order) / F.lit(chunk)).cast("bigint")
 
@@ -31,7 +41,7 @@ def _chunk(order: str, chunk: int) -> Column:
 def prefix_sum(df: DataFrame, by: list[str], order: str, cols: list[str], chunk: int = CHUNK,
                suffix: str = "_cum", inclusive: bool = True) -> DataFrame:
     """Running sums of ``cols`` per ``by`` in ``order`` (inclusive by default)."""
-    d = df.withColumn("__ch", _chunk(order, chunk))
+    d = materialize_small(df.withColumn("__ch", _chunk(order, chunk)))
     tot = d.groupBy(*by, "__ch").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
     wc = Window.partitionBy(*by).orderBy("__ch").rowsBetween(Window.unboundedPreceding, -1) if by \
         else Window.orderBy("__ch").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,7 +56,7 @@ def prefix_sum(df: DataFrame, by: list[str], order: str, cols: list[str], chunk:
 
 def prefix_max(df: DataFrame, by: list[str], order: str, col: str, out: str, chunk: int = CHUNK) -> DataFrame:
     """Running max (NULLs ignored) per ``by`` in ``order``."""
-    d = df.withColumn("__ch", _chunk(order, chunk))
+    d = materialize_small(df.withColumn("__ch", _chunk(order, chunk)))
     tot = d.groupBy(*by, "__ch").agg(F.max(col).alias("__t"))
     wc = Window.partitionBy(*by).orderBy("__ch").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*by, "__ch", F.max("__t").over(wc).alias("__o"))
@@ -64,6 +74,7 @@ def ema_scan(stats: DataFrame, by: list[str], order: str, col: str, m: float,
     """
     out = out or f"{col}_ema"
     mm = F.lit(float(m))
+    stats = materialize_small(stats)
     d = stats.withColumn("__ch", _chunk(order, chunk))
     # level 1: local EMA from 0 inside each chunk
     loc = d.groupBy(*by, "__ch").agg(
@@ -88,7 +99,7 @@ def ema_scan(stats: DataFrame, by: list[str], order: str, col: str, m: float,
         *by, F.posexplode("__xs").alias("__j", "__e"), "__st", "__cin")
     res = res.select(*by, F.col("__e")["o"].alias(order),
                      (F.pow(mm, F.col("__j") + 1) * F.col("__cin") + F.col("__st")[F.col("__j")]).alias(out))
-    return stats.join(res, [*by, order])
+    return materialize_small(stats.join(res, [*by, order]))
 
 
 def trailing_sum(df: DataFrame, by: list[str], order: str, col: str, Q: int, out: str,
@@ -96,7 +107,7 @@ def trailing_sum(df: DataFrame, by: list[str], order: str, col: str, Q: int, out
     """Σ of ``col`` over the last Q rows (current included) per group, rows in
     ``order``; the batch axis is cut into chunks, each with a Q−1 row halo."""
     chunk = max(chunk, Q)
-    d = df.withColumn("__ch", _chunk(order, chunk))
+    d = materialize_small(df.withColumn("__ch", _chunk(order, chunk)))
     # halo: rows within Q−1 batches before a chunk start are copied into that chunk
     halo = (d.filter(F.col(order) - F.col("__ch") * chunk >= chunk - (Q - 1))
               .withColumn("__ch", F.col("__ch") + 1).withColumn("__own", F.lit(False)))
