@@ -43,7 +43,10 @@ def strong_view(feat: str = "feat", idx: str = "idx") -> Column:
 
 
 def split(spark: SparkSession, sf_dir: str, n: int = N_PER_CLASS, seed: int = SEED) -> DataFrame:
-    return ssl_split(embeddings(spark, sf_dir), n * K_EMB, K_EMB, seed)
+    """The labelled/unlabelled split, written once to the shared checkpoint
+    folder: every downstream branch (prototypes, both batchings) starts from it."""
+    from labelforge.operators.state import materialize_small
+    return materialize_small(ssl_split(embeddings(spark, sf_dir), n * K_EMB, K_EMB, seed))
 
 
 def scored(spark: SparkSession, sf_dir: str, n: int = N_PER_CLASS, seed: int = SEED,

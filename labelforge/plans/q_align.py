@@ -51,7 +51,7 @@ SELECT idx, {q.rnd(q.normalize_sum(mul))} AS probs_aligned FROM pr JOIN rt USING
 
 @query("f1_align_ema", sql=f"""{W}, {PR}, {BCM},
 pmod AS (SELECT cm.batch_id, cm.cls, {ema_sql('xs', 'cm.batch_id + 1', 0.9, None)} AS pm FROM cm JOIN cl USING (cls)),
-{_apply_sql("rt AS (SELECT batch_id, list((0.1::DOUBLE + 1e-6) / (pm + 1e-6) ORDER BY cls) AS ratio FROM pmod GROUP BY batch_id)")}""")
+{_apply_sql("rt AS (SELECT batch_id, list((0.1::DOUBLE + 1e-6) / (pm + 1e-6) ORDER BY cls) AS ratio FROM pmod GROUP BY batch_id)")}""", bench=True)
 def f1_align_ema(spark, sf_dir):
     a = al.align_ema(_ulb(spark, sf_dir), K, 0.9, "uniform")
     return a.select("idx", vec.round_arr("probs_aligned").alias("probs_aligned"))
@@ -175,7 +175,7 @@ vk AS (SELECT idx, k, sum(e * bp) AS v FROM (SELECT idx, e, unnest(generate_seri
        GROUP BY idx, k),
 mix AS (SELECT idx, list(v / s ORDER BY k) AS mixv FROM vk JOIN sx USING (idx) GROUP BY idx)
 SELECT idx, {q.rnd("list_transform(generate_series(1, len(probs)), lambda i: 0.9 * probs[i] + 0.1 * mixv[i])")} AS probs_smoothed
-FROM pr JOIN mix USING (idx)""")
+FROM pr JOIN mix USING (idx)""", bench=True)
 def f7_smooth_bank(spark, sf_dir):
     b = _comatch_bank(spark, sf_dir)
     s = bk.smooth_bank(_ulb(spark, sf_dir, True), b, K, 0.1, 0.9)

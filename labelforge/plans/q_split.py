@@ -222,7 +222,7 @@ WITH e AS (SELECT vec_id AS idx, label FROM embeddings),
 w AS (SELECT label, 1.0::DOUBLE / count(*) AS weight FROM e GROUP BY label),
 k AS (SELECT idx, label, -ln((('0x' || substring(md5('w3-0-' || CAST(idx AS VARCHAR)), 1, 8))::BIGINT + 0.5) / 4294967296.0) / weight AS key
       FROM e JOIN w USING (label))
-SELECT idx, label, row_number() OVER (ORDER BY key, idx) AS pos FROM k""")
+SELECT idx, label, row_number() OVER (ORDER BY key, idx) AS pos FROM k""", bench=True)
 def c13_weighted_sample(spark, sf_dir):
     e = _emb(spark, sf_dir).select("idx", "label")
     w = smp.balance_weights(e, 1.0)
