@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from labelforge.functions import vec
 from labelforge.operators.scorers import fit_prototypes, prototype_matrix
-from labelforge.operators.split import batch_ids, ssl_split
+from labelforge.operators.ranking import default_buckets, rank_by_hash
+from labelforge.operators.split import ssl_split
 
 # Fixture parameters (fixed values shared with the SQL oracle).
 K_EMB = 10          # classes in embeddings.label
@@ -60,9 +61,12 @@ def scored(spark: SparkSession, sf_dir: str, n: int = N_PER_CLASS, seed: int = S
           .drop("__P", "rn"))
     if not with_feat:
         d = d.drop("feat", "feat_s")
-    lb = batch_ids(d.filter("is_lb"), B_lb, seed, "lb")
-    ulb = batch_ids(d.filter(~F.col("is_lb")), B, seed, "ulb")
-    return lb.unionByName(ulb)
+    # one ranking for both sides: labelled rows in batches of B_lb, unlabelled in batches of B
+    key = F.md5(F.concat(F.when(F.col("is_lb"), F.lit(f"s{seed}-lb-")).otherwise(F.lit(f"s{seed}-ulb-")),
+                         F.col("idx").cast("string")))
+    r = rank_by_hash(d.withColumn("__key", key), ["is_lb"], "__key", "idx", default_buckets(spark), "pos").drop("__key")
+    size = F.when(F.col("is_lb"), F.lit(B_lb)).otherwise(F.lit(B))
+    return r.withColumn("batch_id", F.floor((F.col("pos") - 1) / size).cast("bigint"))
 
 
 def ulb_pred(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:

@@ -31,7 +31,7 @@ def _lb(spark, sf_dir):
 
 def _visits(spark, sf_dir, epoch: int = 9, B: int = 50):
     """Two epochs over the unlabelled rows: weak view in the first, strong in the second."""
-    u = fx.ulb_pred(spark, sf_dir)
+    u = fx.ulb_pred(spark, sf_dir).persist()
     n = u.count()
     v = smp.epoch_sample(u, epoch, 2 * n, 1)
     return (v.withColumn("batch_id", F.floor((F.col("pos") - 1) / F.lit(B)).cast("bigint"))
