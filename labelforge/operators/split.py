@@ -96,19 +96,22 @@ def split_by_index(df: DataFrame, lb_ids: DataFrame, ulb_ids: DataFrame | None =
     return lb, ulb
 
 
-def quota_split(df: DataFrame, n_train: int, n_dev: int, order: list[Column], bucket: Column,
-                label: str = "label") -> DataFrame:
-    """First ``n_train`` rows of each class train, next ``n_dev`` dev, rest dropped."""
-    r = rank_within(df, [label], order, bucket)
+def quota_split(df: DataFrame, n_train: int, n_dev: int, key: str, idx: str = "idx",
+                label: str = "label", buckets: int | None = None) -> DataFrame:
+    """In ``key`` order, the first ``n_train`` rows of each class are train,
+    the next ``n_dev`` dev, the rest dropped."""
+    from labelforge.operators.ranking import rank_by_value
+    r = rank_by_value(df, [label], key, idx, _buckets(df, buckets))
     sp = (F.when(F.col("rn") <= n_train, F.lit("train"))
           .when(F.col("rn") <= n_train + n_dev, F.lit("dev")))
     return r.withColumn("split", sp).filter(F.col("split").isNotNull())
 
 
-def proportional_split(df: DataFrame, p: float, order: list[Column], bucket: Column,
-                       label: str = "label") -> DataFrame:
-    """Per class the first int(p·n_c) rows are trainval, the rest test."""
-    r = rank_within(df, [label], order, bucket, total_col="n_c")
+def proportional_split(df: DataFrame, p: float, key: str, idx: str = "idx", label: str = "label",
+                       buckets: int | None = None) -> DataFrame:
+    """Per class, in ``key`` order, the first int(p·n_c) rows are trainval, the rest test."""
+    from labelforge.operators.ranking import rank_by_value
+    r = rank_by_value(df, [label], key, idx, _buckets(df, buckets), total_col="n_c")
     cut = F.floor(F.col("n_c") * F.lit(p) + F.lit(1e-9))
     return r.withColumn("split", F.when(F.col("rn") <= cut, F.lit("trainval")).otherwise(F.lit("test")))
 
@@ -123,10 +126,11 @@ def percent_subset(df: DataFrame, num_labels: int, seed: int = 0, label: str = "
     return r.withColumn("is_lb", F.col("rn") <= F.floor(F.col("n_c") * F.lit(pct) + F.lit(1e-9)))
 
 
-def balanced_select(df: DataFrame, k: int, order: list[Column], bucket: Column,
-                    label: str = "label") -> DataFrame:
-    """First k rows of each class in stream order (``selected``) and complement."""
-    r = rank_within(df, [label], order, bucket)
+def balanced_select(df: DataFrame, k: int, key: str, idx: str = "idx", label: str = "label",
+                    buckets: int | None = None) -> DataFrame:
+    """First k rows of each class in stream (``key``) order (``selected``) and the complement."""
+    from labelforge.operators.ranking import rank_by_value
+    r = rank_by_value(df, [label], key, idx, _buckets(df, buckets))
     return r.withColumn("selected", F.col("rn") <= k)
 
 

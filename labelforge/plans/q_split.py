@@ -129,11 +129,7 @@ def c10_attach_unlabeled_pool(spark, sf_dir):
 r AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY idx) AS rn FROM docs)
 SELECT idx, label, CASE WHEN rn <= 100 THEN 'train' ELSE 'dev' END AS split FROM r WHERE rn <= 120""")
 def c6_quota_split(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    from labelforge.operators.ranking import default_buckets
-    nb = default_buckets(spark)
-    b = F.floor(F.col("idx") * F.lit(nb) / F.lit(1 << 40)).cast("int")
-    return sp.quota_split(d, 100, 20, [F.col("idx")], b).select("idx", "label", "split")
+    return sp.quota_split(_docs(spark, sf_dir), 100, 20, "idx").select("idx", "label", "split")
 
 
 @query("c7_proportional_split", sql=f"""WITH {DOCS_SQL},
@@ -141,11 +137,7 @@ r AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY idx) AS
              count(*) OVER (PARTITION BY label) AS n_c FROM docs)
 SELECT idx, label, CASE WHEN rn <= floor(n_c * 0.8 + 1e-9) THEN 'trainval' ELSE 'test' END AS split FROM r""")
 def c7_proportional_split(spark, sf_dir):
-    from labelforge.operators.ranking import rank_by_value, default_buckets
-    d = _docs(spark, sf_dir)
-    r = rank_by_value(d, ["label"], "idx", "idx", default_buckets(spark), total_col="n_c")
-    cut = F.floor(F.col("n_c") * F.lit(0.8) + F.lit(1e-9))
-    return r.select("idx", "label", F.when(F.col("rn") <= cut, F.lit("trainval")).otherwise(F.lit("test")).alias("split"))
+    return sp.proportional_split(_docs(spark, sf_dir), 0.8, "idx").select("idx", "label", "split")
 
 
 @query("c8_percent_subset", sql=f"""
@@ -161,13 +153,10 @@ def c8_percent_subset(spark, sf_dir):
 WITH e AS (SELECT event_id AS idx, ts, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS label FROM events)
 SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY ts, idx) <= 100 AS selected FROM e""")
 def c9_balanced_select(spark, sf_dir):
-    from labelforge.operators.ranking import rank_within
     ev = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), "ts", "event_type")
     rows, _ = sp.encode_labels(ev, "event_type")
     rows = rows.withColumn("__t", F.unix_micros(F.col("ts").cast("timestamp")))
-    from labelforge.operators.ranking import rank_by_value, default_buckets
-    r = rank_by_value(rows, ["label"], "__t", "idx", default_buckets(spark))
-    return r.select("idx", "label", (F.col("rn") <= 100).alias("selected"))
+    return sp.balanced_select(rows, 100, "__t").select("idx", "label", "selected")
 
 
 # ---- C11, C12, C13, C14, C15, C16 --------------------------------------------------
