@@ -95,11 +95,13 @@ def _batch_class_means(d: DataFrame, probs: str, batch: str) -> DataFrame:
                                           F.avg((F.col("pred") == F.col("cls")).cast("double")).alias("hist"))
 
 
-def selfadaptive_state(d: DataFrame, K: int, m: float, quantile: bool, probs: str, batch: str) -> tuple[DataFrame, DataFrame]:
-    """E4 state after each batch's update: time_p per batch, (p_model, label_hist) per (batch, class)."""
+def selfadaptive_state(d: DataFrame, K: int, m: float, quantile: bool, probs: str, batch: str,
+                       clip: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """E4 state after each batch's update: time_p per batch (optionally clipped
+    to [0, clip] at every update), (p_model, label_hist) per (batch, class)."""
     bstat = d.groupBy(batch).agg(
         (F.percentile(F.col("conf"), 0.8) if quantile else F.avg("conf")).alias("x"))
-    tp = ema_scan(bstat, [], batch, "x", m, init=1.0 / K, out="time_p")
+    tp = ema_scan(bstat, [], batch, "x", m, init=1.0 / K, out="time_p", clip_hi=clip)
     cs = _batch_class_means(d, probs, batch)
     cs = ema_scan(cs, ["cls"], batch, "pm", m, init=1.0 / K, out="p_model")
     cs = ema_scan(cs, ["cls"], batch, "hist", m, init=1.0 / K, out="label_hist")
@@ -107,11 +109,14 @@ def selfadaptive_state(d: DataFrame, K: int, m: float, quantile: bool, probs: st
 
 
 def mask_selfadaptive(df: DataFrame, K: int, m: float = 0.999, quantile: bool = False,
-                      probs: str = "probs", batch: str = "batch_id", out: str = "mask") -> DataFrame:
+                      probs: str = "probs", batch: str = "batch_id", out: str = "mask",
+                      clip: float | None = None) -> DataFrame:
     """threshold = time_p · p_model[pred] / max(p_model), state updated
-    with the batch before it is used; all state starts at 1/K."""
+    with the batch before it is used; all state starts at 1/K; ``clip`` (the
+    reference uses 0.95) bounds time_p after every update (inputs are ≥ 0, so
+    the lower bound 0 never binds)."""
     d = _conf_pred(df, probs)
-    tp, cs = selfadaptive_state(d, K, m, quantile, probs, batch)
+    tp, cs = selfadaptive_state(d, K, m, quantile, probs, batch, clip)
     mx = cs.groupBy(batch).agg(F.max("p_model").alias("__mx"))
     cls = cs.join(mx, batch).select(batch, F.col("cls").alias("pred"), (F.col("p_model") / F.col("__mx")).alias("mod"))
     j = d.join(tp, batch).join(cls, [batch, "pred"])

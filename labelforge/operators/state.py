@@ -66,39 +66,47 @@ def prefix_max(df: DataFrame, by: list[str], order: str, col: str, out: str, chu
 
 
 def ema_scan(stats: DataFrame, by: list[str], order: str, col: str, m: float,
-             init: float | None = None, out: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """s_b = m·s_{b−1} + (1−m)·x_b for every row of ``stats`` (update-then-use).
+             init: float | None = None, out: str | None = None, chunk: int = CHUNK,
+             clip_hi: float | None = None) -> DataFrame:
+    """s_b = min(clip_hi, m·s_{b−1} + (1−m)·x_b) for every row of ``stats`` (update-then-use).
 
     ``init`` is s before the first batch; ``None`` means the first batch's own
     value (s_first = x_first), as for a running mean started from data.
+    Each step is the map s ↦ min(C, A·s + B); such maps compose in closed
+    form (A₂A₁, A₂B₁+B₂, min(C₂, A₂C₁+B₂)), so chunks fold locally and the
+    chunk summaries fold once per group. Without a clip C stays +∞.
     """
     out = out or f"{col}_ema"
     mm = F.lit(float(m))
+    cc = F.lit(float(clip_hi) if clip_hi is not None else float("inf"))
     stats = materialize_small(stats)
     d = stats.withColumn("__ch", _chunk(order, chunk))
-    # level 1: local EMA from 0 inside each chunk
+    # level 1: prefix compositions of the step maps inside each chunk
     loc = d.groupBy(*by, "__ch").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).cast("double").alias("x")))).alias("__xs"))
-    loc = loc.withColumn("__st", F.aggregate(
-        "__xs", F.array(F.lit(0.0)),
-        lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) * mm + (F.lit(1.0) - mm) * e["x"]))))
-    loc = loc.withColumn("__st", F.slice("__st", 2, F.size("__xs")))
-    loc = loc.withColumn("__n", F.size("__xs")).withColumn("__first", F.col("__xs")[0]["x"])
-    # level 2: carry-in per chunk by folding chunk summaries (A = m^n, B = last local state)
+    ident = F.array(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("inf")).alias("c")))
+
+    def step(acc, e):
+        p = F.element_at(acc, -1)
+        inc = (F.lit(1.0) - mm) * e["x"]
+        return F.concat(acc, F.array(F.struct((mm * p["a"]).alias("a"), (mm * p["b"] + inc).alias("b"),
+                                              F.least(cc, mm * p["c"] + inc).alias("c"))))
+    loc = loc.withColumn("__st", F.slice(F.aggregate("__xs", ident, step), 2, F.size("__xs")))
+    loc = loc.withColumn("__first", F.col("__xs")[0]["x"])
+    # level 2: carry-in per chunk = composed chunk maps applied to init
     summ = loc.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("__ch").alias("c"), F.pow(mm, F.col("__n")).alias("a"), F.element_at("__st", -1).alias("b"),
-        F.col("__first").alias("f")))).alias("__cs"))
-    init_c = F.lit(float(init)) if init is not None else F.col("__cs")[0]["f"]
+        F.col("__ch").alias("k"), F.element_at("__st", -1).alias("f"), F.col("__first").alias("x0")))).alias("__cs"))
+    init_c = F.lit(float(init)) if init is not None else F.col("__cs")[0]["x0"]
     summ = summ.withColumn("__carry", F.aggregate(
         "__cs", F.array(init_c),
-        lambda acc, e: F.concat(acc, F.array(e["a"] * F.element_at(acc, -1) + e["b"]))))
+        lambda acc, e: F.concat(acc, F.array(F.least(e["f"]["c"], e["f"]["a"] * F.element_at(acc, -1) + e["f"]["b"])))))
     carry = summ.select(*by, F.posexplode(F.slice("__carry", 1, F.size("__cs"))).alias("__i", "__cin"),
                         F.col("__cs").alias("__cs"))
-    carry = carry.select(*by, F.col("__cs")[F.col("__i")]["c"].alias("__ch"), "__cin")
+    carry = carry.select(*by, F.col("__cs")[F.col("__i")]["k"].alias("__ch"), "__cin")
     res = loc.join(carry, [*by, "__ch"]).select(
-        *by, F.posexplode("__xs").alias("__j", "__e"), "__st", "__cin")
-    res = res.select(*by, F.col("__e")["o"].alias(order),
-                     (F.pow(mm, F.col("__j") + 1) * F.col("__cin") + F.col("__st")[F.col("__j")]).alias(out))
+        *by, F.posexplode(F.arrays_zip(F.col("__xs").alias("e"), F.col("__st").alias("f"))).alias("__j", "__z"), "__cin")
+    res = res.select(*by, F.col("__z")["e"]["o"].alias(order),
+                     F.least(F.col("__z")["f"]["c"], F.col("__z")["f"]["a"] * F.col("__cin") + F.col("__z")["f"]["b"]).alias(out))
     return materialize_small(stats.join(res, [*by, order]))
 
 

@@ -157,12 +157,16 @@ query("e3_mask_flex_no_warmup", sql=_flex_sql(False))(lambda spark, sf_dir: _fle
 
 # ---- E4 ------------------------------------------------------------------------------
 
-def _sat_sql(quantile: bool) -> str:
+def _sat_sql(quantile: bool, clip: float | None = None) -> str:
     stat = "quantile_cont(conf, 0.8)" if quantile else "avg(conf)"
+    tp_expr = ema_sql('xs', 'bs.batch_id + 1', 0.9, '0.1::DOUBLE')
+    if clip is not None:
+        tp_expr = (f"list_reduce(list_prepend(0.1::DOUBLE, list_slice(xs, 1, bs.batch_id + 1)), "
+                   f"lambda a, v: least({clip!r}, 0.9 * a + {1 - 0.9!r} * v))")
     return f"""{W}, {PR},
 bs AS (SELECT batch_id, {stat} AS x FROM cp GROUP BY batch_id),
 bl AS (SELECT list(x ORDER BY batch_id) AS xs FROM bs),
-tp AS (SELECT bs.batch_id, {ema_sql('xs', 'bs.batch_id + 1', 0.9, '0.1::DOUBLE')} AS time_p FROM bs, bl),
+tp AS (SELECT bs.batch_id, {tp_expr} AS time_p FROM bs, bl),
 lx AS (SELECT batch_id, unnest(generate_series(0, len(probs) - 1)) AS cls, unnest(probs) AS p FROM cp),
 cs AS (SELECT batch_id, cls, avg(p) AS pm FROM lx GROUP BY batch_id, cls),
 cl AS (SELECT cls, list(pm ORDER BY batch_id) AS xs FROM cs GROUP BY cls),
@@ -174,13 +178,15 @@ FROM cp JOIN tp USING (batch_id) JOIN pmd ON pmd.batch_id = cp.batch_id AND pmd.
 JOIN mx ON mx.batch_id = cp.batch_id"""
 
 
-def _sat(spark, sf_dir, quantile):
-    m = mk.mask_selfadaptive(_ulb(spark, sf_dir), K, 0.9, quantile)
+def _sat(spark, sf_dir, quantile, clip=None):
+    m = mk.mask_selfadaptive(_ulb(spark, sf_dir), K, 0.9, quantile, clip=clip)
     return m.select("idx", "batch_id", F.round("threshold", 6).alias("threshold"), "mask")
 
 
 query("e4_mask_selfadaptive", sql=_sat_sql(False))(lambda spark, sf_dir: _sat(spark, sf_dir, False))
 query("e4_mask_selfadaptive_quantile", sql=_sat_sql(True))(lambda spark, sf_dir: _sat(spark, sf_dir, True))
+# clip level chosen so that it binds on these confidences (the reference's value is 0.95)
+query("e4_mask_selfadaptive_clipped", sql=_sat_sql(True, 0.3))(lambda spark, sf_dir: _sat(spark, sf_dir, True, 0.3))
 
 
 @query("e4_label_hist", sql=f"""{W}, {PR},

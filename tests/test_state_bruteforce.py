@@ -88,3 +88,14 @@ def test_prefix_and_trailing_sums_chunked(spark):
         for b in range(40):
             assert ps[(b, c)] == sum(vals[: b + 1])
             assert ts[(b, c)] == sum(vals[max(0, b - 3): b + 1])
+
+
+def test_clipped_ema_scan_equals_sequential(spark):
+    xs = [(b, 0, 0.5 + 0.5 * math.sin(b)) for b in range(30)]
+    df = spark.createDataFrame(xs, "batch_id long, cls int, x double")
+    got = {r.batch_id: r.e for r in stt.ema_scan(df, ["cls"], "batch_id", "x", 0.6, init=0.1, out="e",
+                                                  chunk=4, clip_hi=0.7).collect()}
+    s = 0.1
+    for b in range(30):
+        s = min(0.7, 0.6 * s + 0.4 * (0.5 + 0.5 * math.sin(b)))
+        assert abs(got[b] - s) < 1e-12
