@@ -10,7 +10,7 @@ from labelforge.functions import vec
 from labelforge.plans import fixtures as fx
 from labelforge.plans import sqlfrag as q
 from labelforge.plans.q_align import QP_SQL
-from labelforge.plans.q_pseudo import PR, VISITS, W, _flex_sql, _sat_sql, _visits
+from labelforge.plans.q_pseudo import PR, W, _flex_sql, _sat_sql, _visits
 from labelforge.plans.registry import query
 from labelforge.session import scratch_path
 from labelforge.streaming import online as on
@@ -82,9 +82,17 @@ def s5_stream_label_counts(spark, sf_dir):
     return on.stream_label_counts(spark, src, schema, 3).select("win", "cls", "cnt")
 
 
-@query("s6_stream_eval")
+@query("s6_stream_eval", sql=f"""{W},
+e AS (SELECT batch_id, CASE WHEN {q.argmax('logits_w')} = label THEN 1.0 ELSE 0.0 END AS hit FROM ulb),
+ev AS (SELECT b AS epoch FROM (SELECT DISTINCT batch_id AS b FROM ulb) WHERE (b + 1) % 3 = 0),
+a AS (SELECT epoch, avg(hit) AS acc FROM ev JOIN e ON e.batch_id > epoch - 3 AND e.batch_id <= epoch GROUP BY epoch),
+b AS (SELECT *, max(acc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_acc,
+        CASE WHEN acc > coalesce(max(acc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0)
+             THEN epoch END AS imp FROM a)
+SELECT round(acc, 6) AS acc, round(best_acc, 6) AS best_acc,
+       CAST(max(imp) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS best_epoch FROM b""")
 def s6_stream_eval(spark, sf_dir):
-    """Every 3 micro-batches: accuracy of the window and the best so far (rows-only check)."""
+    """Every 3 micro-batches: accuracy over the window's rows and the best so far."""
     u = fx.ulb_pred(spark, sf_dir).select("idx", "batch_id", "logits_w", "label")
     src, schema = _replay(spark, u, "batch_id", "s6")
     return on.stream_eval(spark, src, schema, 3).select(F.round("acc", 6).alias("acc"), F.round("best_acc", 6).alias("best_acc"), "best_epoch")
