@@ -133,9 +133,24 @@ def a10_split_manifest(spark, sf_dir):
     return wr.load_split(spark, e, root, 40, 1.0, 0).select("idx", "label")
 
 
-@query("a11_state_roundtrip")
+def _e4_state_sql() -> str:
+    from labelforge.plans.q_pseudo import PR, W, ema_sql
+    return f"""{W}, {PR},
+lx AS (SELECT batch_id, pred, unnest(generate_series(0, len(probs) - 1)) AS cls, unnest(probs) AS p FROM cp),
+cs0 AS (SELECT batch_id, cls, avg(p) AS pm, avg(CASE WHEN pred = cls THEN 1.0 ELSE 0.0 END) AS h FROM lx GROUP BY batch_id, cls),
+cl AS (SELECT cls, list(pm ORDER BY batch_id) AS xs, list(h ORDER BY batch_id) AS hs FROM cs0 GROUP BY cls),
+st AS (SELECT c.batch_id, c.cls, {ema_sql('xs', 'c.batch_id + 1', 0.9, '0.1::DOUBLE')} AS p_model,
+              {ema_sql('hs', 'c.batch_id + 1', 0.9, '0.1::DOUBLE')} AS label_hist FROM cs0 c JOIN cl USING (cls)),
+bs AS (SELECT batch_id, avg(conf) AS x FROM cp GROUP BY batch_id),
+bl AS (SELECT list(x ORDER BY batch_id) AS xs FROM bs),
+tp AS (SELECT bs.batch_id, {ema_sql('xs', 'bs.batch_id + 1', 0.9, '0.1::DOUBLE')} AS time_p FROM bs, bl)
+SELECT st.batch_id, CAST(st.cls AS INTEGER) AS cls, round(p_model, 6) AS p_model, round(label_hist, 6) AS label_hist,
+       round(time_p, 6) AS time_p FROM st JOIN tp USING (batch_id)"""
+
+
+@query("a11_state_roundtrip", sql=_e4_state_sql())
 def a11_state_roundtrip(spark, sf_dir):
-    """Save and restore the self-adaptive state tables; rows-only (values equal E4 state)."""
+    """Save and restore the self-adaptive state tables (time_p, class state)."""
     from labelforge.functions import vec
     from labelforge.operators import masks as mk
     u = fx.ulb_pred(spark, sf_dir).withColumn("probs", vec.softmax("logits_w"))
