@@ -31,16 +31,29 @@ def _out(d, extra=()):
         .withColumn("weight", F.round("weight", 6)).withColumn("unsup_loss", F.round("unsup_loss", 6))
 
 
-def _register(key, name, extra=(), **params):
+def _register(key, name, extra=(), sql=None, **params):
     def run(spark, sf_dir):
         ulb, lb = _inputs(spark, sf_dir)
         return _out(rc.get_recipe(name)(ulb, lb, **params), extra)
     run.__doc__ = f"Recipe {name} on the scored embeddings."
-    query(key)(run)
+    query(key, sql=sql)(run)
 
 
-_register("p1_pseudolabel", "pseudolabel", p_cutoff=CUT)
-_register("p3_uda", "uda", p_cutoff=CUT)
+WARM = "least(greatest(batch_id / (0.4 * (SELECT count(DISTINCT batch_id) FROM cp)), 0.0), 1.0)"
+MASKD = f"CASE WHEN conf >= {CUT} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def _recipe_sql(weight: str, loss: str) -> str:
+    return f"""{W}, {PR},
+rw AS (SELECT *, {weight} AS w FROM cp)
+SELECT idx, batch_id, pred AS pseudo_label, round(conf, 6) AS confidence, round(w, 6) AS weight,
+       round(({loss}) * w, 6) AS unsup_loss FROM rw"""
+
+
+_register("p1_pseudolabel", "pseudolabel", p_cutoff=CUT, sql=_recipe_sql(
+    f"{MASKD} * {WARM}", f"-({q.log_softmax('logits_w')})[pred + 1]"))
+_register("p3_uda", "uda", p_cutoff=CUT, sql=_recipe_sql(
+    MASKD, f"-{q.dot(q.log_softmax('logits_s'), 'probs')}"))
 _register("p4_flexmatch", "flexmatch", p_cutoff=CUT)
 _register("p5_freematch", "freematch", extra=("fairness",), m=0.9)
 _register("p6_softmatch", "softmatch", m=0.9)
@@ -54,8 +67,10 @@ _register("p13_crmatch", "crmatch", extra=("cos_margin",), p_cutoff=CUT)
 _register("p14_sequencematch", "sequencematch", extra=("kl_chain",), p_cutoff=CUT)
 _register("p15_refixmatch", "refixmatch", extra=("kl_rejected",), p_cutoff=CUT)
 _register("p16_defixmatch", "defixmatch", extra=("debiased",), p_cutoff=CUT)
-_register("p17_pimodel", "pimodel")
-_register("p18_meanteacher", "meanteacher")
+MSE = ("list_reduce(list_prepend(0.0::DOUBLE, list_transform(generate_series(1, len(probs)), "
+       f"lambda i: ({q.softmax('logits_s')}[i] - probs[i]) * ({q.softmax('logits_s')}[i] - probs[i]))), lambda a, b: a + b) / len(probs)")
+_register("p17_pimodel", "pimodel", sql=_recipe_sql(WARM, MSE))
+_register("p18_meanteacher", "meanteacher", sql=_recipe_sql(WARM, MSE))
 _register("p19_supervised", "supervised")
 _register("q4_darp", "darp", rounds=3)
 _register("q5_daso", "daso", Q=16)
