@@ -27,8 +27,12 @@ def _inputs(spark, sf_dir):
 
 
 def _out(d, extra=()):
-    return d.select(*rc.OUT, *extra).withColumn("confidence", F.round("confidence", 6)) \
+    out = d.select(*rc.OUT, *extra).withColumn("confidence", F.round("confidence", 6)) \
         .withColumn("weight", F.round("weight", 6)).withColumn("unsup_loss", F.round("unsup_loss", 6))
+    for c in extra:
+        if dict(out.dtypes)[c] == "double":
+            out = out.withColumn(c, F.round(c, 6))
+    return out
 
 
 def _register(key, name, extra=(), sql=None, **params):
@@ -43,11 +47,21 @@ WARM = "least(greatest(batch_id / (0.4 * (SELECT count(DISTINCT batch_id) FROM c
 MASKD = f"CASE WHEN conf >= {CUT} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
 
 
-def _recipe_sql(weight: str, loss: str) -> str:
+def _recipe_sql(weight: str, loss: str, extra: str = "") -> str:
     return f"""{W}, {PR},
 rw AS (SELECT *, {weight} AS w FROM cp)
 SELECT idx, batch_id, pred AS pseudo_label, round(conf, 6) AS confidence, round(w, 6) AS weight,
-       round(({loss}) * w, 6) AS unsup_loss FROM rw"""
+       round(({loss}) * w, 6) AS unsup_loss{extra} FROM rw"""
+
+
+CE_S = f"-({q.log_softmax('logits_s')})[pred + 1]"
+COS = (f"greatest({q.dot('feat', 'feat_s')} / (sqrt({q.dot('feat', 'feat')}) * sqrt({q.dot('feat_s', 'feat_s')})), 0.0)")
+
+
+def _kl_rej() -> str:
+    from labelforge.plans.q_consistency import _kl_sql
+    lp, qt = q.log_softmax('logits_s', 0.5), q.softmax('logits_w', 0.5)
+    return _kl_sql(f"({lp})", f"({qt})")
 
 
 _register("p1_pseudolabel", "pseudolabel", p_cutoff=CUT, sql=_recipe_sql(
@@ -63,9 +77,11 @@ _register("p9_mixmatch", "mixmatch")
 _register("p10_remixmatch", "remixmatch", m=0.9)
 _register("p11_comatch", "comatch", extra=("contrast",), Q=64, p_cutoff=CUT, contrast_cutoff=0.2)
 _register("p12_simmatch", "simmatch", p_cutoff=CUT)
-_register("p13_crmatch", "crmatch", extra=("cos_margin",), p_cutoff=CUT)
+_register("p13_crmatch", "crmatch", extra=("cos_margin",), p_cutoff=CUT,
+          sql=_recipe_sql(MASKD, CE_S, f", round({COS} * w, 6) AS cos_margin"))
 _register("p14_sequencematch", "sequencematch", extra=("kl_chain",), p_cutoff=CUT)
-_register("p15_refixmatch", "refixmatch", extra=("kl_rejected",), p_cutoff=CUT)
+_register("p15_refixmatch", "refixmatch", extra=("kl_rejected",), p_cutoff=CUT,
+          sql=_recipe_sql(MASKD, CE_S, f", round({_kl_rej()} * (1 - w), 6) AS kl_rejected"))
 _register("p16_defixmatch", "defixmatch", extra=("debiased",), p_cutoff=CUT)
 MSE = ("list_reduce(list_prepend(0.0::DOUBLE, list_transform(generate_series(1, len(probs)), "
        f"lambda i: ({q.softmax('logits_s')}[i] - probs[i]) * ({q.softmax('logits_s')}[i] - probs[i]))), lambda a, b: a + b) / len(probs)")
