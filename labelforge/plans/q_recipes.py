@@ -14,6 +14,8 @@ from labelforge.functions import vec
 from labelforge.plans import fixtures as fx
 from labelforge.plans import recipes as rc
 from labelforge.plans import sqlfrag as q
+from labelforge.plans import q_pseudo as _qp  # noqa: F401  (E7 oracle registered first)
+from labelforge.plans import q_rebalance as _qr  # noqa: F401  (H2 oracle registered first)
 from labelforge.plans.q_align import _lt_lb
 from labelforge.plans.q_pseudo import PR, W
 from labelforge.plans.registry import query
@@ -116,13 +118,28 @@ def q1_abc(spark, sf_dir):
     return _out(rc.with_imbalance("fixmatch", "abc")(ulb, lt, epoch=3, epochs=10, p_cutoff=CUT))
 
 
-@query("q2_adsh")
+def _adsh_sql() -> str:
+    from labelforge.plans.registry import ORACLES
+    e7 = ORACLES["e7_mask_adsh"]
+    head = e7[:e7.rindex("SELECT idx, round(threshold")]
+    return head + f"""SELECT idx, batch_id, pred AS pseudo_label, round(conf, 6) AS confidence,
+       round(CASE WHEN conf >= threshold THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 6) AS weight,
+       round(({CE_S}) * CASE WHEN conf >= threshold THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 6) AS unsup_loss
+FROM cp JOIN thr USING (pred)"""
+
+
+def _crest_sql() -> str:
+    from labelforge.plans.registry import ORACLES
+    return ORACLES["h2_crest_pick"]
+
+
+@query("q2_adsh", sql=_adsh_sql())
 def q2_adsh(spark, sf_dir):
     ulb, lt = _lt_inputs(spark, sf_dir)
     return _out(rc.with_imbalance("fixmatch", "adsh")(ulb, lt, tau=CUT))
 
 
-@query("q3_crest")
+@query("q3_crest", sql=_crest_sql())
 def q3_crest(spark, sf_dir):
     ulb, lt = _lt_inputs(spark, sf_dir)
     return rc.with_imbalance("fixmatch", "crest")(ulb, lt).select("idx", "label", "picked")
