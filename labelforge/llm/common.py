@@ -89,13 +89,13 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base^0 … base^(n-1); only the first 2^22 are kept between calls."""
+    """base^0 … base^(n-1); only up to 2^21 are kept between calls."""
     kept = _powers.get(int(base))
     if kept is None or len(kept) < n:
         out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
         kept = np.cumprod(out, dtype=np.uint64)
-        if len(kept) <= 1 << 22:
+        if len(kept) <= 1 << 21:
             _powers[int(base)] = kept
     return kept[:n]
 
@@ -152,7 +152,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         head += [ord(a.dtype.char), len(a)]
     raw = np.array(head, "<i8").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def unpack(value: bytes) -> list[np.ndarray]:

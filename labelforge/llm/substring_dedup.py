@@ -10,40 +10,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import (U64, bucket_count, byte_values, checkpointed, chunks, doc_key, identified, mark_of,
+from labelforge.llm.common import (U64, bucket_count, byte_values, checkpointed, doc_key, identified, mark_of,
                                    mix, prefix_hash, ragged, slice_hash, total_bytes, whitespace, with_small,
                                    word_edges)
-from labelforge.llm.superkmer import (SCATTER, bucket_strings, scatter_rows, span_batch, spans_by_document,
+from labelforge.llm.superkmer import (Strings, bucket_strings, chunked_rows, span_batch, spans_by_document,
                                       super_kmers)
 
-CHUNK = 4 << 20
 PER_BUCKET = 6 << 20
 GRAM = 3
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def _scatter(window: int, buckets: int):
+def _strings(window: int):
     gram = min(GRAM, window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, mark, texts in chunks(batches, CHUNK):
-            raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-            space = whitespace(raw)
-            after = np.concatenate(([True], space[:-1]))
-            # canonical bytes: each word followed by one space
-            at_end = np.cumsum([len(t) + 1 for t in texts])
-            keep = ~(space & after)
-            buf = np.where(space, np.uint8(32), raw)[keep]
-            kept_before = np.concatenate(([0], np.cumsum(keep)))
-            start, end = word_edges(buf == 32)
-            word = slice_hash(prefix_hash(byte_values(buf)), start, end)
-            last = np.searchsorted(start, kept_before[at_end])
-            first = np.concatenate(([0], last[:-1]))
-            n = len(word) - gram + 1
-            grams = mix(sum(word[i:n + i] * U64(2 * i + 3) for i in range(gram))) if n > 0 else word[:0]
-            strings = super_kmers(grams, prefix_hash(word), first, last, window, gram)
-            yield scatter_rows(strings, doc, mark, first, buf, start, end + 1, buckets, within_doc=False)
-    return run
+    def of(texts: list[bytes]) -> tuple[Strings, np.ndarray]:
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        space = whitespace(raw)
+        after = np.concatenate(([True], space[:-1]))
+        # canonical bytes: each word followed by one space
+        at_end = np.cumsum([len(t) + 1 for t in texts])
+        keep = ~(space & after)
+        buf = np.where(space, np.uint8(32), raw)[keep]
+        kept_before = np.concatenate(([0], np.cumsum(keep)))
+        start, end = word_edges(buf == 32)
+        word = slice_hash(prefix_hash(byte_values(buf)), start, end)
+        last = np.searchsorted(start, kept_before[at_end])
+        first = np.concatenate(([0], last[:-1]))
+        n = len(word) - gram + 1
+        grams = mix(sum(word[i:n + i] * U64(2 * i + 3) for i in range(gram))) if n > 0 else word[:0]
+        return super_kmers(grams, prefix_hash(word), first, last, window, gram, start, end + 1), buf
+    return of
 
 
 def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -97,7 +94,7 @@ def _settle_bucket(window: int):
     def run(table: pa.Table) -> pa.Table:
         strings, parts = bucket_strings(table)
         if strings:
-            doc, mark, pos, units, _, _, _, buf = strings
+            doc, mark, pos, units, _, _, buf = strings
             string, offset, repeated = repeated_windows(doc, units, buf, window)
             hit = np.flatnonzero(repeated)
             s, at = string[hit], pos[string[hit]] + offset[hit]
@@ -110,7 +107,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     """(doc, mark, spans): word spans covered by a window that also starts in a smaller document."""
     texts = identified(docs)
     buckets = bucket_count(docs.sparkSession, total_bytes(docs), PER_BUCKET)
-    rows = texts.mapInArrow(_scatter(window, buckets), "bucket long, kind int, data binary")
+    rows = texts.mapInArrow(lambda b: chunked_rows(b, _strings(window), buckets, within_doc=False), "bucket long, kind int, data binary")
     spans = rows.groupBy("bucket").applyInArrow(_settle_bucket(window), "doc long, mark int, start long, end long")
     return spans_by_document(spans)
 

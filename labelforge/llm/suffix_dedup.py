@@ -15,14 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from labelforge.llm.common import (U64, bucket_count, byte_values, chunks, identified, mix, prefix_hash, ragged,
+from labelforge.llm.common import (U64, bucket_count, byte_values, identified, mix, prefix_hash, ragged, slice_hash,
                                    total_bytes)
 from labelforge.llm.substring_dedup import with_spans
 from labelforge.llm.suffix_array import permuted_lcp, suffix_array
-from labelforge.llm.superkmer import (Strings, bucket_strings, scatter_rows, settle, span_batch, spans_by_document,
+from labelforge.llm.superkmer import (Strings, bucket_strings, chunked_rows, settle, span_batch, spans_by_document,
                                       super_kmers)
 
-CHUNK = 2 << 20
 PER_BUCKET = 6 << 20
 SHARD = 1 << 20
 GRAM = 32
@@ -42,18 +41,25 @@ def _gram_hash(buf: np.ndarray, gram: int) -> np.ndarray:
     return mix(out)
 
 
-def _scatter(window: int, buckets: int):
+def _strings(window: int):
     gram = min(GRAM, window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, mark, texts in chunks(batches, CHUNK):
-            buf = np.frombuffer(b"".join(texts), np.uint8)
-            last = np.cumsum([len(t) for t in texts])
-            first = np.concatenate(([0], last[:-1]))
-            strings = super_kmers(_gram_hash(buf, gram), prefix_hash(byte_values(buf)), first, last, window, gram)
-            at = np.arange(len(buf))
-            yield scatter_rows(strings, doc, mark, first, buf, at, at + 1, buckets, within_doc=True)
-    return run
+    def of(texts: list[bytes]) -> tuple[Strings, np.ndarray]:
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        last = np.cumsum([len(t) for t in texts])
+        first = np.concatenate(([0], last[:-1]))
+        return super_kmers(_gram_hash(buf, gram), prefix_hash(byte_values(buf)), first, last, window, gram), buf
+    return of
+
+
+def _string_hash(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each string, the buffer taken in parts."""
+    out = []
+    for k in np.array_split(np.arange(len(at)), max(1, len(buf) >> 20)):
+        if len(k):
+            low, high = at[k[0]], at[k[-1]] + size[k[-1]]
+            out.append(slice_hash(prefix_hash(byte_values(buf[low:high])), at[k] - low, at[k] - low + size[k]))
+    return np.concatenate(out)
 
 
 def repeats_in_shard(units: np.ndarray, buf: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,10 +106,11 @@ def _settle_bucket(window: int):
     def run(table: pa.Table) -> pa.Table:
         strings, parts = bucket_strings(table)
         if strings:
-            doc, mark, pos, units, size, value, key, buf = strings
-            kept, settled = settle(Strings(np.arange(len(doc)), pos, units, value, key), doc, mark, within_doc=True)
-            parts.append([doc[settled], mark[settled], pos[settled], pos[settled] + units[settled]])
+            doc, mark, pos, units, size, value, buf = strings
             byte_at = np.cumsum(size, dtype=np.int64) - size
+            key = _string_hash(buf, byte_at, size)
+            kept, settled = settle(Strings(np.arange(len(doc)), pos, units, value, key, byte_at, size), doc, mark, within_doc=True)
+            parts.append([doc[settled], mark[settled], pos[settled], pos[settled] + units[settled]])
             for part in _shards(value[kept], size[kept], SHARD):
                 k = kept[part]
                 string, offset, group = repeats_in_shard(units[k].astype(np.int64), buf[ragged(byte_at[k], size[k])], window)
@@ -120,7 +127,7 @@ def repeated_byte_spans(docs: DataFrame, window: int = 100) -> DataFrame:
     """(doc, mark, spans): byte spans covered by a ``window``-byte string that also starts earlier."""
     texts = identified(docs)
     buckets = bucket_count(docs.sparkSession, total_bytes(docs), PER_BUCKET)
-    rows = texts.mapInArrow(_scatter(window, buckets), "bucket long, kind int, data binary")
+    rows = texts.mapInArrow(lambda b: chunked_rows(b, _strings(window), buckets, within_doc=True), "bucket long, kind int, data binary")
     spans = rows.groupBy("bucket").applyInArrow(_settle_bucket(window), "doc long, mark int, start long, end long")
     return spans_by_document(spans)
 

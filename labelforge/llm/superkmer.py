@@ -11,6 +11,7 @@ bucket at most once for each chunk.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import U64, mix, pack, ragged, slice_hash, unpack
+from labelforge.llm.common import U64, chunks, mix, pack, ragged, slice_hash, unpack
 
 #: A packed row is settled spans (kind 0) or strings for a bucket (kind 1).
 SPANS, STRINGS = 0, 1
@@ -26,15 +27,19 @@ SCATTER = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.b
 SPAN = pa.schema([("doc", pa.int64()), ("mark", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 #: Low bits of a minimiser key that hold the position.
 _LOW = 28
+#: Bytes of text worked on at once, and bytes that leave together.
+PART, CHUNK = 1 << 20, 6 << 20
 
 
 class Strings(NamedTuple):
-    """Super-k-mers of a chunk: string = units [start, start + units) of document ``row``."""
+    """Super-k-mers: units [start, start + units) of document ``row``, bytes [at, at + size) of the buffer."""
     row: np.ndarray
     start: np.ndarray
     units: np.ndarray
     value: np.ndarray
     hash: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -47,24 +52,30 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[:-rest], a[rest:]) if rest else a
 
 
-def super_kmers(gram_hash: np.ndarray, prefix: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, gram: int) -> Strings:
-    """Strings of one chunk. Document r has units [first[r], last[r]); units lie on one axis
-    for all documents; ``gram_hash[i]`` is of the gram that starts at unit i, ``prefix`` the
-    prefix hash of the units."""
+def super_kmers(gram_hash: np.ndarray, prefix: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, gram: int,
+                byte_start: np.ndarray | None = None, byte_end: np.ndarray | None = None) -> Strings:
+    """Strings of some documents whose units lie on one axis; document r has [first[r], last[r]).
+
+    ``gram_hash[i]`` is of the gram that starts at unit i, ``prefix`` the prefix hash of the
+    units; ``byte_start`` and ``byte_end`` give the bytes of unit i (none: units are bytes).
+    """
     none = np.zeros(0, np.int64)
     lengths = np.maximum(last - first - window + 1, 0)
     if not lengths.sum():
-        return Strings(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Strings(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none)
     at = np.arange(len(gram_hash), dtype=np.uint64)
     key = (gram_hash >> U64(_LOW) << U64(_LOW)) | (~at & U64((1 << _LOW) - 1))
+    del at
     best = sliding_min(key, window - gram + 1)
     starts = ragged(first, lengths)
     row = np.repeat(np.arange(len(first)), lengths)
     best = best[starts]
     head = np.flatnonzero(np.concatenate(([True], (best[1:] != best[:-1]) | (row[1:] != row[:-1]))))
     windows = np.diff(np.concatenate((head, [len(best)])))
-    start, units = starts[head], windows + window - 1
-    return Strings(row[head], start, units, best[head] >> U64(_LOW), slice_hash(prefix, start, start + units))
+    start, units, row = starts[head], windows + window - 1, row[head]
+    a = start if byte_start is None else byte_start[start]
+    size = units if byte_end is None else byte_end[start + units - 1] - a
+    return Strings(row, start - first[row], units, best[head] >> U64(_LOW), slice_hash(prefix, start, start + units), a, size)
 
 
 def settle(s: Strings, doc: np.ndarray, mark: np.ndarray, within_doc: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -72,55 +83,73 @@ def settle(s: Strings, doc: np.ndarray, mark: np.ndarray, within_doc: bool) -> t
     kept (with ``within_doc`` only its first); every other one is covered whole."""
     if not len(s.row):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    by_id = np.lexsort((mark, doc))
     place = np.empty(len(doc), np.int64)
-    place[np.lexsort((mark, doc))] = np.arange(len(doc))
+    place[by_id] = np.cumsum(np.concatenate(([False], (doc[by_id][1:] != doc[by_id][:-1]) | (mark[by_id][1:] != mark[by_id][:-1]))))
     one = s.hash ^ mix(s.value * U64(5) + s.units.astype(np.uint64))
     order = np.lexsort((s.start, place[s.row], one))
     same = (s.hash[order][1:] == s.hash[order][:-1]) & (s.value[order][1:] == s.value[order][:-1]) & (s.units[order][1:] == s.units[order][:-1])
     head = np.concatenate(([True], ~same))
-    group = np.cumsum(head) - 1
-    smallest = doc[s.row[order]][np.flatnonzero(head)][group]
-    keep = head if within_doc else doc[s.row[order]] == smallest
-    return order[keep], order[~keep]
+    first = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+    if within_doc:  # a repeated row is the same place, not a later one
+        later = (place[s.row[order]] != place[s.row[first]]) | (s.start[order] != s.start[first])
+        return order[head], order[later]
+    later = doc[s.row[order]] != doc[s.row[first]]
+    return order[~later], order[later]
 
 
 def span_row(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
     return pack(doc.astype("<i8"), mark.astype("<i4"), start.astype("<i8"), end.astype("<i8"))
 
 
-def scatter_rows(s: Strings, doc: np.ndarray, mark: np.ndarray, first: np.ndarray, buf: np.ndarray,
-                 byte_start: np.ndarray, byte_end: np.ndarray, buckets: int, within_doc: bool) -> pa.RecordBatch:
-    """Rows of one chunk: settled spans, and for each bucket its strings as one packed value.
-
-    Positions leave the chunk relative to their document. ``byte_start`` / ``byte_end`` give
-    the bytes of unit i in ``buf``.
-    """
+def scatter_rows(parts: list[tuple[Strings, np.ndarray, np.ndarray, np.ndarray]], buckets: int, within_doc: bool) -> pa.RecordBatch:
+    """Rows of one chunk, given as parts (strings, doc, mark, buffer): settled spans, and for
+    each bucket its strings as one packed value."""
+    rows = np.cumsum([0, *(len(p[1]) for p in parts)])
+    sizes = np.cumsum([0, *(len(p[3]) for p in parts)])
+    moved = [s._replace(row=s.row + r, at=s.at + b) for (s, *_), r, b in zip(parts, rows, sizes, strict=False)]
+    s = Strings(*(np.concatenate(x) for x in zip(*moved, strict=True)))
+    doc, mark, buf = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
     kept, settled = settle(s, doc, mark, within_doc)
     bucket, kind, data = [], [], []
     if len(settled):
-        r, at = s.row[settled], s.start[settled] - first[s.row[settled]]
-        order = np.lexsort((at, r))
-        r, at, end = r[order], at[order], (at + s.units[settled])[order]
+        order = settled[np.lexsort((s.start[settled], mark[s.row[settled]], doc[s.row[settled]]))]
+        r, at = s.row[order], s.start[order]
         bucket.append(int(doc[0]) % buckets)
         kind.append(SPANS)
-        data.append(span_row(*merge_spans(doc[r], mark[r], at, end)))
+        data.append(span_row(*merge_spans(doc[r], mark[r], at, at + s.units[order])))
     to = (s.value[kept] % U64(buckets)).astype(np.int64)
     order = np.lexsort((kept, to))
     kept, to = kept[order], to[order]
     edges = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else np.zeros(1, np.int64)
     for i, j in zip(edges[:-1], edges[1:], strict=True):
         k = kept[i:j]
-        r, a = s.row[k], byte_start[s.start[k]]
-        size = byte_end[s.start[k] + s.units[k] - 1] - a
+        r = s.row[k]
         bucket.append(int(to[i]))
         kind.append(STRINGS)
-        data.append(pack(doc[r].astype("<i8"), mark[r].astype("<i4"), (s.start[k] - first[r]).astype("<i8"),
-                         s.units[k].astype("<i4"), size.astype("<i4"), s.value[k], s.hash[k], buf[ragged(a, size)]))
+        data.append(pack(doc[r].astype("<i8"), mark[r].astype("<i4"), s.start[k].astype("<i8"), s.units[k].astype("<i4"),
+                         s.size[k].astype("<i4"), s.value[k], buf[ragged(s.at[k], s.size[k])]))
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], schema=SCATTER)
 
 
+def chunked_rows(batches: Iterator[pa.RecordBatch], strings_of: Callable[[list[bytes]], tuple[Strings, np.ndarray]],
+                 buckets: int, within_doc: bool) -> Iterator[pa.RecordBatch]:
+    """Scatter all documents: strings are found in small parts, which bounds the working arrays,
+    and leave in chunks of several parts, which settles and compresses more."""
+    parts, size = [], 0
+    for doc, mark, texts in chunks(batches, PART):
+        strings, buf = strings_of(texts)
+        parts.append((strings, doc, mark, buf))
+        size += len(buf)
+        if size >= CHUNK:
+            yield scatter_rows(parts, buckets, within_doc)
+            parts, size = [], 0
+    if parts:
+        yield scatter_rows(parts, buckets, within_doc)
+
+
 def bucket_strings(table: pa.Table) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
-    """The bucket's strings (doc, mark, start, units, size, value, hash, bytes) joined, and settled spans."""
+    """The bucket's strings (doc, mark, start, units, size, value, bytes) joined, and settled spans."""
     spans, strings = [], []
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
         (spans if kind == SPANS else strings).append(unpack(data.as_py()))

@@ -31,6 +31,7 @@ def documents() -> list[tuple[int | None, str | None, str | None]]:
         rows.append((k, " ".join(near), "s0"))
     rows += [(k, " ".join(words(r.randint(1, 90))) + "\nShared line of the host\n" + " ".join(words(20)), "s0") for k in range(40, 80)]
     rows.append((80, " ".join(words(6000) + passage * 3), "s3"))
+    rows += [(81, " ".join(words(200)), "s3")] * 2
     return rows
 
 
