@@ -111,6 +111,16 @@ def slice_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * _power(_P_INV, len(prefix))[start])
 
 
+def run_hash(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each byte run [at, at + size); runs are in order, and the buffer is taken in parts of about 1 MB."""
+    out = [np.zeros(0, np.uint64)]
+    for k in np.array_split(np.arange(len(at)), max(1, len(buf) >> 20)):
+        if len(k):
+            low, high = at[k[0]], at[k[-1]] + size[k[-1]]
+            out.append(slice_hash(prefix_hash(byte_values(buf[low:high])), at[k] - low, at[k] - low + size[k]))
+    return np.concatenate(out)
+
+
 def byte_values(buf: np.ndarray) -> np.ndarray:
     return _BYTE[buf]
 

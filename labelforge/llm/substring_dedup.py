@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import (U64, bucket_count, byte_values, checkpointed, doc_key, identified, mark_of,
-                                   mix, prefix_hash, ragged, slice_hash, total_bytes, whitespace, with_small,
+from labelforge.llm.common import (U64, bucket_count, checkpointed, doc_key, identified, mark_of,
+                                   mix, prefix_hash, ragged, run_hash, slice_hash, total_bytes, whitespace, with_small,
                                    word_edges)
 from labelforge.llm.superkmer import (Strings, bucket_strings, chunked_rows, span_batch, spans_by_document,
                                       super_kmers)
 
-PER_BUCKET = 6 << 20
+PER_BUCKET = 4 << 20
 GRAM = 3
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
@@ -34,7 +34,7 @@ def _strings(window: int):
         buf = np.where(space, np.uint8(32), raw)[keep]
         kept_before = np.concatenate(([0], np.cumsum(keep)))
         start, end = word_edges(buf == 32)
-        word = slice_hash(prefix_hash(byte_values(buf)), start, end)
+        word = run_hash(buf, start, end - start)
         last = np.searchsorted(start, kept_before[at_end])
         first = np.concatenate(([0], last[:-1]))
         n = len(word) - gram + 1
@@ -65,7 +65,7 @@ def repeated_windows(doc: np.ndarray, units: np.ndarray, buf: np.ndarray, window
     string = np.repeat(np.arange(len(units)), windows)
     at = ragged(first, windows)
     offset = at - first[string]
-    key = slice_hash(prefix_hash(slice_hash(prefix_hash(byte_values(buf)), start, end)), at, at + window)
+    key = slice_hash(prefix_hash(run_hash(buf, start, end - start)), at, at + window)
     owner = doc[string]
     order = np.argsort(key, kind="stable")
     head = np.concatenate(([True], key[order][1:] != key[order][:-1]))

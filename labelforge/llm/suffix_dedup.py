@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from labelforge.llm.common import (U64, bucket_count, byte_values, identified, mix, prefix_hash, ragged, slice_hash,
+from labelforge.llm.common import (U64, bucket_count, byte_values, identified, mix, prefix_hash, ragged, run_hash,
                                    total_bytes)
 from labelforge.llm.substring_dedup import with_spans
 from labelforge.llm.suffix_array import permuted_lcp, suffix_array
@@ -52,16 +52,6 @@ def _strings(window: int):
     return of
 
 
-def _string_hash(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hash of each string, the buffer taken in parts."""
-    out = []
-    for k in np.array_split(np.arange(len(at)), max(1, len(buf) >> 20)):
-        if len(k):
-            low, high = at[k[0]], at[k[-1]] + size[k[-1]]
-            out.append(slice_hash(prefix_hash(byte_values(buf[low:high])), at[k] - low, at[k] - low + size[k]))
-    return np.concatenate(out)
-
-
 def repeats_in_shard(units: np.ndarray, buf: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, group) of the windows that occur more than once in strings laid end to end."""
     first = np.cumsum(units + 1) - units - 1
@@ -108,7 +98,7 @@ def _settle_bucket(window: int):
         if strings:
             doc, mark, pos, units, size, value, buf = strings
             byte_at = np.cumsum(size, dtype=np.int64) - size
-            key = _string_hash(buf, byte_at, size)
+            key = run_hash(buf, byte_at, size)
             kept, settled = settle(Strings(np.arange(len(doc)), pos, units, value, key, byte_at, size), doc, mark, within_doc=True)
             parts.append([doc[settled], mark[settled], pos[settled], pos[settled] + units[settled]])
             for part in _shards(value[kept], size[kept], SHARD):
