@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from labelforge.llm.chat import format_trees, read_back, reply_chains, unescape
 from labelforge.llm.decontaminate import find_contamination
+from labelforge.llm.lattice_lm import score_documents
+from labelforge.llm.ngram_join import similar_documents
 from labelforge.llm.packing import pack_documents
 from labelforge.llm.quality import judge_quality
 from labelforge.llm.substring_dedup import remove_repeated_words
@@ -84,3 +86,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
                     F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
                     F.length("formatted").cast("long").alias("formatted_chars")))
+
+
+@_query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelforge.functions.vec import let
 from labelforge.llm.common import (U64, bucket_count, checkpointed, doc_key, identified, mark_of,
                                    mix, prefix_hash, ragged, run_hash, slice_hash, total_bytes, whitespace, with_small,
                                    word_edges)
+from labelforge.llm.quality import words_of
 from labelforge.llm.superkmer import (Strings, bucket_strings, chunked_rows, span_batch, spans_by_document,
                                       super_kmers)
 
@@ -155,3 +157,23 @@ def remove_repeated_words(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     return with_spans(docs, repeated_spans(docs, window)).mapInArrow(
         _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+def without_repeated_words(docs: DataFrame, window: int = 13) -> DataFrame:
+    """``docs`` (any columns) with the repeated words taken out of ``text``: the words left are
+    joined by one space, untouched texts stay as they are, and documents that lose every word go."""
+    spans = checkpointed(repeated_spans(docs, window))
+    size = spans.agg(F.sum(F.size("spans") * 16 + 32)).first()[0] or 0
+    spans = spans.select(F.col("doc").alias("__lf_doc"), F.col("mark").alias("__lf_mark"), F.col("spans").alias("__lf_spans"))
+    text, cut = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("__lf_spans")
+    words = words_of(text)
+
+    def kept(w):
+        gap = lambda i: F.slice(w, F.coalesce(F.get(cut, i - 1)["end"], F.lit(0)).cast("int") + 1,
+                                (F.coalesce(F.get(cut, i)["start"], F.size(w)) - F.coalesce(F.get(cut, i - 1)["end"], F.lit(0))).cast("int"))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), gap)), " ")
+
+    rows = docs.withColumns({"__lf_doc": doc_key(F.col("doc_id")), "__lf_mark": mark_of(text)})
+    cut_text = F.when(cut.isNull(), F.col("text")).otherwise(let(words, kept))
+    return (with_small(rows, spans, ["__lf_doc", "__lf_mark"], "left", size).withColumn("text", cut_text)
+            .where(cut.isNull() | (F.col("text") != "")).select(*docs.columns))

@@ -183,10 +183,15 @@ def spans_by_document(spans: DataFrame) -> DataFrame:
     A document's spans are sorted and merged in tasks that hold many documents; what a
     document can gather is bounded by its own length.
     """
-    def merge(batches):
-        for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            yield from span_batch([tuple(cols)]).to_batches()
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        for b in batches:  # the last document of a batch may go on in the next
+            held = [np.concatenate((h, b.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
+            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1])) if len(held[0]) else held[0]
+            done = int(last[-1]) + 1 if len(last) else 0
+            yield from span_batch([tuple(h[:done] for h in held)]).to_batches()
+            held = [h[done:] for h in held]
+        yield from span_batch([tuple(held)]).to_batches()
 
     merged = (spans.repartition("doc", "mark").sortWithinPartitions("doc", "mark", "start")
               .mapInArrow(merge, "doc long, mark int, start long, end long"))
