@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from labelforge.llm.common import checkpointed
 
+#: Edges for each task of a round; a round has a task for each core at least.
+PER_TASK = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) that is not the smallest of its component, and that smallest.
@@ -17,16 +20,16 @@ def components(edges: DataFrame) -> DataFrame:
     never gathered in one task; Spark splits its rows in the join.
     """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, cores = None, edges.sparkSession.sparkContext.defaultParallelism
     while True:
-        state = now.agg(F.count(F.lit(1)).alias("n"),
-                        F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if before == (state["n"], state["x"]) or not state["n"]:
+        n, mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if before == (n, mark) or not n:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = (state["n"], state["x"])
+        before = (n, mark)
+        sized = lambda df, k=max(cores, n // PER_TASK): df.coalesce(k)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = sized(both.groupBy("a").agg(F.min("b").alias("m"))).select("a", F.least("a", "m").alias("m"))
+        large = sized(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = sized(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        now = checkpointed(sized(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()))

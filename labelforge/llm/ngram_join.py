@@ -203,7 +203,8 @@ def cell_links(n: np.ndarray, sets: list[np.ndarray], query: np.ndarray, held: n
     rows that are connected already (equal labels, or by links found) are not compared again.
 
     DivideSkip: of a document's inverted lists the L longest are left aside, the others are
-    merged, and whoever occurs at least T - L times there is looked for in the long ones.
+    merged, and whoever occurs at least T - L times there is looked for in the long ones, by
+    binary search or, where that many would be looked for, by merging these too.
     """
     index = np.flatnonzero(held)
     sizes = np.array([len(sets[k]) for k in index])
@@ -238,12 +239,22 @@ def cell_links(n: np.ndarray, sets: list[np.ndarray], query: np.ndarray, held: n
         else:
             count = np.bincount(member[ragged(edge[short], length[short])], minlength=rows)
             seen = [(y, int(count[y])) for y in np.flatnonzero(count >= least).tolist()]
-        for y, c in seen:
-            if c < least or y == x or merged.top(x) == merged.top(y) or 5 * min(n[x], n[y]) < 4 * max(n[x], n[y]):
+        fits = [(y, c) for y, c in seen if c >= least and y != x and not (y < x and query[y] and held[x])
+                and 5 * min(n[x], n[y]) >= 4 * max(n[x], n[y]) and merged.top(x) != merged.top(y)]
+        # probing costs a search for each candidate and list, merging a step for each entry
+        if len(fits) * len(long) * 16 > int(length[long].sum()):
+            rest = np.bincount(member[ragged(edge[long], length[long])], minlength=rows)
+        else:
+            rest = None
+        for y, c in fits:
+            if merged.top(x) == merged.top(y):
                 continue
-            probe = long * rows + y
-            place = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
-            both = c + int((keys[place] == probe).sum())
+            if rest is None:
+                probe = long * rows + y
+                place = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+                both = c + int((keys[place] == probe).sum())
+            else:
+                both = c + int(rest[y])
             if 100 * both >= 80 * (int(n[x]) + int(n[y]) - both):
                 links.append((x, y))
                 merged.up[merged.top(x)] = merged.top(y)
@@ -288,21 +299,23 @@ def link_sets(sets: DataFrame, near: DataFrame) -> DataFrame:
     if large.isEmpty():
         return links
 
-    def labelled() -> DataFrame:
-        return large.join(components(links), F.col("doc") == F.col("node"), "left").select("doc", "n", "data", "near", F.coalesce("root", "doc").alias("label"))
+    def unmerged(rows: DataFrame, links: DataFrame) -> DataFrame:
+        return rows.join(components(links), F.col("doc") == F.col("node"), "left_anti").select("doc", "n", "data", "near")
 
-    left, before = checkpointed(labelled()), None
+    heads, before = checkpointed(unmerged(large, links)), None
     for turn in range(1, 64):
-        heads = left.where(F.col("doc") == F.col("label"))
         heads = checkpointed(heads.join(_blocks(heads), "near"))
         now, blocks = heads.agg(F.count(F.lit(1)), F.max("blocks")).first()
-        if before is not None and now > 0.9 * before or now <= 1:
+        if now <= 1 or before is not None and now > 0.9 * before:
             break
         cell = F.xxhash64("near", _block_of(turn))
-        links = checkpointed(links.unionByName(_cells(every(heads.withColumn("cell", cell)))))
-        left, before = checkpointed(labelled()), now
+        found = checkpointed(_cells(every(heads.withColumn("cell", cell)).withColumn("label", F.col("doc"))))
+        links = links.unionByName(found)
         if blocks == 1:
             break
+        heads, before = checkpointed(unmerged(heads, found)), now
+    left = checkpointed(large.join(components(links), F.col("doc") == F.col("node"), "left")
+                        .select("doc", "n", "data", "near", F.coalesce("root", "doc").alias("label")))
     # whoever is outside its neighbourhood's largest component meets every block
     sizes = left.groupBy("near", "label").count()
     largest = sizes.groupBy("near").agg(F.max(F.struct("count", "label"))["label"].alias("most"), F.count(F.lit(1)).alias("parts"))
