@@ -11,53 +11,54 @@ a fuller one possible. Pieces then find their place by their rank within their l
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from labelforge.llm.common import checkpointed
 
-_MEMO = 400_000
 
+#: Fixed value: how the tokenizer file cuts a text before its merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose class is the same in every Unicode version and library.
+_UNUSUAL = re.compile("[^\t-\r -~¡-įı-ɏ]")
 
-def _encoded(tokenizer: Tokenizer, text: str) -> bytes:
-    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-
-class _Ids(dict):
-    """Token ids (little-endian bytes) of one space-cut part of a text, by the tokenizer."""
-
-    def __init__(self, tokenizer: Tokenizer, lead: str):
-        super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
-
-    def __missing__(self, part: str) -> bytes:
-        ids = _encoded(self.tokenizer, self.lead + part)
-        if len(self) < _MEMO:  # frequent parts come early and stay
-            self[part] = ids
-        return ids
+def _ranked(path: str) -> tiktoken.Encoding | None:
+    """The file's merges as ranks, if they are provably ranked by id: merge k makes id 256 + k."""
+    model = json.loads(Path(path).read_text())["model"]
+    vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocabulary.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # a byte is written as itself, or as a letter beyond
+    letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    ranks = {bytes(letter[c] for c in name): i for name, i in vocabulary.items() if i < 256 + len(merges)}
+    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class TextIds:
-    """Ids of a text. Pre-tokens of a byte-level BPE never reach over a single space that
-    follows a visible character, so such texts are encoded part by part from memory; texts
-    with runs of spaces or special strings are encoded whole."""
+    """Ids of a text as the tokenizer file gives them. Texts of common characters go through the
+    ranked form of the same merges, which is several times as fast; texts with other characters
+    or special strings go through the tokenizer itself."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.ranked = Tokenizer.from_file(path), _ranked(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first, self.later = _Ids(self.tokenizer, ""), _Ids(self.tokenizer, " ")
 
     def __call__(self, text: str) -> bytes:
-        if "  " in text or any(s in text for s in self.special):
-            return _encoded(self.tokenizer, text)
-        first, *later = text.split(" ")
-        return self.first[first] + b"".join(map(self.later.__getitem__, later))
+        if self.ranked is None or _UNUSUAL.search(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.ranked.encode_ordinary(text)).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
