@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions import vec
 from labelforge.operators.ranking import default_buckets, rank_by_value
-from labelforge.operators.state import ema_scan, trailing_sum
+from labelforge.operators.state import cycled, ema_scan, trailing_sum
 
 EPS = 1e-6
 
@@ -47,7 +47,8 @@ def align_ema(ulb: DataFrame, K: int, m: float = 0.999, target: str | list[float
     if target == "model":
         if lb is None:
             raise ValueError("target='model' needs the labelled predictions")
-        tm = ema_scan(batch_class_means(lb, probs, batch), ["cls"], batch, "x", m, init=1.0 / K, out="t")
+        lm = cycled(batch_class_means(lb, probs, batch), lb, ulb, batch)
+        tm = ema_scan(lm, ["cls"], batch, "x", m, init=1.0 / K, out="t")
         st = pm.join(tm.select(batch, "cls", "t"), [batch, "cls"])
     else:
         prior = [1.0 / K] * K if target == "uniform" else list(target)
@@ -64,7 +65,7 @@ def align_queue(ulb: DataFrame, K: int, Q: int = 128, target: str = "uniform", l
     pm = trailing_sum(batch_class_means(ulb, probs, batch), ["cls"], batch, "x", Q, "pm")
     pm = pm.withColumn("pm", F.col("pm") / F.lit(float(Q)))
     if target == "model":
-        tm = trailing_sum(batch_class_means(lb, probs, batch), ["cls"], batch, "x", Q, "t")
+        tm = trailing_sum(cycled(batch_class_means(lb, probs, batch), lb, ulb, batch), ["cls"], batch, "x", Q, "t")
         st = pm.join(tm.select(batch, "cls", (F.col("t") / F.lit(float(Q))).alias("t")), [batch, "cls"])
     else:
         st = pm.withColumn("t", F.lit(1.0 / K))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions import vec
+from labelforge.operators.state import cycled
 
 
 def ce(logits, target=None, label=None, mask=None) -> Column:
@@ -100,12 +101,13 @@ def cosine_margin(a, b, mask) -> Column:
 def debiased_ce(lb: DataFrame, ulb: DataFrame, cutoff: float, probs: str = "probs", logits_s: str = "logits_s",
                 batch: str = "batch_id") -> DataFrame:
     """Per batch, masked CE of the unlabelled strong view against its
-    pseudo-label minus the same term on labelled rows."""
+    pseudo-label minus the same term on labelled rows, whose batches repeat
+    until every unlabelled batch has one."""
     def term(d, name):
         m = (vec.max_prob(probs) >= F.lit(cutoff)).cast("double")
         return d.select(batch, (vec.ce_hard(logits_s, vec.argmax(probs)) * m).alias("__l")) \
             .groupBy(batch).agg(F.avg("__l").alias(name))
-    t = term(ulb, "unsup").join(term(lb, "anti_loss"), batch)
+    t = term(ulb, "unsup").join(cycled(term(lb, "anti_loss"), lb, ulb, batch), batch)
     return t.withColumn("debiased", F.col("unsup") - F.col("anti_loss"))
 
 

@@ -3,7 +3,7 @@
 Class- and batch-level state is computed for every batch at once from a
 (batches × classes) statistics table — partial/final aggregates over the
 rows, then the chunked scans of :mod:`labelforge.operators.state` — and
-joined back to rows on (batch, class). Batch ids are dense integers 0..n−1.
+joined back to rows on (batch, class). Batch ids are integers; gaps are allowed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from labelforge.functions import vec
 from labelforge.functions.hashing import u
 from labelforge.operators.ranking import default_buckets, rank_by_value
-from labelforge.operators.state import ema_scan, materialize_small, prefix_max, prefix_sum
+from labelforge.operators.state import batch_ranks, cycled, ema_scan, materialize_small, prefix_max, prefix_sum
 
 
 def _conf_pred(df: DataFrame, probs: str) -> DataFrame:
@@ -36,10 +36,10 @@ def mask_fixed(df: DataFrame, cutoff: float, probs: str = "probs", out: str = "m
 
 def mask_relative(ulb: DataFrame, lb: DataFrame, cutoff: float, probs: str = "probs",
                   batch: str = "batch_id", out: str = "mask") -> DataFrame:
-    """threshold = cutoff × mean max-p of the same batch's labelled rows.
-    Batches without labelled rows are dropped (zipped loaders stop at the shorter)."""
+    """threshold = cutoff × mean max-p of the labelled rows of the same step.
+    Labelled batches repeat until every unlabelled batch has one; no row is lost."""
     thr = lb.groupBy(batch).agg((F.lit(cutoff) * F.avg(vec.max_prob(probs))).alias("threshold"))
-    return (ulb.join(thr, batch)
+    return (ulb.join(cycled(thr, lb, ulb, batch), batch)
                .withColumn(out, (vec.max_prob(probs) >= F.col("threshold")).cast("int")))
 
 
@@ -82,8 +82,9 @@ def mask_flex(df: DataFrame, cutoff: float, K: int, N: int | None = None, warmup
     d = _conf_pred(df, probs)
     if N is None:
         N = d.select(idx).distinct().count()
-    st = flex_status(d, cutoff, N, K, warmup, idx, batch).withColumnRenamed("cls", "pred")
-    j = d.join(st, [batch, "pred"], "left").withColumn("status", F.coalesce("status", F.lit(0.0)))
+    d = d.join(materialize_small(batch_ranks(d, batch)), batch)  # the status is that of the batch before, over any gap
+    st = flex_status(d, cutoff, N, K, warmup, idx, "__rank").withColumnRenamed("cls", "pred")
+    j = d.join(st, ["__rank", "pred"], "left").withColumn("status", F.coalesce("status", F.lit(0.0))).drop("__rank")
     thr = F.lit(cutoff) * (F.col("status") / (F.lit(2.0) - F.col("status")))
     return j.withColumn("threshold", thr).withColumn(out, (F.col("conf") >= F.col("threshold")).cast("int"))
 

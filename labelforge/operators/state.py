@@ -13,7 +13,7 @@ batch at once:
 * ``trailing_sum`` — fixed trailing frame (ring buffers): each chunk gets the
   Q−1 rows before it as a halo, so the window runs per (group, chunk).
 
-``batch_id`` values are assumed to be integers (gaps allowed).
+``batch_id`` values are assumed to be integers; gaps are allowed and never change a result.
 """
 
 from __future__ import annotations
@@ -110,15 +110,34 @@ def ema_scan(stats: DataFrame, by: list[str], order: str, col: str, m: float,
     return materialize_small(stats.join(res, [*by, order]))
 
 
+def batch_ranks(df: DataFrame, batch: str, rank: str = "__rank") -> DataFrame:
+    """(batch, rank): the batches of ``df`` numbered 0, 1, … in order, whatever their gaps."""
+    one = df.select(batch).distinct().withColumn("__one", F.lit(1))
+    return prefix_sum(one, [], batch, ["__one"]).select(batch, (F.col("__one_cum") - 1).cast("bigint").alias(rank))
+
+
+def cycled(lb_stats: DataFrame, lb: DataFrame, ulb: DataFrame, batch: str) -> DataFrame:
+    """Statistics of labelled batches for every unlabelled batch: when the labelled batches run
+    out they start again, as the samplers of both sides are sized to the same number of steps.
+    The unlabelled batch of rank r gets the labelled batch of rank r mod (number of these)."""
+    mine = materialize_small(batch_ranks(lb, batch, "__lr"))
+    n = mine.count()
+    if n == 0:
+        raise ValueError("no labelled batches to repeat")
+    turns = batch_ranks(ulb, batch, "__ur").select(F.col(batch).alias("__ub"), F.pmod("__ur", F.lit(n)).alias("__lr"))
+    return (turns.join(mine, "__lr").join(lb_stats, batch).drop("__lr", batch).withColumnRenamed("__ub", batch))
+
+
 def trailing_sum(df: DataFrame, by: list[str], order: str, col: str, Q: int, out: str,
                  chunk: int = CHUNK) -> DataFrame:
     """Σ of ``col`` over the last Q rows (current included) per group, rows in
-    ``order``; the batch axis is cut into chunks, each with a Q−1 row halo."""
+    ``order``; each group's row numbers are cut into chunks with a Q−1 row halo."""
     chunk = max(chunk, Q)
-    d = materialize_small(df.withColumn("__ch", _chunk(order, chunk)))
-    # halo: rows within Q−1 batches before a chunk start are copied into that chunk
-    halo = (d.filter(F.col(order) - F.col("__ch") * chunk >= chunk - (Q - 1))
+    rows = prefix_sum(df.withColumn("__n", F.lit(1)), by, order, ["__n"]).withColumn("__n", F.col("__n_cum") - 1).drop("__n_cum")
+    d = materialize_small(rows.withColumn("__ch", _chunk("__n", chunk)))
+    # halo: the last Q−1 rows of a chunk are copied into the next one
+    halo = (d.filter(F.col("__n") - F.col("__ch") * chunk >= chunk - (Q - 1))
               .withColumn("__ch", F.col("__ch") + 1).withColumn("__own", F.lit(False)))
     allr = d.withColumn("__own", F.lit(True)).unionByName(halo)
-    w = Window.partitionBy(*by, "__ch").orderBy(order).rowsBetween(-(Q - 1), 0)
-    return (allr.withColumn(out, F.sum(col).over(w)).filter("__own").drop("__ch", "__own"))
+    w = Window.partitionBy(*by, "__ch").orderBy("__n").rowsBetween(-(Q - 1), 0)
+    return (allr.withColumn(out, F.sum(col).over(w)).filter("__own").drop("__ch", "__own", "__n"))

@@ -59,8 +59,10 @@ def f1_align_ema(spark, sf_dir):
 
 @query("f1_align_ema_model_target", sql=f"""{W}, {PR}, {BCM},
 pmod AS (SELECT cm.batch_id, cm.cls, {ema_sql('xs', 'cm.batch_id + 1', 0.9, None)} AS pm FROM cm JOIN cl USING (cls)),
-lm AS (SELECT batch_id, cls, avg(p) AS x FROM (SELECT batch_id, unnest(generate_series(0, len(probs) - 1)) AS cls,
+{q.CYCLE},
+l0 AS (SELECT batch_id, cls, avg(p) AS x FROM (SELECT batch_id, unnest(generate_series(0, len(probs) - 1)) AS cls,
        unnest(probs) AS p FROM prl) GROUP BY batch_id, cls),
+lm AS (SELECT cyc.batch_id, cls, x FROM cyc JOIN l0 ON l0.batch_id = cyc.lb),
 ll AS (SELECT cls, list(x ORDER BY batch_id) AS xs FROM lm GROUP BY cls),
 tm AS (SELECT lm.batch_id, lm.cls, {ema_sql('xs', 'lm.batch_id + 1', 0.9, '0.1::DOUBLE')} AS t FROM lm JOIN ll USING (cls)),
 {_apply_sql("rt AS (SELECT batch_id, list((t + 1e-6) / (pm + 1e-6) ORDER BY cls) AS ratio FROM pmod JOIN tm USING (batch_id, cls) GROUP BY batch_id)")}""")

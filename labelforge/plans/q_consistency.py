@@ -153,7 +153,9 @@ def g9_cosine_margin(spark, sf_dir):
 @query("g10_debiased_ce", sql=f"""{W}, {PR},
 cl AS (SELECT *, list_max(probs) AS conf, {q.argmax('probs')} AS pred FROM prl),
 tu AS (SELECT batch_id, avg({CE_HARD_S} * {MASK_SQL}) AS unsup FROM cp GROUP BY batch_id),
-tl AS (SELECT batch_id, avg({CE_HARD_S} * {MASK_SQL}) AS anti_loss FROM cl GROUP BY batch_id)
+{q.CYCLE},
+t0 AS (SELECT batch_id, avg({CE_HARD_S} * {MASK_SQL}) AS anti_loss FROM cl GROUP BY batch_id),
+tl AS (SELECT cyc.batch_id, anti_loss FROM cyc JOIN t0 ON t0.batch_id = cyc.lb)
 SELECT batch_id, round(unsup, 6) AS unsup, round(anti_loss, 6) AS anti_loss, round(unsup - anti_loss, 6) AS debiased FROM tu JOIN tl USING (batch_id)""")
 def g10_debiased_ce(spark, sf_dir):
     t = cs.debiased_ce(_l(spark, sf_dir), _u(spark, sf_dir), CUT)

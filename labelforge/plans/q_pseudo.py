@@ -113,9 +113,10 @@ def d6_util_ratio(spark, sf_dir):
 # ---- E2 ------------------------------------------------------------------------------
 
 @query("e2_mask_relative", sql=f"""{W}, {PR},
+{q.CYCLE},
 th AS (SELECT batch_id, 0.95 * avg(list_max(probs)) AS threshold FROM prl GROUP BY batch_id)
-SELECT idx, batch_id, round(threshold, 6) AS threshold, CAST(conf >= threshold AS INTEGER) AS mask
-FROM cp JOIN th USING (batch_id)""")
+SELECT idx, cp.batch_id, round(threshold, 6) AS threshold, CAST(conf >= threshold AS INTEGER) AS mask
+FROM cp JOIN cyc USING (batch_id) JOIN th ON th.batch_id = cyc.lb""")
 def e2_mask_relative(spark, sf_dir):
     m = mk.mask_relative(_ulb(spark, sf_dir), _lb(spark, sf_dir), 0.95)
     return m.select("idx", "batch_id", F.round("threshold", 6).alias("threshold"), "mask")

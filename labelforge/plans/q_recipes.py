@@ -182,9 +182,9 @@ def _double_scores(s: pd.Series) -> pd.Series:
 
 
 @query("u5_score_with", sql="""
-SELECT vec_id AS idx, list_transform(list_slice(embedding, 1, 4), lambda x: round(2.0 * CAST(x AS DOUBLE), 6)) AS logits FROM embeddings""")
+SELECT vec_id AS idx, list_transform(embedding, lambda x: round(2.0 * CAST(x AS DOUBLE), 6)) AS logits FROM embeddings""")
 def u5_score_with(spark, sf_dir):
     """User scoring function applied through an iterator pandas UDF."""
-    e = fx.embeddings(spark, sf_dir).withColumn("feat", F.slice("feat", 1, 4))
+    e = fx.embeddings(spark, sf_dir)
     s = rc.score_with(e, _double_scores, "feat", "logits")
     return s.select("idx", vec.round_arr("logits").alias("logits"))

@@ -80,3 +80,9 @@ pred AS (
           md5(CASE WHEN is_lb THEN 's{seed}-lb-' ELSE 's{seed}-ulb-' END || CAST(idx AS VARCHAR)), idx) AS pos FROM sc)),
 ulb AS (SELECT * FROM pred WHERE NOT is_lb),
 lb AS (SELECT * FROM pred WHERE is_lb)"""
+
+
+#: CTEs: every unlabelled batch of ``cp`` with the labelled batch of ``prl`` whose turn it is.
+CYCLE = """ub AS (SELECT batch_id, row_number() OVER (ORDER BY batch_id) - 1 AS r FROM (SELECT DISTINCT batch_id FROM cp)),
+lbn AS (SELECT batch_id AS lb, row_number() OVER (ORDER BY batch_id) - 1 AS r FROM (SELECT DISTINCT batch_id FROM prl)),
+cyc AS (SELECT ub.batch_id, lbn.lb FROM ub JOIN lbn ON lbn.r = ub.r % (SELECT count(*) FROM lbn))"""

@@ -20,17 +20,20 @@ def get_session(master: str | None = None, app: str = "labelforge",
         b = b.master(master)
     elif not os.environ.get("SPARK_MASTER") and not os.environ.get("MASTER"):
         b = b.master("local[*]")
-    parts = shuffle_partitions or int(os.environ.get("LABELFORGE_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("LABELFORGE_SHUFFLE_PARTITIONS")
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.sql.shuffle.partitions", str(parts))
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.driver.memory", os.environ.get("LABELFORGE_DRIVER_MEMORY", "16g")))
+    if parts:  # otherwise the cluster's own setting stands
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
     spark = b.getOrCreate()
+    if not parts and spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
@@ -44,6 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="labelforge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
