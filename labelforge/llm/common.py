@@ -12,6 +12,8 @@ Conventions used by every operator of the package:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -79,6 +81,25 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.n
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
             yield doc[i:j], mark[i:j], texts.slice(i, j - i).to_pylist()
             i = j
+        del b, texts, off
+    release()
+
+
+def release() -> None:
+    """Give memory that is free in this Python worker back to the system, before it idles."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries do it themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(of_group):
+    """A function of one group's table that leaves no free memory behind."""
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return of_group(table)
+        finally:
+            release()
+    return run
 
 
 # -- hashing of byte and word sequences: prefix sums of R[x] * P^i modulo 2^64 ------------

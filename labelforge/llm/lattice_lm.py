@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.llm.common import (NULL_ID, U64, bucket_count, checkpointed, chunks, identified, mix, pack, prefix_hash,
-                                   public_id, ragged, run_hash, slice_hash, total_bytes, unpack, whitespace, word_edges)
+                                   public_id, ragged, run_hash, slice_hash, tidy, total_bytes, unpack, whitespace, word_edges)
 
 PART, CHUNK, PER_BUCKET = 1 << 20, 6 << 20, 6 << 20
 HOME, WORDS = 0, 1
@@ -268,7 +268,7 @@ def score_documents(docs: DataFrame, path: str, folds: int = 7, fold: int = 2) -
     spark = docs.sparkSession
     buckets = bucket_count(spark, total_bytes(docs), PER_BUCKET)
     routed = identified(docs).mapInArrow(_route(buckets, folds, fold), "bucket long, chunk long, kind int, data binary, docs long")
-    gathered = checkpointed(routed.groupBy("bucket").applyInArrow(_gather, "chunk long, kind int, data binary, docs long, tokens long, types long"))
+    gathered = checkpointed(routed.groupBy("bucket").applyInArrow(tidy(_gather), "chunk long, kind int, data binary, docs long, tokens long, types long"))
     train_docs, tokens, types = (x or 0 for x in gathered.agg(F.sum("docs"), F.sum("tokens"), F.sum("types")).first())
     counts = (gathered.where(F.col("kind") == WORDS).select("data").mapInArrow(_piece_counts(path), "piece int, n long")
               .groupBy("piece").agg(F.sum("n").alias("n")).collect())
@@ -280,7 +280,7 @@ def score_documents(docs: DataFrame, path: str, folds: int = 7, fold: int = 2) -
     answers = gathered.select("chunk", "kind", "data").mapInArrow(_answer(path, spark.sparkContext.broadcast(log_p)), "chunk long, part long, data binary")
     n = tokens + train_docs
     found = answers.groupBy("chunk").applyInArrow(
-        _sums(n, types + (train_docs > 0), train_docs, float(log_p[-1])),
+        tidy(_sums(n, types + (train_docs > 0), train_docs, float(log_p[-1]))),
         "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select(public_id(F.col("doc")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
                         "base_score", "score")

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.llm.common import (U64, bucket_count, checkpointed, chunks, identified, mix, pack, public_id, ragged,
-                                   run_hash, total_bytes, unpack, whitespace, word_edges)
+                                   run_hash, tidy, total_bytes, unpack, whitespace, word_edges)
 from labelforge.llm.components import components
 
-PART, CHUNK, PER_BUCKET = 1 << 20, 6 << 20, 4 << 20
+PART, CHUNK, PER_BUCKET = 1 << 20, 4 << 20, 4 << 20
 #: Documents of one chunk from which a shingle's list stays with the chunk.
 HOT = 64
 CELL_DOCS, CELL_SHINGLES = 1024, 1 << 20
@@ -271,7 +271,7 @@ def _join_cell(table: pa.Table) -> pa.Table:
 
 def _cells(rows: DataFrame) -> DataFrame:
     """Links found in cells; ``rows``: cell, doc, n, data, query, held, label."""
-    return rows.select("cell", "doc", "n", "data", "query", "held", "label").groupBy("cell").applyInArrow(_join_cell, "a long, b long")
+    return rows.select("cell", "doc", "n", "data", "query", "held", "label").groupBy("cell").applyInArrow(tidy(_join_cell), "a long, b long")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -344,8 +344,8 @@ def similar_documents(docs: DataFrame, size: int = 5) -> DataFrame:
     """
     buckets = bucket_count(docs.sparkSession, total_bytes(docs), PER_BUCKET)
     routed = identified(docs).mapInArrow(_route(size, buckets), ROUTED)
-    ranked = routed.groupBy("bucket").applyInArrow(_rank_lists, "chunk long, kind int, data binary")
-    given = checkpointed(ranked.groupBy("chunk").applyInArrow(_prefixes, "kind int, a long, b long, data binary"))
+    ranked = routed.groupBy("bucket").applyInArrow(tidy(_rank_lists), "chunk long, kind int, data binary")
+    given = checkpointed(ranked.groupBy("chunk").applyInArrow(tidy(_prefixes), "kind int, a long, b long, data binary"))
     # equal sets: nothing in them is their document's own, and the rest is the same
     key = F.when(F.octet_length("data") == 8 * F.col("b"), F.md5("data")).otherwise(F.col("a").cast("string"))
     able = given.where(F.col("kind") == SET).withColumn("key", key)

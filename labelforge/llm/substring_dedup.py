@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.vec import let
 from labelforge.llm.common import (U64, bucket_count, checkpointed, doc_key, identified, mark_of,
-                                   mix, prefix_hash, ragged, run_hash, slice_hash, total_bytes, whitespace, with_small,
+                                   mix, prefix_hash, ragged, run_hash, slice_hash, tidy, total_bytes, whitespace, with_small,
                                    word_edges)
 from labelforge.llm.quality import words_of
 from labelforge.llm.superkmer import (Strings, bucket_strings, chunked_rows, span_batch, spans_by_document,
@@ -110,7 +110,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     texts = identified(docs)
     buckets = bucket_count(docs.sparkSession, total_bytes(docs), PER_BUCKET)
     rows = texts.mapInArrow(lambda b: chunked_rows(b, _strings(window), buckets, within_doc=False), "bucket long, kind int, data binary")
-    spans = rows.groupBy("bucket").applyInArrow(_settle_bucket(window), "doc long, mark int, start long, end long")
+    spans = rows.groupBy("bucket").applyInArrow(tidy(_settle_bucket(window)), "doc long, mark int, start long, end long")
     return spans_by_document(spans)
 
 

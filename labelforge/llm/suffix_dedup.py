@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from labelforge.llm.common import (U64, bucket_count, byte_values, identified, mix, prefix_hash, ragged, run_hash,
+from labelforge.llm.common import (U64, bucket_count, byte_values, identified, mix, prefix_hash, ragged, run_hash, tidy,
                                    total_bytes)
 from labelforge.llm.substring_dedup import with_spans
 from labelforge.llm.suffix_array import permuted_lcp, suffix_array
@@ -118,7 +118,7 @@ def repeated_byte_spans(docs: DataFrame, window: int = 100) -> DataFrame:
     texts = identified(docs)
     buckets = bucket_count(docs.sparkSession, total_bytes(docs), PER_BUCKET)
     rows = texts.mapInArrow(lambda b: chunked_rows(b, _strings(window), buckets, within_doc=True), "bucket long, kind int, data binary")
-    spans = rows.groupBy("bucket").applyInArrow(_settle_bucket(window), "doc long, mark int, start long, end long")
+    spans = rows.groupBy("bucket").applyInArrow(tidy(_settle_bucket(window)), "doc long, mark int, start long, end long")
     return spans_by_document(spans)
 
 
