@@ -18,7 +18,7 @@ from labelforge.llm.quality import words_of
 from labelforge.llm.superkmer import (Strings, bucket_strings, chunked_rows, span_batch, spans_by_document,
                                       super_kmers)
 
-PER_BUCKET = 4 << 20
+PER_BUCKET = 2 << 20
 GRAM = 3
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
