@@ -8,6 +8,7 @@ into one K-vector per batch and joined to the rows on ``batch_id``.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,10 +92,11 @@ def align_progressive(ulb: DataFrame, K: int, prior: list[float], gen: int, gens
 def logit_adjustment(lb: DataFrame, K: int, tau: float = 1.0, A: float = 2.0, B: float = 2.0,
                      label: str = "label") -> DataFrame:
     """F4 state: one row with la (K) = ln((min_n/n_c)^τ + 1e-12) and the
-    per-class transfer temperature A·softmax(−la)+B."""
+    per-class transfer temperature A·softmax(−la)+B. A class without labelled
+    rows counts as one row."""
     spark = lb.sparkSession
     cnt = (spark.range(K).select(F.col("id").cast("int").alias(label))
-           .join(lb.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label, "left").fillna(0, ["n"]))
+           .join(lb.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label, "left").fillna(1, ["n"]))
     cnt = cnt.withColumn("r", F.min("n").over(Window.partitionBy(F.lit(1))) / F.col("n"))
     row = cnt.agg(F.array_sort(F.collect_list(F.struct(label, "r"))).alias("__s"))
     la = F.transform("__s", lambda s: F.log(F.pow(s["r"], F.lit(float(tau))) + F.lit(1e-12)))
@@ -150,12 +152,14 @@ def refine_solve(df: DataFrame, K: int, target: list[float], rounds: int = 10, n
     1/entropy. Each round computes every row's normaliser in one map stage
     and runs Newton on the K class equations together: one whole-table
     aggregate per step gives f and f′ for all K. Only K numbers return to the
-    driver; the input is checkpointed once so no round re-reads lineage."""
-    spark = df.sparkSession
+    driver; the input is checkpointed once so no round re-reads lineage.
+    The entropy is at least 1e-6 (one-hot rows). A last round whose steps stay
+    above ``tol`` is reported as a warning."""
     base = df.select(idx, F.transform(probs, lambda p: p / F.lit(math.e)).alias("A"),
-                     (F.lit(1.0) / (-vec.vsum(F.transform(probs, lambda p: p * F.log(p + F.lit(EPS)))))).alias("w"))
+                     (F.lit(1.0) / F.greatest(-vec.vsum(F.transform(probs, lambda p: p * F.log(p + F.lit(EPS)))),
+                                              F.lit(EPS))).alias("w"))
     base = base.checkpoint(eager=True)
-    y = [0.0] * K
+    y, moved = [0.0] * K, 0.0
 
     def Yrow(yv):
         return F.transform(F.array(*[F.lit(float(v)) for v in yv]), lambda v: F.exp(-v / F.col("w")))
@@ -174,7 +178,10 @@ def refine_solve(df: DataFrame, K: int, target: list[float], rounds: int = 10, n
                    g.groupBy("k").agg(F.sum("fd.f").alias("f"), F.sum("fd.d").alias("d")).collect()}
             step = [(agg[k][0] - target[k]) / agg[k][1] if agg[k][1] != 0 else 0.0 for k in range(K)]
             y = [y[k] - step[k] for k in range(K)]
-            if max(abs(s) for s in step) < tol:
+            moved = max(abs(s) for s in step)
+            if moved < tol:
                 break
+    if not moved < tol:
+        warnings.warn(f"refine_solve: last Newton step {moved:g} is above {tol:g} after {rounds} rounds", stacklevel=2)
     fin = with_x(y).withColumn("__Y", Yrow(y))
     return fin.select(idx, F.zip_with("A", "__Y", lambda a, v: a * F.col("X") * v).alias(out))

@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from labelforge.functions.hashing import hash_bucket
 
@@ -72,11 +73,17 @@ def rank_by_value(df: DataFrame, by: list[str], key: str, idx: str, buckets: int
                   descending: bool = False, rank_col: str = "rn",
                   total_col: str | None = None, bounded_groups: bool = True) -> DataFrame:
     """Rank by a numeric column (ties by idx); buckets from approximate
-    per-group quantiles, so a hot group is split into ``buckets`` ranges."""
+    per-group quantiles, so a hot group is split into ``buckets`` ranges.
+    A value that fills several buckets (a saturated score) is cut into as
+    many pieces by quantiles of a numeric ``idx``; at most 2·buckets pieces
+    a group."""
     probs = [i / buckets for i in range(1, buckets)]
     if probs:
-        bounds = df.groupBy(*by).agg(F.percentile_approx(F.col(key), probs, 1000).alias("__bounds")) \
-            if by else df.agg(F.percentile_approx(F.col(key), probs, 1000).alias("__bounds"))
+        split_ties = key != idx and isinstance(df.schema[idx].dataType, NumericType)
+        aggs = [F.percentile_approx(F.col(key), probs, 1000).alias("__bounds")]
+        if split_ties:
+            aggs.append(F.percentile_approx(F.col(idx), probs, 1000).alias("__ibounds"))
+        bounds = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
         if bounded_groups:
             bounds = F.broadcast(bounds)
         d = _null_safe_join(df, bounds, list(by))
@@ -85,8 +92,14 @@ def rank_by_value(df: DataFrame, by: list[str], key: str, idx: str, buckets: int
                 F.size(F.filter("__bounds", lambda x: x > F.col(key))))
         else:
             bucket = F.size(F.filter("__bounds", lambda x: x < F.col(key)))
+        if split_ties:
+            # rows below the repeated bound keep the first piece of its bucket, the ties take the following ones
+            held = F.size(F.filter("__bounds", lambda x: x == F.col(key)))
+            below = F.size(F.filter("__ibounds", lambda x: x < F.col(idx)))
+            piece = F.when(held > 1, F.lit(1) + F.floor(below * (held + 1) / F.lit(buckets)).cast("int")).otherwise(0)
+            bucket = bucket * F.lit(buckets + 2) + piece
     else:
         d, bucket = df.withColumn("__bounds", F.lit(None)), F.lit(0)
     k = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()
     out = rank_within(d, by, [k, F.col(idx).asc()], bucket, rank_col, total_col, bounded_groups)
-    return out.drop("__bounds")
+    return out.drop("__bounds", "__ibounds")

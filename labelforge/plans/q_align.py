@@ -153,7 +153,7 @@ def f6_refine_estimate(spark, sf_dir):
 @query("f6_refine_solve")
 def f6_refine_solve(spark, sf_dir):
     """Rows-only check (scipy-free Newton solve); tests assert row sums 1 and class mass ≈ q."""
-    r = al.refine_solve(_ulb(spark, sf_dir), K, _darp_target(spark, sf_dir), rounds=3, newton=20)
+    r = al.refine_solve(_ulb(spark, sf_dir), K, _darp_target(spark, sf_dir))
     return r.select("idx", vec.round_arr("probs_refined").alias("probs_refined"))
 
 

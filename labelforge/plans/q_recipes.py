@@ -90,8 +90,8 @@ MSE = ("list_reduce(list_prepend(0.0::DOUBLE, list_transform(generate_series(1,
 _register("p17_pimodel", "pimodel", sql=_recipe_sql(WARM, MSE))
 _register("p18_meanteacher", "meanteacher", sql=_recipe_sql(WARM, MSE))
 _register("p19_supervised", "supervised")
-_register("q4_darp", "darp", rounds=3)
-_register("q5_daso", "daso", Q=16)
+_register("q4_darp", "darp", p_cutoff=CUT)
+_register("q5_daso", "daso", Q=16, p_cutoff=CUT)
 _register("q6_debiaspl", "debiaspl", m=0.9, p_cutoff=CUT)
 _register("q7_saw", "saw", p_cutoff=CUT)
 _register("q8_tras", "tras", extra=("transfer_kl",), p_cutoff=CUT)

@@ -52,7 +52,7 @@ def _page_tree(spark, sf_dir, name):
 
 
 @query("a2_read_text_tree", sql=f"""
-SELECT CAST(page_id AS BIGINT) AS page_id, regexp_extract(url, '{LANG_URL}', 1) AS class_name,
+SELECT CAST(page_id AS BIGINT) AS page_id, 'cls=' || regexp_extract(url, '{LANG_URL}', 1) AS class_name,
        CAST(dense_rank() OVER (ORDER BY regexp_extract(url, '{LANG_URL}', 1)) - 1 AS INTEGER) AS label,
        md5(replace(replace(html || chr(10), '<br />', ''), chr(10), '')) AS text_md5 FROM pages""")
 def a2_read_text_tree(spark, sf_dir):
@@ -75,12 +75,12 @@ def a3_read_labeled_csv(spark, sf_dir):
 
 
 @query("a4_index_file_tree", sql=f"""
-SELECT CAST(dense_rank() OVER (ORDER BY regexp_extract(url, '{LANG_URL}', 1)) - 1 AS INTEGER) AS class_id,
+SELECT CAST(page_id AS BIGINT) AS page_id, CAST(dense_rank() OVER (ORDER BY regexp_extract(url, '{LANG_URL}', 1)) - 1 AS INTEGER) AS class_id,
        CAST(octet_length(encode(html)) + 1 AS BIGINT) AS length FROM pages""")
 def a4_index_file_tree(spark, sf_dir):
     root = _page_tree(spark, sf_dir, "a4")
-    f = rd.index_file_tree(spark, root, "*.txt")
-    return f.select("class_id", "length")
+    f = rd.index_file_tree(spark, root, extensions=[".txt"])
+    return f.select(F.regexp_extract("path", r"name=([0-9]+)/", 1).cast("bigint").alias("page_id"), "class_id", "length")
 
 
 @query("a5_read_split_list", sql=f"""

@@ -125,6 +125,13 @@ def _finish(d: DataFrame, weight: str = "mask", target: str | None = None) -> Da
 OUT = ["idx", "batch_id", "pseudo_label", "confidence", "weight", "unsup_loss"]
 
 
+def class_prior(lb: DataFrame, K: int, label: str = "label") -> list[float]:
+    """Shares of the K classes among the labelled rows (0 for a class without rows)."""
+    cnt = {r[0]: r[1] for r in lb.groupBy(label).count().collect()}
+    tot = sum(cnt.values())
+    return [cnt.get(k, 0) / tot for k in range(K)]
+
+
 def _n_batches(d: DataFrame) -> int:
     return d.select("batch_id").distinct().count()
 
@@ -215,31 +222,30 @@ def mixmatch(ulb, lb=None, T=0.5, alpha=0.5, **_):
 @recipe("remixmatch")
 def remixmatch(ulb, lb, K=10, T=0.5, alpha=0.75, m=0.999, **_):
     """P10: alignment to the labelled class prior, sharpen, mixup, soft CE."""
-    prior = [r[1] for r in sorted(lb.groupBy("label").count().collect())]
-    tot = sum(prior)
-    d = al.align_ema(_probs(ulb), K, m, [p / tot for p in prior], out="probs_a")
+    d = al.align_ema(_probs(ulb), K, m, class_prior(lb, K), out="probs_a")
     d = tg.sharpen(d, "probs_a", T, out="target")
     d = rb.mixup(d.withColumn("feat", F.col("logits_w")), alpha, True, 0, target="target")
     return _finish(d.withColumn("mask", F.lit(1.0)), target="mixed_target")
 
 
 @recipe("comatch")
-def comatch(ulb, lb, K=10, T=0.5, alpha=0.9, Q=256, p_cutoff=0.95, contrast_cutoff=0.8, **_):
-    """Queue alignment, memory-bank smoothing, fixed mask, graph contrast."""
-    d = al.align_queue(_probs(ulb), K, 32, out="probs_a").withColumn("probs", F.col("probs_a")).drop("probs_a")
+def comatch(ulb, lb, K=10, T=0.5, alpha=0.9, Q=256, p_cutoff=0.95, contrast_cutoff=0.8, da_len=256, **_):
+    """Queue alignment, memory-bank smoothing, fixed mask, the smoothed
+    probabilities as soft target, graph contrast; ``T`` for bank and contrast."""
+    d = al.align_queue(_probs(ulb), K, da_len, out="probs_a").withColumn("probs", F.col("probs_a")).drop("probs_a")
     bank = bk.comatch_bank(d, _probs(lb), Q, K)
-    d = bk.smooth_bank(d, bank, K, 0.1, alpha).withColumn("probs", F.col("probs_smoothed"))
-    d = _finish(mk.mask_fixed(d, p_cutoff))
-    return cs.contrast(d, contrast_cutoff, 0.2, "probs", "feat_s", "feat")
+    d = bk.smooth_bank(d, bank, K, T, alpha).withColumn("probs", F.col("probs_smoothed"))
+    d = _finish(mk.mask_fixed(d, p_cutoff), target="probs")
+    return cs.contrast(d, contrast_cutoff, T, "probs", "feat_s", "feat")
 
 
 @recipe("simmatch")
-def simmatch(ulb, lb, K=10, T=0.1, alpha=0.9, p_cutoff=0.95, **_):
-    """Queue alignment, labelled-instance smoothing, instance CE."""
-    d = al.align_queue(_probs(ulb), K, 32, out="probs_a").withColumn("probs", F.col("probs_a")).drop("probs_a")
+def simmatch(ulb, lb, K=10, T=0.5, alpha=0.9, p_cutoff=0.95, da_len=256, **_):
+    """Queue alignment, labelled-instance smoothing as soft target, instance CE."""
+    d = al.align_queue(_probs(ulb), K, da_len, out="probs_a").withColumn("probs", F.col("probs_a")).drop("probs_a")
     bank = lb.select(F.col("idx").alias("slot"), F.col("feat").alias("bfeat"), F.col("label").alias("blabel"))
     d = bk.smooth_instances(d, bank, K, T, alpha, feat_s="feat_s").withColumn("probs", F.col("probs_smoothed"))
-    return _finish(mk.mask_fixed(d, p_cutoff))
+    return _finish(mk.mask_fixed(d, p_cutoff), target="probs")
 
 
 @recipe("crmatch")
@@ -300,10 +306,12 @@ def supervised(ulb, lb, **_):
 
 @recipe("abc")
 def abc(ulb, lb, base=None, epoch=0, epochs=1, p_cutoff=0.95, **kw):
-    """Q1: class-balanced Bernoulli masks on top of the base recipe."""
+    """Q1: class-balanced Bernoulli masks on the labels of the base recipe; the
+    loss is taken under the new mask."""
     b = (base or fixmatch)(ulb, lb, p_cutoff=p_cutoff, **kw)
     _, u_ = mk.mask_abc(lb, _probs(ulb), epoch, epochs, p_cutoff)
-    return b.join(u_.select("idx", "mask_ulb"), "idx").withColumn("weight", F.col("mask_ulb").cast("double"))
+    d = b.join(u_.select("idx", "mask_ulb"), "idx").withColumn("weight", F.col("mask_ulb").cast("double"))
+    return d.withColumn("unsup_loss", vec.ce_hard("logits_s", "pseudo_label") * F.col("weight"))
 
 
 @recipe("adsh")
@@ -317,55 +325,54 @@ def crest(ulb, lb, base=None, K=10, alpha=3.0, progressive=False, gen=0, gens=6,
     """Q3: CReST pick of confident rows (crest+ adds progressive alignment)."""
     d = _probs(ulb)
     if progressive:
-        prior = [r[1] for r in sorted(lb.groupBy("label").count().collect())]
-        tot = sum(prior)
-        d = al.align_progressive(d, K, [p / tot for p in prior], gen, gens, t_min, out="probs_a")
+        d = al.align_progressive(d, K, class_prior(lb, K), gen, gens, t_min, out="probs_a")
         d = d.withColumn("probs", F.col("probs_a"))
     pred = d.select("idx", vec.argmax("probs").alias("pred"), vec.max_prob("probs").alias("conf"))
     return rb.crest_pick(pred, lb.select("idx", "label"), K, alpha)
 
 
 @recipe("darp")
-def darp(ulb, lb, base=None, K=10, alpha=2.0, rounds=10, **_):
-    """Q4: constrained refinement of the probabilities before the target."""
-    cnt = {r["label"]: r["count"] for r in lb.groupBy("label").count().collect()}
-    n_lb, n_ulb = sum(cnt.values()), ulb.count()
-    target = [(cnt.get(k, 0) / n_lb) * n_ulb for k in range(K)]
+def darp(ulb, lb, base=None, K=10, alpha=2.0, rounds=10, **kw):
+    """Q4: constrained refinement of the probabilities; the base recipe takes
+    its mask and target from the refined ones."""
+    n_ulb = ulb.count()
+    target = [p * n_ulb for p in class_prior(lb, K)]
     est = al.refine_estimate(_probs(ulb), K, target, alpha)
     sol = al.refine_solve(est.withColumnRenamed("probs_refined", "probs"), K, target, rounds)
-    d = _probs(ulb).join(sol, "idx").withColumn("probs", F.col("probs_refined"))
-    return _finish(d.withColumn("mask", F.lit(1.0)))
+    d = _probs(ulb).join(sol, "idx").withColumn("probs", F.col("probs_refined")).drop("probs_refined")
+    return (base or fixmatch)(d, lb, K=K, **kw)
 
 
 @recipe("daso")
-def daso(ulb, lb, base=None, K=10, Q=256, T_proto=0.05, T_dist=1.5, n=3, **_):
-    """Q5: class queues → prototype similarity labels → distribution-aware blend."""
+def daso(ulb, lb, base=None, K=10, Q=256, T_proto=0.05, T_dist=1.5, n=3, **kw):
+    """Q5: class queues → prototype similarity labels → distribution-aware
+    blend, which the base recipe masks and labels."""
     queue = bk.class_queue(lb, Q, order="idx")
     d = bk.proto_probs(_probs(ulb), queue, K, T_proto)
     d = d.withColumn("pred", vec.argmax("probs")).withColumn("win", F.floor(F.col("batch_id") / F.lit(n)).cast("bigint"))
-    d = bk.blend_proto(d, bk.pl_dist(d, K, n), K, T_dist).withColumn("probs", F.col("probs_mix"))
-    return _finish(d.withColumn("mask", F.lit(1.0)))
+    d = bk.blend_proto(d, bk.pl_dist(d, K, n), K, T_dist).withColumn("probs", F.col("probs_mix")).drop("probs_mix", "probs_sim", "pred", "win")
+    return (base or fixmatch)(d, lb, K=K, **kw)
 
 
 @recipe("debiaspl")
-def debiaspl(ulb, lb=None, base=None, K=10, tau=0.4, m=0.999, p_cutoff=0.95, **_):
+def debiaspl(ulb, lb=None, base=None, K=10, tau=0.4, m=0.999, **kw):
     """Q6: debiased probabilities feed the base recipe's mask and target."""
     d = al.debias_logits(ulb, K, tau, m, "per_class", "logits_w", out="probs")
-    return _finish(mk.mask_fixed(d, p_cutoff))
+    return (base or fixmatch)(d, lb, K=K, **kw)
 
 
 @recipe("saw")
-def saw(ulb, lb, base=None, K=10, p_cutoff=0.95, **_):
-    """Q7: effective-number class weights on the consistency term."""
-    d = mk.mask_fixed(_probs(ulb), p_cutoff).withColumn("pred", vec.argmax("probs"))
+def saw(ulb, lb, base=None, K=10, **kw):
+    """Q7: effective-number weights of the pseudo-label classes multiply the
+    base recipe's consistency term."""
+    d = (base or fixmatch)(ulb, lb, K=K, **kw)
     spark = d.sparkSession
     cnt = spark.range(K).select(F.col("id").cast("int").alias("cls")).join(
-        d.groupBy(F.col("pred").alias("cls")).count().withColumnRenamed("count", "n"), "cls", "left").fillna(0, ["n"])
+        d.groupBy(F.col("pseudo_label").alias("cls")).count().withColumnRenamed("count", "n"), "cls", "left").fillna(0, ["n"])
     w = rb.effective_weights(cnt, floor_one=True)
-    warr = w.agg(F.array_sort(F.collect_list(F.struct("cls", "weight"))).alias("__s")).select(
-        F.transform("__s", lambda s: s["weight"]).alias("__w"))
-    d = _finish(d.crossJoin(F.broadcast(warr)))
-    return d.withColumn("unsup_loss", cs.weighted_ce("logits_s", "pseudo_label", "__w", "weight")).drop("__w")
+    w = w.select(F.col("cls").alias("pseudo_label"), F.col("weight").alias("__w"))
+    d = d.join(F.broadcast(w), "pseudo_label")
+    return d.withColumn("unsup_loss", F.col("unsup_loss") * F.col("__w")).drop("__w")
 
 
 @recipe("tras")
@@ -396,9 +403,7 @@ def self_train(lb: DataFrame, pool: DataFrame, K: int, gens: int = 6, alpha: flo
     labelled table is checkpointed (reliable storage), cutting the lineage."""
     from labelforge.operators.split import batch_ids
     cur = lb.select("idx", "feat", "label")
-    counts = lb_counts or [r[1] for r in sorted(lb.groupBy("label").count().collect())]
-    tot = sum(counts)
-    prior = [c / tot for c in counts]
+    prior = [c / sum(lb_counts) for c in lb_counts] if lb_counts else class_prior(lb, K)
     pool_b = batch_ids(pool.select("idx", "feat"), 64, 0, "st")
     picked = None
     for g in range(gens):
@@ -406,7 +411,7 @@ def self_train(lb: DataFrame, pool: DataFrame, K: int, gens: int = 6, alpha: flo
         scored = sc.score_prototypes(pool_b, protos, K, T, out="logits").withColumn("probs", vec.softmax("logits"))
         a = al.align_progressive(scored, K, prior, g, gens, t_min, m=0.999, out="probs_a")
         pred = a.select("idx", vec.argmax("probs_a").alias("pred"), vec.max_prob("probs_a").alias("conf"))
-        picked = rb.crest_pick(pred, lb.select("idx", "label"), K, alpha, lb_counts=counts)
+        picked = rb.crest_pick(pred, lb.select("idx", "label"), K, alpha, lb_counts=lb_counts)
         cur = (picked.join(pool.select("idx", "feat").unionByName(lb.select("idx", "feat")), "idx")
                      .select("idx", "feat", "label").checkpoint(eager=True))
     return picked.withColumn("generation", F.lit(gens))

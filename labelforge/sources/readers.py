@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VIEW_SCHEMA = "map<string, struct<ori: string, aug_0: string, aug_1: string, label: string>>"
@@ -20,15 +22,28 @@ def read_views(spark: SparkSession, path: str, with_augs: bool = True) -> DataFr
                     F.col("v.label").cast("int").alias("label"))
 
 
+def _decoded(path: Column) -> Column:
+    """A file path as its owner wrote it (Spark hands it out URL-encoded; ``+`` stands for itself)."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _class_name(path: Column, root: str) -> Column:
+    """Name of the directory directly below ``root``."""
+    return F.substring_index(F.element_at(F.split(path, f"\\Q{root.rstrip('/')}/\\E", 2), 2), "/", 1)
+
+
+def _globs(extensions: list[str] | None, glob: str) -> str:
+    return "*{" + ",".join(extensions) + "}" if extensions else glob
+
+
 def read_text_tree(spark: SparkSession, root: str, classes: dict[str, int] | None = None,
                    glob: str = "*.txt") -> DataFrame:
     """A2: one text per file, class = name of the class directory
     (``<root>/<class>/...``); ``classes`` maps names to ids (broadcast), else
     ids are the rank of the sorted names."""
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-           .text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")))
-    d = raw.withColumn("class_name", F.regexp_replace(
-        F.regexp_extract("path", rf"{root.rstrip('/')}/([^/]+)/", 1), "^[^=]*=", ""))
+           .text(root, wholetext=True).select("value", _decoded(F.col("_metadata.file_path")).alias("path")))
+    d = raw.withColumn("class_name", _class_name(F.col("path"), root))
     if classes:
         m = spark.createDataFrame(list(classes.items()), "class_name string, label int")
         return d.join(F.broadcast(m), "class_name")
@@ -37,20 +52,23 @@ def read_text_tree(spark: SparkSession, root: str, classes: dict[str, int] | Non
     return d.join(F.broadcast(names), "class_name")
 
 
-def read_labeled_csv(spark: SparkSession, path: str, label_col: str, body_cols: list[str]) -> DataFrame:
-    """A3: quoted CSV with multi-line fields; text = body columns joined by a space."""
-    d = (spark.read.option("header", "true").option("quote", '"').option("escape", '"')
-         .option("multiLine", "true").csv(path))
+def read_labeled_csv(spark: SparkSession, path: str, label_col: str, body_cols: list[str],
+                     columns: list[str] | None = None) -> DataFrame:
+    """A3: quoted CSV with multi-line fields; text = body columns joined by a space.
+    ``columns`` names the fields of a file without a header line."""
+    r = spark.read.option("quote", '"').option("escape", '"').option("multiLine", "true")
+    d = r.csv(path).toDF(*columns) if columns else r.option("header", "true").csv(path)
     return d.select(F.col(label_col).alias("label"), F.concat_ws(" ", *[F.col(c) for c in body_cols]).alias("text"))
 
 
-def index_file_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+def index_file_tree(spark: SparkSession, root: str, glob: str = "*", extensions: list[str] | None = None) -> DataFrame:
     """A4: path, size and class id (rank of the class directory name) of every
-    file below ``root/<class>/``, from file metadata only (content not read)."""
-    f = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-         .load(root).select("path", "length"))
-    f = f.withColumn("class_name", F.regexp_replace(
-        F.regexp_extract("path", rf"{root.rstrip('/')}/([^/]+)/", 1), "^[^=]*=", ""))
+    file below ``root/<class>/``, from file metadata only (content not read);
+    ``extensions`` keeps files ending in one of several."""
+    f = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+         .option("pathGlobFilter", _globs(extensions, glob))
+         .load(root).select(_decoded(F.col("_metadata.file_path")).alias("path"), "length"))
+    f = f.withColumn("class_name", _class_name(F.col("path"), root))
     names = f.select("class_name").distinct().withColumn(
         "class_id", (F.dense_rank().over(Window.orderBy("class_name")) - 1).cast("int"))
     return f.join(F.broadcast(names), "class_name")
@@ -77,10 +95,21 @@ def read_array_records(spark: SparkSession, glob: str) -> DataFrame:
 def read_results(spark: SparkSession, path: str, header_rows: int = 1) -> DataFrame:
     """Published result matrix (algorithm + one 'mean±std' column per
     setting) → long (algorithm, setting, mean, std); 'None' cells are NULL.
-    With three header rows the first holds the setting names."""
-    raw = spark.read.option("header", "true").csv(path)
+    With several header rows (dataset, label counts, ratios) a setting is the
+    header cells of its column joined by ``/``; the header rows are those
+    ahead of the body in a single file."""
     if header_rows > 1:
-        raw = raw.filter(F.col(raw.columns[0]).isNotNull() & (F.col(raw.columns[0]) != ""))
+        raw = spark.read.csv(path)
+        heads = raw.limit(header_rows).collect()
+        names = ["/".join(h[i] for h in heads if h[i]) for i in range(len(raw.columns))]
+        names = [names[0] or "algorithm", *names[1:]]
+        if len(set(names)) < len(names):
+            raise ValueError(f"header cells name a column twice: {names}")
+        first = raw.columns
+        head = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(h[c])) for c in first]) for h in heads])
+        raw = raw.filter(~head).toDF(*names)
+    else:
+        raw = spark.read.option("header", "true").csv(path)
     alg = raw.columns[0]
     settings = raw.columns[1:]
     long = raw.unpivot([alg], settings, "setting", "cell").withColumnRenamed(alg, "algorithm")

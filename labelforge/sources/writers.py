@@ -61,6 +61,6 @@ def write_views(df: DataFrame, path: str, rows_per_file: int = 1000, idx: str =
 
 
 def write_text_tree(df: DataFrame, root: str, class_col: str, name_col: str, text_col: str) -> None:
-    """Inverse of A2/A4: one file per row below ``root/<class>/``."""
+    """Inverse of A2/A4: one file per row below ``root/cls=<class>/`` (the directory name is the class)."""
     (df.select(F.col(class_col).alias("cls"), F.col(name_col).alias("name"), F.col(text_col).alias("value"))
        .write.mode("overwrite").partitionBy("cls", "name").text(root))
