@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelforge.functions import vec
+from labelforge.functions.hashing import u
 from labelforge.operators import align as al
 from labelforge.operators import bank as bk
 from labelforge.operators import split as sp
@@ -214,7 +215,7 @@ def g11_instance_ce(spark, sf_dir):
 
 @query("f9_update_bank", sql=f"""{W},
 bank AS (SELECT idx, feat AS bfeat FROM lb),
-nw AS (SELECT idx, feat_s AS nf FROM lb WHERE batch_id < 5 UNION ALL SELECT idx, feat AS nf FROM ulb WHERE batch_id = 0),
+nw AS (SELECT idx, feat_s AS nf FROM lb WHERE {q.u('idx', 'f9')} < 0.5 UNION ALL SELECT idx, feat AS nf FROM ulb WHERE {q.u('idx', 'f9')} < 0.1),
 j AS (SELECT coalesce(b.idx, n.idx) AS idx, bfeat, nf FROM bank b FULL OUTER JOIN nw n ON b.idx = n.idx),
 mx AS (SELECT idx, bfeat, nf, list_transform(generate_series(1, len(bfeat)), lambda i: 0.7 * bfeat[i] + 0.3 * nf[i]) AS mv FROM j
        WHERE bfeat IS NOT NULL AND nf IS NOT NULL)
@@ -222,10 +223,11 @@ SELECT idx, {q.rnd("list_transform(mv, lambda x: x / sqrt(" + q.dot('mv', 'mv')
 UNION ALL SELECT idx, {q.rnd('bfeat')} FROM j WHERE nf IS NULL
 UNION ALL SELECT idx, {q.rnd('nf')} FROM j WHERE bfeat IS NULL""")
 def f9_update_bank(spark, sf_dir):
+    """The new batch: by hash, half of the bank's rows seen again and a tenth of the others."""
     s = fx.scored(spark, sf_dir, with_feat=True)
     bank = s.filter("is_lb").select("idx", F.col("feat").alias("bfeat"))
-    new = (s.filter("is_lb AND batch_id < 5").select("idx", F.col("feat_s").alias("feat"))
-           .unionByName(s.filter("NOT is_lb AND batch_id = 0").select("idx", "feat")))
+    new = (s.filter(F.col("is_lb") & (u("idx", "f9") < 0.5)).select("idx", F.col("feat_s").alias("feat"))
+           .unionByName(s.filter(~F.col("is_lb") & (u("idx", "f9") < 0.1)).select("idx", "feat")))
     return bk.update_bank(bank, new, 0.7).select("idx", vec.round_arr("bfeat").alias("bfeat"))
 
 

@@ -124,9 +124,9 @@ def e2_mask_relative(spark, sf_dir):
 
 # ---- E3 ------------------------------------------------------------------------------
 
-def _flex_sql(warmup: bool) -> str:
+def _flex_sql(warmup: bool, rows: str = VISITS) -> str:
     den = "mx_all" if warmup else "mx_pos"
-    return f"""{W}, {VISITS},
+    return f"""{W}, {rows},
 nn AS (SELECT count(DISTINCT idx) AS N FROM cp),
 sel AS (SELECT idx, batch_id, pred, coalesce(lag(pred) OVER (PARTITION BY idx ORDER BY batch_id), -1) AS prev
         FROM cp WHERE conf >= 0.45),

@@ -59,7 +59,7 @@ def h3_self_train(spark, sf_dir):
     lt = _lt_lb(spark, sf_dir)
     pool = e.join(lt.select("idx"), "idx", "left_anti")
     checkpoint_dir(spark)
-    return self_train(lt, pool, K, gens=3, alpha=3.0, lb_counts=LT)
+    return self_train(lt, pool, K, gens=6, alpha=3.0, lb_counts=LT)
 
 
 @query("h4_tail_blend")

@@ -1,8 +1,8 @@
 """One query per named recipe (P1–P19, Q1–Q9) and the extension hooks.
 
-Recipes compose operators that are oracle-checked one by one; the recipe
-queries themselves are rows-only checks except fixmatch, adsh and the
-extension hooks, which have plain-SQL equivalents.
+Recipes compose operators that are oracle-checked one by one; most recipe
+queries have a plain-SQL equivalent of the whole composition, the others
+(fitted scorers, Beta draws, generations, bank recipes) are rows-only checks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from labelforge.plans import recipes as rc
 from labelforge.plans import sqlfrag as q
 from labelforge.plans import q_pseudo as _qp  # noqa: F401  (E7 oracle registered first)
 from labelforge.plans import q_rebalance as _qr  # noqa: F401  (H2 oracle registered first)
-from labelforge.plans.q_align import _lt_lb
+from labelforge.plans.q_align import K, _lt_lb
 from labelforge.plans.q_pseudo import PR, W
 from labelforge.plans.registry import query
 
@@ -66,13 +66,68 @@ def _kl_rej() -> str:
     return _kl_sql(f"({lp})", f"({qt})")
 
 
+def _flexmatch_sql() -> str:
+    s = _qp._flex_sql(True, PR)
+    m = f"CASE WHEN conf >= {CUT} * (coalesce(status, 0.0) / (2 - coalesce(status, 0.0))) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    return s[:s.rindex("SELECT idx, batch_id, round(coalesce(status")] + f"""SELECT idx, batch_id, pred AS pseudo_label,
+       round(conf, 6) AS confidence, {m} AS weight, round(({CE_S}) * {m}, 6) AS unsup_loss
+FROM cp LEFT JOIN fin USING (batch_id, pred)"""
+
+
+def _softmatch_sql() -> str:
+    from labelforge.plans.q_align import BCM
+    from labelforge.plans.q_pseudo import ema_sql
+    mul = "list_transform(generate_series(1, len(probs)), lambda i: probs[i] * ratio[i])"
+    return f"""{W}, {PR}, {BCM},
+pmod AS (SELECT cm.batch_id, cm.cls, {ema_sql('xs', 'cm.batch_id + 1', 0.9, None)} AS pm FROM cm JOIN cl USING (cls)),
+rt AS (SELECT batch_id, list((0.1::DOUBLE + 1e-6) / (pm + 1e-6) ORDER BY cls) AS ratio FROM pmod GROUP BY batch_id),
+ac AS (SELECT idx, batch_id, list_max({q.normalize_sum(mul)}) AS aconf FROM pr JOIN rt USING (batch_id)),
+bs AS (SELECT batch_id, avg(aconf) AS mu_b, var_samp(aconf) AS var_b FROM ac GROUP BY batch_id),
+bl AS (SELECT list(mu_b ORDER BY batch_id) AS ms, list(var_b ORDER BY batch_id) AS vs FROM bs),
+st AS (SELECT bs.batch_id, {ema_sql('ms', 'bs.batch_id + 1', 0.9, '0.1::DOUBLE')} AS mu,
+              {ema_sql('vs', 'bs.batch_id + 1', 0.9, '1.0::DOUBLE')} AS var FROM bs, bl),
+sw AS (SELECT idx, exp(-(least(aconf - mu, 0.0) ^ 2) / (2 * var / 4.0)) AS w FROM ac JOIN st USING (batch_id))
+SELECT idx, batch_id, pred AS pseudo_label, round(conf, 6) AS confidence, round(w, 6) AS weight,
+       round(({CE_S}) * w, 6) AS unsup_loss FROM cp JOIN sw USING (idx)"""
+
+
+def _debias_sql() -> str:
+    from labelforge.plans.registry import ORACLES
+    f5 = ORACLES["f5_debias_logits"]
+    adj = q.softmax("list_transform(generate_series(1, len(logits_w)), lambda i: logits_w[i] - 0.4 * ln(phv[i]))")
+    m = f"CASE WHEN dconf >= {CUT} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    return f5[:f5.rindex("SELECT idx,")].rstrip() + f""",
+dp AS MATERIALIZED (SELECT idx, batch_id, logits_s, {adj} AS dprobs FROM pr JOIN pv USING (batch_id)),
+dc AS (SELECT *, list_max(dprobs) AS dconf, {q.argmax('dprobs')} AS pred FROM dp)
+SELECT idx, batch_id, pred AS pseudo_label, round(dconf, 6) AS confidence, {m} AS weight,
+       round(({CE_S}) * {m}, 6) AS unsup_loss FROM dc"""
+
+
+def _saw_sql(loss: str) -> str:
+    return f"""{W}, {PR},
+c AS (SELECT r.range AS cls, greatest(count(cp.idx), 1) AS n FROM range({K}) r LEFT JOIN cp ON cp.pred = r.range GROUP BY r.range),
+b AS (SELECT avg(n) AS nn, count(*) AS kk FROM c),
+w0 AS (SELECT cls, (1 - (nn - 1) / nn) / (1 - pow((nn - 1) / nn, n)) AS w, kk FROM c, b),
+ew AS (SELECT cls, w / sum(w) OVER () * kk AS ew FROM w0)
+SELECT idx, batch_id, pred AS pseudo_label, round(conf, 6) AS confidence, {MASKD} AS weight,
+       round(({loss}) * {MASKD} * ew, 6) AS unsup_loss FROM cp JOIN ew ON ew.cls = cp.pred"""
+
+
+def _abc_sql() -> str:
+    from labelforge.plans.registry import ORACLES
+    e9 = ORACLES["e9_mask_abc"]
+    m = f"CASE WHEN conf >= {CUT} AND {q.u('idx', 's0-abc-ulb-3')} < 1 - (3 / 10.0) * (1 - ratio) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    return e9[:e9.index("SELECT idx, 'lb' AS side")] + f"""SELECT idx, batch_id, pred AS pseudo_label, round(conf, 6) AS confidence,
+       {m} AS weight, round(({CE_S}) * {m}, 6) AS unsup_loss FROM cp LEFT JOIN dist ON dist.label = cp.pred"""
+
+
 _register("p1_pseudolabel", "pseudolabel", p_cutoff=CUT, sql=_recipe_sql(
     f"{MASKD} * {WARM}", f"-({q.log_softmax('logits_w')})[pred + 1]"))
 _register("p3_uda", "uda", p_cutoff=CUT, sql=_recipe_sql(
     MASKD, f"-{q.dot(q.log_softmax('logits_s'), 'probs')}"))
-_register("p4_flexmatch", "flexmatch", p_cutoff=CUT)
+_register("p4_flexmatch", "flexmatch", p_cutoff=CUT, sql=_flexmatch_sql())
 _register("p5_freematch", "freematch", extra=("fairness",), m=0.9)
-_register("p6_softmatch", "softmatch", m=0.9)
+_register("p6_softmatch", "softmatch", m=0.9, sql=_softmatch_sql())
 _register("p7_adamatch", "adamatch", p_cutoff=0.95, m=0.9)
 _register("p8_dash", "dash")
 _register("p9_mixmatch", "mixmatch")
@@ -92,8 +147,10 @@ _register("p18_meanteacher", "meanteacher", sql=_recipe_sql(WARM, MSE))
 _register("p19_supervised", "supervised")
 _register("q4_darp", "darp", p_cutoff=CUT)
 _register("q5_daso", "daso", Q=16, p_cutoff=CUT)
-_register("q6_debiaspl", "debiaspl", m=0.9, p_cutoff=CUT)
-_register("q7_saw", "saw", p_cutoff=CUT)
+_register("q6_debiaspl", "debiaspl", m=0.9, p_cutoff=CUT, sql=_debias_sql())
+_register("q7_saw", "saw", p_cutoff=CUT, sql=_saw_sql(CE_S))
+_register("q7_saw_on_uda", "saw", base=rc.get_recipe("uda"), p_cutoff=CUT,
+          sql=_saw_sql(f"-{q.dot(q.log_softmax('logits_s'), 'probs')}"))
 _register("q8_tras", "tras", extra=("transfer_kl",), p_cutoff=CUT)
 
 
@@ -112,7 +169,7 @@ def _lt_inputs(spark, sf_dir):
     return ulb, lt
 
 
-@query("q1_abc")
+@query("q1_abc", sql=_abc_sql())
 def q1_abc(spark, sf_dir):
     ulb, lt = _lt_inputs(spark, sf_dir)
     return _out(rc.with_imbalance("fixmatch", "abc")(ulb, lt, epoch=3, epochs=10, p_cutoff=CUT))
