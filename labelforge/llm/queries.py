@@ -1,7 +1,7 @@
 """Registered queries of the package: each applies its operator to its whole table.
 
-``QUERIES`` maps a name to ``f(spark, sf_dir)``; ``ORACLES`` holds DuckDB SQL where SQL can
-express the result.
+``QUERIES`` maps a name to ``f(spark, sf_dir)``; ``ORACLES`` (of ``oracles``) holds DuckDB SQL where SQL
+can express the result.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from labelforge.llm.chat import format_trees, read_back, reply_chains, unescape
 from labelforge.llm.decontaminate import find_contamination
 from labelforge.llm.lattice_lm import score_documents
 from labelforge.llm.ngram_join import similar_documents
+from labelforge.llm.oracles import ORACLES
 from labelforge.llm.packing import pack_documents
 from labelforge.llm.quality import judge_quality
 from labelforge.llm.substring_dedup import remove_repeated_words
@@ -22,7 +23,6 @@ from labelforge.llm.token_counts import count_tokens
 from labelforge.llm.urls import judge
 
 QUERIES = {}
-ORACLES = {}
 
 
 def _query(fn):
