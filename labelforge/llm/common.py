@@ -87,6 +87,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.n
 
 def release() -> None:
     """Give memory that is free in this Python worker back to the system, before it idles."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries do it themselves
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -110,7 +111,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base^0 … base^(n-1); only up to 2^21 are kept between calls."""
+    """base^0 … base^(n-1); up to 2^21 are kept until the task ends."""
     kept = _powers.get(int(base))
     if kept is None or len(kept) < n:
         out = np.full(max(n, 1 << 16), base, np.uint64)

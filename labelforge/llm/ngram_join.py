@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.llm.common import (U64, bucket_count, checkpointed, chunks, identified, mix, pack, public_id, ragged,
-                                   run_hash, tidy, total_bytes, unpack, whitespace, word_edges)
+                                   release, run_hash, tidy, total_bytes, unpack, whitespace, word_edges)
 from labelforge.llm.components import components
 
 PART, CHUNK, PER_BUCKET = 1 << 20, 4 << 20, 4 << 20
@@ -108,6 +108,8 @@ def _route(size: int, buckets: int):
                 number, parts, held, rows_so_far = number + 1, [], 0, 0
         if parts:
             yield rows(number, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+        del parts
+        release()
     return run
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from labelforge.llm.common import checkpointed
+from labelforge.llm.common import checkpointed, release
 
 
 #: Fixed value: how the tokenizer file cuts a text before its merges.
@@ -86,6 +86,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with_id
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * with_ids
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            del rows, columns
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.vec import let
 from labelforge.llm.common import (U64, bucket_count, checkpointed, doc_key, identified, mark_of,
-                                   mix, prefix_hash, ragged, run_hash, slice_hash, tidy, total_bytes, whitespace, with_small,
+                                   mix, prefix_hash, ragged, release, run_hash, slice_hash, tidy, total_bytes, whitespace, with_small,
                                    word_edges)
 from labelforge.llm.quality import words_of
 from labelforge.llm.superkmer import (Strings, bucket_strings, chunked_rows, span_batch, spans_by_document,
@@ -135,6 +135,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()),
              pa.array(kept_texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+    release()
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

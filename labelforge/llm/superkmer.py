@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import U64, chunks, mix, pack, ragged, slice_hash, unpack
+from labelforge.llm.common import U64, chunks, mix, pack, ragged, release, slice_hash, unpack
 
 #: A packed row is settled spans (kind 0) or strings for a bucket (kind 1).
 SPANS, STRINGS = 0, 1
@@ -146,6 +146,8 @@ def chunked_rows(batches: Iterator[pa.RecordBatch], strings_of: Callable[[list[b
             parts, size = [], 0
     if parts:
         yield scatter_rows(parts, buckets, within_doc)
+    del parts
+    release()
 
 
 def bucket_strings(table: pa.Table) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
@@ -192,6 +194,8 @@ def spans_by_document(spans: DataFrame) -> DataFrame:
             yield from span_batch([tuple(h[:done] for h in held)]).to_batches()
             held = [h[done:] for h in held]
         yield from span_batch([tuple(held)]).to_batches()
+        del held
+        release()
 
     merged = (spans.repartition("doc", "mark").sortWithinPartitions("doc", "mark", "start")
               .mapInArrow(merge, "doc long, mark int, start long, end long"))
