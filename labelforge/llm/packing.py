@@ -32,6 +32,9 @@ from labelforge.llm.common import checkpointed, release
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class is the same in every Unicode version and library.
 _UNUSUAL = re.compile("[^\t-\r -~¡-įı-ɏ]")
+#: White space from which a run goes to the tokenizer: the ranked form backtracks by character and panics from 1,000,000 on.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")
 
 
 def _ranked(path: str) -> tiktoken.Encoding | None:
@@ -48,15 +51,16 @@ def _ranked(path: str) -> tiktoken.Encoding | None:
 
 class TextIds:
     """Ids of a text as the tokenizer file gives them. Texts of common characters go through the
-    ranked form of the same merges, which is several times as fast; texts with other characters
-    or special strings go through the tokenizer itself."""
+    ranked form of the same merges, which is several times as fast; texts with other characters,
+    special strings or a very long run of white space go through the tokenizer itself."""
 
     def __init__(self, path: str):
         self.tokenizer, self.ranked = Tokenizer.from_file(path), _ranked(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
-        if self.ranked is None or _UNUSUAL.search(text) or any(s in text for s in self.special):
+        if (self.ranked is None or _UNUSUAL.search(text) or any(s in text for s in self.special)
+                or len(text) >= LONG_SPACE and _LONG_SPACE.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return array("I", self.ranked.encode_ordinary(text)).tobytes()
 

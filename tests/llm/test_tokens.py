@@ -27,6 +27,21 @@ def test_random_texts_tokenize_as_the_library_does():
         assert np.frombuffer(text_ids(s), "<u4").tolist() == ids.encode(s, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\n \t"])
+def test_long_white_space_tokenizes_as_the_library_does(space):
+    ids, text_ids = Tokenizer.from_file(BYTES), TextIds(BYTES)
+    for n in (99_999, 100_000, 1_200_000):
+        s = "one" + space * (n // len(space)) + "two"
+        assert np.frombuffer(text_ids(s), "<u4").tolist() == ids.encode(s, add_special_tokens=False).ids
+
+
+def test_packing_takes_a_text_of_blanks(spark):
+    got = pack_documents(frame(spark, [(1, "one" + " " * 1_200_000 + "two", "s"), (2, "one two", "s")]), BYTES).collect()
+    want = len(Tokenizer.from_file(BYTES).encode("one" + " " * 1_200_000 + "two", add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in got if r.doc_id == 1) == want
+    assert [r.length for r in got if r.doc_id == 2] == [3]
+
+
 @pytest.mark.parametrize("kind", ["awkward", "real", "empty"])
 def test_counts(spark, kind):
     rows = {"awkward": documents(), "real": real(spark), "empty": []}[kind]
