@@ -283,7 +283,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _block_of(salt: int):
-    return F.pmod(F.xxhash64("doc", F.lit(salt)), F.col("blocks"))
+    """By set, not by id alone: the different texts of one id need not fit in one block."""
+    return F.pmod(F.xxhash64("doc", "data", F.lit(salt)), F.col("blocks"))
 
 
 def link_sets(sets: DataFrame, near: DataFrame) -> DataFrame:
@@ -329,7 +330,7 @@ def link_sets(sets: DataFrame, near: DataFrame) -> DataFrame:
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     held = (open_.join(turns, "near").withColumn("block", _block_of(99)).withColumn("turn", upto("turns"))
             .withColumns({"query": F.lit(False), "held": F.lit(True)}))
-    asked = (asking.join(turns, "near").withColumn("turn", F.pmod(F.xxhash64("doc", F.lit(98)), F.col("turns"))).withColumn("block", upto("blocks"))
+    asked = (asking.join(turns, "near").withColumn("turn", F.pmod(F.xxhash64("doc", "data", F.lit(98)), F.col("turns"))).withColumn("block", upto("blocks"))
              .withColumns({"query": F.lit(True), "held": F.lit(False)}))
     names = ["near", "block", "turn", "doc", "n", "data", "label", "query", "held"]
     both = held.select(*names).unionByName(asked.select(*names)).withColumn("cell", F.xxhash64("near", "block", "turn"))
@@ -348,8 +349,9 @@ def similar_documents(docs: DataFrame, size: int = 5) -> DataFrame:
     routed = identified(docs).mapInArrow(_route(size, buckets), ROUTED)
     ranked = routed.groupBy("bucket").applyInArrow(tidy(_rank_lists), "chunk long, kind int, data binary")
     given = checkpointed(ranked.groupBy("chunk").applyInArrow(tidy(_prefixes), "kind int, a long, b long, data binary"))
-    # equal sets: nothing in them is their document's own, and the rest is the same
-    key = F.when(F.octet_length("data") == 8 * F.col("b"), F.md5("data")).otherwise(F.col("a").cast("string"))
+    # equal sets: nothing in them is their document's own, and the rest is the same; sets with a
+    # shingle of their own are one only under one id, where the shared rest says all about links
+    key = F.when(F.octet_length("data") == 8 * F.col("b"), F.md5("data")).otherwise(F.concat_ws(":", F.col("a").cast("string"), F.md5("data")))
     able = given.where(F.col("kind") == SET).withColumn("key", key)
     sets = able.groupBy("key", F.col("b").alias("n")).agg(F.min("a").alias("doc"), F.first("data").alias("data")).select("doc", "n", "data")
     first = able.groupBy("key", "b").agg(F.min("a").alias("m"))

@@ -54,6 +54,15 @@ def test_components(spark, kind):
     assert rows_of(similar_documents(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == joined(rows)
 
 
+def test_texts_of_equal_length_under_one_id(spark):
+    text = lambda word, last: " ".join([f"{word}{k}" for k in range(59)] + [last])
+    rows = [(5, text("a", "x"), "s"), (5, text("b", "x"), "s"), (5, text("c", "x"), "s"), (6, text("a", "y"), "s"), (7, text("b", "y"), "s"),
+            (8, text("c", "y"), "s"), (None, text("d", "x"), "s"), (None, text("e", "x"), "s"), (9, text("d", "y"), "s"), (10, text("e", "y"), "s")]
+    want = joined(rows)
+    assert {c for i, _, c in want if i in (5, 6, 7, 8)} == {5} and {c for i, _, c in want if i in (9, 10)} == {None}
+    assert rows_of(similar_documents(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_large_neighbourhoods_and_hot_lists(spark, monkeypatch):
     rows = near_copies()
     monkeypatch.setattr(ngram_join, "CELL_DOCS", 16)
@@ -63,6 +72,12 @@ def test_large_neighbourhoods_and_hot_lists(spark, monkeypatch):
     assert rows_of(similar_documents(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == joined(rows)
 
 
+def test_large_neighbourhoods_with_many_texts_of_one_id(spark, monkeypatch):
+    rows = [(i if i % 3 else None if i % 2 else 9, t, s) for i, t, s in near_copies()]
+    monkeypatch.setattr(ngram_join, "CELL_DOCS", 16)
+    assert rows_of(similar_documents(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == joined(rows)
+
+
 def test_cells_find_every_component():
     r = np.random.default_rng(3)
     for trial in range(60):
