@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from labelforge.llm.chat import format_trees, read_back, reply_chains, unescape
 from labelforge.llm.decontaminate import find_contamination
 from labelforge.llm.lattice_lm import score_documents
+from labelforge.llm.merkle import merkle_manifest
 from labelforge.llm.ngram_join import similar_documents
 from labelforge.llm.oracles import ORACLES
 from labelforge.llm.packing import pack_documents
 from labelforge.llm.quality import judge_quality
+from labelforge.llm.spelling import spelling_variants
 from labelforge.llm.substring_dedup import remove_repeated_words
 from labelforge.llm.suffix_dedup import remove_repeated_bytes
 from labelforge.llm.token_counts import count_tokens
 from labelforge.llm.urls import judge
+from labelforge.llm.window_packing import pack_windows
 
 QUERIES = {}
 
@@ -96,3 +99,18 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op11_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_windows(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(_table(spark, sf_dir, "documents"))
