@@ -1,46 +1,128 @@
 """Memory banks, prototypes and similarity smoothing.
 
-Row-to-bank similarity is a blocked product: the bank is cut into blocks of
-``block`` entries (one row per block holding its entries as arrays), every
-row is paired with each block by an equi-join on the block id, and each
-(row, block) pair reduces to max-shifted partial sums. Rows then combine
-their blocks' partials (log-sum-exp), so the result is exact for any bank
-size and no N×Q pair table with features is ever materialised. A bank of
-one block is a tiny table the planner broadcasts on measured size.
+Rows stay where they are and the bank passes by them, a block of at most ``block`` entries at a
+time: each block is one row of arrays, and every row of the table folds it into running sums
+(log-sum-exp with a running maximum). The result is exact for any bank size, no row is copied or
+shuffled for a block, and a task holds one block besides its rows. Every ``PASS`` blocks the
+sums are written to the checkpoint folder, so plans stay short whatever the bank's size.
+
+A bank that changes while the batches go by is a table of entries with the ranks of the batches
+that see them (an as-of join). Rows are cut along the batches into runs; each run meets the
+entries that any of its batches sees, and a row folds only those alive at its own rank.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.functions import vec
 from labelforge.operators.ranking import default_buckets, rank_by_value
+from labelforge.operators.state import batch_ranks, cycled, materialize_small, prefix_sum
 
 BLOCK = 4096
+#: Blocks that one plan folds before the running sums are written out.
+PASS = 8
 
 
-def _blocks(bank: DataFrame, slot: str, fields: list[str], block: int) -> tuple[DataFrame, int]:
-    n = bank.count()
-    nb = max((n + block - 1) // block, 1)
-    r = rank_by_value(bank, [], slot, slot, default_buckets(bank.sparkSession), rank_col="__r",
-                      bounded_groups=False) if nb > 1 else bank.withColumn("__r", F.lit(1))
+def _blocks(bank: DataFrame, slot: str, fields: list[str], block: int, by: list[str] = ()) -> DataFrame:
+    """(…by, __blk, __items): entries of each group of ``by`` in blocks of ``block``, in slot order."""
+    by = list(by)
+    r = rank_by_value(bank, by, slot, slot, default_buckets(bank.sparkSession), rank_col="__r", bounded_groups=False)
     b = r.withColumn("__blk", F.floor((F.col("__r") - 1) / F.lit(block)).cast("int"))
-    items = b.groupBy("__blk").agg(F.collect_list(F.struct(*[F.col(c) for c in fields])).alias("__items"))
-    return items, nb
-
-
-def _pair(rows: DataFrame, items: DataFrame, nb: int) -> DataFrame:
-    r = rows.withColumn("__blk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    return r.join(items, "__blk")
-
-
-def _zeros(K: int):
-    return F.array_repeat(F.lit(0.0), K)
-
-
-def _vadd(a, b):
-    return F.zip_with(a, b, lambda x, y: x + y)
+    return b.groupBy(*by, "__blk").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in (slot, *fields)]))).alias("__items"))
+
+
+def _fold_blocks(rows: DataFrame, items: DataFrame, part: Callable[[Column], Column], by: list[str] = ()) -> DataFrame:
+    """``rows`` with ``__acc``, the merged parts of all blocks (null where no entry was seen).
+
+    Without ``by`` each block is a broadcast of one row. With ``by`` the rows are dealt out by it
+    once; the joins that follow move only the blocks.
+    """
+    by = list(by)
+    items = materialize_small(items)
+    last = items.agg(F.max("__blk")).first()[0]
+    d = rows.repartition(*by) if by else rows
+    if last is None:
+        return None
+    for i in range(last + 1):
+        one = items.where(F.col("__blk") == i).drop("__blk")
+        d = d.join(one, by, "left") if by else d.crossJoin(F.broadcast(one))
+        seen = part(F.col("__items"))
+        d = d.withColumn("__acc", seen if i == 0 else vec.let(seen, lambda p: _merge(F.col("__acc"), p))).drop("__items")
+        if i % PASS == PASS - 1 and i < last:
+            d = materialize_small(d)
+    return d
+
+
+def _weighted(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """x and y (numbers or arrays) of two parts, each taken to the common maximum."""
+    return F.zip_with(x, y, lambda p, q: p * a + q * b)
+
+
+def _merge(a: Column, b: Column) -> Column:
+    """One part of two: maxima ``m`` (``ms`` of the student), and sums relative to them."""
+    def both(top):
+        fa, fb = F.exp(a["m"] - top["m"]), F.exp(b["m"] - top["m"])
+        ga, gb = F.exp(a["ms"] - top["ms"]), F.exp(b["ms"] - top["ms"])
+        return F.struct(top["m"].alias("m"), _weighted(fa, fb, a["v"], b["v"]).alias("v"),
+                        top["ms"].alias("ms"), (a["se"] * ga + b["se"] * gb).alias("se"))
+    tops = F.struct(F.greatest(a["m"], b["m"]).alias("m"), F.greatest(a["ms"], b["ms"]).alias("ms"))
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(vec.let(tops, both))
+
+
+def _zeros(n: int):
+    return F.array_repeat(F.lit(0.0), n)
+
+
+def _part(K: int, T: float, feat: str, bfeat: str, add: Callable[[Column, Column], Column], width: int,
+          alive: Callable[[Column], Column] | None = None, feat_s: str | None = None):
+    """Part of one block: ``v`` sums ``add(entry, student similarity)`` (``width`` numbers) weighted by
+    exp(similarity − m); ``se`` is the student's sum of exponentials relative to ``ms``."""
+    def of(items: Column) -> Column:
+        def sums(its):
+            sims = F.transform(its, lambda it: vec.dot(feat, it[bfeat]) / F.lit(T))
+            student = F.transform(its, lambda it: vec.dot(feat_s, it[bfeat]) / F.lit(T)) if feat_s else F.transform(its, lambda it: F.lit(0.0))
+
+            def total(z, m, ms):
+                v = F.aggregate(z, _zeros(width), lambda acc, q: vec.let(
+                    F.exp(q["s"] - m), lambda e: F.zip_with(acc, add(q["it"], q["t"]), lambda x, y: x + e * y)))
+                return F.struct(m.alias("m"), v.alias("v"), ms.alias("ms"),
+                                F.aggregate(z, F.lit(0.0), lambda acc, q: acc + F.exp(q["t"] - ms)).alias("se"))
+            zipped = F.arrays_zip(its.alias("it"), sims.alias("s"), student.alias("t"))
+            return vec.let(zipped, lambda z: vec.let(
+                F.array_max(F.transform(z, lambda q: q["s"])), lambda m: vec.let(
+                    F.array_max(F.transform(z, lambda q: q["t"])), lambda ms: F.when(F.size(z) > 0, total(z, m, ms)))))
+        return vec.let(F.filter(items, alive) if alive else items, sums)
+    return of
+
+
+def _smoothed(rows: DataFrame, folded: DataFrame | None, K: int, alpha: float, probs: str, out: str) -> DataFrame:
+    """``out`` = α·p + (1−α)·Σ weights·entries; rows that saw no entry keep p."""
+    if folded is None:
+        return rows.withColumn(out, F.col(probs)).withColumn("instance_mass", F.lit(None).cast("array<double>")).withColumn("instance_ce", F.lit(None).cast("double"))
+    mass = F.transform(F.slice(F.col("__acc.v"), 2, K), lambda x: x / F.col("__acc.v")[0])
+    z, ws = F.element_at(F.col("__acc.v"), K + 2), F.element_at(F.col("__acc.v"), K + 3)
+    d = folded.withColumn("instance_mass", F.when(F.col("__acc").isNotNull(), mass))
+    d = d.withColumn("instance_ce", F.log(F.col("__acc.se")) + F.col("__acc.ms") - ws / z)
+    return d.withColumn(out, F.when(F.col("__acc").isNull(), F.col(probs)).otherwise(vec.lerp(probs, "instance_mass", alpha))).drop("__acc")
+
+
+def _by_probs(K: int, bprobs: str):
+    """Entries with probabilities: the weight itself, then the K probabilities (and nothing for the student)."""
+    return lambda it, t: F.concat(F.array(F.lit(1.0)), it[bprobs], _zeros(2)), K + 3
+
+
+def _by_label(K: int, blabel: str, probs: str):
+    """Entries with labels: the weight, its class, and the teacher's calibrated weight with the student's similarity."""
+    def add(it, t):
+        p = vec.element(probs, it[blabel])
+        return F.concat(F.array(F.lit(1.0)), vec.onehot(it[blabel], K), F.array(p, p * t))
+    return add, K + 3
 
 
 def smooth_bank(ulb: DataFrame, bank: DataFrame, K: int, T: float = 0.1, alpha: float = 0.9,
@@ -48,22 +130,9 @@ def smooth_bank(ulb: DataFrame, bank: DataFrame, K: int, T: float = 0.1, alpha:
                 bfeat: str = "bfeat", bprobs: str = "bprobs", out: str = "probs_smoothed",
                 block: int = BLOCK) -> DataFrame:
     """α·p + (1−α)·Σ_j softmax_j(<f, b_j>/T)·bank_probs_j."""
-    items, nb = _blocks(bank, slot, [bfeat, bprobs], block)
-    j = _pair(ulb.select(idx, feat), items, nb)
-    sims = F.transform("__items", lambda it: vec.dot(feat, it[bfeat]) / F.lit(T))
-
-    def partial(sim):
-        return vec.let(F.array_max(sim), lambda m: vec.let(F.transform(sim, lambda x: F.exp(x - m)), lambda e: F.struct(
-            m.alias("__m"), vec.vsum(e).alias("__s"),
-            F.aggregate(F.arrays_zip(e.alias("e"), F.col("__items").alias("it")), _zeros(K),
-                        lambda acc, z: F.zip_with(acc, z["it"][bprobs], lambda a, p: a + z["e"] * p)).alias("__v"))))
-    j = j.withColumn("__pt", vec.let(sims, partial))
-    part = j.groupBy(idx).agg(F.collect_list("__pt").alias("__ps"))
-    M = F.array_max(F.transform("__ps", lambda p: p["__m"]))
-    S = F.aggregate("__ps", F.lit(0.0), lambda a, p: a + p["__s"] * F.exp(p["__m"] - M))
-    V = F.aggregate("__ps", _zeros(K), lambda a, p: F.zip_with(a, p["__v"], lambda x, y: x + y * F.exp(p["__m"] - M)))
-    mix = part.select(idx, F.transform(V, lambda x: x / S).alias("__mix"))
-    return ulb.join(mix, idx).withColumn(out, vec.lerp(probs, "__mix", alpha)).drop("__mix")
+    add, width = _by_probs(K, bprobs)
+    folded = _fold_blocks(ulb, _blocks(bank, slot, [bfeat, bprobs], block), _part(K, T, feat, bfeat, add, width))
+    return _smoothed(ulb, folded, K, alpha, probs, out).drop("instance_mass", "instance_ce")
 
 
 def comatch_bank(ulb: DataFrame, lb: DataFrame, Q: int, K: int, feat: str = "feat", probs: str = "probs",
@@ -88,49 +157,123 @@ def smooth_instances(ulb: DataFrame, bank: DataFrame, K: int, T: float = 0.1, al
     label → ``probs_smoothed`` = α·p + (1−α)·mass; with ``feat_s`` also the
     instance-similarity CE of the student view against the calibrated
     teacher (teacher prob × class prob of the bank row's label)."""
-    items, nb = _blocks(bank, slot, [bfeat, blabel], block)
-    cols = [idx, feat, probs] + ([feat_s] if feat_s else [])
-    j = _pair(ulb.select(*cols), items, nb)
-    sims = F.transform("__items", lambda it: vec.dot(feat, it[bfeat]) / F.lit(T))
-    its = F.col("__items")
-
-    def partial(sim):
-        def with_e(m, e):
-            z = F.arrays_zip(e.alias("e"), its.alias("it"))
-            agg = F.aggregate(z, _zeros(K), lambda acc, q: F.transform(
-                F.sequence(F.lit(0), F.lit(K - 1)),
-                lambda k: F.element_at(acc, k + 1) + F.when(q["it"][blabel] == k, q["e"]).otherwise(F.lit(0.0))))
-            out = [m.alias("m"), vec.vsum(e).alias("s"), agg.alias("agg")]
-            if feat_s:
-                ss = F.transform("__items", lambda it: vec.dot(feat_s, it[bfeat]) / F.lit(T))
-
-                def student(ssv):
-                    zz = F.arrays_zip(e.alias("e"), its.alias("it"), ssv.alias("ss"))
-                    wf = lambda q: q["e"] * vec.element(probs, q["it"][blabel])
-                    return vec.let(F.array_max(ssv), lambda ms: F.struct(
-                        ms.alias("ms"), vec.vsum(F.transform(ssv, lambda x: F.exp(x - ms))).alias("se"),
-                        F.aggregate(zz, F.lit(0.0), lambda a, q: a + wf(q)).alias("z"),
-                        F.aggregate(zz, F.lit(0.0), lambda a, q: a + wf(q) * q["ss"]).alias("ws")))
-                out.append(vec.let(ss, student).alias("st"))
-            return F.struct(*out)
-        return vec.let(F.array_max(sim), lambda m: vec.let(F.transform(sim, lambda x: F.exp(x - m)),
-                                                           lambda e: with_e(m, e)))
-    j = j.withColumn("__pt", vec.let(sims, partial))
-    part = j.groupBy(idx).agg(F.collect_list("__pt").alias("__ps"))
-    M = F.array_max(F.transform("__ps", lambda p: p["m"]))
-    sc = lambda p: F.exp(p["m"] - M)
-    S = F.aggregate("__ps", F.lit(0.0), lambda a, p: a + p["s"] * sc(p))
-    AGG = F.aggregate("__ps", _zeros(K), lambda a, p: F.zip_with(a, p["agg"], lambda x, y: x + y * sc(p)))
-    sel = [idx, F.transform(AGG, lambda x: x / S).alias("__mass")]
-    if feat_s:
-        Ms = F.array_max(F.transform("__ps", lambda p: p["st"]["ms"]))
-        lse = F.log(F.aggregate("__ps", F.lit(0.0), lambda a, p: a + p["st"]["se"] * F.exp(p["st"]["ms"] - Ms))) + Ms
-        Z = F.aggregate("__ps", F.lit(0.0), lambda a, p: a + p["st"]["z"] * sc(p))
-        WS = F.aggregate("__ps", F.lit(0.0), lambda a, p: a + p["st"]["ws"] * sc(p))
-        sel.append((lse - WS / Z).alias("instance_ce"))
-    res = part.select(*sel)
-    out = ulb.join(res, idx).withColumn("probs_smoothed", vec.lerp(probs, "__mass", alpha))
-    return out.withColumnRenamed("__mass", "instance_mass")
+    add, width = _by_label(K, blabel, probs)
+    folded = _fold_blocks(ulb, _blocks(bank, slot, [bfeat, blabel], block), _part(K, T, feat, bfeat, add, width, feat_s=feat_s))
+    out = _smoothed(ulb, folded, K, alpha, probs, "probs_smoothed")
+    return out if feat_s else out.drop("instance_ce")
+
+
+# ---- banks as of the batch -----------------------------------------------------------------
+
+def _queue_stream(ulb: DataFrame, lb: DataFrame, K: int, feat: str, probs: str, label: str, batch: str, idx: str) -> tuple[DataFrame, DataFrame]:
+    """Entries (__rank, side, idx, bfeat, bprobs) as a pass puts them into the bank: the unlabelled
+    batch, then its labelled batch (labelled batches repeat)."""
+    ranks = materialize_small(batch_ranks(ulb, batch))
+    u = ulb.select(batch, F.lit(0).alias("__side"), idx, F.col(feat).alias("bfeat"), F.col(probs).alias("bprobs"))
+    l = lb.select(batch, F.lit(1).alias("__side"), idx, F.col(feat).alias("bfeat"), vec.onehot(label, K).alias("bprobs"))
+    s = u.unionByName(cycled(l, lb, ulb, batch).select(*u.columns))
+    return s.join(ranks, batch).drop(batch), ranks
+
+
+def smooth_bank_asof(ulb: DataFrame, lb: DataFrame, Q: int, K: int, T: float = 0.1, alpha: float = 0.9, warm: int = 0,
+                     feat: str = "feat", probs: str = "probs", label: str = "label", batch: str = "batch_id",
+                     idx: str = "idx", out: str = "probs_smoothed", block: int = BLOCK) -> DataFrame:
+    """F7 with the bank each batch finds: the last ``Q`` entries that earlier batches have put in.
+
+    Entries are numbered in the order of the stream, so the bank of a batch is an interval of
+    numbers. Runs of batches as long as the bank meet the blocks of their intervals: an entry
+    is met by about two runs, whatever the number of batches. Rows of the first batch, of
+    batches up to rank ``warm`` and of a bank without entries keep their probabilities.
+    """
+    entries, ranks = _queue_stream(ulb, lb, K, feat, probs, label, batch, idx)
+    sizes = entries.groupBy("__rank").agg(F.count(F.lit(1)).alias("__n"))
+    ends = materialize_small(prefix_sum(sizes, [], "__rank", ["__n"]).select("__rank", (F.col("__n_cum") - F.col("__n")).alias("__hi"), "__n"))
+    mean = ends.agg(F.avg("__n")).first()[0]
+    if mean is None:
+        return ulb.withColumn(out, F.col(probs))
+    run = max(1, round(Q / mean))
+    place = F.row_number().over(Window.partitionBy("__rank").orderBy("__side", idx)) - 1  # a batch is bounded
+    numbered = entries.join(ends.select("__rank", "__hi"), "__rank").withColumn("seq", F.col("__hi") + place)
+    stored = (numbered.withColumn("__at", F.floor(F.col("seq") / block)).groupBy("__at")
+              .agg(F.sort_array(F.collect_list(F.struct("seq", "bfeat", "bprobs"))).alias("__items")))
+    seen = ends.select("__rank", "__hi", F.greatest(F.col("__hi") - Q, F.lit(0)).alias("__lo"), F.floor(F.col("__rank") / run).alias("__run"))
+    seen = seen.where((F.col("__rank") > warm) & (F.col("__hi") > 0))
+    needs = seen.groupBy("__run").agg(F.floor(F.min("__lo") / block).alias("a"), F.floor((F.max("__hi") - 1) / block).alias("b"))
+    needs = needs.select("__run", F.posexplode(F.sequence("a", "b")).alias("__blk", "__at"))
+    items = needs.join(stored, "__at").drop("__at")
+    alive = lambda it: (it["seq"] >= F.col("__lo")) & (it["seq"] < F.col("__hi"))
+    add, width = _by_probs(K, "bprobs")
+    bounds = ranks.join(seen, "__rank", "left").drop("__rank")
+    rows = ulb.join(bounds, batch, "left")
+    folded = _fold_blocks(rows, items, _part(K, T, feat, "bfeat", add, width, alive), ["__run"])
+    return _smoothed(rows, folded, K, alpha, probs, out).drop("instance_mass", "instance_ce", "__lo", "__hi", "__run")
+
+
+def bank_versions(visits: DataFrame, m: float = 0.7, idx: str = "idx", feat: str = "feat", label: str = "label",
+                  rank: str = "__rank") -> DataFrame:
+    """F9 over a pass: every state that a bank entry has had, (idx, label, since, until, bfeat).
+
+    ``visits`` (rank, idx, feat, label) are the labelled rows as their batches go by. An entry is
+    the row's feature after its first visit and normalise(m·old + (1−m)·new) after each later one;
+    the batches of ranks since..until find it so. Each partition is read through once, in order of
+    (idx, rank), and keeps one entry; a visit that changes nothing makes no version.
+    """
+    schema = f"{idx} long, {label} int, since long, until long, bfeat array<double>"
+    never = (1 << 62)
+
+    def fold(batches):
+        now = None  # idx, label, since, state
+        for b in batches:
+            rows = []
+            for i, r, f, y in zip(b[idx], b[rank], b[feat], b[label], strict=True):
+                f = np.asarray(f, dtype=float)
+                if now is None or now[0] != i:
+                    if now is not None:
+                        rows.append((*now[:3], never, now[3].tolist()))
+                    now = (i, y, r + 1, f)
+                    continue
+                state = m * now[3] + (1 - m) * f
+                state = state / max(float(np.sqrt(state @ state)), 1e-12)
+                if np.abs(state - now[3]).max() > 1e-12 or y != now[1]:
+                    rows.append((*now[:3], r, now[3].tolist()))
+                    now = (i, y, r + 1, state)
+            yield pd.DataFrame(rows, columns=[idx, label, "since", "until", "bfeat"])
+        if now is not None:
+            yield pd.DataFrame([(*now[:3], never, now[3].tolist())], columns=[idx, label, "since", "until", "bfeat"])
+
+    ordered = visits.select(F.col(idx).cast("long").alias(idx), F.col(rank).cast("long").alias(rank), feat, F.col(label).cast("int").alias(label))
+    return materialize_small(ordered.repartition(idx).sortWithinPartitions(idx, rank).mapInPandas(fold, schema))
+
+
+def labelled_visits(ulb: DataFrame, lb: DataFrame, feat: str = "feat", label: str = "label", batch: str = "batch_id", idx: str = "idx") -> DataFrame:
+    """(__rank, idx, feat, label): the labelled batch that goes by with each unlabelled batch."""
+    return cycled(lb.select(batch, idx, feat, label), lb, ulb, batch).join(batch_ranks(ulb, batch), batch).drop(batch)
+
+
+def smooth_instances_asof(ulb: DataFrame, lb: DataFrame, versions: DataFrame, K: int, T: float = 0.1, alpha: float = 0.9,
+                          feat: str = "feat", feat_s: str | None = None, probs: str = "probs", label: str = "label",
+                          batch: str = "batch_id", idx: str = "idx", block: int = BLOCK) -> DataFrame:
+    """F8 (+G11) with the labelled bank each batch finds: ``versions`` (of ``bank_versions``) joined as
+    of the batch's rank. Runs are as long as one pass over the labelled batches, so a run meets
+    an entry in about two states. Rows whose bank is empty keep their probabilities."""
+    ranks = materialize_small(batch_ranks(ulb, batch))
+    top = ranks.agg(F.max("__rank")).first()[0]
+    if top is None:
+        return ulb.withColumn("probs_smoothed", F.col(probs))
+    run = max(1, lb.select(batch).distinct().count())
+    of = lambda c: F.floor(c / run)
+    met = versions.where((F.col("since") <= top) & (F.col("since") <= F.col("until"))).select(
+        F.explode(F.sequence(of(F.col("since")), of(F.least(F.col("until"), F.lit(top))))).alias("__run"),
+        # one slot for each state: states of one entry follow each other
+        F.struct(F.col(idx).alias("i"), "since").alias("__key"), "since", "until", "bfeat", F.col(label).alias("blabel"))
+    met = met.withColumn("slot", F.xxhash64("__key.i", "__key.since")).drop("__key")
+    items = _blocks(met, "slot", ["since", "until", "bfeat", "blabel"], block, ["__run"])
+    alive = lambda it: (it["since"] <= F.col("__rank")) & (F.col("__rank") <= it["until"])
+    add, width = _by_label(K, "blabel", probs)
+    rows = ulb.join(ranks.withColumn("__run", of(F.col("__rank"))), batch)
+    folded = _fold_blocks(rows, items, _part(K, T, feat, "bfeat", add, width, alive, feat_s), ["__run"])
+    out = _smoothed(rows, folded, K, alpha, probs, "probs_smoothed").drop("__rank", "__run")
+    return out if feat_s else out.drop("instance_ce")
 
 
 def update_bank(bank: DataFrame, new: DataFrame, m: float = 0.7, idx: str = "idx", feat: str = "bfeat",

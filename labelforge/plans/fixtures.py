@@ -34,12 +34,12 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("idx"), vec.as_double("embedding").alias("feat"), F.col("label"))
 
 
-def strong_view(feat: str = "feat", idx: str = "idx") -> Column:
-    """Dimensions whose md5(idx-dim) is 0 mod 4 are zeroed (dim 0-based)."""
+def strong_view(feat: str = "feat", idx: str = "idx", salt: str = "", every: int = 4) -> Column:
+    """Dimensions whose md5(idx-dim) is 0 mod ``every`` are zeroed (dim 0-based); another ``salt`` makes another view."""
     def f(x, i):
-        h = F.conv(F.substring(F.md5(F.concat(F.col(idx).cast("string"), F.lit("-"), i.cast("string"))), 1, 8),
+        h = F.conv(F.substring(F.md5(F.concat(F.col(idx).cast("string"), F.lit("-"), i.cast("string"), F.lit(salt))), 1, 8),
                    16, 10).cast("bigint")
-        return F.when(F.pmod(h, F.lit(4)) == 0, F.lit(0.0)).otherwise(x)
+        return F.when(F.pmod(h, F.lit(every)) == 0, F.lit(0.0)).otherwise(x)
     return F.transform(F.col(feat), f)
 
 
@@ -51,16 +51,22 @@ def split(spark: SparkSession, sf_dir: str, n: int = N_PER_CLASS, seed: int = SE
 
 
 def scored(spark: SparkSession, sf_dir: str, n: int = N_PER_CLASS, seed: int = SEED,
-           B: int = B_ULB, B_lb: int = B_LB, T: float = T_PROTO, with_feat: bool = False) -> DataFrame:
-    """idx, label, is_lb, batch_id, pos, logits_w, logits_s [, feat, feat_s]."""
+           B: int = B_ULB, B_lb: int = B_LB, T: float = T_PROTO, with_feat: bool = False, more_views: bool = False) -> DataFrame:
+    """idx, label, is_lb, batch_id, pos, logits_w, logits_s [, feat, feat_s]
+    [, feat_s2, logits_s2 (second strong view), logits_m (medium view: half as many dimensions gone)]."""
     s = split(spark, sf_dir, n, seed)
     P = F.broadcast(prototype_matrix(fit_prototypes(s.filter("is_lb")), K_EMB))
     d = s.withColumn("feat_s", strong_view()).crossJoin(P)
     d = (d.withColumn("logits_w", F.transform("__P", lambda p: F.coalesce(vec.dot(p, "feat") / F.lit(T), F.lit(0.0))))
           .withColumn("logits_s", F.transform("__P", lambda p: F.coalesce(vec.dot(p, "feat_s") / F.lit(T), F.lit(0.0))))
-          .drop("__P", "rn"))
+          .drop("rn"))
+    if more_views:
+        d = d.withColumn("feat_s2", strong_view(salt="-b")).withColumn("__m", strong_view(salt="-m", every=8))
+        logits = lambda f: F.transform("__P", lambda p: F.coalesce(vec.dot(p, f) / F.lit(T), F.lit(0.0)))
+        d = d.withColumn("logits_s2", logits("feat_s2")).withColumn("logits_m", logits("__m"))
+    d = d.drop("__P", "__m")
     if not with_feat:
-        d = d.drop("feat", "feat_s")
+        d = d.drop("feat", "feat_s", "feat_s2")
     # one ranking for both sides: labelled rows in batches of B_lb, unlabelled in batches of B
     key = F.md5(F.concat(F.when(F.col("is_lb"), F.lit(f"s{seed}-lb-")).otherwise(F.lit(f"s{seed}-ulb-")),
                          F.col("idx").cast("string")))

@@ -201,7 +201,7 @@ SELECT idx, {q.rnd("list_transform(generate_series(1, len(probs)), lambda i: 0.9
 FROM pr JOIN mass USING (idx)""")
 def f8_smooth_instances(spark, sf_dir):
     lb = _lb(spark, sf_dir, True).select(F.col("idx").alias("slot"), F.col("feat").alias("bfeat"), F.col("label").alias("blabel"))
-    s = bk.smooth_instances(_ulb(spark, sf_dir, True), lb, K, 0.1, 0.9)
+    s = bk.smooth_instances(_ulb(spark, sf_dir, True), lb, K, 0.1, 0.9, block=16)
     return s.select("idx", vec.round_arr("probs_smoothed").alias("probs_smoothed"))
 
 
@@ -209,7 +209,7 @@ def f8_smooth_instances(spark, sf_dir):
 SELECT idx, round(lse - ws / z, 6) AS instance_ce FROM tot""")
 def g11_instance_ce(spark, sf_dir):
     lb = _lb(spark, sf_dir, True).select(F.col("idx").alias("slot"), F.col("feat").alias("bfeat"), F.col("label").alias("blabel"))
-    s = bk.smooth_instances(_ulb(spark, sf_dir, True), lb, K, 0.1, 0.9, feat_s="feat_s")
+    s = bk.smooth_instances(_ulb(spark, sf_dir, True), lb, K, 0.1, 0.9, feat_s="feat_s", block=16)
     return s.select("idx", F.round("instance_ce", 6).alias("instance_ce"))
 
 

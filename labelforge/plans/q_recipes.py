@@ -23,8 +23,8 @@ from labelforge.plans.registry import query
 CUT = 0.45
 
 
-def _inputs(spark, sf_dir):
-    s = fx.scored(spark, sf_dir, with_feat=True)
+def _inputs(spark, sf_dir, more_views=False):
+    s = fx.scored(spark, sf_dir, with_feat=True, more_views=more_views)
     return s.filter(~F.col("is_lb")), s.filter("is_lb")
 
 
@@ -37,9 +37,9 @@ def _out(d, extra=()):
     return out
 
 
-def _register(key, name, extra=(), sql=None, **params):
+def _register(key, name, extra=(), sql=None, more_views=False, **params):
     def run(spark, sf_dir):
-        ulb, lb = _inputs(spark, sf_dir)
+        ulb, lb = _inputs(spark, sf_dir, more_views)
         return _out(rc.get_recipe(name)(ulb, lb, **params), extra)
     run.__doc__ = f"Recipe {name} on the scored embeddings."
     query(key, sql=sql)(run)
@@ -121,6 +121,77 @@ def _abc_sql() -> str:
        {m} AS weight, round(({CE_S}) * {m}, 6) AS unsup_loss FROM cp LEFT JOIN dist ON dist.label = cp.pred"""
 
 
+def _aligned_sql() -> str:
+    """CTEs up to ``al``: idx, batch_id, r (batch rank), pa (probabilities aligned by a queue of four batches)."""
+    from labelforge.plans.q_align import BCM
+    mul = "list_transform(generate_series(1, len(probs)), lambda i: probs[i] * ratio[i])"
+    return f"""{W}, {PR}, {BCM}, {q.CYCLE}, {q.more_views()},
+pmod AS (SELECT batch_id, cls, sum(x) OVER (PARTITION BY cls ORDER BY batch_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / 4.0 AS pm FROM cm),
+rt AS (SELECT batch_id, list((0.1::DOUBLE + 1e-6) / (pm + 1e-6) ORDER BY cls) AS ratio FROM pmod GROUP BY batch_id),
+al AS MATERIALIZED (SELECT idx, batch_id, r, feat, feat_s, feat_s2, logits_s, {q.normalize_sum(mul)} AS pa
+       FROM pr JOIN rt USING (batch_id) JOIN ub USING (batch_id) JOIN views USING (idx))"""
+
+
+_SMOOTH = "list_transform(generate_series(1, len(pa)), lambda i: 0.9 * pa[i] + 0.1 * mixv[i])"
+
+
+def _labelled_sql(extra: str) -> str:
+    """Final select over ``sm`` (idx, batch_id, logits_s, sp: smoothed probabilities)."""
+    m = f"CASE WHEN list_max(sp) >= {CUT} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    return f"""SELECT idx, batch_id, {q.argmax('sp')} AS pseudo_label, round(list_max(sp), 6) AS confidence, {m} AS weight,
+       round(-{q.dot(q.log_softmax('logits_s'), 'sp')} * {m}, 6) AS unsup_loss, {extra}"""
+
+
+def _comatch_sql() -> str:
+    onehot = f"list_transform(generate_series(0, {K - 1}), lambda c: CASE WHEN c = label THEN 1.0 ELSE 0.0 END::DOUBLE)"
+    return _aligned_sql() + f""",
+ent AS (SELECT r, 0 AS side, idx, feat AS bfeat, pa AS bprobs FROM al
+        UNION ALL SELECT ub.r, 1, lb.idx, lb.feat, {onehot} FROM cyc JOIN ub USING (batch_id) JOIN lb ON lb.batch_id = cyc.lb),
+st AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY r, side, idx) - 1 AS seq FROM ent),
+hi AS (SELECT r, min(seq) AS hi FROM st GROUP BY r),
+pairs AS (SELECT a.idx, {q.dot('a.feat', 's.bfeat')} / 0.5 AS sim, s.bprobs FROM al a JOIN hi ON hi.r = a.r
+          JOIN st s ON s.seq < hi.hi AND s.seq >= hi.hi - 120 WHERE a.r > 1),
+mx AS (SELECT idx, max(sim) AS m FROM pairs GROUP BY idx),
+wt AS (SELECT p.idx, exp(sim - m) AS e, bprobs FROM pairs p JOIN mx USING (idx)),
+sx AS (SELECT idx, sum(e) AS s FROM wt GROUP BY idx),
+vk AS (SELECT idx, k, sum(e * bp) AS v FROM (SELECT idx, e, unnest(generate_series(0, len(bprobs) - 1)) AS k, unnest(bprobs) AS bp FROM wt) GROUP BY idx, k),
+mix AS (SELECT idx, list(v / s ORDER BY k) AS mixv FROM vk JOIN sx USING (idx) GROUP BY idx),
+sm AS MATERIALIZED (SELECT al.*, CASE WHEN mixv IS NULL THEN pa ELSE {_SMOOTH} END AS sp FROM al LEFT JOIN mix USING (idx)),
+gp AS (SELECT a.idx, exp({q.dot('a.feat_s', 'b.feat_s2')} / 0.5) AS e, CASE WHEN a.idx = b.idx THEN 1.0 ELSE {q.dot('a.sp', 'b.sp')} END AS qv
+       FROM sm a JOIN sm b USING (batch_id)),
+gq AS (SELECT idx, e, CASE WHEN qv >= 0.2 THEN qv ELSE 0.0 END AS qv FROM gp),
+gs AS (SELECT idx, sum(e) AS se, sum(qv) AS sq FROM gq GROUP BY idx),
+gc AS (SELECT idx, -sum(ln(e / se + 1e-7) * (qv / sq)) AS contrast FROM gq JOIN gs USING (idx) GROUP BY idx)
+{_labelled_sql('round(contrast, 6) AS contrast')} FROM sm JOIN gc USING (idx)"""
+
+
+def _bank_sql() -> str:
+    """CTE ver: states of the labelled bank, by recursion over an entry's visits."""
+    mixed = "list_transform(generate_series(1, len(state)), lambda i: 0.7 * state[i] + 0.3 * feat[i])"
+    return f"""vis AS (SELECT lb.idx, lb.label, lb.feat, ub.r, row_number() OVER (PARTITION BY lb.idx ORDER BY ub.r) AS k
+        FROM cyc JOIN ub USING (batch_id) JOIN lb ON lb.batch_id = cyc.lb),
+bnk(idx, label, k, r, state) AS (
+    SELECT idx, label, k, r, feat FROM vis WHERE k = 1
+    UNION ALL
+    SELECT idx, label, k, r, list_transform(mv, lambda x: x / greatest(sqrt({q.dot('mv', 'mv')}), 1e-12))
+    FROM (SELECT v.idx, v.label, v.k, v.r, {mixed} AS mv FROM bnk b JOIN vis v ON v.idx = b.idx AND v.k = b.k + 1)),
+ver AS MATERIALIZED (SELECT b.idx, b.label, b.state, b.r + 1 AS since, coalesce(n.r, 1000000000) AS until
+        FROM bnk b LEFT JOIN vis n ON n.idx = b.idx AND n.k = b.k + 1)"""
+
+
+def _simmatch_sql() -> str:
+    return _aligned_sql().replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_bank_sql()},
+pairs AS (SELECT a.idx, v.label AS bl, {q.dot('a.feat', 'v.state')} / 0.5 AS sim, {q.dot('a.feat_s', 'v.state')} / 0.5 AS ss, a.pa[v.label + 1] AS pl
+          FROM al a JOIN ver v ON v.since <= a.r AND a.r <= v.until),
+mx AS (SELECT idx, max(sim) AS m, max(ss) AS ms FROM pairs GROUP BY idx),
+wt AS (SELECT p.*, exp(sim - m) AS e, exp(ss - ms) AS es, ms FROM pairs p JOIN mx USING (idx)),
+tot AS (SELECT idx, sum(e) AS s, ln(sum(es)) + any_value(ms) AS lse, sum(e * pl) AS z, sum(e * pl * ss) AS ws FROM wt GROUP BY idx),
+agg AS (SELECT idx, c.range AS k, sum(CASE WHEN bl = c.range THEN e ELSE 0.0 END) AS a FROM wt, range({K}) c GROUP BY idx, k),
+mass AS (SELECT idx, list(a / s ORDER BY k) AS mixv, any_value(lse - ws / z) AS ice FROM agg JOIN tot USING (idx) GROUP BY idx),
+sm AS (SELECT al.*, ice, CASE WHEN mixv IS NULL THEN pa ELSE {_SMOOTH} END AS sp FROM al LEFT JOIN mass USING (idx))
+{_labelled_sql('round(ice, 6) AS instance_ce')} FROM sm"""
+
+
 _register("p1_pseudolabel", "pseudolabel", p_cutoff=CUT, sql=_recipe_sql(
     f"{MASKD} * {WARM}", f"-({q.log_softmax('logits_w')})[pred + 1]"))
 _register("p3_uda", "uda", p_cutoff=CUT, sql=_recipe_sql(
@@ -132,8 +203,8 @@ _register("p7_adamatch", "adamatch", p_cutoff=0.95, m=0.9)
 _register("p8_dash", "dash")
 _register("p9_mixmatch", "mixmatch")
 _register("p10_remixmatch", "remixmatch", m=0.9)
-_register("p11_comatch", "comatch", extra=("contrast",), Q=64, p_cutoff=CUT, contrast_cutoff=0.2)
-_register("p12_simmatch", "simmatch", p_cutoff=CUT)
+_register("p11_comatch", "comatch", extra=("contrast",), more_views=True, Q=120, p_cutoff=CUT, contrast_cutoff=0.2, da_len=4, warm=1, sql=_comatch_sql())
+_register("p12_simmatch", "simmatch", extra=("instance_ce",), p_cutoff=CUT, da_len=4, sql=_simmatch_sql())
 _register("p13_crmatch", "crmatch", extra=("cos_margin",), p_cutoff=CUT,
           sql=_recipe_sql(MASKD, CE_S, f", round({COS} * w, 6) AS cos_margin"))
 _register("p14_sequencematch", "sequencematch", extra=("kl_chain",), p_cutoff=CUT)
@@ -216,6 +287,15 @@ def q9_cossl(spark, sf_dir):
     return rc.with_imbalance("fixmatch", "cossl")(ulb, lt).select("idx", "label", F.round("lam", 6).alias("lam"), "kind")
 
 
+@query("p12_simmatch_bank", sql=f"""{W}, {PR}, {q.CYCLE}, {_bank_sql()}
+SELECT idx, label, {q.rnd('state')} AS bfeat FROM ver WHERE until = 1000000000""".replace("WITH ", "WITH RECURSIVE ", 1))
+def p12_simmatch_bank(spark, sf_dir):
+    """The labelled bank that P12 leaves behind (F9 after every batch)."""
+    ulb, lb = _inputs(spark, sf_dir)
+    last = rc.simmatch_bank(ulb, lb).where(F.col("until") == 1 << 62)
+    return last.select("idx", "label", vec.round_arr("bfeat").alias("bfeat"))
+
+
 @query("u2_pluggable_steps", sql=f"""{W}, {PR}
 SELECT idx, CASE WHEN conf >= {CUT} THEN 1 ELSE 0 END AS mask, pred AS pseudo_label FROM cp""")
 def u2_pluggable_steps(spark, sf_dir):

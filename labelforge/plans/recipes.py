@@ -229,22 +229,29 @@ def remixmatch(ulb, lb, K=10, T=0.5, alpha=0.75, m=0.999, **_):
 
 
 @recipe("comatch")
-def comatch(ulb, lb, K=10, T=0.5, alpha=0.9, Q=256, p_cutoff=0.95, contrast_cutoff=0.8, da_len=256, **_):
-    """Queue alignment, memory-bank smoothing, fixed mask, the smoothed
-    probabilities as soft target, graph contrast; ``T`` for bank and contrast."""
+def comatch(ulb, lb, K=10, T=0.5, alpha=0.9, Q=256, p_cutoff=0.95, contrast_cutoff=0.8, da_len=256, warm=0,
+            feat_s="feat_s", feat_s2="feat_s2", **_):
+    """Queue alignment, smoothing by the memory bank as each batch finds it (the aligned,
+    unsmoothed probabilities go in), fixed mask, the smoothed probabilities as soft target,
+    contrast of the two strong views over the pseudo-label graph; ``T`` for bank and contrast.
+    Batches up to rank ``warm`` are not smoothed."""
     d = al.align_queue(_probs(ulb), K, da_len, out="probs_a").withColumn("probs", F.col("probs_a")).drop("probs_a")
-    bank = bk.comatch_bank(d, _probs(lb), Q, K)
-    d = bk.smooth_bank(d, bank, K, T, alpha).withColumn("probs", F.col("probs_smoothed"))
+    d = bk.smooth_bank_asof(d, _probs(lb), Q, K, T, alpha, warm).withColumn("probs", F.col("probs_smoothed"))
     d = _finish(mk.mask_fixed(d, p_cutoff), target="probs")
-    return cs.contrast(d, contrast_cutoff, T, "probs", "feat_s", "feat")
+    return cs.contrast(d, contrast_cutoff, T, "probs", feat_s, feat_s2)
+
+
+def simmatch_bank(ulb, lb, m=0.7, **_):
+    """P12's labelled bank over the pass: every state of every entry with the ranks that see it."""
+    return bk.bank_versions(bk.labelled_visits(ulb, lb), m)
 
 
 @recipe("simmatch")
-def simmatch(ulb, lb, K=10, T=0.5, alpha=0.9, p_cutoff=0.95, da_len=256, **_):
-    """Queue alignment, labelled-instance smoothing as soft target, instance CE."""
+def simmatch(ulb, lb, K=10, T=0.5, alpha=0.9, p_cutoff=0.95, da_len=256, m=0.7, feat_s="feat_s", **_):
+    """Queue alignment, smoothing by the labelled bank as each batch finds it (F9 after every
+    batch), the smoothed probabilities as soft target, instance CE of the strong view (G11)."""
     d = al.align_queue(_probs(ulb), K, da_len, out="probs_a").withColumn("probs", F.col("probs_a")).drop("probs_a")
-    bank = lb.select(F.col("idx").alias("slot"), F.col("feat").alias("bfeat"), F.col("label").alias("blabel"))
-    d = bk.smooth_instances(d, bank, K, T, alpha, feat_s="feat_s").withColumn("probs", F.col("probs_smoothed"))
+    d = bk.smooth_instances_asof(d, lb, simmatch_bank(ulb, lb, m), K, T, alpha, feat_s=feat_s).withColumn("probs", F.col("probs_smoothed"))
     return _finish(mk.mask_fixed(d, p_cutoff), target="probs")
 
 

@@ -55,9 +55,9 @@ def entropy(l: str) -> str:
     return f"(-{vsum(f'list_transform({l}, lambda p: CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0 END)')})"
 
 
-def strong_view(feat: str = "feat", idx: str = "idx") -> str:
-    h = f"('0x' || substring(md5(CAST({idx} AS VARCHAR) || '-' || CAST(i - 1 AS VARCHAR)), 1, 8))::BIGINT"
-    return f"list_transform({feat}, lambda x, i: CASE WHEN {h} % 4 = 0 THEN 0.0::DOUBLE ELSE x END)"
+def strong_view(feat: str = "feat", idx: str = "idx", salt: str = "", every: int = 4) -> str:
+    h = f"('0x' || substring(md5(CAST({idx} AS VARCHAR) || '-' || CAST(i - 1 AS VARCHAR) || '{salt}'), 1, 8))::BIGINT"
+    return f"list_transform({feat}, lambda x, i: CASE WHEN {h} % {every} = 0 THEN 0.0::DOUBLE ELSE x END)"
 
 
 def fixture_ctes(n: int = N_PER_CLASS, seed: int = SEED, B: int = B_ULB, B_lb: int = B_LB,
@@ -86,3 +86,10 @@ lb AS (SELECT * FROM pred WHERE is_lb)"""
 CYCLE = """ub AS (SELECT batch_id, row_number() OVER (ORDER BY batch_id) - 1 AS r FROM (SELECT DISTINCT batch_id FROM cp)),
 lbn AS (SELECT batch_id AS lb, row_number() OVER (ORDER BY batch_id) - 1 AS r FROM (SELECT DISTINCT batch_id FROM prl)),
 cyc AS (SELECT ub.batch_id, lbn.lb FROM ub JOIN lbn ON lbn.r = ub.r % (SELECT count(*) FROM lbn))"""
+
+
+def more_views(T: float = T_PROTO) -> str:
+    """CTE views: idx with feat_s2, logits_s2 and logits_m (see ``fixtures.scored``)."""
+    logits = lambda f: f"list_transform(P, lambda q: {dot('q', f)} / {T!r})"
+    return f"""vw AS MATERIALIZED (SELECT idx, {strong_view(salt='-b')} AS feat_s2, {strong_view(salt='-m', every=8)} AS feat_m FROM sp),
+views AS MATERIALIZED (SELECT idx, feat_s2, {logits('feat_s2')} AS logits_s2, {logits('feat_m')} AS logits_m FROM vw CROSS JOIN pmat)"""
