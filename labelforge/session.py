@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,11 +58,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path object): the cluster's own access to ``path``, whatever its store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    sub = tempfile.mktemp(prefix=f"{name}-", dir="") if "://" in base else None
-    if sub is None:
-        os.makedirs(base, exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-    return f"{base.rstrip('/')}/{sub}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
+    return path

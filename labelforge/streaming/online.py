@@ -1,70 +1,116 @@
 """Online labeller over a stream of scored micro-batches.
 
-Each micro-batch is one training batch. Class-level state is a small table
-versioned by the micro-batch id (``state/epoch=N``): a micro-batch reads the
-newest version older than itself and overwrites its own version and its own
-output partition, so a replayed micro-batch (after a failure) recomputes the
-same rows instead of applying an update twice. Per-row state (FlexMatch's
-remembered labels) is an append-only log keyed by (idx, epoch).
+Each micro-batch is one training batch. Class-level state is a handful of numbers for each class:
+one aggregate row of the micro-batch comes to the driver, and the new state is written to
+``state/<epoch>.json`` in the shared folder. Micro-batch ids follow each other, so a
+micro-batch reads the version before its own by path; its time does not grow with the number of
+versions. It overwrites its own version and its own output partition, so a replayed micro-batch
+(after a failure) recomputes the same rows instead of applying an update twice.
+
+State of rows (S2's remembered labels) and of windows (S5) is Spark's keyed state, kept by
+RocksDB on the executors and committed with the micro-batch.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from labelforge.functions import vec
-from labelforge.session import scratch_path
+from labelforge.session import file_system, scratch_path
 
+#: Parts of a class that are cut to their newest rows before the class comes together.
+SALTS = 16
 
-# ---- plumbing ---------------------------------------------------------------------------------
-
-def _fs_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+# ---- plumbing ---------------------------------------------------------------------------------
 
 def write_stream_input(df: DataFrame, order_col: str, path: str) -> None:
-    """Materialise ``df`` as one parquet file per value of ``order_col``,
-    written in order, so a file source with maxFilesPerTrigger=1 replays the
-    batches in sequence. Only the distinct batch ids reach the driver."""
-    ids = [r[0] for r in df.select(order_col).distinct().orderBy(order_col).collect()]
-    for b in ids:
-        df.filter(F.col(order_col) == b).coalesce(1).write.mode("overwrite").parquet(f"{path}/part_{int(b):09d}")
+    """Materialise ``df`` as one parquet file per value of ``order_col`` so that a file source with
+    maxFilesPerTrigger=1 replays the batches in sequence: one job writes all files, and their
+    modification times, by which the source orders them, are then set a millisecond apart."""
+    df.withColumn("__part", F.col(order_col).cast("long")).repartition("__part").write.mode("overwrite").partitionBy("__part").parquet(path)
+    fs, p = file_system(df.sparkSession, path)
+    parts = sorted((int(s.getPath().getName().split("=")[1]), s.getPath()) for s in fs.listStatus(p) if s.isDirectory())
+    now = max((s.getModificationTime() for s in fs.listStatus(p)), default=0)
+    for k, (_, folder) in enumerate(parts):
+        for s in fs.listStatus(folder):
+            fs.setTimes(s.getPath(), now + k, -1)
+
+
+def _source(spark: SparkSession, src: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+
+
+@contextlib.contextmanager
+def _keyed_state(spark: SparkSession):
+    """Keyed state goes to RocksDB with change logs; a query takes the settings when it starts, and the session gets its own back."""
+    ours = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    try:
+        for k, v in ours.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _run(stream: DataFrame, fn: Callable[[DataFrame, int], None], ckpt: str, mode: str = "append") -> None:
+    """Drive ``fn`` over all micro-batches that are available, then stop."""
+    with _keyed_state(stream.sparkSession):
+        q = stream.writeStream.outputMode(mode).foreachBatch(fn).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
 def run_stream(spark: SparkSession, src: str, schema, fn: Callable[[DataFrame, int], None], ckpt: str) -> None:
-    """Drive ``fn`` over the files of ``src``, one file per micro-batch, until
-    everything available is processed (trigger availableNow)."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    """``fn`` over the files of ``src``, one file per micro-batch, until everything available is processed."""
+    _run(_source(spark, src, schema), fn, ckpt)
 
 
-def _previous(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
-    """State written by the newest micro-batch before ``epoch`` (None at the start)."""
-    if not _fs_exists(spark, path):
+def _load(spark: SparkSession, path: str, epoch: int) -> dict | None:
+    """State that micro-batch ``epoch`` left behind; None before the first."""
+    if epoch < 0:
         return None
-    s = spark.read.parquet(path).filter(F.col("epoch") < epoch)
-    last = s.agg(F.max("epoch")).first()[0]
-    return None if last is None else s.filter(F.col("epoch") == last).drop("epoch")
+    fs, p = file_system(spark, f"{path}/{epoch}.json")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _store(spark: SparkSession, path: str, epoch: int, state: dict) -> None:
+    fs, p = file_system(spark, f"{path}/{epoch}.json")
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(json.dumps(state).encode()))
+    finally:
+        stream.close()
 
 
 def _put(df: DataFrame, path: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def _vector(df: DataFrame, col: str, out: str) -> DataFrame:
-    return df.agg(F.array_sort(F.collect_list(F.struct("cls", col))).alias("__s")).select(
-        F.transform("__s", lambda s: s[col]).alias(out))
+def _numbers(values) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _class_means(K: int, col: str) -> list:
+    """Mean of each element of an array column, as one aggregate row."""
+    return [F.avg(F.col(col)[k]).alias(f"{col}_{k}") for k in range(K)]
+
+
+def _ema(m: float, old: list[float] | None, new: list[float]) -> list[float]:
+    return list(new) if old is None else [m * a + (1 - m) * b for a, b in zip(old, new, strict=True)]
 
 
 # ---- S1: online EMA alignment + fixed mask -------------------------------------------------------
@@ -78,19 +124,15 @@ def stream_align(spark: SparkSession, src: str, schema, K: int, m: float = 0.999
 
     def step(df: DataFrame, epoch: int) -> None:
         d = df.withColumn("probs", vec.softmax(logits))
-        x = d.select(F.posexplode("probs").alias("cls", "p")).groupBy("cls").agg(F.avg("p").alias("x"))
-        prev = _previous(spark, st, epoch)
-        if prev is None:
-            new = x.select("cls", F.col("x").alias("pm"))
-        else:
-            new = x.join(prev, "cls").select("cls", (F.lit(m) * F.col("pm") + F.lit(1 - m) * F.col("x")).alias("pm"))
-        new = new.cache()
-        _put(new, st, epoch)
-        r = _vector(new.withColumn("r", (F.lit(1.0 / K) + 1e-6) / (F.col("pm") + 1e-6)), "r", "__ratio")
-        a = d.crossJoin(F.broadcast(r)).withColumn("probs_aligned", vec.normalize_sum(vec.mul("probs", "__ratio")))
+        state = _load(spark, st, epoch - 1) or {"pm": None}
+        x = d.agg(*_class_means(K, "probs")).first()
+        if x[0] is not None:  # an empty micro-batch changes nothing
+            state["pm"] = _ema(m, state["pm"], list(x))
+        _store(spark, st, epoch, state)
+        ratio = _numbers([(1.0 / K + 1e-6) / (p + 1e-6) for p in state["pm"] or [1.0 / K] * K])
+        a = d.withColumn("probs_aligned", vec.normalize_sum(vec.mul("probs", ratio)))
         a = a.withColumn("mask", (vec.max_prob("probs_aligned") >= F.lit(cutoff)).cast("int"))
         _put(a.select("idx", "batch_id", "probs_aligned", "mask"), out, epoch)
-        new.unpersist()
 
     run_stream(spark, src, schema, step, f"{work}/ckpt")
     return spark.read.parquet(out).drop("epoch")
@@ -106,26 +148,17 @@ def stream_selfadaptive(spark: SparkSession, src: str, schema, K: int, m: float
 
     def step(df: DataFrame, epoch: int) -> None:
         d = df.withColumn("probs", vec.softmax(logits)).withColumn("conf", vec.max_prob("probs")) \
-              .withColumn("pred", vec.argmax("probs"))
-        x = (d.select("pred", "conf", F.posexplode("probs").alias("cls", "p")).groupBy("cls")
-               .agg(F.avg("p").alias("pm_b"), F.avg((F.col("pred") == F.col("cls")).cast("double")).alias("h_b"),
-                    F.avg("conf").alias("t_b")))
-        prev = _previous(spark, st, epoch)
-        if prev is None:
-            prev = x.select("cls", F.lit(1.0 / K).alias("p_model"), F.lit(1.0 / K).alias("label_hist"),
-                            F.lit(1.0 / K).alias("time_p"))
-        mm = F.lit(m)
-        new = x.join(prev, "cls").select(
-            "cls", (mm * F.col("p_model") + (1 - mm) * F.col("pm_b")).alias("p_model"),
-            (mm * F.col("label_hist") + (1 - mm) * F.col("h_b")).alias("label_hist"),
-            (mm * F.col("time_p") + (1 - mm) * F.col("t_b")).alias("time_p")).cache()
-        _put(new, st, epoch)
-        mx = new.agg(F.max("p_model").alias("__mx"))
-        thr = new.crossJoin(F.broadcast(mx)).select(F.col("cls").alias("pred"),
-                                                    (F.col("time_p") * (F.col("p_model") / F.col("__mx"))).alias("threshold"))
-        a = d.join(F.broadcast(thr), "pred").withColumn("mask", (F.col("conf") >= F.col("threshold")).cast("int"))
+              .withColumn("pred", vec.argmax("probs")).withColumn("hit", vec.onehot("pred", K))
+        state = _load(spark, st, epoch - 1) or {"p_model": [1.0 / K] * K, "label_hist": [1.0 / K] * K, "time_p": 1.0 / K}
+        x = d.agg(F.avg("conf"), *_class_means(K, "probs"), *_class_means(K, "hit")).first()
+        if x[0] is not None:
+            state = {"time_p": _ema(m, [state["time_p"]], [x[0]])[0], "p_model": _ema(m, state["p_model"], x[1:K + 1]),
+                     "label_hist": _ema(m, state["label_hist"], x[K + 1:])}
+        _store(spark, st, epoch, state)
+        top = max(state["p_model"])
+        thr = _numbers([state["time_p"] * (p / top) for p in state["p_model"]])
+        a = d.withColumn("threshold", vec.element(thr, F.col("pred"))).withColumn("mask", (F.col("conf") >= F.col("threshold")).cast("int"))
         _put(a.select("idx", "batch_id", "threshold", "mask"), out, epoch)
-        new.unpersist()
 
     run_stream(spark, src, schema, step, f"{work}/ckpt")
     return spark.read.parquet(out).drop("epoch")
@@ -133,113 +166,104 @@ def stream_selfadaptive(spark: SparkSession, src: str, schema, K: int, m: float
 
 # ---- S2: online learning-status thresholds ------------------------------------------------------
 
+def _remember(cutoff: float):
+    """Keyed state of one row: the label of its last confident visit. A visit is given the label before it."""
+    def update(key, pdfs: Iterator[pd.DataFrame], state):
+        label = state.get[0] if state.exists else -1
+        for pdf in pdfs:
+            before = []
+            for conf, pred in zip(pdf["conf"], pdf["pred"], strict=True):
+                before.append(label)
+                if conf >= cutoff:
+                    label = int(pred)
+            pdf["prev"] = before
+            yield pdf
+        state.update((label,))
+    return update
+
+
 def stream_flex(spark: SparkSession, src: str, schema, K: int, N: int, cutoff: float = 0.95,
                 warmup: bool = True, work: str | None = None, probs: str = "probs") -> DataFrame:
-    """Per-row remembered label (append-only log) + bucket counts; the
+    """Per-row remembered label (keyed state) + bucket counts; the
     status before a micro-batch sets its thresholds. Equals E3."""
     work = work or scratch_path(spark, "s2")
-    cnt_p, st_p, log_p, out = f"{work}/counts", f"{work}/status", f"{work}/labels", f"{work}/out"
+    st, out = f"{work}/state", f"{work}/out"
+    visits = _source(spark, src, schema).select("idx", "batch_id", vec.max_prob(probs).alias("conf"), vec.argmax(probs).alias("pred"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in visits.schema)
+    told = visits.groupBy("idx").applyInPandasWithState(_remember(cutoff), f"{fields}, prev int", "label int", "append", GroupStateTimeout.NoTimeout)
 
     def step(df: DataFrame, epoch: int) -> None:
-        d = df.withColumn("conf", vec.max_prob(probs)).withColumn("pred", vec.argmax(probs))
-        status = _previous(spark, st_p, epoch)
-        if status is None:
-            status = spark.range(K).select(F.col("id").cast("int").alias("cls"), F.lit(0.0).alias("status"))
-        counts = _previous(spark, cnt_p, epoch)
-        if counts is None:
-            counts = spark.range(-1, K).select(F.col("id").cast("int").alias("cls"),
-                                               F.when(F.col("id") == -1, F.lit(N)).otherwise(F.lit(0)).cast("bigint").alias("cnt"))
-        thr = status.select(F.col("cls").alias("pred"), (F.lit(cutoff) * F.col("status") / (2 - F.col("status"))).alias("threshold"))
-        a = d.join(F.broadcast(thr), "pred").withColumn("mask", (F.col("conf") >= F.col("threshold")).cast("int"))
-        _put(a.select("idx", "batch_id", F.col("threshold"), "mask"), out, epoch)
-        sel = d.filter(F.col("conf") >= F.lit(cutoff)).select("idx", "pred")
-        if _fs_exists(spark, log_p):
-            hist = spark.read.parquet(log_p).filter(F.col("epoch") < epoch).join(sel.select("idx"), "idx", "left_semi")
-            w = Window.partitionBy("idx").orderBy(F.col("epoch").desc())
-            last = hist.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select("idx", F.col("label").alias("prev"))
-            sel2 = sel.join(last, "idx", "left")
-        else:
-            sel2 = sel.withColumn("prev", F.lit(None).cast("int"))
-        sel2 = sel2.withColumn("prev", F.coalesce("prev", F.lit(-1))).cache()
-        _put(sel2.select("idx", F.col("pred").alias("label")), log_p, epoch)
-        delta = (sel2.select(F.col("pred").alias("cls"), F.lit(1).alias("d"))
-                 .unionByName(sel2.select(F.col("prev").alias("cls"), F.lit(-1).alias("d")))
-                 .groupBy("cls").agg(F.sum("d").alias("d")))
-        new_cnt = counts.join(delta, "cls", "left").select("cls", (F.col("cnt") + F.coalesce("d", F.lit(0))).cast("bigint").alias("cnt")).cache()
-        _put(new_cnt, cnt_p, epoch)
-        mx = new_cnt.agg(F.max("cnt").alias("mx_all"), F.max(F.when(F.col("cls") >= 0, F.col("cnt"))).alias("mx_pos"))
-        den = F.col("mx_all") if warmup else F.col("mx_pos")
-        ns = (new_cnt.filter("cls >= 0").crossJoin(F.broadcast(mx)).join(status.withColumnRenamed("status", "__old"), "cls")
-              .select("cls", F.when(F.col("mx_all") < N, F.col("cnt") / den).otherwise(F.col("__old")).alias("status")))
-        _put(ns, st_p, epoch)
-        sel2.unpersist()
-        new_cnt.unpersist()
-
-    run_stream(spark, src, schema, step, f"{work}/ckpt")
+        state = _load(spark, st, epoch - 1) or {"counts": [N] + [0] * K, "status": [0.0] * K}  # counts[0]: rows without a label
+        thr = _numbers([cutoff * a / (2 - a) for a in state["status"]])
+        a = df.withColumn("threshold", vec.element(thr, F.col("pred"))).withColumn("mask", (F.col("conf") >= F.col("threshold")).cast("int"))
+        chosen = (F.col("conf") >= F.lit(cutoff)).cast("int")
+        moves = [F.sum(chosen * ((F.col("pred") == k).cast("int") - (F.col("prev") == k).cast("int"))) for k in range(-1, K)]
+        a = a.persist()  # the state is read once for both uses
+        _put(a.select("idx", "batch_id", "threshold", "mask"), out, epoch)
+        delta = a.agg(*moves).first()
+        a.unpersist()
+        counts = [c + (d or 0) for c, d in zip(state["counts"], delta, strict=True)]
+        if max(counts) < N:
+            den = max(counts) if warmup else max(counts[1:])
+            state["status"] = [c / den for c in counts[1:]]
+        _store(spark, st, epoch, {"counts": counts, "status": state["status"]})
+
+    _run(told, step, f"{work}/ckpt")
     return spark.read.parquet(out).drop("epoch")
 
 
 # ---- S4: per-class bounded feature queue ------------------------------------------------------------
 
+def newest(df: DataFrame, by: list[str], Q: int, order: list) -> DataFrame:
+    """The first ``Q`` rows by ``order`` in each group; Spark cuts each task's rows before the shuffle."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= Q).drop("__r")
+
+
 def stream_class_queue(spark: SparkSession, src: str, schema, Q: int, work: str | None = None,
-                       feat: str = "feat", label: str = "label", seq: str = "seq") -> DataFrame:
-    """Keyed state per class holding its latest Q features; emits the
-    class prototype (mean) after every micro-batch (update mode). The final
-    emitted prototype per class equals F12."""
+                       feat: str = "feat", label: str = "label", seq: str = "seq", salts: int = SALTS) -> DataFrame:
+    """A table of each class's latest ``Q`` features, versioned by micro-batch; emits the
+    class prototype (mean) after every micro-batch. The final emitted prototype per class equals F12.
+
+    A class first comes together in ``salts`` parts, each cut to its newest ``Q`` rows; the state
+    then meets at most salts × Q rows of a class, whatever share of the stream it has. Equal
+    ``seq`` are ordered by the feature.
+    """
     work = work or scratch_path(spark, "s4")
-    out = f"{work}/out"
-    state_schema = "seqs array<bigint>, feats array<array<double>>"
-    out_schema = f"{label} int, n bigint, last_seq bigint, proto array<double>"
+    st, out = f"{work}/state", f"{work}/out"
+    order = [F.col(seq).desc(), F.col(feat).asc()]
 
-    def update(key, pdfs: Iterator[pd.DataFrame], state):
-        seqs, feats = ([], []) if not state.exists else (list(state.get[0]), [list(f) for f in state.get[1]])
-        for pdf in pdfs:
-            pdf = pdf.sort_values(seq)
-            seqs.extend(int(s) for s in pdf[seq])
-            feats.extend([list(map(float, f)) for f in pdf[feat]])
-        if len(seqs) > Q:
-            order = np.argsort(seqs, kind="stable")[-Q:]
-            seqs, feats = [seqs[i] for i in order], [feats[i] for i in order]
-        state.update((seqs, feats))
-        proto = np.mean(np.asarray(feats, dtype="float64"), axis=0).tolist()
-        yield pd.DataFrame({label: [int(key[0])], "n": [len(seqs)], "last_seq": [max(seqs)], "proto": [proto]})
-
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    agg = stream.groupBy(label).applyInPandasWithState(update, out_schema, state_schema, "update",
-                                                       GroupStateTimeout.NoTimeout)
-
-    def sink(df: DataFrame, epoch: int) -> None:
-        _put(df, out, epoch)
-
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{work}/ckpt")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    res = spark.read.parquet(out)
-    w = Window.partitionBy(label).orderBy(F.col("epoch").desc())
-    return res.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r", "epoch")
+    def step(df: DataFrame, epoch: int) -> None:
+        rows = df.select(label, seq, feat)
+        parts = newest(rows.withColumn("__salt", F.pmod(F.xxhash64(seq, feat), F.lit(salts))), [label, "__salt"], Q, order).drop("__salt")
+        if epoch > 0:
+            parts = parts.unionByName(spark.read.schema(rows.schema).parquet(f"{st}/epoch={epoch - 1}"))
+        kept = newest(parts, [label], Q, order).persist()
+        _put(kept, st, epoch)
+        at = kept.select(label, seq, F.posexplode(feat).alias("pos", "x")).groupBy(label, "pos").agg(
+            F.count(F.lit(1)).alias("n"), F.max(seq).alias("last_seq"), F.avg("x").alias("m"))
+        _put(at.groupBy(label).agg(F.max("n").alias("n"), F.max("last_seq").alias("last_seq"),
+                                   F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("proto")), out, epoch)
+        kept.unpersist()
+        _store(spark, f"{work}/last", 0, {"epoch": epoch})
+
+    run_stream(spark, src, schema, step, f"{work}/ckpt")
+    return spark.read.parquet(f"{out}/epoch={_load(spark, f'{work}/last', 0)['epoch']}")
 
 
 # ---- S5: pseudo-label counts per window of n batches ----------------------------------------------------
 
 def stream_label_counts(spark: SparkSession, src: str, schema, n: int, work: str | None = None,
                         probs: str = "probs", batch: str = "batch_id") -> DataFrame:
-    """Stateful count of predicted classes per window of n batches
-    (complete mode); the counts of window w are in force for window w+1."""
+    """Stateful count of predicted classes per window of n batches. A micro-batch writes the
+    windows it changed (update mode); the counts of window w are in force for window w+1."""
     work = work or scratch_path(spark, "s5")
     out = f"{work}/out"
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    agg = (stream.select(F.floor(F.col(batch) / F.lit(n)).cast("bigint").alias("win"), vec.argmax(probs).alias("cls"))
-                 .groupBy("win", "cls").agg(F.count(F.lit(1)).alias("cnt")))
-
-    def sink(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(out)
-
-    q = (agg.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{work}/ckpt")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    agg = (_source(spark, src, schema)
+           .select(F.floor(F.col(batch) / F.lit(n)).cast("bigint").alias("win"), vec.argmax(probs).alias("cls"))
+           .groupBy("win", "cls").agg(F.count(F.lit(1)).alias("cnt")))
+    _run(agg, lambda df, epoch: _put(df, out, epoch), f"{work}/ckpt", "update")
+    return spark.read.parquet(out).groupBy("win", "cls").agg(F.max_by("cnt", "epoch").alias("cnt"))
 
 
 # ---- S6: periodic evaluation and best tracking ------------------------------------------------------------
@@ -247,27 +271,22 @@ def stream_label_counts(spark: SparkSession, src: str, schema, n: int, work: str
 def stream_eval(spark: SparkSession, src: str, schema, n: int, work: str | None = None, logits: str = "logits_w",
                 truth: str = "label") -> DataFrame:
     """Every n micro-batches evaluate accuracy over the rows seen since the
-    previous evaluation and keep the best so far (state versioned by epoch)."""
+    previous evaluation and keep the best so far (state versioned by micro-batch)."""
     work = work or scratch_path(spark, "s6")
-    buf, st, out = f"{work}/buffer", f"{work}/state", f"{work}/out"
+    st, out = f"{work}/state", f"{work}/out"
 
     def step(df: DataFrame, epoch: int) -> None:
-        _put(df.select(vec.argmax(logits).alias("pred"), F.col(truth).alias("truth")), buf, epoch)
-        if (epoch + 1) % n:
-            return
-        rows = spark.read.parquet(buf).filter((F.col("epoch") > epoch - n) & (F.col("epoch") <= epoch))
-        acc = rows.agg(F.avg((F.col("pred") == F.col("truth")).cast("double")).alias("acc"))
-        prev = _previous(spark, st, epoch)
-        if prev is None:
-            new = acc.select("acc", F.col("acc").alias("best_acc"), F.lit(epoch).cast("bigint").alias("best_epoch"))
-        else:
-            new = acc.crossJoin(prev.select("best_acc", "best_epoch")).select(
-                "acc", F.greatest("acc", "best_acc").alias("best_acc"),
-                F.when(F.col("acc") > F.col("best_acc"), F.lit(epoch)).otherwise(F.col("best_epoch")).cast("bigint").alias("best_epoch"))
-        new = new.cache()
-        _put(new, st, epoch)
-        _put(new, out, epoch)
-        new.unpersist()
+        state = _load(spark, st, epoch - 1) or {"hits": 0, "rows": 0, "best_acc": None, "best_epoch": None}
+        x = df.agg(F.count_if(vec.argmax(logits) == F.col(truth)), F.count(F.lit(1))).first()
+        state["hits"], state["rows"] = state["hits"] + x[0], state["rows"] + x[1]
+        if (epoch + 1) % n == 0:
+            acc = state["hits"] / state["rows"] if state["rows"] else None
+            if acc is not None and (state["best_acc"] is None or acc > state["best_acc"]):
+                state["best_acc"], state["best_epoch"] = acc, epoch
+            row = spark.createDataFrame([(acc, state["best_acc"], state["best_epoch"])], "acc double, best_acc double, best_epoch bigint")
+            _put(row.coalesce(1), out, epoch)
+            state["hits"] = state["rows"] = 0
+        _store(spark, st, epoch, state)
 
     run_stream(spark, src, schema, step, f"{work}/ckpt")
     return spark.read.parquet(out)
