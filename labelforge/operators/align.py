@@ -8,7 +8,6 @@ into one K-vector per batch and joined to the rows on ``batch_id``.
 from __future__ import annotations
 
 import math
-import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,8 +152,8 @@ def refine_solve(df: DataFrame, K: int, target: list[float], rounds: int = 10, n
     and runs Newton on the K class equations together: one whole-table
     aggregate per step gives f and f′ for all K. Only K numbers return to the
     driver; the input is checkpointed once so no round re-reads lineage.
-    The entropy is at least 1e-6 (one-hot rows). A last round whose steps stay
-    above ``tol`` is reported as a warning."""
+    The entropy is at least 1e-6 (one-hot rows). A round whose steps stay above
+    ``tol`` raises: the probabilities are not to be used then."""
     base = df.select(idx, F.transform(probs, lambda p: p / F.lit(math.e)).alias("A"),
                      (F.lit(1.0) / F.greatest(-vec.vsum(F.transform(probs, lambda p: p * F.log(p + F.lit(EPS)))),
                                               F.lit(EPS))).alias("w"))
@@ -181,7 +180,7 @@ def refine_solve(df: DataFrame, K: int, target: list[float], rounds: int = 10, n
             moved = max(abs(s) for s in step)
             if moved < tol:
                 break
-    if not moved < tol:
-        warnings.warn(f"refine_solve: last Newton step {moved:g} is above {tol:g} after {rounds} rounds", stacklevel=2)
+        if not moved < tol:
+            raise ArithmeticError(f"the class equations did not converge: the last Newton step is {moved:g}, above {tol:g}, after {newton} steps")
     fin = with_x(y).withColumn("__Y", Yrow(y))
     return fin.select(idx, F.zip_with("A", "__Y", lambda a, v: a * F.col("X") * v).alias(out))

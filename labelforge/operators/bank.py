@@ -336,3 +336,40 @@ def blend_proto(df: DataFrame, counts: DataFrame | None, K: int, T_dist: float =
     j = d.join(c.select(win, F.col("cls").alias("__pred"), "__d"), [win, "__pred"], "left")
     wcol = F.coalesce(F.col("__d"), F.lit(0.0))
     return j.withColumn(out, F.zip_with(probs, sim, lambda p, s: (1 - wcol) * p + wcol * s)).drop("__pred", "__d")
+
+
+def _share(counts: list[int], T_dist: float) -> list[float]:
+    """Weights of the predicted classes: shares^(1/T), divided by the largest (0 where nothing was counted)."""
+    w = [c ** (1.0 / T_dist) for c in counts]
+    return [x / max(w) if max(w) > 0 else 0.0 for x in w]
+
+
+def blend_windows(df: DataFrame, K: int, n: int = 100, T_dist: float = 1.5, probs: str = "probs", sim: str = "probs_sim",
+                  batch: str = "batch_id", out: str = "probs_mix") -> DataFrame:
+    """F11 over a pass: rows are blended with the weights that the window of ``n`` batches before has left,
+    and a window's counts are those of its labels *after* blending.
+
+    Windows follow each other by definition. Rows are written once by window; each window is one
+    job over its own rows that returns K counts, and the weights in force (windows × K numbers)
+    are joined back to the rows.
+    """
+    from labelforge.session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, "blend")
+    rows = df.select(F.floor(F.col(batch) / F.lit(n)).cast("bigint").alias("__win"), probs, sim)
+    rows.write.mode("overwrite").partitionBy("__win").parquet(path)
+    kept = spark.read.schema(rows.schema).parquet(path)
+    state, weights = [0] * K, []
+    for w in sorted(r[0] for r in kept.select("__win").distinct().collect()):
+        share = _share(state, T_dist)
+        weights.append((w, share))
+        label = vec.argmax(_blended(F.array(*[F.lit(x) for x in share]), probs, sim))
+        found = {r[0]: r[1] for r in kept.where(F.col("__win") == w).groupBy(label.alias("k")).count().collect()}
+        state = [found.get(k, 0) for k in range(K)]
+    table = spark.createDataFrame(weights, "__win bigint, __share array<double>")
+    d = df.withColumn("__win", F.floor(F.col(batch) / F.lit(n)).cast("bigint")).join(table, "__win")
+    return d.withColumn(out, _blended(F.col("__share"), probs, sim)).drop("__win", "__share")
+
+
+def _blended(share: Column, probs: str, sim: str) -> Column:
+    return vec.let(vec.element(share, vec.argmax(probs)), lambda w: F.zip_with(probs, sim, lambda p, s: (1 - w) * p + w * s))

@@ -111,6 +111,18 @@ def debiased_ce(lb: DataFrame, ulb: DataFrame, cutoff: float, probs: str = "prob
     return t.withColumn("debiased", F.col("unsup") - F.col("anti_loss"))
 
 
+def proto_ce(df: DataFrame, protos: DataFrame, K: int, T: float = 0.05, feat: str = "feat", feat_s: str = "feat_s",
+             label: str = "label", out: str = "proto_ce") -> DataFrame:
+    """CE of the strong view's similarities to the class prototypes against the weak view's.
+
+    The K prototypes (K×D, bounded by classes) are one broadcast row; a class without one has similarity 0."""
+    from labelforge.operators.scorers import prototype_matrix
+    P = F.broadcast(prototype_matrix(protos, K, label).select(F.transform("__P", lambda p: vec.l2norm(p, 1e-12)).alias("__P")))
+    sim = lambda f: vec.let(vec.l2norm(f, 1e-12), lambda x: F.transform(
+        "__P", lambda p: F.coalesce(vec.dot(x, p), F.lit(0.0)) / F.lit(T)))
+    return df.crossJoin(P).withColumn(out, vec.ce_soft(sim(feat_s), vec.softmax(sim(feat)))).drop("__P")
+
+
 def transfer_kl(logits_s, logits_w, la, t_logit_of_pred, mask, T: float = 1.0) -> Column:
     """−Σ softmax((w − la·T_pred)/(2T))·log_softmax(s/T) × mask × T²."""
     adj = F.zip_with(vec._c(logits_w), vec._c(la), lambda z, a: z - a * t_logit_of_pred)

@@ -1,36 +1,24 @@
-"""Class rebalancing and self-training (H1–H6).
-
-Beta draws have no Spark expression: they come from a small Arrow-batched
-pandas UDF keyed by an md5 seed of the row, so a draw is the same on any
-partitioning and on a retried task.
-"""
+"""Class rebalancing and self-training (H1–H6). Every draw is a function of an md5 seed of the
+row, so it is the same on any partitioning and on a retried task."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.functions import vec
-from labelforge.functions.hashing import h32, u
+from labelforge.functions.beta import beta_quantile
+from labelforge.functions.hashing import u
 from labelforge.operators.ranking import default_buckets, rank_by_hash, rank_by_value
-
-
-def _beta_draws(seed: pd.Series, a: pd.Series) -> pd.Series:
-    return pd.Series([np.random.default_rng(int(s)).beta(x, x) for s, x in zip(seed, a)], dtype="float64")
-
-
-def _beta(seed: Column, a: Column) -> Column:
-    """Arrow-batched pandas UDF (built per call, so importing this module needs no session)."""
-    return F.pandas_udf(_beta_draws, "double")(seed, a)
+from labelforge.operators.state import materialize_small
 
 
 def beta_draw(key: Column, salt: str, alpha: float) -> Column:
-    """λ ~ Beta(α, α) seeded by md5(salt-key)."""
-    return _beta(h32(key, salt), F.lit(float(alpha)))
+    """λ ~ Beta(α, α) from the uniform of md5(salt-key)."""
+    return beta_quantile(u(key, salt), alpha)
 
 
 def effective_weights(counts: DataFrame, cls: str = "cls", n: str = "n", floor_one: bool = False) -> DataFrame:
@@ -87,27 +75,74 @@ def mixup(df: DataFrame, alpha: float = 0.5, bias: bool = True, seed: int = 0, f
              .drop("__pos", "__perm", "__pf", "__pt"))
 
 
+def mixup_views(parts: dict[str, DataFrame], alpha: float, seed: int = 0, feat: str = "feat", target: str = "target",
+                idx: str = "idx", batch: str = "batch_id") -> DataFrame:
+    """H5 over several views at once: the rows of all ``parts`` of a batch are permuted together and
+    share the batch's λ ≥ 1/2, so a labelled row may be mixed with any view of an unlabelled one.
+    Adds ``view`` (the part), ``partner`` ("view-idx"), ``lam``, ``mixed_feat`` and ``mixed_target``."""
+    rows = [df.select(F.lit(view).alias("view"), F.col(idx).alias("idx"), F.col(batch).alias("batch_id"), F.col(feat).alias("feat"),
+                      F.col(target).alias("target")) for view, df in parts.items()]
+    d = reduce(DataFrame.unionByName, rows).withColumn("__key", F.concat("view", F.lit("-"), F.col("idx").cast("string")))
+    return mixup(d, alpha, True, seed, idx="__key").drop("__key")
+
+
+#: Steps of the score histogram that finds where a class's pool is cut.
+STEPS = 4096
+
+
+def top_of_pool(scores: DataFrame, need: DataFrame, K: int, probs: str = "probs", label: str = "label",
+                keys: tuple[str, str] = ("side", "idx")) -> DataFrame:
+    """(label, r, …keys, pool_n): for each class of ``need`` (label, need) its ``need`` rows of highest p_c,
+    by (p_c descending, side, idx), among rows of other classes.
+
+    ``scores`` (side, idx, label or null, probs) carries no features. A histogram of p_c (a table of
+    classes × steps, counted before the shuffle) says from which step on a class has enough
+    rows; only those rows are ranked, which are little more than asked for.
+    """
+    spark = scores.sparkSession
+    wanted = F.broadcast(need)  # one row for each class
+    # only the classes that need rows are unfolded, and only as numbers
+    long = scores.select(*keys, F.col(label).alias("__own"), F.posexplode(probs).alias(label, "p")).join(wanted, label)
+    long = long.where(F.col("__own").isNull() | (F.col("__own") != F.col(label))).withColumn("step", F.floor(F.col("p") * STEPS).cast("int"))
+    hist = long.groupBy(label, "need", "step").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(label)
+    above = F.coalesce(F.sum("n").over(w.orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = hist.withColumn("above", above).withColumn("pool_n", F.sum("n").over(w)).where(F.col("above") < F.col("need"))
+    cut = cut.groupBy(label, "pool_n").agg(F.min("step").alias("from"))
+    some = long.join(F.broadcast(materialize_small(cut)), label).where(F.col("step") >= F.col("from"))
+    some = some.withColumn("__id", F.shiftleft(F.col(keys[0]).cast("long"), 62) + F.col(keys[1]))
+    ranked = rank_by_value(some, [label], "p", "__id", default_buckets(spark), descending=True, rank_col="r")
+    return ranked.where(F.col("r") <= F.col("need")).select(label, "r", *keys, "pool_n")
+
+
 def tail_blend(lb: DataFrame, ulb: DataFrame, K: int, seed: int = 0, alpha: float = 0.75,
                feat: str = "feat", probs: str = "probs", label: str = "label", idx: str = "idx") -> DataFrame:
     """H4: for each class c below the largest, (max_n − n_c) synthetic rows
-    λ·own + (1−λ)·other; own drawn with replacement from class c, other = the
-    unlabelled row with the same rank in descending p_c; λ ~ Beta(α, α)."""
+    λ·own + (1−λ)·other; own drawn with replacement from class c, other = the row with the same
+    rank in descending p_c among the unlabelled rows and the labelled rows of other classes
+    (ties: unlabelled first, then by idx); λ ~ Beta(α, α). Where that pool is shorter than what a class lacks, its
+    rows are taken again from the top. Both sides carry ``probs`` and ``feat``; ids are not negative."""
     spark = lb.sparkSession
     nb = default_buckets(spark)
     cnt = lb.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    cnt = cnt.withColumn("mx", F.max("n_c").over(Window.partitionBy(F.lit(1))))
-    gen = cnt.filter(F.col("n_c") < F.col("mx")).select(label, "n_c", F.explode(F.sequence(F.lit(1), F.col("mx") - F.col("n_c"))).alias("r"))
+    cnt = cnt.withColumn("need", F.max("n_c").over(Window.partitionBy(F.lit(1))) - F.col("n_c")).where(F.col("need") > 0)
+    cnt = materialize_small(cnt)
+    gen = cnt.select(label, "n_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("need"))).alias("r"))
     key = F.concat(F.col(label).cast("string"), F.lit("-"), F.col("r").cast("string"))
     gen = gen.withColumn("own_rn", (F.floor(u(key, f"s{seed}-own") * F.col("n_c")) + 1).cast("bigint"))
-    gen = gen.withColumn("lam", _beta(h32(key, f"s{seed}-lam"), F.lit(float(alpha))))
+    gen = gen.withColumn("lam", beta_draw(key, f"s{seed}-lam", alpha))
     own = rank_by_hash(lb.withColumn("__k", F.md5(F.concat(F.lit(f"s{seed}-tb-"), F.col(idx).cast("string")))),
                        [label], "__k", idx, nb, "own_rn")
     own = own.select(label, "own_rn", F.col(idx).alias("own_idx"), F.col(feat).alias("own_feat"))
-    long = ulb.select(idx, feat, F.posexplode(probs).alias(label, "__p"))
-    other = rank_by_value(long, [label], "__p", idx, nb, descending=True, rank_col="r")
-    other = other.select(label, "r", F.col(idx).alias("other_idx"), F.col(feat).alias("other_feat"))
-    j = gen.join(own, [label, "own_rn"]).join(other, [label, "r"])
-    return j.select(label, "r", "own_idx", "other_idx", "lam",
+    pool = ulb.select(F.lit(0).alias("side"), F.col(idx).alias("idx"), F.lit(None).cast("int").alias(label), probs, feat).unionByName(
+        lb.select(F.lit(1).alias("side"), F.col(idx).alias("idx"), F.col(label).cast("int").alias(label), probs, feat))
+    top = materialize_small(top_of_pool(pool.drop(feat), cnt.select(label, "need"), K, probs, label))
+    sizes = F.broadcast(top.groupBy(label).agg(F.max("r").alias("__have")))
+    gen = gen.join(sizes, label).withColumn("__r", (F.col("r") - 1) % F.col("__have") + 1)
+    other = top.select(label, F.col("r").alias("__r"), "side", "idx").join(pool.select("side", "idx", F.col(feat).alias("other_feat")), ["side", "idx"])
+    other = other.withColumnRenamed("side", "other_side").withColumnRenamed("idx", "other_idx")
+    j = gen.join(own, [label, "own_rn"]).join(other, [label, "__r"])
+    return j.select(label, "r", "own_idx", "other_side", "other_idx", "lam",
                     vec.lerp("own_feat", "other_feat", F.col("lam")).alias(feat))
 
 

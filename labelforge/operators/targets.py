@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions import vec
-from labelforge.operators.state import ema_scan
 
 
 def hard_label(df: DataFrame, col: str = "logits", out: str = "pseudo_label") -> DataFrame:
@@ -41,12 +40,16 @@ def temporal_ensemble(df: DataFrame, m: float, idx: str = "idx", round_col: str
                       probs: str = "probs", K: int = 10, out: str = "ens_probs") -> DataFrame:
     """Per row, EMA of its probability vector over rounds (first round = itself).
 
-    Long form (idx, class, round) → chunked EMA scan per (idx, class).
+    The rounds of a row (as many as there were passes) meet in one shuffle and are folded in order.
     """
-    long = df.select(idx, round_col, F.posexplode(probs).alias("__k", "__p"))
-    e = ema_scan(long, [idx, "__k"], round_col, "__p", m, init=None, out="__e")
-    return (e.groupBy(idx, round_col).agg(F.array_sort(F.collect_list(F.struct("__k", "__e"))).alias("__s"))
-             .select(idx, round_col, F.transform("__s", lambda s: s["__e"]).alias(out)))
+    seen = df.groupBy(idx).agg(F.array_sort(F.collect_list(F.struct(F.col(round_col).alias("r"), F.col(probs).alias("p")))).alias("__v"))
+
+    def fold(acc, v):
+        last = F.element_at(acc, -1)["p"]
+        mixed = F.zip_with(last, v["p"], lambda a, x: F.lit(m) * a + F.lit(1 - m) * x)
+        return F.concat(acc, F.array(F.struct(v["r"].alias("r"), mixed.alias("p"))))
+    folded = F.aggregate(F.slice("__v", 2, F.size("__v")), F.slice("__v", 1, 1), fold)
+    return seen.select(idx, F.explode(folded).alias("__e")).select(idx, F.col("__e.r").alias(round_col), F.col("__e.p").alias(out))
 
 
 def util_ratio(df: DataFrame, mask: str = "mask", batch: str = "batch_id") -> DataFrame:

@@ -75,6 +75,11 @@ def scored(spark: SparkSession, sf_dir: str, n: int = N_PER_CLASS, seed: int = S
     return r.withColumn("batch_id", F.floor((F.col("pos") - 1) / size).cast("bigint"))
 
 
+def longtail_head(spark: SparkSession, sf_dir: str, part: int = 5) -> int:
+    """Labelled rows of the head class: a fifth of the mean class size, whatever the table's size."""
+    return table(spark, sf_dir, "embeddings").count() // (part * K_EMB)
+
+
 def ulb_pred(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return scored(spark, sf_dir, **kw).filter(~F.col("is_lb"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelforge.functions import vec
-from labelforge.functions.hashing import u
 from labelforge.operators import align as al
 from labelforge.operators import bank as bk
+from labelforge.operators import consistency as cs
 from labelforge.operators import split as sp
 from labelforge.plans import fixtures as fx
 from labelforge.plans import sqlfrag as q
@@ -15,7 +15,8 @@ from labelforge.plans.q_pseudo import PR, W, ema_sql
 from labelforge.plans.registry import query
 
 K = fx.K_EMB
-LT = sp.longtail_counts(10, K, 10.0)
+#: Head of the long tail: a fifth of the mean class size (``fixtures.longtail_head``).
+HEAD = f"count(*) // {5 * K}"
 
 
 def _ulb(spark, sf_dir, feat=False):
@@ -28,12 +29,12 @@ def _lb(spark, sf_dir, feat=False):
 
 
 def _lt_lb(spark, sf_dir):
-    """Long-tailed labelled rows (C3 with γ=10, 10 in the head class)."""
+    """Long-tailed labelled rows (C3 with γ=10, a fifth of the mean class size in the head class)."""
     e = fx.embeddings(spark, sf_dir)
-    return sp.ssl_split_longtail(e, 10, None, K, 10.0, 1.0, seed=1).filter("split = 'lb'").drop("split", "rn")
+    return sp.ssl_split_longtail(e, fx.longtail_head(spark, sf_dir), None, K, 10.0, 1.0, seed=1).filter("split = 'lb'").drop("split", "rn")
 
 
-LT_SQL = f"""ltq AS (SELECT * FROM (VALUES {", ".join(f"({i}, {c})" for i, c in enumerate(LT))}) t(label, qlb)),
+LT_SQL = f"""ltq AS ({q.longtail(HEAD, K, 10.0)}),
 lt AS (SELECT vec_id AS idx, CAST(embedding AS DOUBLE[]) AS feat, label FROM (SELECT *, row_number() OVER (PARTITION BY label
          ORDER BY {q.md5key('vec_id', 's1')}, vec_id) AS rn FROM embeddings) JOIN ltq USING (label) WHERE rn <= qlb)"""
 
@@ -80,16 +81,15 @@ def f2_align_queue(spark, sf_dir):
     return a.select("idx", vec.round_arr("probs_aligned").alias("probs_aligned"))
 
 
-PRIOR = [c / sum(LT) for c in LT]
-PTGT = al.progressive_target(PRIOR, 2, 6, 0.5)
-
-
-@query("f3_align_progressive", sql=f"""{W}, {PR}, {BCM},
+@query("f3_align_progressive", sql=f"""{W}, {PR}, {BCM}, {LT_SQL},
 pmod AS (SELECT cm.batch_id, cm.cls, {ema_sql('xs', 'cm.batch_id + 1', 0.9, None)} AS pm FROM cm JOIN cl USING (cls)),
-tg AS (SELECT * FROM (VALUES {", ".join(f"({i}, {v!r})" for i, v in enumerate(PTGT))}) t(cls, t)),
+pw AS (SELECT label AS cls, pow(count(*) / sum(count(*)) OVER (), (1.0 - 2 / 5.0) * 1.0 + (2 / 5.0) * 0.5) AS pw FROM lt GROUP BY label),
+tg AS (SELECT cls, pw / sum(pw) OVER () AS t FROM pw),
 {_apply_sql("rt AS (SELECT batch_id, list((t + 1e-6) / (pm + 1e-6) ORDER BY cls) AS ratio FROM pmod JOIN tg USING (cls) GROUP BY batch_id)")}""")
 def f3_align_progressive(spark, sf_dir):
-    a = al.align_progressive(_ulb(spark, sf_dir), K, PRIOR, 2, 6, 0.5, m=0.9)
+    cnt = {r[0]: r[1] for r in _lt_lb(spark, sf_dir).groupBy("label").count().collect()}
+    prior = [cnt.get(k, 0) / sum(cnt.values()) for k in range(K)]
+    a = al.align_progressive(_ulb(spark, sf_dir), K, prior, 2, 6, 0.5, m=0.9)
     return a.select("idx", vec.round_arr("probs_aligned").alias("probs_aligned"))
 
 
@@ -153,11 +153,25 @@ def f6_refine_estimate(spark, sf_dir):
 
 @query("f6_refine_solve")
 def f6_refine_solve(spark, sf_dir):
-    """Rows-only check (scipy-free Newton solve); tests assert row sums 1 and class mass ≈ q."""
+    """Rows of the solved refinement; ``f6_refine_invariants`` checks what they must satisfy."""
     r = al.refine_solve(_ulb(spark, sf_dir), K, _darp_target(spark, sf_dir))
     return r.select("idx", vec.round_arr("probs_refined").alias("probs_refined"))
 
 
+@query("f6_refine_invariants", sql=f"""{W},
+nl AS (SELECT count(*) AS n_lb FROM lb), nu AS (SELECT count(*) AS n_ulb FROM ulb)
+SELECT label AS cls, n_ulb AS n_rows, CAST(0 AS BIGINT) AS bad_rows, true AS mass_met FROM lb, nl, nu GROUP BY label, n_ulb""")
+def f6_refine_invariants(spark, sf_dir):
+    """F6(b): no row's probabilities sum to anything but 1, and each class has its target mass up to the solver's tolerance."""
+    target = _darp_target(spark, sf_dir)
+    r = al.refine_solve(_ulb(spark, sf_dir), K, target).cache()
+    bad = F.count_if(F.abs(vec.vsum("probs_refined") - 1) > 1e-6)
+    whole = r.agg(F.count(F.lit(1)).alias("n_rows"), bad.alias("bad_rows"))
+    mass = r.select(F.posexplode("probs_refined").alias("cls", "p")).groupBy("cls").agg(F.sum("p").alias("mass"))
+    want = F.element_at(F.array(*[F.lit(float(t)) for t in target]), F.col("cls") + 1)
+    return mass.crossJoin(whole).select("cls", "n_rows", "bad_rows", (F.abs(F.col("mass") - want) <= 1.0).alias("mass_met"))
+
+
 # ---- F7, F8 (+G11), F9 --------------------------------------------------------------------
 
 def _comatch_bank(spark, sf_dir, Q=64):
@@ -215,19 +229,18 @@ def g11_instance_ce(spark, sf_dir):
 
 @query("f9_update_bank", sql=f"""{W},
 bank AS (SELECT idx, feat AS bfeat FROM lb),
-nw AS (SELECT idx, feat_s AS nf FROM lb WHERE {q.u('idx', 'f9')} < 0.5 UNION ALL SELECT idx, feat AS nf FROM ulb WHERE {q.u('idx', 'f9')} < 0.1),
+nw AS (SELECT idx, feat_s AS nf FROM lb UNION ALL SELECT idx, feat AS nf FROM ulb),
 j AS (SELECT coalesce(b.idx, n.idx) AS idx, bfeat, nf FROM bank b FULL OUTER JOIN nw n ON b.idx = n.idx),
 mx AS (SELECT idx, bfeat, nf, list_transform(generate_series(1, len(bfeat)), lambda i: 0.7 * bfeat[i] + 0.3 * nf[i]) AS mv FROM j
        WHERE bfeat IS NOT NULL AND nf IS NOT NULL)
 SELECT idx, {q.rnd("list_transform(mv, lambda x: x / sqrt(" + q.dot('mv', 'mv') + "))")} AS bfeat FROM mx
-UNION ALL SELECT idx, {q.rnd('bfeat')} FROM j WHERE nf IS NULL
 UNION ALL SELECT idx, {q.rnd('nf')} FROM j WHERE bfeat IS NULL""")
 def f9_update_bank(spark, sf_dir):
-    """The new batch: by hash, half of the bank's rows seen again and a tenth of the others."""
+    """The bank holds the labelled rows; every row of the table comes as new: labelled ones are mixed with
+    their entry, unlabelled ones enter."""
     s = fx.scored(spark, sf_dir, with_feat=True)
     bank = s.filter("is_lb").select("idx", F.col("feat").alias("bfeat"))
-    new = (s.filter(F.col("is_lb") & (u("idx", "f9") < 0.5)).select("idx", F.col("feat_s").alias("feat"))
-           .unionByName(s.filter(~F.col("is_lb") & (u("idx", "f9") < 0.1)).select("idx", "feat")))
+    new = s.select("idx", F.when(F.col("is_lb"), F.col("feat_s")).otherwise(F.col("feat")).alias("feat"))
     return bk.update_bank(bank, new, 0.7).select("idx", vec.round_arr("bfeat").alias("bfeat"))
 
 
@@ -275,30 +288,45 @@ def f10_proto_probs(spark, sf_dir):
 sm AS MATERIALIZED (SELECT idx, {_sim_sql('xsn')} AS ss, {_sim_sql('xn')} AS sw FROM un, qm)
 SELECT idx, round(-{q.dot(q.log_softmax('ss'), q.softmax('sw'))}, 6) AS proto_ce FROM sm""")
 def g12_proto_ce(spark, sf_dir):
-    from labelforge.operators.scorers import prototype_matrix
-    u = _ulb(spark, sf_dir, True)
-    P = F.broadcast(prototype_matrix(_queue_protos(spark, sf_dir), K))
-    sim = lambda f: F.transform("__P", lambda p: vec.dot(vec.l2norm(f, 1e-12), vec.l2norm(p, 1e-12)) / F.lit(0.05))
-    d = u.crossJoin(P).withColumn("proto_ce", vec.ce_soft(sim("feat_s"), vec.softmax(sim("feat"))))
+    d = cs.proto_ce(_ulb(spark, sf_dir, True), _queue_protos(spark, sf_dir), K, 0.05)
     return d.select("idx", F.round("proto_ce", 6).alias("proto_ce"))
 
 
-@query("f11_blend_proto", sql=f"""{W}, {PR}, {QP_SQL},
-pn AS MATERIALIZED (SELECT *, {_norm_sql('feat')} AS xn FROM pr),
-pss AS MATERIALIZED (SELECT idx, batch_id, probs, {_sim_sql('xn')} AS sims FROM pn, qm),
-ps AS (SELECT idx, batch_id, probs, {q.softmax('sims')} AS probs_sim, CAST(floor(batch_id / 3) AS BIGINT) AS win,
-              {q.argmax('probs')} AS pred FROM pss),
-cn AS (SELECT w.win + 1 AS win, CAST(c.range AS INTEGER) AS cls, count(p.idx) AS cnt FROM (SELECT DISTINCT win FROM ps) w
-       CROSS JOIN range({K}) c LEFT JOIN ps p ON p.win = w.win AND p.pred = c.range GROUP BY w.win, c.range),
-cw AS (SELECT win, cls, pow(cnt, 1.0 / 1.5) AS pw FROM cn),
-cd AS (SELECT win, cls, pw / sum(pw) OVER (PARTITION BY win) AS d FROM cw),
-cx AS (SELECT win, cls, d / max(d) OVER (PARTITION BY win) AS d FROM cd)
-SELECT idx, {q.rnd("list_transform(generate_series(1, len(probs)), lambda i: (1 - coalesce(d, 0.0)) * probs[i] + coalesce(d, 0.0) * probs_sim[i])")} AS probs_mix
-FROM ps LEFT JOIN cx ON cx.win = ps.win AND cx.cls = ps.pred""")
+def blend_sql(n: int) -> str:
+    """CTEs ps (idx, batch_id, probs, probs_sim, feat…) → mixed (idx, batch_id, pm): the windows' recursion of F11."""
+    mix = "list_transform(generate_series(1, len(probs)), lambda i: (1 - coalesce(wt[pred + 1], 0.0)) * probs[i] + coalesce(wt[pred + 1], 0.0) * probs_sim[i])"
+    zero = f"list_transform(generate_series(1, {K}), lambda i: 0.0::DOUBLE)"
+    return f"""wn AS MATERIALIZED (SELECT *, CAST(floor(batch_id / {n}) AS BIGINT) AS win, {q.argmax('probs')} AS pred FROM ps),
+wo AS (SELECT win, row_number() OVER (ORDER BY win) AS k FROM (SELECT DISTINCT win FROM wn)),
+st(k, wt) AS (
+    SELECT 1::BIGINT, {zero}
+    UNION ALL
+    SELECT k + 1, CASE WHEN list_max(pw) > 0 THEN list_transform(pw, lambda x: x / list_max(pw)) ELSE {zero} END
+    FROM (SELECT k, list(pow(cnt, 1.0 / 1.5) ORDER BY cls) AS pw
+          FROM (SELECT s.k, c.range AS cls, count(b.lab) AS cnt
+                FROM (SELECT DISTINCT k FROM st WHERE k < (SELECT max(k) FROM wo)) s CROSS JOIN range({K}) c
+                LEFT JOIN (SELECT t.k, {q.argmax(mix)} AS lab FROM st t JOIN wo USING (k) JOIN wn USING (win)) b ON b.lab = c.range
+                GROUP BY s.k, c.range)
+          GROUP BY k)),
+mixed AS MATERIALIZED (SELECT wn.*, {mix} AS pm FROM wn JOIN wo USING (win) JOIN st USING (k))"""
+
+
+SIM_SQL = f"""pn AS MATERIALIZED (SELECT *, {_norm_sql('feat')} AS xn, {_norm_sql('feat_s')} AS xsn FROM pr),
+pss AS MATERIALIZED (SELECT pn.*, {_sim_sql('xn')} AS sims, {_sim_sql('xsn')} AS sims_s FROM pn, qm),
+ps AS MATERIALIZED (SELECT *, {q.softmax('sims')} AS probs_sim FROM pss)"""
+
+
+@query("f11_blend_proto", sql=f"""{W}, {PR}, {QP_SQL}, {SIM_SQL}, {blend_sql(3)}
+SELECT idx, {q.rnd('pm')} AS probs_mix FROM mixed""".replace("WITH ", "WITH RECURSIVE ", 1))
 def f11_blend_proto(spark, sf_dir):
-    u = _ulb(spark, sf_dir, True)
-    u = bk.proto_probs(u, _queue_protos(spark, sf_dir), K, 0.05)
-    u = u.withColumn("pred", vec.argmax("probs")).withColumn("win", F.floor(F.col("batch_id") / F.lit(3)).cast("bigint"))
-    counts = bk.pl_dist(u, K, 3)
-    b = bk.blend_proto(u, counts, K, 1.5)
+    u = bk.proto_probs(_ulb(spark, sf_dir, True), _queue_protos(spark, sf_dir), K, 0.05)
+    b = bk.blend_windows(u, K, 3, 1.5)
     return b.select("idx", vec.round_arr("probs_mix").alias("probs_mix"))
+
+
+@query("f11_blend_constant", sql=f"""{W}, {PR}, {QP_SQL}, {SIM_SQL}
+SELECT idx, {q.rnd("list_transform(generate_series(1, len(probs)), lambda i: 0.5 * probs[i] + 0.5 * probs_sim[i])")} AS probs_mix FROM ps""")
+def f11_blend_constant(spark, sf_dir):
+    """The blend with one weight for all classes."""
+    u = bk.proto_probs(_ulb(spark, sf_dir, True), _queue_protos(spark, sf_dir), K, 0.05)
+    return bk.blend_proto(u, None, K, alpha=0.5).select("idx", vec.round_arr("probs_mix").alias("probs_mix"))

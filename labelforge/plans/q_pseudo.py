@@ -250,18 +250,10 @@ SELECT idx, it, round(rho, 6) AS rho,
 
 
 def _dash(spark, sf_dir, rho_min):
-    u = fx.ulb_pred(spark, sf_dir)
-    lb = fx.lb_pred(spark, sf_dir)
-    rho0 = lb.agg(F.avg(vec.ce_hard("logits_w", "label")).alias("rho0"))
-    n = u.count()
-    v = smp.epoch_sample(u, 9, 2 * n, 1).withColumn("it", F.floor((F.col("pos") - 1) / F.lit(50)).cast("bigint"))
-    v = v.crossJoin(F.broadcast(rho0))
-    rho = F.greatest(F.lit(1.0001) * F.pow(F.lit(1.27), -F.floor(F.col("it") / F.lit(10))) * F.col("rho0"),
-                     F.lit(rho_min))
-    hard = rho == F.lit(rho_min)
-    loss = F.when(hard, vec.ce_hard("logits_w", vec.argmax("logits_w"))).otherwise(
-        vec.ce_soft("logits_w", vec.softmax("logits_w", 0.5)))
-    m = v.withColumn("rho", rho).withColumn("loss", loss).withColumn("mask", (F.col("loss") <= F.col("rho")).cast("int"))
+    u, lb = fx.ulb_pred(spark, sf_dir), fx.lb_pred(spark, sf_dir)
+    rho0 = lb.agg(F.avg(vec.ce_hard("logits_w", "label"))).first()[0]
+    v = smp.epoch_sample(u, 9, 2 * u.count(), 1).withColumn("it", F.floor((F.col("pos") - 1) / F.lit(50)).cast("bigint"))
+    m = mk.mask_dash(v, rho0, 1, rho_min=rho_min, logits="logits_w", it="it")
     return m.select("idx", "it", F.round("rho", 6).alias("rho"), F.round("loss", 6).alias("loss"), "mask")
 
 
@@ -325,11 +317,8 @@ def b12_schedules(spark, sf_dir):
 
 # ---- E9 ------------------------------------------------------------------------------
 
-LT_LB = sp.longtail_counts(10, K, 10.0)
-
-
 @query("e9_mask_abc", sql=f"""{W}, {PR},
-q AS (SELECT * FROM (VALUES {", ".join(f"({i}, {c})" for i, c in enumerate(LT_LB))}) q(label, qlb)),
+q AS ({q.longtail(f"count(*) // {5 * K}", K, 10.0)}),
 lt AS (SELECT vec_id AS idx, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {q.md5key('vec_id', 's1')}, vec_id) AS rn
        FROM embeddings) JOIN q USING (label) WHERE rn <= qlb),
 cnt AS (SELECT label, count(*) AS n_c FROM lt GROUP BY label),
@@ -339,7 +328,7 @@ UNION ALL
 SELECT idx, 'ulb' AS side, CAST(conf >= 0.45 AND {q.u('idx', 's0-abc-ulb-3')} < 1 - (3 / 10.0) * (1 - ratio) AS INTEGER) AS mask
 FROM cp LEFT JOIN dist ON dist.label = cp.pred""")
 def e9_mask_abc(spark, sf_dir):
-    lt = sp.ssl_split_longtail(fx.embeddings(spark, sf_dir), 10, None, K, 10.0, 1.0, seed=1).filter("split = 'lb'")
+    lt = sp.ssl_split_longtail(fx.embeddings(spark, sf_dir), fx.longtail_head(spark, sf_dir), None, K, 10.0, 1.0, seed=1).filter("split = 'lb'")
     a, b = mk.mask_abc(lt.select("idx", "label"), _ulb(spark, sf_dir), 3, 10, 0.45)
     return (a.select("idx", F.lit("lb").alias("side"), F.col("mask_lb").alias("mask"))
              .unionByName(b.select("idx", F.lit("ulb").alias("side"), F.col("mask_ulb").alias("mask"))))

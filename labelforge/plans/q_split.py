@@ -64,31 +64,45 @@ def c1_ssl_split_lineitem(spark, sf_dir):
 
 # ---- C3 (uses C2) -------------------------------------------------------------
 
-def _lt_sql(counts_lb, counts_ulb):
-    vals = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(zip(counts_lb, counts_ulb)))
-    return f"q(label, qlb, qulb) AS (VALUES {vals})"
+def _lt_sql(gamma_lb):
+    """Quotas: heads of one and four fifths of the mean class size."""
+    head = f"count(*) // {5 * K}"
+    return f"""ql AS ({q.longtail(head, K, gamma_lb)}), qu AS ({q.longtail(f"4 * ({head})", K, 10.0, "qulb")}),
+q AS (SELECT * FROM ql JOIN qu USING (label))"""
 
 
-@query("c3_ssl_split_longtail", sql=f"""WITH {_lt_sql(sp.longtail_counts(10, K, 10.0), sp.longtail_counts(40, K, 10.0))},
+@query("c3_ssl_split_longtail", sql=f"""WITH {_lt_sql(10.0)},
 r AS (SELECT vec_id AS idx, label, row_number() OVER (PARTITION BY label ORDER BY {q.md5key('vec_id', 's1')}, vec_id) AS rn
       FROM embeddings)
 SELECT idx, label, rn, CASE WHEN rn <= qlb THEN 'lb' ELSE 'ulb' END AS split
 FROM r JOIN q USING (label) WHERE rn <= qlb + qulb""")
 def c3_ssl_split_longtail(spark, sf_dir):
-    s = sp.ssl_split_longtail(_emb(spark, sf_dir), 10, 40, K, 10.0, 10.0, seed=1)
+    head = fx.longtail_head(spark, sf_dir)
+    s = sp.ssl_split_longtail(_emb(spark, sf_dir), head, 4 * head, K, 10.0, 10.0, seed=1)
     return s.select("idx", "label", "rn", "split")
 
 
-@query("c3_ssl_split_longtail_reversed", sql=f"""WITH {_lt_sql(sp.longtail_counts(10, K, -10.0), sp.longtail_counts(40, K, 10.0))},
+@query("c3_ssl_split_longtail_reversed", sql=f"""WITH {_lt_sql(-10.0)},
 r AS (SELECT vec_id AS idx, label, row_number() OVER (PARTITION BY label ORDER BY {q.md5key('vec_id', 's1')}, vec_id) AS rn
       FROM embeddings)
 SELECT idx, label, rn, CASE WHEN rn <= qlb THEN 'lb' ELSE 'ulb' END AS split
 FROM r JOIN q USING (label) WHERE rn <= qlb + qulb""")
 def c3_ssl_split_longtail_reversed(spark, sf_dir):
-    s = sp.ssl_split_longtail(_emb(spark, sf_dir), 10, 40, K, -10.0, 10.0, seed=1)
+    head = fx.longtail_head(spark, sf_dir)
+    s = sp.ssl_split_longtail(_emb(spark, sf_dir), head, 4 * head, K, -10.0, 10.0, seed=1)
     return s.select("idx", "label", "rn", "split")
 
 
+@query("c2_longtail_counts", sql=f"""{"WITH"} a AS ({q.longtail("count(*)", K, 10.0, "n")}), b AS ({q.longtail("count(*)", K, -100.0, "n")})
+SELECT label, a.n AS n, b.n AS n_reversed FROM a JOIN b USING (label)""")
+def c2_longtail_counts(spark, sf_dir):
+    """Long-tailed class counts under the table's own row count."""
+    n = _emb(spark, sf_dir).count()
+    a, b = sp.longtail_counts(n, K, 10.0), sp.longtail_counts(n, K, -100.0)
+    counts = sp.quota_table(spark, a, "label", "n").join(sp.quota_table(spark, b, "label", "n_reversed"), "label")
+    return counts
+
+
 # ---- C4, C5, C10 ----------------------------------------------------------------
 
 @query("c4_with_labeled", sql=f"""

@@ -23,6 +23,8 @@ from labelforge.operators import masks as mk
 from labelforge.operators import rebalance as rb
 from labelforge.operators import scorers as sc
 from labelforge.operators import targets as tg
+from labelforge.operators.sample import balance_weights
+from labelforge.operators.state import cycled, materialize_small
 
 # ---- U1: registry --------------------------------------------------------------------------
 
@@ -85,16 +87,17 @@ def with_imbalance(base: str, imbalance: str) -> Callable:
 # ---- U4, U5: user functions over Arrow batches ------------------------------------------------------
 
 def augment(df: DataFrame, fn: Callable[[pd.Series], pd.Series], col: str, out: str, batch_size: int = 1024) -> DataFrame:
-    """U4: apply a user batch function to a text column in Arrow batches of
+    """U4: apply a user batch function to a text column in batches of at most
     ``batch_size`` rows (mapInPandas), adding a view column."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType(list(df.schema.fields) + [StructField(out, StringType())])
 
     def it(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[out] = fn(b[col]).astype(object)
-            yield b
+        for whole in batches:
+            for at in range(0, len(whole), batch_size):
+                b = whole.iloc[at:at + batch_size].reset_index(drop=True)
+                b[out] = fn(b[col]).astype(object)
+                yield b
     return df.mapInPandas(it, schema)
 
 
@@ -159,10 +162,16 @@ def fixmatch(ulb, lb=None, p_cutoff=0.95, align=None, **_):
 
 
 @recipe("uda")
-def uda(ulb, lb=None, p_cutoff=0.8, T=0.4, **_):
-    """Soft target = the probabilities unchanged (T ignored), mask at 0.8."""
+def uda(ulb, lb=None, p_cutoff=0.8, T=0.4, tsa_schedule="none", K=10, **_):
+    """Soft target = the probabilities unchanged (T ignored), mask at 0.8. With labelled rows,
+    ``sup_loss`` is the mean CE of the batch's labelled rows that annealing (E8) still lets count."""
     d = tg.soft_label(_probs(ulb), "probs", T, is_probs=True, out="target")
-    return _finish(mk.mask_fixed(d, p_cutoff), target="target")
+    d = _finish(mk.mask_fixed(d, p_cutoff), target="target")
+    if lb is None or "batch_id" not in lb.columns or "logits_w" not in lb.columns:
+        return d
+    turns = cycled(_probs(lb).select("batch_id", "probs", vec.ce_hard("logits_w", "label").alias("ce")), lb, ulb, "batch_id")
+    turns = mk.mask_tsa(turns, _n_batches(ulb), K, tsa_schedule)
+    return d.join(turns.groupBy("batch_id").agg(F.avg(F.col("ce") * F.col("sup_mask")).alias("sup_loss")), "batch_id", "left")
 
 
 @recipe("flexmatch")
@@ -201,31 +210,58 @@ def adamatch(ulb, lb, K=10, p_cutoff=0.95, m=0.999, **_):
 
 @recipe("dash")
 def dash(ulb, lb, rho_min=0.05, gamma=1.27, C=1.0001, T=0.5, iters_per_epoch=1, **_):
-    """Dynamic loss threshold; ρ0 = mean labelled CE."""
+    """Dynamic loss threshold; ρ0 = mean labelled CE. Until ρ has come down to ``rho_min`` the
+    target is softmax(logits/T), then the hard label; ``target`` is the one in force."""
     rho0 = lb.agg(F.avg(vec.ce_hard("logits_w", "label"))).first()[0]
     d = mk.mask_dash(_probs(ulb), rho0, iters_per_epoch, C, gamma, rho_min, T, "logits_w")
-    return _finish(d)
+    hard = F.transform("logits_w", lambda x, k: F.when(k == vec.argmax("logits_w"), F.lit(1.0)).otherwise(F.lit(0.0)))
+    d = d.withColumn("target", F.when(F.col("rho") == F.lit(rho_min), hard).otherwise(vec.softmax("logits_w", T)))
+    return _finish(d, target="target")
+
+
+def _turns(lb: DataFrame, ulb: DataFrame, K: int, feat: str = "feat") -> DataFrame:
+    """The labelled batch of every unlabelled batch, with one-hot targets."""
+    return cycled(lb.select("batch_id", "idx", F.col(feat).alias("feat"), vec.onehot("label", K).alias("target")), lb, ulb, "batch_id")
+
+
+def mixed_rows(lb: DataFrame, parts: dict[str, DataFrame], K: int, alpha: float, T_proto: float, seed: int = 0) -> DataFrame:
+    """Rows of all views mixed with each other (H5) and scored by the labelled prototypes (K1, K2) on the
+    mixed features: view, idx, batch_id, partner, lam, mixed_target, mixed_logits."""
+    m = rb.mixup_views(parts, alpha, seed)
+    return sc.score_prototypes(m, sc.fit_prototypes(lb), K, T_proto, feat="mixed_feat", out="mixed_logits")
+
+
+def _scored_mix(d: DataFrame, m: DataFrame, loss) -> DataFrame:
+    """``d`` with the mean loss of a row's mixed views, weighted by the row's mask, and the CE of the batch's labelled part."""
+    own = m.where("view <> 'lb'").groupBy("idx", "batch_id").agg(F.avg(loss).alias("__loss"))
+    sup = m.where("view = 'lb'").groupBy("batch_id").agg(F.avg(vec.ce_soft("mixed_logits", "mixed_target")).alias("sup_loss"))
+    out = _finish(d.withColumn("probs", F.col("target")), target="target")
+    out = out.join(own, ["idx", "batch_id"]).join(sup, "batch_id", "left")
+    return out.withColumn("unsup_loss", F.col("__loss") * F.col("weight")).drop("__loss")
 
 
 @recipe("mixmatch")
-def mixmatch(ulb, lb=None, T=0.5, alpha=0.5, **_):
-    """Average of views → sharpen → mixup → MSE of the strong view."""
+def mixmatch(ulb, lb, K=10, T=0.5, alpha=0.5, T_proto=0.1, unsup_warmup_ratio=0.4, seed=0, **_):
+    """The mean of two views, sharpened, labels both; labelled rows and both views are mixed
+    with each other; MSE of the mixed rows' scores, ramped by the warm-up, and ``sup_loss``."""
     d = _probs(ulb).withColumn("probs_s", vec.softmax("logits_s"))
-    d = d.withColumn("avg", F.zip_with("probs", "probs_s", lambda a, b: (a + b) / 2))
-    d = tg.sharpen(d, "avg", T, out="target")
-    d = rb.mixup(d.withColumn("feat", F.col("logits_w")), alpha, True, 0, target="target")
-    d = d.withColumn("mask", F.lit(1.0))
-    out = _finish(d, target="target")
-    return out.withColumn("unsup_loss", cs.mse("logits_s", "mixed_target"))
+    d = tg.sharpen(d.withColumn("avg", F.zip_with("probs", "probs_s", lambda a, b: (a + b) / 2)), "avg", T, out="target")
+    parts = {"lb": _turns(lb, ulb, K), "w1": d, "w2": d.withColumn("feat", F.col("feat_s"))}
+    d = d.withColumn("mask", unsup_warmup(F.col("batch_id"), unsup_warmup_ratio, _n_batches(d)))
+    return _scored_mix(d, mixed_rows(lb, parts, K, alpha, T_proto, seed), cs.mse("mixed_logits", "mixed_target"))
 
 
 @recipe("remixmatch")
-def remixmatch(ulb, lb, K=10, T=0.5, alpha=0.75, m=0.999, **_):
-    """P10: alignment to the labelled class prior, sharpen, mixup, soft CE."""
+def remixmatch(ulb, lb, K=10, T=0.5, alpha=0.75, m=0.999, T_proto=0.1, unsup_warmup_ratio=0.4, seed=0, **_):
+    """P10: alignment to the labelled class prior, sharpened; labelled rows, both strong views and the
+    weak one are mixed with each other; soft CE of the mixed rows' scores and, as ``u1_loss``, of the unmixed strong view, both
+    ramped by the warm-up."""
     d = al.align_ema(_probs(ulb), K, m, class_prior(lb, K), out="probs_a")
     d = tg.sharpen(d, "probs_a", T, out="target")
-    d = rb.mixup(d.withColumn("feat", F.col("logits_w")), alpha, True, 0, target="target")
-    return _finish(d.withColumn("mask", F.lit(1.0)), target="mixed_target")
+    parts = {"lb": _turns(lb, ulb, K), "s0": d.withColumn("feat", F.col("feat_s")), "s1": d.withColumn("feat", F.col("feat_s2")), "w": d}
+    d = d.withColumn("mask", unsup_warmup(F.col("batch_id"), unsup_warmup_ratio, _n_batches(d)))
+    out = _scored_mix(d, mixed_rows(lb, parts, K, alpha, T_proto, seed), vec.ce_soft("mixed_logits", "mixed_target"))
+    return out.withColumn("u1_loss", vec.ce_soft("logits_s", "target") * F.col("weight"))
 
 
 @recipe("comatch")
@@ -263,11 +299,10 @@ def crmatch(ulb, lb=None, p_cutoff=0.95, **_):
 
 
 @recipe("sequencematch")
-def sequencematch(ulb, lb=None, p_cutoff=0.95, K=10, T=0.5, **_):
-    """Learning-status mask + KL chain over weak, medium, strong views."""
-    d = _probs(ulb).withColumn("logits_m", F.zip_with("logits_w", "logits_s", lambda a, b: (a + b) / 2))
-    d = _finish(mk.mask_flex(d, p_cutoff, K))
-    mw, sm, sw = cs.kl_chain("logits_w", "logits_m", "logits_s", "weight", T)
+def sequencematch(ulb, lb=None, p_cutoff=0.95, K=10, T=0.5, logits_m="logits_m", **_):
+    """Learning-status mask + KL chain over weak, medium (``logits_m``) and strong views."""
+    d = _finish(mk.mask_flex(_probs(ulb), p_cutoff, K))
+    mw, sm, sw = cs.kl_chain("logits_w", logits_m, "logits_s", "weight", T)
     return d.withColumn("kl_chain", mw + sm + sw)
 
 
@@ -295,18 +330,35 @@ def pimodel(ulb, lb=None, unsup_warmup_ratio=0.4, **_):
 
 
 @recipe("meanteacher")
-def meanteacher(ulb, lb=None, unsup_warmup_ratio=0.4, **_):
-    """Student (strong view) against the teacher's probabilities (weak view)."""
-    return pimodel(ulb, lb, unsup_warmup_ratio)
+def meanteacher(ulb, lb=None, history=None, m=0.999, unsup_warmup_ratio=0.4, **_):
+    """Student (strong view) against the teacher's probabilities: the EMA of the row's weak-view
+    probabilities over the rounds before (``history``: idx, round, logits_w, the last round included), D5.
+    Without a history the teacher has seen this round alone."""
+    d = _probs(ulb)
+    if history is None:
+        history = d.select("idx", F.lit(0).alias("round"), "logits_w").distinct()
+    rounds = tg.temporal_ensemble(history.select("idx", "round", vec.softmax("logits_w").alias("p")), m, "idx", "round", "p", out="__teacher")
+    last = rounds.groupBy("idx").agg(F.max_by("__teacher", "round").alias("__teacher"))
+    d = d.join(last, "idx").withColumn("probs", F.col("__teacher"))
+    d = d.withColumn("mask", unsup_warmup(F.col("batch_id"), unsup_warmup_ratio, _n_batches(d)))
+    return _finish(d).withColumn("unsup_loss", cs.mse("logits_s", "__teacher") * F.col("weight")).drop("__teacher")
+
 
+def _fitted(rows: DataFrame, ulb: DataFrame, max_iter: int) -> DataFrame:
+    p = sc.predict_linear(sc.fit_linear(rows, max_iter=max_iter), ulb.drop("logits_w"), out="logits_w")
+    return _finish(_probs(p.drop("probs")).withColumn("mask", F.lit(1.0)))
 
-@recipe("supervised", "fullysupervised")
-def supervised(ulb, lb, **_):
+
+@recipe("supervised")
+def supervised(ulb, lb, max_iter=30, **_):
     """A linear scorer fit on the labelled rows, predictions for the unlabelled."""
-    model = sc.fit_linear(lb, max_iter=30)
-    p = sc.predict_linear(model, ulb.drop("logits_w"), out="logits_w")
-    p = _probs(p.drop("probs")).withColumn("mask", F.lit(1.0))
-    return _finish(p)
+    return _fitted(lb.select("feat", "label"), ulb, max_iter)
+
+
+@recipe("fullysupervised")
+def fullysupervised(ulb, lb, max_iter=30, **_):
+    """P19 with every row's label: the scorer is fit on the labelled and the unlabelled rows."""
+    return _fitted(lb.select("feat", "label").unionByName(ulb.select("feat", "label")), ulb, max_iter)
 
 
 # ---- Q1–Q9 -----------------------------------------------------------------------------------------
@@ -327,15 +379,50 @@ def adsh(ulb, lb=None, base=None, tau=0.95, K=10, **_):
     return _finish(mk.mask_adsh(_probs(ulb), K, tau))
 
 
+def generations(base: Callable, lb: DataFrame, ulb: DataFrame, K: int, gens: int = 6, alpha: float = 3.0, T_proto: float = 0.1,
+                align: Callable | None = None, **kw) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Generations of any base recipe: (labelled rows with their picks, the base's rows) of each.
+
+    A generation fits prototypes on its labelled rows (at first ``lb``), scores both views, runs
+    the base on them and fits again with the rows the base accepts under its labels; the refitted
+    scorer's most confident rows of each class (H2) join ``lb`` for the next one. ``align(probs, generation)``
+    may replace the weak view's probabilities before the base sees them. What a generation leaves is written to
+    the checkpoint folder, so no plan spans two generations.
+    """
+    own = lb.select("idx", "feat", "label")
+    now = materialize_small(own)
+    rest = ulb.drop("logits_w", "logits_s", "probs")
+    for g in range(gens):
+        protos = materialize_small(sc.fit_prototypes(now))
+        d = sc.score_prototypes(rest, protos, K, T_proto, feat="feat", out="logits_w")
+        d = _probs(sc.score_prototypes(d, protos, K, T_proto, feat="feat_s", out="logits_s"))
+        if align is not None:
+            d = align(d, g)
+        told = materialize_small(base(d, lb, K=K, **kw))
+        accepted = told.where(F.col("weight") > 0).select("idx", F.col("pseudo_label").alias("label")).join(rest.select("idx", "feat"), "idx")
+        again = materialize_small(sc.fit_prototypes(now.unionByName(accepted.select("idx", "feat", "label"))))
+        final = sc.score_prototypes(rest, again, K, T_proto, out="logits").withColumn("probs", vec.softmax("logits"))
+        pred = final.select("idx", vec.argmax("probs").alias("pred"), vec.max_prob("probs").alias("conf"))
+        picked = materialize_small(rb.crest_pick(pred, lb.select("idx", "label"), K, alpha))
+        yield picked, told
+        now = materialize_small(picked.join(own.select("idx", "feat").unionByName(rest.select("idx", "feat")), "idx").select("idx", "feat", "label"))
+
+
 @recipe("crest", "crest+")
-def crest(ulb, lb, base=None, K=10, alpha=3.0, progressive=False, gen=0, gens=6, t_min=0.5, **_):
-    """Q3: CReST pick of confident rows (crest+ adds progressive alignment)."""
-    d = _probs(ulb)
+def crest(ulb, lb, base=None, K=10, alpha=3.0, progressive=False, gens=6, t_min=0.5, m=0.999, **kw):
+    """Q3: ``gens`` generations of the base recipe; returns the last generation's labelled set (idx,
+    label, picked). crest+ aligns each generation to the progressively flattened class prior."""
+    align = None
     if progressive:
-        d = al.align_progressive(d, K, class_prior(lb, K), gen, gens, t_min, out="probs_a")
-        d = d.withColumn("probs", F.col("probs_a"))
-    pred = d.select("idx", vec.argmax("probs").alias("pred"), vec.max_prob("probs").alias("conf"))
-    return rb.crest_pick(pred, lb.select("idx", "label"), K, alpha)
+        prior = class_prior(lb, K)
+
+        def align(d, g):
+            a = al.align_progressive(d, K, prior, g, gens, t_min, m=m, out="probs_a")
+            return a.withColumn("probs", F.col("probs_a")).drop("probs_a")
+    last = None
+    for picked, _ in generations(base or fixmatch, lb, ulb, K, gens, alpha, align=align, **kw):
+        last = picked
+    return last
 
 
 @recipe("darp")
@@ -351,14 +438,14 @@ def darp(ulb, lb, base=None, K=10, alpha=2.0, rounds=10, **kw):
 
 
 @recipe("daso")
-def daso(ulb, lb, base=None, K=10, Q=256, T_proto=0.05, T_dist=1.5, n=3, **kw):
-    """Q5: class queues → prototype similarity labels → distribution-aware
-    blend, which the base recipe masks and labels."""
-    queue = bk.class_queue(lb, Q, order="idx")
-    d = bk.proto_probs(_probs(ulb), queue, K, T_proto)
-    d = d.withColumn("pred", vec.argmax("probs")).withColumn("win", F.floor(F.col("batch_id") / F.lit(n)).cast("bigint"))
-    d = bk.blend_proto(d, bk.pl_dist(d, K, n), K, T_dist).withColumn("probs", F.col("probs_mix")).drop("probs_mix", "probs_sim", "pred", "win")
-    return (base or fixmatch)(d, lb, K=K, **kw)
+def daso(ulb, lb, base=None, K=10, Q=256, T_proto=0.05, T_dist=1.5, n=100, **kw):
+    """Q5: class queues → prototype similarity labels → blend by the shares of the blended labels of
+    the window of ``n`` batches before (F11), which the base recipe masks and labels; ``proto_ce`` is
+    the CE of the strong view's similarities (G12)."""
+    queue = materialize_small(bk.class_queue(lb, Q, order="idx"))
+    d = materialize_small(bk.proto_probs(_probs(ulb), queue, K, T_proto))
+    d = bk.blend_windows(d, K, n, T_dist).withColumn("probs", F.col("probs_mix")).drop("probs_mix", "probs_sim")
+    return (base or fixmatch)(cs.proto_ce(d, queue, K, T_proto), lb, K=K, **kw)
 
 
 @recipe("debiaspl")
@@ -393,12 +480,20 @@ def tras(ulb, lb, base=None, K=10, tau=1.0, A=2.0, B=2.0, p_cutoff=0.95, **_):
 
 
 @recipe("cossl")
-def cossl(ulb, lb, base=None, K=10, max_lam=0.6, **_):
-    """Q9: prototypes, minority blending (new labelled rows), online blending."""
-    blended = rb.tail_blend(lb, _probs(ulb), K)
-    online = rb.online_blend(lb, ulb, max_lam)
-    return (online.select("idx", "label", F.col("lam"), F.lit("online").alias("kind"))
-            .unionByName(blended.select(F.col("own_idx").alias("idx"), "label", "lam", F.lit("tail").alias("kind"))))
+def cossl(ulb, lb, base=None, K=10, max_lam=0.6, T_proto=0.1, alpha=0.75, seed=0, **kw):
+    """Q9: a balanced classifier next to the base recipe. Scores come from imprinted prototypes (K1);
+    classes that lack rows get blended ones (H4), the labelled rows are blended online (H6), and the
+    balanced prototypes are fit on both; every row has the weight 1 / (rows of its class) (C16). Returns the training rows: kind, idx,
+    label, lam, weight and the blended vector, and the balanced classifier's logits of it."""
+    protos = materialize_small(sc.fit_prototypes(lb))
+    scored = lambda d: sc.score_prototypes(d, protos, K, T_proto, out="logits").withColumn("probs", vec.softmax("logits"))
+    tail = rb.tail_blend(scored(lb), scored(ulb.drop("probs")), K, seed, alpha)
+    rows = rb.online_blend(lb, ulb, max_lam, seed).select(F.lit("online").alias("kind"), "idx", "label", "lam", F.col("mixed_feat").alias("feat"))
+    rows = rows.unionByName(tail.select(F.lit("tail").alias("kind"), F.col("own_idx").alias("idx"), "label", "lam", "feat"))
+    rows = materialize_small(rows)
+    weights = balance_weights(rows, 1.0).select("label", "weight")
+    balanced = sc.fit_prototypes(rows)
+    return sc.score_prototypes(rows.join(F.broadcast(weights), "label"), balanced, K, T_proto, out="logits")
 
 
 # ---- H3: generational self-training -------------------------------------------------------------------

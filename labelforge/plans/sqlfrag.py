@@ -6,6 +6,9 @@ are composed from them so that the fixture definitions exist once.
 
 from __future__ import annotations
 
+import math
+
+from labelforge.functions.beta import series, total
 from labelforge.plans.fixtures import B_LB, B_ULB, K_EMB, N_PER_CLASS, SEED, T_PROTO
 
 
@@ -93,3 +96,23 @@ def more_views(T: float = T_PROTO) -> str:
     logits = lambda f: f"list_transform(P, lambda q: {dot('q', f)} / {T!r})"
     return f"""vw AS MATERIALIZED (SELECT idx, {strong_view(salt='-b')} AS feat_s2, {strong_view(salt='-m', every=8)} AS feat_m FROM sp),
 views AS MATERIALIZED (SELECT idx, feat_s2, {logits('feat_s2')} AS logits_s2, {logits('feat_m')} AS logits_m FROM vw CROSS JOIN pmat)"""
+
+
+def longtail(head: str, K: int, gamma: float, col: str = "qlb") -> str:
+    """Select (label, col): the long-tailed count of each class (C2) under a head given as SQL."""
+    k = "c.range" if gamma > 0 else f"({K - 1} - c.range)"
+    mu = math.pow(1.0 / abs(gamma), 1.0 / (K - 1))
+    return f"""SELECT CAST(c.range AS INTEGER) AS label, CAST(floor(CASE WHEN {k} = {K - 1} THEN head / {abs(float(gamma))!r}
+       ELSE head * pow({mu!r}::DOUBLE, {k}) END) AS BIGINT) AS {col} FROM (SELECT {head} AS head FROM embeddings), range({K}) c"""
+
+
+def beta_quantile(u: str, a: float) -> str:
+    """Quantile of Beta(a, a): the arcsine law for 1/2, else bisection on the power series of its lower half."""
+    if a == 0.5:
+        return f"pow(sin(({u}) * pi() / 2), 2)"
+    b = total(a)
+    cs = "[" + ", ".join(f"{c!r}::DOUBLE" for c in series(a)) + "]"
+    cdf = f"pow(x + s, {a!r}) / {b!r} * list_sum(list_transform({cs}, lambda c, i: c * pow(x + s, i - 1)))"
+    steps = "[" + ", ".join(f"{2.0 ** -k!r}::DOUBLE" for k in range(2, 50)) + "]"
+    half = f"list_reduce(list_prepend(0.0::DOUBLE, {steps}), lambda x, s: CASE WHEN {cdf} <= least({u}, 1 - ({u})) THEN x + s ELSE x END)"
+    return f"CASE WHEN ({u}) <= 0.5 THEN {half} ELSE 1 - {half} END"
