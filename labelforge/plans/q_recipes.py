@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions import vec
 from labelforge.plans import fixtures as fx
+from labelforge.plans import recipe_sql as rs
 from labelforge.plans import recipes as rc
 from labelforge.plans import sqlfrag as q
 from labelforge.plans import q_pseudo as _qp  # noqa: F401  (E7 oracle registered first)
@@ -194,35 +195,34 @@ sm AS (SELECT al.*, ice, CASE WHEN mixv IS NULL THEN pa ELSE {_SMOOTH} END AS sp
 
 _register("p1_pseudolabel", "pseudolabel", p_cutoff=CUT, sql=_recipe_sql(
     f"{MASKD} * {WARM}", f"-({q.log_softmax('logits_w')})[pred + 1]"))
-_register("p3_uda", "uda", p_cutoff=CUT, sql=_recipe_sql(
-    MASKD, f"-{q.dot(q.log_softmax('logits_s'), 'probs')}"))
+_register("p3_uda", "uda", extra=("sup_loss",), p_cutoff=CUT, tsa_schedule="linear", sql=rs.uda())
 _register("p4_flexmatch", "flexmatch", p_cutoff=CUT, sql=_flexmatch_sql())
-_register("p5_freematch", "freematch", extra=("fairness",), m=0.9)
+_register("p5_freematch", "freematch", extra=("fairness",), m=0.9, sql=rs.freematch())
 _register("p6_softmatch", "softmatch", m=0.9, sql=_softmatch_sql())
-_register("p7_adamatch", "adamatch", p_cutoff=0.95, m=0.9)
-_register("p8_dash", "dash")
-_register("p9_mixmatch", "mixmatch")
-_register("p10_remixmatch", "remixmatch", m=0.9)
+_register("p7_adamatch", "adamatch", p_cutoff=0.95, m=0.9, sql=rs.adamatch())
+_register("p8_dash", "dash", sql=rs.dash())
+_register("p9_mixmatch", "mixmatch", extra=("sup_loss",), sql=rs.mixmatch())
+_register("p10_remixmatch", "remixmatch", extra=("sup_loss", "u1_loss"), more_views=True, m=0.9, sql=rs.remixmatch())
 _register("p11_comatch", "comatch", extra=("contrast",), more_views=True, Q=120, p_cutoff=CUT, contrast_cutoff=0.2, da_len=4, warm=1, sql=_comatch_sql())
 _register("p12_simmatch", "simmatch", extra=("instance_ce",), p_cutoff=CUT, da_len=4, sql=_simmatch_sql())
 _register("p13_crmatch", "crmatch", extra=("cos_margin",), p_cutoff=CUT,
           sql=_recipe_sql(MASKD, CE_S, f", round({COS} * w, 6) AS cos_margin"))
-_register("p14_sequencematch", "sequencematch", extra=("kl_chain",), p_cutoff=CUT)
+_register("p14_sequencematch", "sequencematch", extra=("kl_chain",), more_views=True, p_cutoff=CUT, sql=rs.sequencematch())
 _register("p15_refixmatch", "refixmatch", extra=("kl_rejected",), p_cutoff=CUT,
           sql=_recipe_sql(MASKD, CE_S, f", round({_kl_rej()} * (1 - w), 6) AS kl_rejected"))
-_register("p16_defixmatch", "defixmatch", extra=("debiased",), p_cutoff=CUT)
+_register("p16_defixmatch", "defixmatch", extra=("debiased",), p_cutoff=CUT, sql=rs.defixmatch())
 MSE = ("list_reduce(list_prepend(0.0::DOUBLE, list_transform(generate_series(1, len(probs)), "
        f"lambda i: ({q.softmax('logits_s')}[i] - probs[i]) * ({q.softmax('logits_s')}[i] - probs[i]))), lambda a, b: a + b) / len(probs)")
 _register("p17_pimodel", "pimodel", sql=_recipe_sql(WARM, MSE))
-_register("p18_meanteacher", "meanteacher", sql=_recipe_sql(WARM, MSE))
 _register("p19_supervised", "supervised")
+_register("p19_fullysupervised", "fullysupervised")
 _register("q4_darp", "darp", p_cutoff=CUT)
-_register("q5_daso", "daso", Q=16, p_cutoff=CUT)
+_register("q5_daso", "daso", extra=("proto_ce",), Q=16, p_cutoff=CUT, sql=rs.daso(100))
+_register("q5_daso_short_windows", "daso", extra=("proto_ce",), Q=16, n=3, p_cutoff=CUT, sql=rs.daso(3))
 _register("q6_debiaspl", "debiaspl", m=0.9, p_cutoff=CUT, sql=_debias_sql())
 _register("q7_saw", "saw", p_cutoff=CUT, sql=_saw_sql(CE_S))
 _register("q7_saw_on_uda", "saw", base=rc.get_recipe("uda"), p_cutoff=CUT,
           sql=_saw_sql(f"-{q.dot(q.log_softmax('logits_s'), 'probs')}"))
-_register("q8_tras", "tras", extra=("transfer_kl",), p_cutoff=CUT)
 
 
 @query("p2_fixmatch", sql=f"""{W}, {PR}
@@ -256,35 +256,48 @@ def _adsh_sql() -> str:
 FROM cp JOIN thr USING (pred)"""
 
 
-def _crest_sql() -> str:
-    from labelforge.plans.registry import ORACLES
-    return ORACLES["h2_crest_pick"]
-
-
 @query("q2_adsh", sql=_adsh_sql())
 def q2_adsh(spark, sf_dir):
     ulb, lt = _lt_inputs(spark, sf_dir)
     return _out(rc.with_imbalance("fixmatch", "adsh")(ulb, lt, tau=CUT))
 
 
-@query("q3_crest", sql=_crest_sql())
+@query("q3_crest", sql=rs.crest(6))
 def q3_crest(spark, sf_dir):
+    """Six generations of fixmatch."""
     ulb, lt = _lt_inputs(spark, sf_dir)
-    return rc.with_imbalance("fixmatch", "crest")(ulb, lt).select("idx", "label", "picked")
+    return rc.with_imbalance("fixmatch", "crest")(ulb, lt, p_cutoff=CUT).select("idx", "label", "picked")
 
 
-@query("q3_crest_plus")
+@query("q3_crest_plus", sql=rs.crest(2, progressive=True))
 def q3_crest_plus(spark, sf_dir):
+    """Two generations of fixmatch on progressively aligned probabilities."""
+    ulb, lt = _lt_inputs(spark, sf_dir)
+    return rc.with_imbalance("fixmatch", "crest+")(ulb, lt, progressive=True, gens=2, m=0.9, p_cutoff=CUT).select("idx", "label", "picked")
+
+
+@query("p18_meanteacher", sql=rs.meanteacher())
+def p18_meanteacher(spark, sf_dir):
+    """The teacher has seen the medium view in the round before."""
+    ulb, lb = _inputs(spark, sf_dir, more_views=True)
+    history = ulb.select("idx", F.lit(0).alias("round"), F.col("logits_m").alias("logits_w")).unionByName(
+        ulb.select("idx", F.lit(1).alias("round"), "logits_w"))
+    return _out(rc.get_recipe("meanteacher")(ulb, lb, history=history, m=0.6))
+
+
+@query("q8_tras", sql=rs.tras())
+def q8_tras(spark, sf_dir):
     ulb, lt = _lt_inputs(spark, sf_dir)
-    return rc.with_imbalance("fixmatch", "crest+")(ulb, lt, progressive=True, gen=2, m=0.9).select("idx", "label", "picked")
+    return _out(rc.with_imbalance("fixmatch", "tras")(ulb, lt, p_cutoff=CUT), ("transfer_kl",))
 
 
-@query("q9_cossl")
+@query("q9_cossl", sql=rs.cossl())
 def q9_cossl(spark, sf_dir):
     from labelforge.operators.split import batch_ids
     ulb, lt = _lt_inputs(spark, sf_dir)
-    lt = batch_ids(lt, 4, 0, "ltb")
-    return rc.with_imbalance("fixmatch", "cossl")(ulb, lt).select("idx", "label", F.round("lam", 6).alias("lam"), "kind")
+    out = rc.with_imbalance("fixmatch", "cossl")(ulb, batch_ids(lt, 4, 0, "ltb"))
+    return out.select("kind", "idx", "label", F.round("lam", 6).alias("lam"), F.round("weight", 6).alias("weight"),
+                      vec.round_arr("feat", 5).alias("feat"), vec.round_arr("logits", 4).alias("logits"))
 
 
 @query("p12_simmatch_bank", sql=f"""{W}, {PR}, {q.CYCLE}, {_bank_sql()}

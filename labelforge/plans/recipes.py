@@ -405,7 +405,7 @@ def generations(base: Callable, lb: DataFrame, ulb: DataFrame, K: int, gens: int
         pred = final.select("idx", vec.argmax("probs").alias("pred"), vec.max_prob("probs").alias("conf"))
         picked = materialize_small(rb.crest_pick(pred, lb.select("idx", "label"), K, alpha))
         yield picked, told
-        now = materialize_small(picked.join(own.select("idx", "feat").unionByName(rest.select("idx", "feat")), "idx").select("idx", "feat", "label"))
+        now = materialize_small(own.unionByName(picked.where("picked").join(rest.select("idx", "feat"), "idx").select("idx", "feat", "label")))
 
 
 @recipe("crest", "crest+")
