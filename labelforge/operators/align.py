@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions import vec
 from labelforge.operators.ranking import default_buckets, rank_by_value
-from labelforge.operators.state import cycled, ema_scan, trailing_sum
+from labelforge.operators.state import class_vector, cycled, trailing_sum, vector_scan
 
 EPS = 1e-6
 
@@ -37,25 +37,28 @@ def _apply_ratio(df: DataFrame, probs: str, ratios: DataFrame, batch: str, out:
     return j.withColumn(out, vec.normalize_sum(vec.mul(probs, "__ratio"))).drop("__ratio")
 
 
+def batch_mean_vectors(df: DataFrame, K: int, probs: str, batch: str, out: str = "x") -> DataFrame:
+    """(batch, mean probability vector): one row for each batch, counted before the shuffle."""
+    return df.groupBy(batch).agg(class_vector(K, lambda k: F.avg(F.col(probs)[k])).alias(out))
+
+
 def align_ema(ulb: DataFrame, K: int, m: float = 0.999, target: str | list[float] = "uniform",
               lb: DataFrame | None = None, probs: str = "probs", batch: str = "batch_id",
               out: str = "probs_aligned") -> DataFrame:
     """p·(target+1e-6)/(p_model+1e-6) renormalised; p_model = first batch
     mean, then EMA, updated before use. ``target``: 'uniform', a class prior
     list, or 'model' (EMA from 1/K of the labelled batch means)."""
-    pm = ema_scan(batch_class_means(ulb, probs, batch), ["cls"], batch, "x", m, init=None, out="pm")
+    st = vector_scan(batch_mean_vectors(ulb, K, probs, batch), batch, "x", "ema", "pm", m)
     if target == "model":
         if lb is None:
             raise ValueError("target='model' needs the labelled predictions")
-        lm = cycled(batch_class_means(lb, probs, batch), lb, ulb, batch)
-        tm = ema_scan(lm, ["cls"], batch, "x", m, init=1.0 / K, out="t")
-        st = pm.join(tm.select(batch, "cls", "t"), [batch, "cls"])
+        lm = cycled(batch_mean_vectors(lb, K, probs, batch), lb, ulb, batch)
+        st = st.join(vector_scan(lm, batch, "x", "ema", "t", m, [1.0 / K] * K).select(batch, "t"), batch)
     else:
         prior = [1.0 / K] * K if target == "uniform" else list(target)
-        t = F.element_at(F.array(*[F.lit(float(v)) for v in prior]), F.col("cls") + 1)
-        st = pm.withColumn("t", t)
-    st = st.withColumn("r", (F.col("t") + EPS) / (F.col("pm") + EPS))
-    return _apply_ratio(ulb, probs, _vector_per_batch(st, "r", batch, "__ratio"), batch, out)
+        st = st.withColumn("t", F.array(*[F.lit(float(v)) for v in prior]))
+    ratio = F.zip_with("t", "pm", lambda t, p: (t + EPS) / (p + EPS))
+    return _apply_ratio(ulb, probs, st.select(batch, ratio.alias("__ratio")), batch, out)
 
 
 def align_queue(ulb: DataFrame, K: int, Q: int = 128, target: str = "uniform", lb: DataFrame | None = None,
@@ -115,13 +118,12 @@ def debias_logits(df: DataFrame, K: int, tau: float = 0.4, m: float = 0.999, mod
     probability, updated before use. ``per_class`` keeps one p̂ per class;
     ``reference`` averages over rows *and* classes (a scalar, always 1/K)."""
     d = df.withColumn("__p", vec.softmax(logits))
-    means = batch_class_means(d, "__p", batch)
+    means = batch_mean_vectors(d, K, "__p", batch)
     if mode == "reference":
-        means = means.groupBy(batch).agg(F.avg("x").alias("x")).withColumn("cls", F.explode(F.sequence(F.lit(0), F.lit(K - 1))))
+        means = means.withColumn("x", vec.let(vec.vsum("x") / F.lit(float(K)), lambda v: F.array_repeat(v, K)))
     elif mode != "per_class":
         raise ValueError(mode)
-    ph = ema_scan(means, ["cls"], batch, "x", m, init=1.0 / K, out="ph")
-    ph = _vector_per_batch(ph, "ph", batch, "__ph")
+    ph = vector_scan(means, batch, "x", "ema", "__ph", m, [1.0 / K] * K).select(batch, "__ph")
     j = d.join(ph, batch)
     adj = F.zip_with(F.col(logits), F.col("__ph"), lambda z, p: z - F.lit(float(tau)) * F.log(p))
     return j.withColumn(out, vec.softmax(adj)).drop("__p", "__ph")

@@ -16,19 +16,13 @@ from pyspark.sql import functions as F
 from labelforge.functions import vec
 from labelforge.functions.hashing import u
 from labelforge.operators.ranking import default_buckets, rank_by_value
-from labelforge.operators.state import batch_ranks, cycled, ema_scan, materialize_small, prefix_max, prefix_sum
+from labelforge.operators.state import cycled, materialize_small, vector_scan
 
 
 def _conf_pred(df: DataFrame, probs: str) -> DataFrame:
     return df.withColumn("conf", vec.max_prob(probs)).withColumn("pred", vec.argmax(probs))
 
 
-def _grid(df: DataFrame, batch: str, lo: int, K: int) -> DataFrame:
-    """Every (batch, class) pair: the batches of ``df`` times classes lo..K−1."""
-    return (df.select(batch).distinct()
-              .withColumn("cls", F.explode(F.sequence(F.lit(lo), F.lit(K - 1)))))
-
-
 def mask_fixed(df: DataFrame, cutoff: float, probs: str = "probs", out: str = "mask") -> DataFrame:
     """1 where max p ≥ cutoff."""
     return df.withColumn(out, (vec.max_prob(probs) >= F.lit(cutoff)).cast("int"))
@@ -45,34 +39,22 @@ def mask_relative(ulb: DataFrame, lb: DataFrame, cutoff: float, probs: str = "pr
 
 def flex_status(df: DataFrame, cutoff: float, N: int, K: int, warmup: bool = True,
                 idx: str = "idx", batch: str = "batch_id") -> DataFrame:
-    """E3 state: learning status a_c in force *before* each batch.
+    """E3 state: (batch, status vector) in force *before* each batch.
 
-    A row's remembered label changes only on a confident visit; signed deltas
-    (+1 new class, −1 previous class or −1 bucket) summed per (batch, class)
-    and prefix-summed give every bucket's count after each batch.
+    A row's remembered label changes only on a confident visit; signed deltas (+1 new class, −1
+    previous class or −1 bucket) summed per batch and scanned give every bucket's count after
+    each batch. A batch that leaves some row without a label updates the status, others keep the last one.
     """
-    conf = df.filter(F.col("conf") >= F.lit(cutoff)).select(idx, batch, "pred")
-    prev = F.lag("pred").over(Window.partitionBy(idx).orderBy(batch))
-    v = conf.withColumn("prev", F.coalesce(prev, F.lit(-1)))
-    deltas = (v.select(batch, F.col("pred").alias("cls"), F.lit(1).alias("d"))
-              .unionByName(v.select(batch, F.col("prev").alias("cls"), F.lit(-1).alias("d")))
-              .groupBy(batch, "cls").agg(F.sum("d").alias("d")))
-    g = _grid(df, batch, -1, K).join(deltas, [batch, "cls"], "left").fillna(0, ["d"])
-    c = prefix_sum(g, ["cls"], batch, ["d"])
-    c = c.withColumn("cnt", F.col("d_cum") + F.when(F.col("cls") == -1, F.lit(N)).otherwise(F.lit(0)))
-    wb = Window.partitionBy(batch)
-    c = (c.withColumn("mx_all", F.max("cnt").over(wb))
-          .withColumn("mx_pos", F.max(F.when(F.col("cls") >= 0, F.col("cnt"))).over(wb))
-          .filter(F.col("cls") >= 0))
-    denom = F.col("mx_all") if warmup else F.col("mx_pos")
-    c = c.withColumn("acc", F.when(F.col("mx_all") < N, F.col("cnt") / denom))
-    # frozen batches keep the status of the last batch that updated it (0 at start)
-    c = materialize_small(prefix_max(c.withColumn("__vb", F.when(F.col("acc").isNotNull(), F.col(batch))),
-                                     ["cls"], batch, "__vb", "__last"))
-    valid = c.filter(F.col("acc").isNotNull()).select("cls", F.col(batch).alias("__last"), F.col("acc").alias("__acc"))
-    c = c.join(valid, ["cls", "__last"], "left").select(
-        "cls", (F.col(batch) + 1).alias(batch), F.coalesce(F.col("__acc"), F.lit(0.0)).alias("status"))
-    return materialize_small(c)  # status after batch b is in force for batch b+1
+    conf = F.col("conf") >= F.lit(cutoff)
+    # labels after the last confident visit before this one
+    prev = F.last(F.when(conf, F.col("pred")), ignorenulls=True).over(Window.partitionBy(idx).orderBy(batch).rowsBetween(Window.unboundedPreceding, -1))
+    v = df.select(batch, "pred", conf.alias("__c"), F.coalesce(prev, F.lit(-1)).alias("prev"))
+    moved = lambda k: F.sum(F.when(F.col("__c"), (F.col("pred") == k).cast("double") - (F.col("prev") == k).cast("double")).otherwise(0.0))
+    deltas = v.groupBy(batch).agg(F.array(*[moved(k) for k in range(-1, K)]).alias("__d"))
+    c = vector_scan(deltas, batch, "__d", "sum", "__n", init=[float(N)] + [0.0] * K)
+    most = F.array_max("__n") if warmup else F.array_max(F.slice("__n", 2, K))
+    fresh = F.when(F.array_max("__n") < N, vec.let(most, lambda d: F.transform(F.slice("__n", 2, K), lambda x: x / d)))
+    return vector_scan(c.select(batch, fresh.alias("__a")), batch, "__a", "last", "status", init=[0.0] * K, before=True).select(batch, "status")
 
 
 def mask_flex(df: DataFrame, cutoff: float, K: int, N: int | None = None, warmup: bool = True,
@@ -82,31 +64,31 @@ def mask_flex(df: DataFrame, cutoff: float, K: int, N: int | None = None, warmup
     d = _conf_pred(df, probs)
     if N is None:
         N = d.select(idx).distinct().count()
-    d = d.join(materialize_small(batch_ranks(d, batch)), batch)  # the status is that of the batch before, over any gap
-    st = flex_status(d, cutoff, N, K, warmup, idx, "__rank").withColumnRenamed("cls", "pred")
-    j = d.join(st, ["__rank", "pred"], "left").withColumn("status", F.coalesce("status", F.lit(0.0))).drop("__rank")
+    st = flex_status(d, cutoff, N, K, warmup, idx, batch).withColumnRenamed("status", "__st")
+    j = d.join(st, batch).withColumn("status", vec.element("__st", "pred")).drop("__st")
     thr = F.lit(cutoff) * (F.col("status") / (F.lit(2.0) - F.col("status")))
     return j.withColumn("threshold", thr).withColumn(out, (F.col("conf") >= F.col("threshold")).cast("int"))
 
 
-def _batch_class_means(d: DataFrame, probs: str, batch: str) -> DataFrame:
-    """Per (batch, class): mean probability and share of rows predicted as the class."""
-    long = d.select(batch, "pred", F.posexplode(probs).alias("cls", "p"))
-    return long.groupBy(batch, "cls").agg(F.avg("p").alias("pm"),
-                                          F.avg((F.col("pred") == F.col("cls")).cast("double")).alias("hist"))
+def _selfadaptive_scan(d: DataFrame, K: int, m: float, quantile: bool, probs: str, batch: str, clip: float | None) -> DataFrame:
+    """(batch, __s): time_p, then p_model and label_hist of the K classes, after each batch's update, in one scan."""
+    stat = F.percentile(F.col("conf"), 0.8) if quantile else F.avg("conf")
+    mean = [F.avg(F.col(probs)[k]) for k in range(K)]
+    hits = [F.avg((F.col("pred") == k).cast("double")) for k in range(K)]
+    stats = d.groupBy(batch).agg(F.array(stat, *mean, *hits).alias("__x"))
+    bounds = None if clip is None else [clip] + [math.inf] * (2 * K)
+    return vector_scan(stats, batch, "__x", "ema", "__s", m, [1.0 / K] * (2 * K + 1), bounds).select(batch, "__s")
 
 
 def selfadaptive_state(d: DataFrame, K: int, m: float, quantile: bool, probs: str, batch: str,
                        clip: float | None = None) -> tuple[DataFrame, DataFrame]:
     """E4 state after each batch's update: time_p per batch (optionally clipped
     to [0, clip] at every update), (p_model, label_hist) per (batch, class)."""
-    bstat = d.groupBy(batch).agg(
-        (F.percentile(F.col("conf"), 0.8) if quantile else F.avg("conf")).alias("x"))
-    tp = ema_scan(bstat, [], batch, "x", m, init=1.0 / K, out="time_p", clip_hi=clip)
-    cs = _batch_class_means(d, probs, batch)
-    cs = ema_scan(cs, ["cls"], batch, "pm", m, init=1.0 / K, out="p_model")
-    cs = ema_scan(cs, ["cls"], batch, "hist", m, init=1.0 / K, out="label_hist")
-    return tp.select(batch, "time_p"), cs.select(batch, "cls", "p_model", "label_hist")
+    s = materialize_small(_selfadaptive_scan(d, K, m, quantile, probs, batch, clip))
+    tp = s.select(batch, F.col("__s")[0].alias("time_p"))
+    both = F.arrays_zip(F.slice("__s", 2, K).alias("p"), F.slice("__s", 2 + K, K).alias("h"))
+    cs = s.select(batch, F.posexplode(both).alias("cls", "z")).select(batch, "cls", F.col("z.p").alias("p_model"), F.col("z.h").alias("label_hist"))
+    return tp, cs
 
 
 def mask_selfadaptive(df: DataFrame, K: int, m: float = 0.999, quantile: bool = False,
@@ -117,12 +99,11 @@ def mask_selfadaptive(df: DataFrame, K: int, m: float = 0.999, quantile: bool =
     reference uses 0.95) bounds time_p after every update (inputs are ≥ 0, so
     the lower bound 0 never binds)."""
     d = _conf_pred(df, probs)
-    tp, cs = selfadaptive_state(d, K, m, quantile, probs, batch, clip)
-    mx = cs.groupBy(batch).agg(F.max("p_model").alias("__mx"))
-    cls = cs.join(mx, batch).select(batch, F.col("cls").alias("pred"), (F.col("p_model") / F.col("__mx")).alias("mod"))
-    j = d.join(tp, batch).join(cls, [batch, "pred"])
-    return (j.withColumn("threshold", F.col("time_p") * F.col("mod"))
-             .withColumn(out, (F.col("conf") >= F.col("threshold")).cast("int")))
+    s = _selfadaptive_scan(d, K, m, quantile, probs, batch, clip)
+    p = F.slice("__s", 2, K)
+    s = s.select(batch, vec.let(F.array_max(p), lambda top: F.transform(p, lambda x: F.col("__s")[0] * (x / top))).alias("__t"))
+    j = d.join(s, batch).withColumn("threshold", vec.element("__t", "pred")).drop("__t")
+    return j.withColumn(out, (F.col("conf") >= F.col("threshold")).cast("int"))
 
 
 def weight_soft(df: DataFrame, K: int, n_sigma: float = 2.0, m: float = 0.999, per_class: bool = False,
@@ -132,19 +113,15 @@ def weight_soft(df: DataFrame, K: int, n_sigma: float = 2.0, m: float = 0.999, p
     before use; per class a class with ≤1 row contributes μ=0, σ²=1."""
     d = _conf_pred(df, probs)
     if not per_class:
-        b = d.groupBy(batch).agg(F.avg("conf").alias("mu_b"), F.var_samp("conf").alias("var_b"))
-        b = ema_scan(b, [], batch, "mu_b", m, init=1.0 / K, out="mu")
-        b = ema_scan(b, [], batch, "var_b", m, init=1.0, out="var")
-        j = d.join(b.select(batch, "mu", "var"), batch)
+        b = d.groupBy(batch).agg(F.array(F.avg("conf"), F.var_samp("conf")).alias("__x"))
+        b = vector_scan(b, batch, "__x", "ema", "__s", m, [1.0 / K, 1.0])
+        j = d.join(b.select(batch, F.col("__s")[0].alias("mu"), F.col("__s")[1].alias("var")), batch)
     else:
-        s = d.groupBy(batch, F.col("pred").alias("cls")).agg(
-            F.count(F.lit(1)).alias("__n"), F.avg("conf").alias("__mu"), F.var_samp("conf").alias("__var"))
-        g = _grid(d, batch, 0, K).join(s, [batch, "cls"], "left")
-        g = (g.withColumn("mu_b", F.when(F.col("__n") > 1, F.col("__mu")).otherwise(F.lit(0.0)))
-              .withColumn("var_b", F.when(F.col("__n") > 1, F.col("__var")).otherwise(F.lit(1.0))))
-        g = ema_scan(g, ["cls"], batch, "mu_b", m, init=1.0 / K, out="mu")
-        g = ema_scan(g, ["cls"], batch, "var_b", m, init=1.0, out="var")
-        j = d.join(g.select(batch, F.col("cls").alias("pred"), "mu", "var"), [batch, "pred"])
+        own = lambda k: F.when(F.col("pred") == k, F.col("conf"))
+        some = lambda k, a, other: F.when(F.count(own(k)) > 1, a(own(k))).otherwise(F.lit(other))
+        b = d.groupBy(batch).agg(F.array(*[some(k, F.avg, 0.0) for k in range(K)], *[some(k, F.var_samp, 1.0) for k in range(K)]).alias("__x"))
+        b = vector_scan(b, batch, "__x", "ema", "__s", m, [1.0 / K] * K + [1.0] * K).select(batch, "__s")
+        j = d.join(b, batch).withColumn("mu", vec.element("__s", "pred")).withColumn("var", vec.element("__s", F.col("pred") + K)).drop("__s")
     gap = F.least(F.col("conf") - F.col("mu"), F.lit(0.0))
     return j.withColumn(out, F.exp(-(gap * gap) / (F.lit(2.0) * F.col("var") / F.lit(float(n_sigma) ** 2))))
 

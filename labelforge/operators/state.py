@@ -1,15 +1,14 @@
 """Running state over ordered batches, without one task per group.
 
-Batch-level statistics form a small table (groups × batches). The running
-state the reference keeps between iterations is recomputed here for every
-batch at once:
-
-* ``prefix_sum`` / ``prefix_max`` — running aggregates, chunked along the
-  batch axis: a window per (group, chunk) plus a carried offset from a
-  (group × chunk) totals table;
-* ``ema_scan`` — s_b = m·s_{b−1} + (1−m)·x_b: a sequential fold inside each
-  chunk (``aggregate`` over the chunk's ordered array) and one fold over the
-  chunk summaries (affine maps compose), so no group is ever one task;
+Batch-level statistics form a small table. The running state the reference keeps between
+iterations is recomputed here for every batch at once:
+
+* ``vector_scan`` — all series of a table in one scan: a row holds a batch's vector, and sums,
+  EMAs (s_b = m·s_{b−1} + (1−m)·x_b) or last values are folded inside chunks of batches; the
+  chunks' summaries are maps that compose, and are scanned the same way, chunks of chunks, so
+  no task folds more than one chunk, however many batches there are;
+* ``prefix_sum`` — running sums of rows per group, chunked along the order: a window per (group,
+  chunk) plus a carried offset from a (group × chunk) totals table;
 * ``trailing_sum`` — fixed trailing frame (ring buffers): each chunk gets the
   Q−1 rows before it as a halo, so the window runs per (group, chunk).
 
@@ -21,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelforge.functions.vec import let
+
 CHUNK = 1024
 
 
@@ -54,60 +55,71 @@ def prefix_sum(df: DataFrame, by: list[str], order: str, cols: list[str], chunk:
     return j.drop("__ch", *[f"__o_{c}" for c in cols])
 
 
-def prefix_max(df: DataFrame, by: list[str], order: str, col: str, out: str, chunk: int = CHUNK) -> DataFrame:
-    """Running max (NULLs ignored) per ``by`` in ``order``."""
-    d = materialize_small(df.withColumn("__ch", _chunk(order, chunk)))
-    tot = d.groupBy(*by, "__ch").agg(F.max(col).alias("__t"))
-    wc = Window.partitionBy(*by).orderBy("__ch").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*by, "__ch", F.max("__t").over(wc).alias("__o"))
-    j = d.join(off, [*by, "__ch"])
-    w = Window.partitionBy(*by, "__ch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return j.withColumn(out, F.greatest(F.max(col).over(w), F.col("__o"))).drop("__ch", "__o")
-
-
-def ema_scan(stats: DataFrame, by: list[str], order: str, col: str, m: float,
-             init: float | None = None, out: str | None = None, chunk: int = CHUNK,
-             clip_hi: float | None = None) -> DataFrame:
-    """s_b = min(clip_hi, m·s_{b−1} + (1−m)·x_b) for every row of ``stats`` (update-then-use).
-
-    ``init`` is s before the first batch; ``None`` means the first batch's own
-    value (s_first = x_first), as for a running mean started from data.
-    Each step is the map s ↦ min(C, A·s + B); such maps compose in closed
-    form (A₂A₁, A₂B₁+B₂, min(C₂, A₂C₁+B₂)), so chunks fold locally and the
-    chunk summaries fold once per group. Without a clip C stays +∞.
+# ---- scans of vectors ------------------------------------------------------------------------
+#
+# A step of a scan is a map of the state vector. A chunk of steps is again a map of the same kind, kept
+# as (a, b, c): s ↦ least(c, a·s + b) for sums (a = 1) and EMAs, s ↦ coalesce(b, s) for last values.
+
+def _apply(kind: str, f: Column, s: Column) -> Column:
+    if kind == "last":
+        return F.coalesce(f["b"], s)
+    moved = F.zip_with(f["b"], s, lambda b, x: b + f["a"] * x)
+    return F.zip_with(moved, f["c"], lambda x, c: F.least(x, c))
+
+
+def _compose(kind: str, f: Column, g: Column) -> Column:
+    """f, then g."""
+    if kind == "last":
+        return F.struct(f["a"].alias("a"), F.coalesce(g["b"], f["b"]).alias("b"), f["c"].alias("c"))
+    b = F.zip_with(g["b"], f["b"], lambda y, x: y + g["a"] * x)
+    c = F.zip_with(F.zip_with(g["b"], f["c"], lambda y, x: y + g["a"] * x), g["c"], lambda x, c: F.least(x, c))
+    return F.struct((f["a"] * g["a"]).alias("a"), b.alias("b"), c.alias("c"))
+
+
+def _scanned(maps: DataFrame, kind: str, init: Column | None, chunk: int) -> DataFrame:
+    """(__o, __f, __in): the state each map of (__o, __f, __first) finds. ``__first`` is the value an EMA without
+    ``init`` starts from; the smallest __o's holds."""
+    low, high = maps.agg(F.min("__o"), F.max("__o")).first()
+    if low is None:
+        return maps.select("__o", "__f", F.col("__f.b").alias("__in"))
+    one = F.lit(0).cast("long") if low // chunk == high // chunk else F.floor(F.col("__o") / chunk)
+    group = maps.groupBy(one.alias("__up")).agg(F.array_sort(F.collect_list(F.struct("__o", "__f", "__first"))).alias("__fs"))
+    first = F.col("__fs")[0]["__first"]
+    if low // chunk == high // chunk:
+        group = group.withColumn("__in", first if init is None else init)
+    else:
+        whole = F.aggregate(F.slice("__fs", 2, F.size("__fs")), F.col("__fs")[0]["__f"], lambda f, e: _compose(kind, f, e["__f"]))
+        above = materialize_small(group.select(F.col("__up").alias("__o"), whole.alias("__f"), first.alias("__first")))
+        group = group.join(_scanned(above, kind, init, chunk).select(F.col("__o").alias("__up"), "__in"), "__up")
+    states = F.aggregate("__fs", F.array(F.col("__in")), lambda acc, e: F.concat(acc, F.array(_apply(kind, e["__f"], F.element_at(acc, -1)))))
+    rows = let(states, lambda ss: F.transform("__fs", lambda e, i: F.struct(e["__o"].alias("__o"), e["__f"].alias("__f"), F.get(ss, i).alias("__in"))))
+    return group.select(F.inline(rows))
+
+
+def vector_scan(stats: DataFrame, order: str, col: str, kind: str, out: str, m: float = 0.0, init: list[float] | None = None,
+                clip: list[float] | None = None, chunk: int = CHUNK, before: bool = False) -> DataFrame:
+    """``stats`` (one row for each ``order``) with ``out``: the running value of the vector ``col``.
+
+    ``kind``: "sum", "ema" (weight ``m`` of the old state) or "last" (the last vector that is not null). ``init`` is the state before the first row; without
+    one an EMA starts from the first row's own value. ``clip`` bounds each element from above after every step.
+    The value after the row's step is returned, or with ``before`` the one that the row finds.
     """
-    out = out or f"{col}_ema"
-    mm = F.lit(float(m))
-    cc = F.lit(float(clip_hi) if clip_hi is not None else float("inf"))
     stats = materialize_small(stats)
-    d = stats.withColumn("__ch", _chunk(order, chunk))
-    # level 1: prefix compositions of the step maps inside each chunk
-    loc = d.groupBy(*by, "__ch").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).cast("double").alias("x")))).alias("__xs"))
-    ident = F.array(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("inf")).alias("c")))
-
-    def step(acc, e):
-        p = F.element_at(acc, -1)
-        inc = (F.lit(1.0) - mm) * e["x"]
-        return F.concat(acc, F.array(F.struct((mm * p["a"]).alias("a"), (mm * p["b"] + inc).alias("b"),
-                                              F.least(cc, mm * p["c"] + inc).alias("c"))))
-    loc = loc.withColumn("__st", F.slice(F.aggregate("__xs", ident, step), 2, F.size("__xs")))
-    loc = loc.withColumn("__first", F.col("__xs")[0]["x"])
-    # level 2: carry-in per chunk = composed chunk maps applied to init
-    summ = loc.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("__ch").alias("k"), F.element_at("__st", -1).alias("f"), F.col("__first").alias("x0")))).alias("__cs"))
-    init_c = F.lit(float(init)) if init is not None else F.col("__cs")[0]["x0"]
-    summ = summ.withColumn("__carry", F.aggregate(
-        "__cs", F.array(init_c),
-        lambda acc, e: F.concat(acc, F.array(F.least(e["f"]["c"], e["f"]["a"] * F.element_at(acc, -1) + e["f"]["b"])))))
-    carry = summ.select(*by, F.posexplode(F.slice("__carry", 1, F.size("__cs"))).alias("__i", "__cin"),
-                        F.col("__cs").alias("__cs"))
-    carry = carry.select(*by, F.col("__cs")[F.col("__i")]["k"].alias("__ch"), "__cin")
-    res = loc.join(carry, [*by, "__ch"]).select(
-        *by, F.posexplode(F.arrays_zip(F.col("__xs").alias("e"), F.col("__st").alias("f"))).alias("__j", "__z"), "__cin")
-    res = res.select(*by, F.col("__z")["e"]["o"].alias(order),
-                     F.least(F.col("__z")["f"]["c"], F.col("__z")["f"]["a"] * F.col("__cin") + F.col("__z")["f"]["b"]).alias(out))
-    return materialize_small(stats.join(res, [*by, order]))
+    x = F.col(col)
+    free = F.transform(x, lambda _: F.lit(float("inf"))) if clip is None else F.array(*[F.lit(float(c)) for c in clip])
+    step = {"sum": F.struct(F.lit(1.0).alias("a"), x.alias("b"), free.alias("c")),
+            "ema": F.struct(F.lit(float(m)).alias("a"), F.transform(x, lambda v: F.lit(1.0 - float(m)) * v).alias("b"), free.alias("c")),
+            "last": F.struct(F.lit(0.0).alias("a"), x.alias("b"), F.lit(None).cast("array<double>").alias("c"))}[kind]
+    maps = stats.select(F.col(order).cast("long").alias("__o"), step.alias("__f"), x.alias("__first"))
+    start = None if init is None else F.array(*[F.lit(float(v)) for v in init])
+    done = _scanned(maps, kind, start, chunk)
+    value = F.col("__in") if before else _apply(kind, F.col("__f"), F.col("__in"))
+    return stats.join(done.select(F.col("__o").alias(order), value.alias(out)), order)
+
+
+def class_vector(K: int, of) -> Column:
+    """Array of one aggregate for each class."""
+    return F.array(*[of(k) for k in range(K)])
 
 
 def batch_ranks(df: DataFrame, batch: str, rank: str = "__rank") -> DataFrame:

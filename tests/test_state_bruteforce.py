@@ -1,6 +1,8 @@
 """Stateful operators against sequential loops written from the reference's semantics."""
 
 import math
+
+import pytest
 from collections import Counter
 
 import numpy as np
@@ -66,16 +68,29 @@ def test_selfadaptive_matches_sequential_loop(spark):
     assert len(diff) <= 1, diff  # float order only
 
 
-def test_ema_scan_chunked_equals_sequential(spark):
-    xs = [(b, c, math.sin(b * 7 + c)) for b in range(23) for c in range(3)]
-    df = spark.createDataFrame(xs, "batch_id long, cls int, x double")
-    got = {(r.batch_id, r.cls): r.e for r in stt.ema_scan(df, ["cls"], "batch_id", "x", 0.7, init=None, out="e", chunk=4).collect()}
-    for c in range(3):
-        s = None
-        for b in range(23):
-            x = math.sin(b * 7 + c)
-            s = x if s is None else 0.7 * s + 0.3 * x
-            assert abs(got[(b, c)] - s) < 1e-12
+@pytest.mark.parametrize("chunk", [2, 4, 1024])
+def test_vector_scans_equal_sequential_folds(spark, chunk):
+    """Chunks of chunks (up to five levels here), gaps in the order, clips and missing values."""
+    orders = [b for b in range(40) if b % 7 != 3]
+    rows = [(b, [math.sin(b * 7 + c) for c in range(3)]) for b in orders]
+    df = spark.createDataFrame(rows, "batch_id long, x array<double>").repartition(5)
+    scan = lambda d, *a, **kw: {r.batch_id: r.s for r in stt.vector_scan(d, "batch_id", "x", *a, out="s", chunk=chunk, **kw).collect()}
+    close = lambda got, want: all(abs(g - w) < 1e-12 for g, w in zip(got, want, strict=True))
+    ema, clipped, total, found = scan(df, "ema", m=0.7), scan(df, "ema", m=0.6, init=[0.1] * 3, clip=[0.2, math.inf, -0.1]), scan(df, "sum", init=[1.0, 0, 0]), scan(
+        df, "sum", init=[1.0, 0, 0], before=True)
+    e, k, s = None, [0.1] * 3, [1.0, 0.0, 0.0]
+    for b, x in rows:
+        assert close(found[b], s)
+        e = x if e is None else [0.7 * o + 0.3 * v for o, v in zip(e, x, strict=True)]
+        k = [min(c, 0.6 * o + 0.4 * v) for o, v, c in zip(k, x, [0.2, math.inf, -0.1], strict=True)]
+        s = [o + v for o, v in zip(s, x, strict=True)]
+        assert close(ema[b], e) and close(clipped[b], k) and close(total[b], s)
+    holes = spark.createDataFrame([(b, x if b % 5 == 0 else None) for b, x in rows], df.schema)
+    last, now = scan(holes, "last", init=[9.0] * 3), [9.0] * 3
+    for b, x in rows:
+        now = x if b % 5 == 0 else now
+        assert close(last[b], now)
+    assert scan(df.limit(0), "ema", m=0.5) == {}
 
 
 def test_prefix_and_trailing_sums_chunked(spark):
@@ -88,14 +103,3 @@ def test_prefix_and_trailing_sums_chunked(spark):
         for b in range(40):
             assert ps[(b, c)] == sum(vals[: b + 1])
             assert ts[(b, c)] == sum(vals[max(0, b - 3): b + 1])
-
-
-def test_clipped_ema_scan_equals_sequential(spark):
-    xs = [(b, 0, 0.5 + 0.5 * math.sin(b)) for b in range(30)]
-    df = spark.createDataFrame(xs, "batch_id long, cls int, x double")
-    got = {r.batch_id: r.e for r in stt.ema_scan(df, ["cls"], "batch_id", "x", 0.6, init=0.1, out="e",
-                                                  chunk=4, clip_hi=0.7).collect()}
-    s = 0.1
-    for b in range(30):
-        s = min(0.7, 0.6 * s + 0.4 * (0.5 + 0.5 * math.sin(b)))
-        assert abs(got[b] - s) < 1e-12
