@@ -1,7 +1,7 @@
 """Memory banks, prototypes and similarity smoothing.
 
-Rows stay where they are and the bank passes by them, a block of at most ``block`` entries at a
-time: each block is one row of arrays, and every row of the table folds it into running sums
+Rows stay where they are and the bank passes by them, a block of about ``block`` entries at a
+time (blocks are dealt by hash): each block is one row of arrays, and every row of the table folds it into running sums
 (log-sum-exp with a running maximum). The result is exact for any bank size, no row is copied or
 shuffled for a block, and a task holds one block besides its rows. Every ``PASS`` blocks the
 sums are written to the checkpoint folder, so plans stay short whatever the bank's size.
@@ -30,11 +30,12 @@ PASS = 8
 
 
 def _blocks(bank: DataFrame, slot: str, fields: list[str], block: int, by: list[str] = ()) -> DataFrame:
-    """(…by, __blk, __items): entries of each group of ``by`` in blocks of ``block``, in slot order."""
+    """(…by, __blk, __items): entries of each group of ``by``, dealt by a hash of their slot into blocks of about ``block``."""
     by = list(by)
-    r = rank_by_value(bank, by, slot, slot, default_buckets(bank.sparkSession), rank_col="__r", bounded_groups=False)
-    b = r.withColumn("__blk", F.floor((F.col("__r") - 1) / F.lit(block)).cast("int"))
-    return b.groupBy(*by, "__blk").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in (slot, *fields)]))).alias("__items"))
+    bank = materialize_small(bank.select(*by, slot, *fields))
+    most = bank.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    blk = F.pmod(F.xxhash64(slot), F.lit(max(1, -(-most // block)))).cast("int")
+    return bank.groupBy(*by, blk.alias("__blk")).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in (slot, *fields)]))).alias("__items"))
 
 
 def _fold_blocks(rows: DataFrame, items: DataFrame, part: Callable[[Column], Column], by: list[str] = ()) -> DataFrame:
@@ -143,10 +144,9 @@ def comatch_bank(ulb: DataFrame, lb: DataFrame, Q: int, K: int, feat: str = "fea
     u = ulb.select(batch, F.lit(0).alias("__side"), idx, F.col(feat).alias("bfeat"), F.col(probs).alias("bprobs"))
     l = lb.select(batch, F.lit(1).alias("__side"), idx, F.col(feat).alias("bfeat"),
                   vec.onehot(label, K).alias("bprobs"))
-    s = u.unionByName(l).withColumn("__ord", F.col(batch) * F.lit(4) + F.col("__side"))
-    r = rank_by_value(s, [], "__ord", idx, default_buckets(ulb.sparkSession), descending=True,
-                      rank_col="slot", bounded_groups=False)
-    return r.filter(F.col("slot") <= Q).select("slot", "bfeat", "bprobs")
+    s = u.unionByName(l).orderBy(F.col(batch).desc(), F.col("__side").desc(), F.col(idx)).limit(Q)  # each task keeps Q rows
+    newest = Window.orderBy(F.col(batch).desc(), F.col("__side").desc(), F.col(idx))
+    return s.withColumn("slot", F.row_number().over(newest).cast("bigint")).select("slot", "bfeat", "bprobs")
 
 
 def smooth_instances(ulb: DataFrame, bank: DataFrame, K: int, T: float = 0.1, alpha: float = 0.9,

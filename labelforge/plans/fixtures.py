@@ -8,13 +8,14 @@ logits for a weak and a strong view. All of it is derived by Spark from the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelforge.functions import vec
+from labelforge.functions.hashing import split_key
 from labelforge.operators.scorers import fit_prototypes, prototype_matrix
 from labelforge.operators.ranking import default_buckets, rank_by_hash
-from labelforge.operators.split import ssl_split
+from labelforge.operators.state import materialize_small
 
 # Fixture parameters (fixed values shared with the SQL oracle).
 K_EMB = 10          # classes in embeddings.label
@@ -44,10 +45,14 @@ def strong_view(feat: str = "feat", idx: str = "idx", salt: str = "", every: int
 
 
 def split(spark: SparkSession, sf_dir: str, n: int = N_PER_CLASS, seed: int = SEED) -> DataFrame:
-    """The labelled/unlabelled split, written once to the shared checkpoint
-    folder: every downstream branch (prototypes, both batchings) starts from it."""
-    from labelforge.operators.state import materialize_small
-    return materialize_small(ssl_split(embeddings(spark, sf_dir), n * K_EMB, K_EMB, seed))
+    """Embeddings with ``is_lb``: the n rows of each class that come first in the seeded order of C1.
+
+    Each task keeps n rows of a class before anything moves, and the n·K ids are joined back."""
+    e = embeddings(spark, sf_dir)
+    key = split_key(F.col("idx"), seed)
+    first = Window.partitionBy("label").orderBy(key, "idx")
+    chosen = e.select("idx", "label").withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).select("idx", F.lit(True).alias("__lb"))
+    return e.join(F.broadcast(chosen), "idx", "left").withColumn("is_lb", F.col("__lb").isNotNull()).drop("__lb")
 
 
 def scored(spark: SparkSession, sf_dir: str, n: int = N_PER_CLASS, seed: int = SEED,
@@ -59,7 +64,7 @@ def scored(spark: SparkSession, sf_dir: str, n: int = N_PER_CLASS, seed: int = S
     d = s.withColumn("feat_s", strong_view()).crossJoin(P)
     d = (d.withColumn("logits_w", F.transform("__P", lambda p: F.coalesce(vec.dot(p, "feat") / F.lit(T), F.lit(0.0))))
           .withColumn("logits_s", F.transform("__P", lambda p: F.coalesce(vec.dot(p, "feat_s") / F.lit(T), F.lit(0.0))))
-          .drop("rn"))
+         )
     if more_views:
         d = d.withColumn("feat_s2", strong_view(salt="-b")).withColumn("__m", strong_view(salt="-m", every=8))
         logits = lambda f: F.transform("__P", lambda p: F.coalesce(vec.dot(p, f) / F.lit(T), F.lit(0.0)))
@@ -72,7 +77,8 @@ def scored(spark: SparkSession, sf_dir: str, n: int = N_PER_CLASS, seed: int = S
                          F.col("idx").cast("string")))
     r = rank_by_hash(d.withColumn("__key", key), ["is_lb"], "__key", "idx", default_buckets(spark), "pos").drop("__key")
     size = F.when(F.col("is_lb"), F.lit(B_lb)).otherwise(F.lit(B))
-    return r.withColumn("batch_id", F.floor((F.col("pos") - 1) / size).cast("bigint"))
+    # written once, as a table of predictions would be: every branch of a query starts from it
+    return materialize_small(r.withColumn("batch_id", F.floor((F.col("pos") - 1) / size).cast("bigint")))
 
 
 def longtail_head(spark: SparkSession, sf_dir: str, part: int = 5) -> int:

@@ -194,7 +194,7 @@ mix AS (SELECT idx, list(v / s ORDER BY k) AS mixv FROM vk JOIN sx USING (idx) G
 SELECT idx, {q.rnd("list_transform(generate_series(1, len(probs)), lambda i: 0.9 * probs[i] + 0.1 * mixv[i])")} AS probs_smoothed
 FROM pr JOIN mix USING (idx)""", bench=True)
 def f7_smooth_bank(spark, sf_dir):
-    sc_ = fx.scored(spark, sf_dir, with_feat=True).withColumn("probs", vec.softmax("logits_w")).persist()
+    sc_ = fx.scored(spark, sf_dir, with_feat=True).withColumn("probs", vec.softmax("logits_w"))
     ulb, lb = sc_.filter(~F.col("is_lb")), sc_.filter("is_lb")
     b = bk.comatch_bank(ulb, lb, 64, K)
     s = bk.smooth_bank(ulb, b, K, 0.1, 0.9)

@@ -9,6 +9,7 @@ from labelforge.operators import masks as mk
 from labelforge.operators import sample as smp
 from labelforge.operators import split as sp
 from labelforge.operators import targets as tg
+from labelforge.operators.state import materialize_small
 from labelforge.plans import fixtures as fx
 from labelforge.plans import sqlfrag as q
 from labelforge.plans.registry import query
@@ -31,12 +32,13 @@ def _lb(spark, sf_dir):
 
 def _visits(spark, sf_dir, epoch: int = 9, B: int = 50):
     """Two epochs over the unlabelled rows: weak view in the first, strong in the second."""
-    u = fx.ulb_pred(spark, sf_dir).persist()
+    u = fx.ulb_pred(spark, sf_dir)
     n = u.count()
     v = smp.epoch_sample(u, epoch, 2 * n, 1)
-    return (v.withColumn("batch_id", F.floor((F.col("pos") - 1) / F.lit(B)).cast("bigint"))
-             .withColumn("probs", F.when(F.col("rep") == 0, vec.softmax("logits_w")).otherwise(vec.softmax("logits_s")))
-             .select("idx", "rep", "batch_id", "probs"))
+    v = (v.withColumn("batch_id", F.floor((F.col("pos") - 1) / F.lit(B)).cast("bigint"))
+          .withColumn("probs", F.when(F.col("rep") == 0, vec.softmax("logits_w")).otherwise(vec.softmax("logits_s")))
+          .select("idx", "rep", "batch_id", "probs"))
+    return materialize_small(v)
 
 
 VISITS = f"""ve AS (SELECT idx, logits_w, logits_s FROM ulb), vn AS (SELECT count(*) AS n FROM ve),
