@@ -110,7 +110,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     texts = identified(docs)
     buckets = bucket_count(docs.sparkSession, total_bytes(docs), PER_BUCKET)
     rows = texts.mapInArrow(lambda b: chunked_rows(b, _strings(window), buckets, within_doc=False), "bucket long, kind int, data binary")
-    spans = rows.groupBy("bucket").applyInArrow(tidy(_settle_bucket(window)), "doc long, mark int, start long, end long")
+    spans = rows.groupBy("bucket").applyInArrow(tidy(_settle_bucket(window)), "doc long, mark long, start long, end long")
     return spans_by_document(spans)
 
 

@@ -24,7 +24,7 @@ from labelforge.llm.common import U64, chunks, mix, pack, ragged, release, slice
 #: A packed row is settled spans (kind 0) or strings for a bucket (kind 1).
 SPANS, STRINGS = 0, 1
 SCATTER = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-SPAN = pa.schema([("doc", pa.int64()), ("mark", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+SPAN = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 #: Low bits of a minimiser key that hold the position.
 _LOW = 28
 #: Bytes of text worked on at once, and bytes that leave together.
@@ -99,7 +99,7 @@ def settle(s: Strings, doc: np.ndarray, mark: np.ndarray, within_doc: bool) -> t
 
 
 def span_row(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
-    return pack(doc.astype("<i8"), mark.astype("<i4"), start.astype("<i8"), end.astype("<i8"))
+    return pack(doc.astype("<i8"), mark.astype("<i8"), start.astype("<i8"), end.astype("<i8"))
 
 
 def scatter_rows(parts: list[tuple[Strings, np.ndarray, np.ndarray, np.ndarray]], buckets: int, within_doc: bool) -> pa.RecordBatch:
@@ -127,7 +127,7 @@ def scatter_rows(parts: list[tuple[Strings, np.ndarray, np.ndarray, np.ndarray]]
         r = s.row[k]
         bucket.append(int(to[i]))
         kind.append(STRINGS)
-        data.append(pack(doc[r].astype("<i8"), mark[r].astype("<i4"), s.start[k].astype("<i8"), s.units[k].astype("<i4"),
+        data.append(pack(doc[r].astype("<i8"), mark[r].astype("<i8"), s.start[k].astype("<i8"), s.units[k].astype("<i4"),
                          s.size[k].astype("<i4"), s.value[k], buf[ragged(s.at[k], s.size[k])]))
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], schema=SCATTER)
 
@@ -176,7 +176,7 @@ def span_batch(parts: list[tuple]) -> pa.Table:
     doc, mark, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((start, mark, doc))
     doc, mark, start, end = merge_spans(doc[order], mark[order], start[order], end[order])
-    return pa.table([pa.array(doc, pa.int64()), pa.array(mark, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], schema=SPAN)
+    return pa.table([pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], schema=SPAN)
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:
@@ -198,5 +198,5 @@ def spans_by_document(spans: DataFrame) -> DataFrame:
         release()
 
     merged = (spans.repartition("doc", "mark").sortWithinPartitions("doc", "mark", "start")
-              .mapInArrow(merge, "doc long, mark int, start long, end long"))
+              .mapInArrow(merge, "doc long, mark long, start long, end long"))
     return merged.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))

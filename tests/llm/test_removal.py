@@ -42,7 +42,7 @@ def removed_bytes(rows, window=100):
     from pyspark.sql import functions as F
     spark = SparkSession.getActiveSession()
     for text, m in spark.createDataFrame([(t or "",) for _, t, _ in rows], "text string").distinct().select(
-            "text", F.pmod(F.xxhash64("text"), F.lit(1 << 16))).collect():
+            "text", F.xxhash64("text")).collect():
         marks[text.encode()] = m
     for i, b in cut:
         for k in range(len(b) - window + 1):
