@@ -46,16 +46,16 @@ def _fold_blocks(rows: DataFrame, items: DataFrame, part: Callable[[Column], Col
     """
     by = list(by)
     items = materialize_small(items)
-    last = items.agg(F.max("__blk")).first()[0]
+    blocks = sorted(r[0] for r in items.select("__blk").distinct().collect())  # a hash may leave one empty
     d = rows.repartition(*by) if by else rows
-    if last is None:
+    if not blocks:
         return None
-    for i in range(last + 1):
-        one = items.where(F.col("__blk") == i).drop("__blk")
+    for i, blk in enumerate(blocks):
+        one = items.where(F.col("__blk") == blk).drop("__blk")
         d = d.join(one, by, "left") if by else d.crossJoin(F.broadcast(one))
         seen = part(F.col("__items"))
         d = d.withColumn("__acc", seen if i == 0 else vec.let(seen, lambda p: _merge(F.col("__acc"), p))).drop("__items")
-        if i % PASS == PASS - 1 and i < last:
+        if i % PASS == PASS - 1 and i < len(blocks) - 1:
             d = materialize_small(d)
     return d
 

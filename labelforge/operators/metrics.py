@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.functions import vec
+from labelforge.operators.state import prefix_max
 
 
 def accuracy(df: DataFrame, logits: str = "logits", truth: str = "truth") -> DataFrame:
@@ -68,13 +69,10 @@ def confusion(df: DataFrame, pred: str = "pred", truth: str = "truth") -> DataFr
 
 def best_so_far(metrics: DataFrame, by: list[str], it: str = "it", acc: str = "acc") -> DataFrame:
     """Running best accuracy and the iteration where it was first reached
-    (an update happens only on a strict improvement)."""
-    w = Window.partitionBy(*by).orderBy(it).rowsBetween(Window.unboundedPreceding, 0)
-    wprev = Window.partitionBy(*by).orderBy(it).rowsBetween(Window.unboundedPreceding, -1)
-    d = metrics.withColumn("best_acc", F.max(acc).over(w))
-    improved = F.col(acc) > F.coalesce(F.max(acc).over(wprev), F.lit(float("-inf")))
-    d = d.withColumn("__imp", F.when(improved, F.col(it)))
-    return d.withColumn("best_it", F.max("__imp").over(w)).drop("__imp")
+    (an update happens only on a strict improvement). A run of any length is scanned in chunks."""
+    first_best = F.when(F.col(acc).isNotNull(), F.struct(F.col(acc).alias("acc"), (-F.col(it)).alias("at")))
+    d = prefix_max(metrics, by, it, first_best, "__best")
+    return d.withColumn("best_acc", F.col("__best.acc")).withColumn("best_it", -F.col("__best.at")).drop("__best")
 
 
 # Log-line patterns (fixed values).
@@ -101,7 +99,8 @@ def last_n_mean(parsed: DataFrame, run: str = "run", seq: str = "seq", col: str
                 ns: tuple[int, ...] = (1, 20, 50)) -> DataFrame:
     """Mean of the last n evaluations per run, always divided by n."""
     w = Window.partitionBy(run).orderBy(F.col(seq).desc())
-    r = parsed.withColumn("__rn", F.row_number().over(w))
+    # a bound on the rank lets every task keep its last rows of a run before they meet
+    r = parsed.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= max(ns))
     return r.groupBy(run).agg(*[(F.sum(F.when(F.col("__rn") <= n, F.col(col)).otherwise(F.lit(0.0))) / F.lit(float(n)))
                                 .alias(f"{col}_{n}") for n in ns])
 

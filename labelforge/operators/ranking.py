@@ -103,3 +103,21 @@ def rank_by_value(df: DataFrame, by: list[str], key: str, idx: str, buckets: int
     k = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()
     out = rank_within(d, by, [k, F.col(idx).asc()], bucket, rank_col, total_col, bounded_groups)
     return out.drop("__bounds", "__ibounds")
+
+
+def global_rank(df: DataFrame, order: list[str], rank_col: str = "rn") -> DataFrame:
+    """Exact ``row_number()`` over the whole table in ascending ``order``.
+
+    Rows are sorted over range partitions and written; a partition's first number is the row
+    count of the partitions before it. Only those counts (one for each partition, whatever
+    the number of rows, groups or repetitions) are broadcast.
+    """
+    from labelforge.operators.state import materialize_small
+    placed = materialize_small(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__p", before.alias("__before"))
+    own = F.col("__at") - F.shiftleft(F.shiftright("__at", 33), 33)
+    return (placed.withColumn("__p", part).join(F.broadcast(offsets), "__p")
+            .withColumn(rank_col, F.col("__before") + own + 1).drop("__p", "__at", "__before"))

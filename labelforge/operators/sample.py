@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import TWO32, h32, hkey
-from labelforge.operators.ranking import default_buckets, rank_by_hash, rank_by_value, rank_within
+from labelforge.operators.ranking import default_buckets, global_rank, rank_by_hash
 
 
 def _repeats(df: DataFrame, total: int, n: int) -> DataFrame:
@@ -28,8 +28,7 @@ def _stride(df: DataFrame, total: int, replicas: int) -> DataFrame:
               .withColumn("step", F.floor((F.col("pos") - 1) / F.lit(replicas)).cast("bigint")))
 
 
-def epoch_sample(df: DataFrame, epoch: int, total: int, replicas: int = 1, idx: str = "idx",
-                 buckets: int | None = None) -> DataFrame:
+def epoch_sample(df: DataFrame, epoch: int, total: int, replicas: int = 1, idx: str = "idx") -> DataFrame:
     """Whole seeded permutations (seed = epoch) repeated until ``total``
     draws, then strided across ``replicas``: ``pos``, ``replica``, ``step``."""
     n = df.count()
@@ -38,9 +37,8 @@ def epoch_sample(df: DataFrame, epoch: int, total: int, replicas: int = 1, idx:
     r = _repeats(df, total, n)
     r = r.withColumn("__key", F.md5(F.concat(F.lit(f"e{epoch}-"), F.col("rep").cast("string"),
                                               F.lit("-"), F.col(idx).cast("string"))))
-    r = rank_by_hash(r, ["rep"], "__key", idx, buckets or default_buckets(df.sparkSession), "rn").drop("__key")
-    r = r.withColumn("pos", F.col("rep") * F.lit(n) + F.col("rn"))
-    return _stride(r, total, replicas).drop("rn")
+    # every permutation has n rows, so the number over all of them is the draw's position
+    return _stride(global_rank(r, ["rep", "__key", idx], "pos").drop("__key"), total, replicas)
 
 
 def epoch_sample_subset(df: DataFrame, ids: DataFrame, epoch: int, total: int, replicas: int = 1,
@@ -56,7 +54,7 @@ def balance_weights(df: DataFrame, target: float, label: str = "label") -> DataF
 
 
 def weighted_sample(df: DataFrame, weights: DataFrame, epoch: int, total: int, replicas: int = 1,
-                    label: str = "label", idx: str = "idx", buckets: int | None = None) -> DataFrame:
+                    label: str = "label", idx: str = "idx") -> DataFrame:
     """Class-weighted draws *without* replacement, per permutation.
 
     Efraimidis–Spirakis: a permutation weighted by w is the order of
@@ -67,9 +65,7 @@ def weighted_sample(df: DataFrame, weights: DataFrame, epoch: int, total: int, r
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"w{epoch}-"), F.col("rep").cast("string"), F.lit("-"),
                                           F.col(idx).cast("string"))), 1, 8), 16, 10).cast("bigint")
     r = r.withColumn("__k", -F.log((h + F.lit(0.5)) / F.lit(TWO32)) / F.col("weight"))
-    r = rank_by_value(r, ["rep"], "__k", idx, buckets or default_buckets(df.sparkSession), rank_col="rn")
-    r = r.withColumn("pos", F.col("rep") * F.lit(n) + F.col("rn"))
-    return _stride(r, total, replicas).drop("rn", "__k")
+    return _stride(global_rank(r, ["rep", "__k", idx], "pos").drop("__k"), total, replicas)
 
 
 def weighted_sample_replacement(df: DataFrame, weights: DataFrame, epoch: int, total: int,

@@ -122,6 +122,17 @@ def class_vector(K: int, of) -> Column:
     return F.array(*[of(k) for k in range(K)])
 
 
+def prefix_max(df: DataFrame, by: list[str], order: str, value: Column, out: str, chunk: int = CHUNK) -> DataFrame:
+    """Running max of ``value`` (any ordered type, nulls ignored) per ``by`` in ``order``: a window per
+    (group, chunk) and the maxima of earlier chunks, so a long group is many tasks."""
+    d = df.withColumn("__v", value).withColumn("__ch", _chunk(order, chunk))
+    tot = d.groupBy(*by, "__ch").agg(F.max("__v").alias("__t"))
+    before = Window.partitionBy(*by).orderBy("__ch").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*by, "__ch", F.max("__t").over(before).alias("__o"))
+    w = Window.partitionBy(*by, "__ch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(off, [*by, "__ch"]).withColumn(out, F.greatest(F.max("__v").over(w), F.col("__o"))).drop("__ch", "__o", "__v")
+
+
 def batch_ranks(df: DataFrame, batch: str, rank: str = "__rank") -> DataFrame:
     """(batch, rank): the batches of ``df`` numbered 0, 1, … in order, whatever their gaps."""
     one = df.select(batch).distinct().withColumn("__one", F.lit(1))

@@ -14,7 +14,6 @@ from labelforge.plans import sqlfrag as q
 from labelforge.plans.q_align import LT_SQL, _lt_lb
 from labelforge.plans.q_pseudo import PR, W
 from labelforge.plans.registry import query
-from labelforge.session import checkpoint_dir
 
 K = fx.K_EMB
 
@@ -50,19 +49,6 @@ def h2_crest_pick(spark, sf_dir):
     return rb.crest_pick(pred, _lt_lb(spark, sf_dir), K, 3.0).select("idx", "label", "picked")
 
 
-@query("h3_self_train")
-def h3_self_train(spark, sf_dir):
-    """Generational self-training (rows-only check): 6 generations of
-    prototype fit → score → progressive alignment → CReST pick, lineage cut
-    by a reliable checkpoint each generation."""
-    from labelforge.plans.recipes import self_train
-    e = fx.embeddings(spark, sf_dir)
-    lt = _lt_lb(spark, sf_dir)
-    pool = e.join(lt.select("idx"), "idx", "left_anti")
-    checkpoint_dir(spark)
-    return self_train(lt, pool, K, gens=6, alpha=3.0)
-
-
 #: CTEs: prototypes of the long-tailed rows (``lp``: one row, class order) and scores of both sides.
 LT_SCORES = f"""lx AS (SELECT label, unnest(generate_series(1, len(feat))) AS pos, unnest(feat) AS x FROM lt),
 lraw AS (SELECT label, list(m ORDER BY pos) AS raw FROM (SELECT label, pos, avg(x) AS m FROM lx GROUP BY label, pos) GROUP BY label),
@@ -154,3 +140,32 @@ def k4_fit_with_pseudo(spark, sf_dir):
     model = sc.fit_with_pseudo(lb, ulb, 1.0, max_iter=30)
     p = sc.predict_linear(model, fx.embeddings(spark, sf_dir))
     return p.select("idx", "label", vec.argmax("logits").alias("pred"))
+
+
+def _class_mass(model, rows, weight, margin=0.05):
+    """Per class: weight of the training rows, and whether the model's probabilities of them sum to that. At the
+    optimum of a multinomial regression with intercepts they do."""
+    p = sc.predict_linear(model, rows.withColumn("__w", weight)).withColumn("p", vec.softmax("logits"))
+    n = p.groupBy("label").agg(F.sum("__w").alias("n"))
+    mass = p.select("__w", F.posexplode("p").alias("label", "x")).groupBy("label").agg(F.sum(F.col("x") * F.col("__w")).alias("m"))
+    return n.join(mass, "label").select(F.col("label").cast("int").alias("label"), F.round("n", 6).alias("n"),
+                                        (F.abs(F.col("m") - F.col("n")) <= margin * F.col("n")).alias("mass_met"))
+
+
+@query("k3_fit_optimum", sql=f"""{W} SELECT label, count(*)::DOUBLE AS n, true AS mass_met FROM lb GROUP BY label""")
+def k3_fit_optimum(spark, sf_dir):
+    lb = fx.split(spark, sf_dir).filter("is_lb")
+    return _class_mass(sc.fit_linear(lb, max_iter=100), lb, F.lit(1.0))
+
+
+@query("k4_fit_optimum", sql=f"""{W}, {PR}
+SELECT label, round(sum(w), 6) AS n, true AS mass_met FROM (SELECT label, 1.0::DOUBLE AS w FROM lb
+    UNION ALL SELECT pred, 0.5::DOUBLE FROM cp WHERE conf >= 0.45) GROUP BY label""")
+def k4_fit_optimum(spark, sf_dir):
+    """Labelled rows at weight 1 and accepted ones at λ_u = 0.5 under their pseudo-label."""
+    s = fx.scored(spark, sf_dir, with_feat=True)
+    lb, ulb = s.filter("is_lb"), s.filter("NOT is_lb").withColumn("probs", vec.softmax("logits_w"))
+    ulb = ulb.withColumn("pseudo_label", vec.argmax("probs")).withColumn("mask", (vec.max_prob("probs") >= F.lit(0.45)).cast("double"))
+    rows = lb.select("feat", F.col("label").cast("int").alias("label"), F.lit(1.0).alias("w")).unionByName(
+        ulb.where("mask > 0").select("feat", F.col("pseudo_label").alias("label"), F.lit(0.5).alias("w")))
+    return _class_mass(sc.fit_with_pseudo(lb, ulb, 0.5, max_iter=200), rows, F.col("w"))

@@ -7,7 +7,10 @@ queries have a plain-SQL equivalent of the whole composition, the others
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions import vec
@@ -309,6 +312,33 @@ def p12_simmatch_bank(spark, sf_dir):
     return last.select("idx", "label", vec.round_arr("bfeat").alias("bfeat"))
 
 
+@query("h3_self_train", sql=rs.self_train(6))
+def h3_self_train(spark, sf_dir):
+    """Generational self-training: 6 generations of prototype fit → score → progressive alignment →
+    CReST pick, lineage cut by a checkpoint each generation."""
+    from labelforge.session import checkpoint_dir
+    lt = _lt_lb(spark, sf_dir)
+    pool = fx.embeddings(spark, sf_dir).join(lt.select("idx"), "idx", "left_anti")
+    checkpoint_dir(spark)
+    return rc.self_train(lt, pool, K, gens=6, alpha=3.0)
+
+
+@query("u1_recipes_by_name", sql=rs.registry({"fixmatch": MASKD, "uda": MASKD, "pseudolabel": f"{MASKD} * {WARM}", "refixmatch": MASKD, "crmatch": MASKD}))
+def u1_recipes_by_name(spark, sf_dir):
+    """Recipes looked up by name, each over all unlabelled rows."""
+    ulb, lb = _inputs(spark, sf_dir)
+    parts = [rc.get_recipe(n)(ulb, lb, p_cutoff=CUT).select(F.lit(n).alias("recipe"), "idx", "pseudo_label", F.round("weight", 6).alias("weight"))
+             for n in ("fixmatch", "uda", "pseudolabel", "refixmatch", "crmatch")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("u3_imbalance_on_base", sql=rs.debiased_pseudolabel())
+def u3_imbalance_on_base(spark, sf_dir):
+    """An imbalance add-on (Q6) around a base recipe other than the usual one."""
+    ulb, lb = _inputs(spark, sf_dir)
+    return _out(rc.with_imbalance("pseudolabel", "debiaspl")(ulb, lb, m=0.9, p_cutoff=CUT))
+
+
 @query("u2_pluggable_steps", sql=f"""{W}, {PR}
 SELECT idx, CASE WHEN conf >= {CUT} THEN 1 ELSE 0 END AS mask, pred AS pseudo_label FROM cp""")
 def u2_pluggable_steps(spark, sf_dir):

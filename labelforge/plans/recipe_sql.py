@@ -207,3 +207,44 @@ tr AS MATERIALIZED (SELECT 'online' AS kind, idx, label, lam, mixed_feat AS feat
 cwt AS (SELECT label, 1.0 / count(*) AS weight FROM tr GROUP BY label), {_protos('tr', 't')}
 SELECT kind, idx, label, round(lam, 6) AS lam, round(weight, 6) AS weight, {q.rnd('feat', 5)} AS feat,
        {q.rnd(f"list_transform(Pt, lambda q: {q.dot('q', 'feat')} / 0.1)", 4)} AS logits FROM tr JOIN cwt USING (label) CROSS JOIN mt"""
+
+
+def self_train(gens: int) -> str:
+    """H3: prototypes of the labelled rows, scores of the pool, progressive alignment, picks; again with the picks."""
+    parts = [f"WITH {LT_SQL}, {RATES}",
+             "pl0 AS (SELECT vec_id AS idx, CAST(embedding AS DOUBLE[]) AS feat FROM embeddings WHERE vec_id NOT IN (SELECT idx FROM lt))",
+             f"pool AS MATERIALIZED (SELECT *, CAST(floor((row_number() OVER (ORDER BY {q.md5key('idx', 's0-st')}, idx) - 1) / 64) AS BIGINT) AS batch_id FROM pl0)",
+             "pri AS (SELECT label AS cls, count(*) / sum(count(*)) OVER () AS prior FROM lt GROUP BY label)",
+             "now0 AS MATERIALIZED (SELECT feat, label FROM lt)"]
+    for g in range(gens):
+        t = 1.0 - (g / (gens - 1)) * 0.5
+        logits = f"list_transform(Pa{g}, lambda q: {q.dot('q', 'feat')} / 0.1)"
+        parts += [_protos(f"now{g}", f"a{g}"), f"""sc{g} AS MATERIALIZED (SELECT idx, batch_id, feat, {q.softmax(logits)} AS probs FROM pool CROSS JOIN ma{g}),
+cm{g} AS (SELECT batch_id, cls, avg(p) AS x FROM (SELECT batch_id, unnest(generate_series(0, {K - 1})) AS cls, unnest(probs) AS p FROM sc{g}) GROUP BY batch_id, cls),
+cl{g} AS (SELECT cls, list(x ORDER BY batch_id) AS xs FROM cm{g} GROUP BY cls),
+pm{g} AS (SELECT c.batch_id, c.cls, {ema_sql('xs', 'c.batch_id + 1', 0.999, None)} AS pm FROM cm{g} c JOIN cl{g} USING (cls)),
+tg{g} AS (SELECT cls, pow(prior, {t!r}) / sum(pow(prior, {t!r})) OVER () AS t FROM pri),
+rt{g} AS (SELECT batch_id, list((t + 1e-6) / (pm + 1e-6) ORDER BY cls) AS ratio FROM pm{g} JOIN tg{g} USING (cls) GROUP BY batch_id),
+al{g} AS MATERIALIZED (SELECT idx, feat, {q.normalize_sum(MUL)} AS probs FROM sc{g} JOIN rt{g} USING (batch_id)),
+fr{g} AS (SELECT idx, feat, {q.argmax('probs')} AS pred, list_max(probs) AS conf FROM al{g}),
+rk{g} AS (SELECT *, row_number() OVER (PARTITION BY pred ORDER BY conf DESC, idx) AS rn, count(*) OVER (PARTITION BY pred) AS n_c FROM fr{g}),
+pick{g} AS MATERIALIZED (SELECT idx, feat, pred AS label FROM rk{g} JOIN rt USING (pred) WHERE rn <= floor(n_c * rate + 1e-12)),
+now{g + 1} AS MATERIALIZED (SELECT feat, label FROM lt UNION ALL SELECT feat, label FROM pick{g})"""]
+    return ",\n".join(parts) + f"""
+SELECT idx, label, false AS picked, {gens} AS generation FROM lt UNION ALL SELECT idx, label, true, {gens} FROM pick{gens - 1}"""
+
+
+def debiased_pseudolabel() -> str:
+    """Debiased probabilities (Q6) under the pseudo-label recipe."""
+    f5 = ORACLES["f5_debias_logits"]
+    adj = q.softmax("list_transform(generate_series(1, len(logits_w)), lambda i: logits_w[i] - 0.4 * ln(phv[i]))")
+    return f5[:f5.rindex("SELECT idx,")].rstrip() + f""",
+dp AS MATERIALIZED (SELECT idx, batch_id, logits_w, {adj} AS dprobs FROM pr JOIN pv USING (batch_id)),
+dc AS (SELECT *, list_max(dprobs) AS conf, {q.argmax('dprobs')} AS pred FROM dp){
+    out('pred', 'conf', f'{MASKD} * {WARM}', f"-({q.log_softmax('logits_w')})[pred + 1]", 'dc')}"""
+
+
+def registry(names: dict[str, str]) -> str:
+    """Rows of each named recipe, given the weight of each as SQL."""
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS recipe, idx, pred AS pseudo_label, round({w}, 6) AS weight FROM cp" for n, w in names.items())
+    return f"{W}, {PR}\n{rows}"

@@ -10,11 +10,43 @@ from pyspark.sql import functions as F
 VIEW_SCHEMA = "map<string, struct<ori: string, aug_0: string, aug_1: string, label: string>>"
 
 
+def _objects(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the members of the one JSON object that each file under ``path`` holds, as text up to the brace that ends them.
+
+    Files are cut at closing braces by the line reader, so one large object is read by as many
+    tasks as it has splits. A brace inside a string is no end: the quotes before it in the file
+    are odd, counted within a split and carried over from the splits before (one row for each
+    split). Pieces that such a brace cuts are joined again; all others pass as they are.
+    """
+    raw = (spark.read.option("recursiveFileLookup", "true").option("lineSep", "}").text(path)
+           .select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                   F.monotonically_increasing_id().alias("i")))
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escapes
+    own = Window.partitionBy("f", "b").orderBy("i")
+    odd = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
+    d = raw.withColumn("q", F.sum(odd).over(own.rowsBetween(Window.unboundedPreceding, 0)) % 2).withColumn("odd", odd)
+    splits = d.groupBy("f", "b").agg((F.sum("odd") % 2).alias("odd"), F.count_if(F.col("q") == 0).alias("even"), F.count_if(F.col("q") == 1).alias("uneven"))
+    before = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("start", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    splits = splits.withColumn("first", F.coalesce(F.sum(F.when(F.col("start") == 0, F.col("even")).otherwise(F.col("uneven"))).over(before), F.lit(0)))
+    d = d.drop("odd").join(splits.select("f", "b", "start", "first"), ["f", "b"])
+    ends = (F.col("q") == F.col("start"))
+    d = d.withColumn("ends", ends)
+    earlier = F.coalesce(F.sum(F.col("ends").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.col("ends") & F.coalesce(F.lag("ends").over(own), F.col("start") == 0)
+    d = d.withColumn("n", F.col("first") + earlier).withColumn("whole", whole)
+    parts = d.where(~F.col("whole")).groupBy("f", "n").agg(F.sort_array(F.collect_list(F.struct("b", "i", "value"))).alias("p"))
+    joined = parts.select(F.array_join(F.transform("p", lambda x: x["value"]), "}").alias("value"))
+    return d.where("whole").select("value").unionByName(joined)
+
+
 def read_views(spark: SparkSession, path: str, with_augs: bool = True) -> DataFrame:
     """A1: keyed-JSON view files (one JSON object per file mapping row key →
-    {ori, aug_0, aug_1, label}); missing augmentations are the string 'None'."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    m = raw.select(F.explode(F.from_json("value", VIEW_SCHEMA)).alias("idx", "v"))
+    {ori, aug_0, aug_1, label}); missing augmentations are the string 'None'.
+    A file is read in splits, row by row, however large its object is."""
+    member = F.regexp_replace("value", r'^[\s,{]*(?=")', "")
+    rows = _objects(spark, path).select(member.alias("value")).where(F.col("value").startswith('"'))
+    m = rows.select(F.explode(F.from_json(F.concat(F.lit("{"), F.col("value"), F.lit("}}")), VIEW_SCHEMA)).alias("idx", "v"))
     none = F.lit("None")
     return m.select("idx", F.col("v.ori").alias("ori"),
                     (F.coalesce(F.col("v.aug_0"), none) if with_augs else none).alias("aug_0"),

@@ -69,7 +69,8 @@ def test_refine_solve_row_sums_and_class_mass(spark):
 
 
 def test_recipe_registry_and_imbalance_rules():
-    assert rc.get_recipe("fullysupervised") is rc.get_recipe("supervised")
+    assert rc.get_recipe("crest+") is rc.get_recipe("crest")
+    assert rc.get_recipe("fullysupervised") is not rc.get_recipe("supervised")
     with pytest.raises(KeyError):
         rc.get_recipe("nosuchmatch")
     with pytest.raises(ValueError):

@@ -52,3 +52,32 @@ def test_tied_values_are_ranked_exactly_and_split(spark, monkeypatch):
             k = F.col("conf").desc() if desc else F.col("conf").asc()
             assert o.withColumn("t", F.row_number().over(Window.orderBy(k, "id"))).where("t <> rn").count() == 0
             assert max(sizes[-1]) <= 2 * 8000 / 16
+
+
+def test_views_are_read_in_splits(spark, tmp_path):
+    """One object over many splits, with braces, quotes, escapes and line breaks inside its strings."""
+    import json
+    import random
+    r = random.Random(1)
+    bits = ['"', "\\", "}", "{", "},", '\\"', "\n", "\t", "é", " text ", ": ", "日本", '"}, "7": {"ori": "x"}']
+    word = lambda: "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
+    for name, rows, kw in (("a", 400, {}), ("b", 37, {"indent": 2}), ("c", 5, {"ensure_ascii": False, "separators": (",", ":")}), ("d", 0, {})):
+        views = {f"{name}{k}": {"ori": word(), "aug_0": word(), "label": str(k % 3)} | ({"aug_1": word()} if k % 2 else {}) for k in range(rows)}
+        (tmp_path / f"{name}.json").write_text(json.dumps(views, **kw), encoding="utf-8")
+        if name == "a":
+            kept = views
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (700, 5000, 1 << 27):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            df = rd.read_views(spark, str(tmp_path))
+            got = {x.idx: x for x in df.collect()}
+            assert len(got) == 442 and df.count() == 442
+            for k, v in kept.items():
+                assert (got[k].ori, got[k].aug_0, got[k].aug_1, got[k].label) == (v["ori"], v["aug_0"], v.get("aug_1", "None"), int(v["label"]))
+            splits = spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions()
+            assert size > 5000 or splits > 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
