@@ -6,8 +6,8 @@ rules accept and reject. Any other URL gets the length-normalised difference of
 likelihoods, held against a threshold calibrated on labelled URLs kept out of the training.
 
 Everything is DataFrame operations. URLs are written in an alphabet of ``len(SYMBOLS)``
-symbols, so a model has at most 1 + S + S^2 + S^3 contexts of S next symbols: that proven
-bound (about 26 MB) is what is broadcast, however many URLs there are.
+symbols, so a model has at most 1 + S + S^2 + S^3 contexts of S next symbols, however many URLs
+there are. Each level of it is measured and broadcast while it is small, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import checkpointed
+from labelforge.functions.vec import let
+from labelforge.llm.common import checkpointed, with_small
 
 #: Letters, one digit class, URL punctuation, one symbol for the rest, and the end.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0/.:-_?=&#%~+,;@!$"
@@ -67,13 +68,18 @@ def symbols_of(url: Column) -> Column:
     return F.concat(F.regexp_replace(digits, f"[^{SYMBOLS.replace('-', '')}-]", OTHER), F.lit(END))
 
 
-def _grams(rows: DataFrame, order: int) -> DataFrame:
-    """(…, context, symbol) for each symbol of ``__text`` with its context of exactly ``order`` symbols."""
-    at = F.sequence(F.lit(1 + order), F.length("__text"))
-    there = rows.where(F.length("__text") > order)
-    return (there.withColumn("__at", F.explode(at))
-            .withColumn("context", F.substring(F.col("__text"), F.col("__at") - order, F.lit(order)))
-            .withColumn("symbol", F.substring(F.col("__text"), F.col("__at"), F.lit(1))).drop("__at"))
+def _windows(text: Column) -> Column:
+    """Each symbol ``x`` of a text with ``c``, the up to ``ORDER`` symbols before it. The text is cut into symbols once, so
+    the work is linear in its length, and what is unfolded carries no text."""
+    def window(all_, x, i):
+        before = F.slice(all_, F.greatest(i - ORDER + 1, F.lit(1)), F.least(i, F.lit(ORDER)))
+        return F.struct(F.array_join(before, "").alias("c"), x.alias("x"))
+    return let(F.split(text, ""), lambda all_: F.transform(all_, lambda x, i: window(all_, x, i)))
+
+
+def _context(order: int) -> Column:
+    """The last ``order`` symbols of ``c``; null where there are fewer."""
+    return F.when(F.length("c") >= order, F.substring(F.col("c"), F.length("c") - order + 1, F.lit(order)))
 
 
 def train(labelled: DataFrame) -> DataFrame:
@@ -87,13 +93,13 @@ def train(labelled: DataFrame) -> DataFrame:
     symbol that never follows it pays for going to the shorter context.
     """
     size = len(SYMBOLS) + 2
-    counts = None
-    for order in range(ORDER + 1):
-        part = _grams(labelled, order).groupBy("context", "symbol").agg(
-            F.sum(F.when(F.col("accepted"), F.col("__times")).otherwise(0)).alias("na"),
-            F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("__times"))).alias("nr"))
-        counts = part if counts is None else counts.unionByName(part)
-    counts = checkpointed(counts)
+    seen = (labelled.select("accepted", "__times", F.inline(_windows(F.col("__text")))).groupBy("c", "x").agg(
+        F.sum(F.when(F.col("accepted"), F.col("__times")).otherwise(0)).alias("na"),
+        F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("__times"))).alias("nr")))
+    # the shorter contexts' counts are sums of the longer ones'
+    each = F.filter(F.array(*[_context(order) for order in range(ORDER + 1)]), lambda c: c.isNotNull())
+    counts = checkpointed(seen.select(F.explode(each).alias("context"), F.col("x").alias("symbol"), "na", "nr")
+                          .groupBy("context", "symbol").agg(F.sum("na").alias("na"), F.sum("nr").alias("nr")))
     totals = counts.groupBy("context").agg(*(f(c).alias(a) for c, a, f in (
         ("na", "sa", F.sum), ("nr", "sr", F.sum),
         ("na", "ta", lambda c: F.sum((F.col(c) > 0).cast("long"))), ("nr", "tr", lambda c: F.sum((F.col(c) > 0).cast("long"))))))
@@ -122,18 +128,17 @@ def score(rows: DataFrame, model: DataFrame) -> DataFrame:
     """``rows`` (with ``__id`` and ``__text``) plus ``score``, the log-likelihood difference per symbol.
 
     Each symbol looks its contexts up from the longest; a context that never held the symbol
-    adds its weight and hands over to the next shorter one.
+    adds its weight and hands over to the next shorter one. A level of the model is measured before it is broadcast.
     """
-    text = F.col("__text")
-    per_symbol = (rows.select("__id", "__text", F.explode(F.sequence(F.lit(1), F.length(text))).alias("__at"))
-                  .withColumn("__x", F.substring(text, F.col("__at"), F.lit(1))))
+    per_symbol = rows.select("__id", F.inline(_windows(F.col("__text"))))
+    sizes = {r["n"]: r["bytes"] for r in model.groupBy(F.length("context").alias("n")).agg(
+        F.sum(F.size("ratio") * 64 + 128).alias("bytes")).collect()}  # one row for each order
     pays, found = F.lit(0.0), None
     for order in range(ORDER, -1, -1):
-        side = F.broadcast(model.where(F.length("context") == order).select(
-            F.col("context").alias(f"__c{order}"), F.col("weight").alias(f"__w{order}"), F.col("ratio").alias(f"__r{order}")))
-        key = F.when(F.col("__at") > order, F.substring(text, F.col("__at") - order, F.lit(order)))
-        per_symbol = per_symbol.join(side, key == F.col(f"__c{order}"), "left")
-        here = F.element_at(F.col(f"__r{order}"), F.col("__x"))
+        side = model.where(F.length("context") == order).select(
+            F.col("context").alias(f"__c{order}"), F.col("weight").alias(f"__w{order}"), F.col("ratio").alias(f"__r{order}"))
+        per_symbol = with_small(per_symbol.withColumn(f"__c{order}", _context(order)), side, [f"__c{order}"], "left", sizes.get(order, 0))
+        here = F.element_at(F.col(f"__r{order}"), F.col("x"))
         value = F.when(here.isNotNull(), here + pays)
         found = value if found is None else F.coalesce(found, value)
         pays = pays + F.coalesce(F.col(f"__w{order}"), F.lit(0.0))
@@ -143,7 +148,8 @@ def score(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 def calibrate(labelled: DataFrame) -> float:
     """The threshold with the best balanced accuracy on (``accepted``, ``score``), from a histogram
-    of ``BINS`` bins of ``WIDTH``; of equals the one nearest to 0. Without both classes it is 0."""
+    of ``BINS`` bins of ``WIDTH``, so it lies within 2 nats of 0 (scores beyond count in the outermost bins); of equals the one
+    nearest to 0. Without both classes it is 0."""
     half = BINS // 2
     at = F.least(F.greatest(F.floor(F.col("score") / WIDTH), F.lit(-half)), F.lit(half - 1))
     bins = {r["b"]: (r["a"], r["r"]) for r in labelled.groupBy(at.alias("b")).agg(
@@ -166,23 +172,24 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     A null URL or one without ``://`` has an empty host and path, fits no rule and is scored
     as any other text (null: as the empty one). Repeated rows are judged each, the same way;
     training counts them as often as they occur. Equal to the threshold means allow. With no
-    labelled URL all scores are 0 and everything unruled is allowed.
+    labelled URL all scores are 0 and everything unruled is allowed. A very long URL is scored whole,
+    symbol by symbol, in time linear in its length. An empty table gives an empty result; other
+    columns, whatever their names, are not read.
     """
     url = F.col("url").cast("string")
     rows = (pages.select("page_id", url.alias("__url")).withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))})
             .withColumns({"rule": _by_rule(rules, lambda r: r.name), "__said": _by_rule(rules, lambda r: r.verdict),
                           "__text": symbols_of(F.col("__url"))}))
-    known = F.coalesce("__url", F.lit(""))
-    # equal URLs are scored once; how often they occur in training is kept
+    # equal URLs are scored once, under a number; how often they occur in training is kept
     distinct = checkpointed(rows.groupBy("__url").agg(F.first("__text").alias("__text"), F.first("__said").alias("__said"),
-                                                      F.count(F.lit(1)).alias("__times")).withColumn("__id", known))
+                                                      F.count(F.lit(1)).alias("__times")).withColumn("__id", F.monotonically_increasing_id()))
     fold = F.pmod(F.xxhash64("__url"), F.lit(FOLDS))
     labelled = distinct.where(F.col("__said").isNotNull()).withColumn("accepted", F.col("__said") == "allow")
     model = train(labelled.where(fold != 0).select("__text", "accepted", "__times"))
     threshold = calibrate(score(labelled.where(fold == 0).select("__id", "__text", "accepted"), model))
-    unruled = distinct.where(F.col("__said").isNull()).groupBy("__id").agg(F.first("__text").alias("__text"))
-    scored = score(unruled, model).select(
-        "__id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    unruled = distinct.where(F.col("__said").isNull())
+    scored = score(unruled.select("__id", "__text"), model).select("__id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    scored = scored.join(unruled.select("__id", F.col("__url").alias("__scored")), "__id").select("__scored", "score")
     verdict = F.coalesce("__said", F.when(F.coalesce("score", F.lit(0.0)) >= threshold, F.lit("allow")).otherwise(F.lit("block")))
-    return (rows.withColumn("__id", known).join(scored, "__id", "left")
+    return (rows.join(scored, F.col("__url").eqNullSafe(F.col("__scored")), "left")
             .select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score"))

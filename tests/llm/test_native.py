@@ -233,3 +233,12 @@ def test_chat_query(spark):
         learned = "".join(t for r, t in turns if r == "assistant")
         want.append((c, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), sha(learned)))
     assert rows_of(QUERIES["op9_chat_format"](spark, SF), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == sorted(want, key=repr)
+
+
+def test_a_very_long_url(spark):
+    """Long URLs are judged whole, next to a null and an empty one, and in time that grows with their length."""
+    rows = [(i, f"https://{'www.' if i % 2 else ''}s{i % 9}.{'com' if i % 4 else 'net'}/{'es' if i % 8 == 0 else 'x'}/{i}") for i in range(300)]
+    rows += [(1000, None), (1001, ""), (1002, ""), (1003, "http://q.org/" + "abc/9" * 12_000), (1004, "http://q.org/" + "abc/9" * 12_000)]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == 305 and got[1003].verdict == got[1004].verdict and got[1003].score == got[1004].score != 0.0
+    assert got[1001].score == got[1002].score and got[1000].host == "" and len(got[1003].path) == 60_001
