@@ -15,7 +15,7 @@ from labelforge.llm.common import (U64, bucket_count, checkpointed, doc_key, ide
                                    mix, prefix_hash, ragged, release, run_hash, slice_hash, tidy, total_bytes, whitespace, with_small,
                                    word_edges)
 from labelforge.llm.quality import words_of
-from labelforge.llm.superkmer import (Strings, bucket_strings, chunked_rows, span_batch, spans_by_document,
+from labelforge.llm.superkmer import (Strings, bucket_strings, scattered, span_batch, spans_by_document,
                                       super_kmers)
 
 PER_BUCKET = 2 << 20
@@ -109,7 +109,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     """(doc, mark, spans): word spans covered by a window that also starts in a smaller document."""
     texts = identified(docs)
     buckets = bucket_count(docs.sparkSession, total_bytes(docs), PER_BUCKET)
-    rows = texts.mapInArrow(lambda b: chunked_rows(b, _strings(window), buckets, within_doc=False), "bucket long, kind int, data binary")
+    rows = scattered(texts, _strings(window), buckets, within_doc=False)
     spans = rows.groupBy("bucket").applyInArrow(tidy(_settle_bucket(window)), "doc long, mark long, start long, end long")
     return spans_by_document(spans)
 

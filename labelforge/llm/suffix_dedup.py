@@ -19,7 +19,7 @@ from labelforge.llm.common import (U64, bucket_count, byte_values, identified, m
                                    total_bytes)
 from labelforge.llm.substring_dedup import with_spans
 from labelforge.llm.suffix_array import permuted_lcp, suffix_array
-from labelforge.llm.superkmer import (Strings, bucket_strings, chunked_rows, settle, span_batch, spans_by_document,
+from labelforge.llm.superkmer import (Strings, bucket_strings, scattered, settle, span_batch, spans_by_document,
                                       super_kmers)
 
 PER_BUCKET = 6 << 20
@@ -117,7 +117,7 @@ def repeated_byte_spans(docs: DataFrame, window: int = 100) -> DataFrame:
     """(doc, mark, spans): byte spans covered by a ``window``-byte string that also starts earlier."""
     texts = identified(docs)
     buckets = bucket_count(docs.sparkSession, total_bytes(docs), PER_BUCKET)
-    rows = texts.mapInArrow(lambda b: chunked_rows(b, _strings(window), buckets, within_doc=True), "bucket long, kind int, data binary")
+    rows = scattered(texts, _strings(window), buckets, within_doc=True)
     spans = rows.groupBy("bucket").applyInArrow(tidy(_settle_bucket(window)), "doc long, mark long, start long, end long")
     return spans_by_document(spans)
 

@@ -2,7 +2,9 @@
 
 The minimiser of a window is the smallest gram hash inside it (the rightmost of equals).
 Consecutive windows with the same minimiser position travel together as one string. Equal
-windows have equal minimisers, so they always meet in the same bucket.
+windows have equal minimisers, so they always meet in the same bucket. Where there are more
+buckets than a chunk can fill with strings worth packing, runs of buckets leave the chunk, and
+each run is split over its buckets in a second exchange.
 
 A document's occurrence of a string that a smaller document of the same chunk also holds is
 settled where it is read, so a passage that a third of all documents share reaches its
@@ -23,12 +25,15 @@ from labelforge.llm.common import U64, chunks, mix, pack, ragged, release, slice
 
 #: A packed row is settled spans (kind 0) or strings for a bucket (kind 1).
 SPANS, STRINGS = 0, 1
+ROWS = "bucket long, kind int, data binary"
 SCATTER = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 SPAN = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 #: Low bits of a minimiser key that hold the position.
 _LOW = 28
 #: Bytes of text worked on at once, and bytes that leave together.
-PART, CHUNK = 1 << 20, 6 << 20
+PART, CHUNK = 1 << 19, 4 << 20
+#: Buckets, or runs of buckets, that a chunk is split over; bytes of strings that are split again at once.
+DIRECT, AGAIN = 1024, 16 << 20
 
 
 class Strings(NamedTuple):
@@ -102,9 +107,9 @@ def span_row(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarr
     return pack(doc.astype("<i8"), mark.astype("<i8"), start.astype("<i8"), end.astype("<i8"))
 
 
-def scatter_rows(parts: list[tuple[Strings, np.ndarray, np.ndarray, np.ndarray]], buckets: int, within_doc: bool) -> pa.RecordBatch:
+def scatter_rows(parts: list[tuple[Strings, np.ndarray, np.ndarray, np.ndarray]], buckets: int, fan: int, within_doc: bool) -> pa.RecordBatch:
     """Rows of one chunk, given as parts (strings, doc, mark, buffer): settled spans, and for
-    each bucket its strings as one packed value."""
+    each run of ``fan`` buckets its strings as one packed value."""
     rows = np.cumsum([0, *(len(p[1]) for p in parts)])
     sizes = np.cumsum([0, *(len(p[3]) for p in parts)])
     moved = [s._replace(row=s.row + r, at=s.at + b) for (s, *_), r, b in zip(parts, rows, sizes, strict=False)]
@@ -118,22 +123,66 @@ def scatter_rows(parts: list[tuple[Strings, np.ndarray, np.ndarray, np.ndarray]]
         bucket.append(int(doc[0]) % buckets)
         kind.append(SPANS)
         data.append(span_row(*merge_spans(doc[r], mark[r], at, at + s.units[order])))
-    to = (s.value[kept] % U64(buckets)).astype(np.int64)
-    order = np.lexsort((kept, to))
-    kept, to = kept[order], to[order]
-    edges = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else np.zeros(1, np.int64)
-    for i, j in zip(edges[:-1], edges[1:], strict=True):
-        k = kept[i:j]
-        r = s.row[k]
-        bucket.append(int(to[i]))
+    r = s.row[kept]
+    strings = (doc[r], mark[r], s.start[kept], s.units[kept], s.size[kept], s.value[kept])
+    to = (s.value[kept] % U64(buckets)).astype(np.int64) // fan
+    for k, value in _packed(to, strings, s.at[kept], buf):
+        bucket.append(k)
         kind.append(STRINGS)
-        data.append(pack(doc[r].astype("<i8"), mark[r].astype("<i8"), s.start[k].astype("<i8"), s.units[k].astype("<i4"),
-                         s.size[k].astype("<i4"), s.value[k], buf[ragged(s.at[k], s.size[k])]))
+        data.append(value)
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], schema=SCATTER)
 
 
+def _packed(to: np.ndarray, strings: tuple, at: np.ndarray, buf: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(destination, packed strings) for each different destination; strings keep their order."""
+    doc, mark, start, units, size, value = strings
+    order = np.argsort(to, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1], [True]))) if len(to) else np.zeros(1, np.int64)
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        k = order[i:j]
+        yield int(to[k[0]]), pack(doc[k].astype("<i8"), mark[k].astype("<i8"), start[k].astype("<i8"), units[k].astype("<i4"),
+                                  size[k].astype("<i4"), value[k], buf[ragged(at[k], size[k])])
+
+
+def _split_again(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows for runs of buckets, in order of the runs, as rows for single buckets; settled spans pass."""
+    held, size = [], 0
+
+    def split() -> pa.RecordBatch:
+        *strings, buf = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = np.cumsum(strings[4], dtype=np.int64) - strings[4]
+        out = list(_packed((strings[5] % U64(buckets)).astype(np.int64), tuple(strings), at, buf))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([STRINGS] * len(out), pa.int32()),
+                                           pa.array([v for _, v in out], pa.binary())], schema=SCATTER)
+
+    for b in batches:
+        spans = [i for i, k in enumerate(b.column("kind").to_pylist()) if k == SPANS]
+        if spans:
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(spans)) for c in SCATTER.names], schema=SCATTER)
+        for kind, data in zip(b.column("kind").to_pylist(), b.column("data"), strict=True):
+            if kind == STRINGS:
+                held.append(unpack(data.as_py()))
+                size += len(held[-1][6])
+                if size >= AGAIN:
+                    yield split()
+                    size = 0
+    if held:
+        yield split()
+    release()
+
+
+def scattered(texts: DataFrame, strings_of: Callable[[list[bytes]], tuple[Strings, np.ndarray]], buckets: int, within_doc: bool) -> DataFrame:
+    """(bucket, kind, data) of all documents (doc, mark, text). A chunk makes at most ``DIRECT`` rows, however many buckets there are."""
+    fan = -(-buckets // DIRECT)
+    rows = texts.mapInArrow(lambda b: chunked_rows(b, strings_of, buckets, fan, within_doc), ROWS)
+    if fan == 1:
+        return rows
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _split_again(b, buckets), ROWS)
+
+
 def chunked_rows(batches: Iterator[pa.RecordBatch], strings_of: Callable[[list[bytes]], tuple[Strings, np.ndarray]],
-                 buckets: int, within_doc: bool) -> Iterator[pa.RecordBatch]:
+                 buckets: int, fan: int, within_doc: bool) -> Iterator[pa.RecordBatch]:
     """Scatter all documents: strings are found in small parts, which bounds the working arrays,
     and leave in chunks of several parts, which settles and compresses more."""
     parts, size = [], 0
@@ -142,10 +191,10 @@ def chunked_rows(batches: Iterator[pa.RecordBatch], strings_of: Callable[[list[b
         parts.append((strings, doc, mark, buf))
         size += len(buf)
         if size >= CHUNK:
-            yield scatter_rows(parts, buckets, within_doc)
+            yield scatter_rows(parts, buckets, fan, within_doc)
             parts, size = [], 0
     if parts:
-        yield scatter_rows(parts, buckets, within_doc)
+        yield scatter_rows(parts, buckets, fan, within_doc)
     del parts
     release()
 

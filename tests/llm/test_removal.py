@@ -96,3 +96,17 @@ def test_suffix_array():
             while n < rest[b] and plain[a + n] == plain[b + n]:
                 n += 1
             assert lcp[b] == n
+
+
+@pytest.mark.parametrize("again", [1, 1 << 20])
+def test_second_exchange_changes_nothing(spark, monkeypatch, again):
+    """Many more buckets than a chunk is split over: runs of buckets leave it and are split again."""
+    from labelforge.llm import substring_dedup, suffix_dedup, superkmer
+    rows = documents() + real(spark, 60)
+    monkeypatch.setattr(substring_dedup, "PER_BUCKET", 300)
+    monkeypatch.setattr(suffix_dedup, "PER_BUCKET", 300)
+    monkeypatch.setattr(superkmer, "DIRECT", 7)
+    monkeypatch.setattr(superkmer, "AGAIN", again)
+    rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
+    assert rows_of(remove_repeated_words(frame(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == removed_words(rows)
+    assert rows_of(remove_repeated_bytes(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_bytes(rows)
