@@ -32,7 +32,7 @@ from labelforge.llm.common import (U64, bucket_count, checkpointed, chunks, iden
                                    release, run_hash, tidy, total_bytes, unpack, whitespace, word_edges)
 from labelforge.llm.components import components
 
-PART, CHUNK, PER_BUCKET = 1 << 20, 4 << 20, 4 << 20
+PART, CHUNK, PER_BUCKET = 1 << 19, 4 << 20, 4 << 20
 #: Documents of one chunk from which a shingle's list stays with the chunk.
 HOT = 64
 CELL_DOCS, CELL_SHINGLES = 1024, 1 << 20

@@ -91,6 +91,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with_id
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
             del rows, columns
+        del ids_of  # loaded again in a third of a second, while a worker that waits would hold its 50 MB
+        _text_ids.cache_clear()
         release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -167,6 +167,8 @@ def pack_windows(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 20
             del rows
         if rests:
             yield group()
+        del ids_of  # see packing
+        _text_ids.cache_clear()
         release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
