@@ -116,7 +116,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts have no words, and such items are none; an item of fewer than ten
     words is one window; a null item id reads as empty; repeated rows are answered each;
-    without items nothing is contaminated; an empty table gives an empty result. The
+    without items nothing is contaminated; an empty table gives an empty result. Very long
+    texts take time in proportion to their words; other columns, whatever their names, are not read. The
     benchmark's fingerprints are measured and broadcast in blocks of a bounded size; each
     block is held against all documents.
     """

@@ -263,7 +263,8 @@ def score_documents(docs: DataFrame, path: str, folds: int = 7, fold: int = 2) -
     add-one word unigram, ``score`` the lattice model's log10 probability; piece counts are
     smoothed by one. Null and empty texts are the end alone; repeated rows are scored and
     counted each; without training rows every piece is as likely; an empty table gives an
-    empty result. Only the piece counts, bounded by the vocabulary, reach the driver.
+    empty result. Very long texts and words are scored whole, each different word once; other
+    columns, whatever their names, are not read. Only the piece counts, bounded by the vocabulary, reach the driver.
     """
     spark = docs.sparkSession
     buckets = bucket_count(spark, total_bytes(docs), PER_BUCKET)

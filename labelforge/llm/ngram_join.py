@@ -9,7 +9,9 @@
 3. Documents that share such a shingle, directly or over others, form a neighbourhood. Equal
    sets count once. Neighbourhoods are cut into cells of bounded size, and in each cell
    DivideSkip answers every document: short lists are merged, long ones probed by binary
-   search, and documents that reach the required overlap are linked.
+   search, and documents that reach the required overlap are linked. Short lists of more than
+   512 entries together, and long ones that many candidates would probe, are counted into an
+   array instead; the numbers are the same.
 4. A neighbourhood too large for one cell is joined block by block: first inside blocks, then
    among one document for each component until no more merge, and at last every document
    outside the largest component is held against all blocks. Nothing is skipped.
@@ -343,7 +345,8 @@ def similar_documents(docs: DataFrame, size: int = 5) -> DataFrame:
 
     Null and empty texts have no shingle and link with nothing; rows that repeat an id are one
     node, whatever their texts; a null id counts as the smallest and comes back as null; an
-    empty table gives an empty result.
+    empty table gives an empty result. A very long text is a chunk of its own and its set one
+    packed value; other columns, whatever their names, are not read.
     """
     buckets = bucket_count(docs.sparkSession, total_bytes(docs), PER_BUCKET)
     routed = identified(docs).mapInArrow(_route(size, buckets), ROUTED)

@@ -199,6 +199,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
     first piece may be shorter) and packed into as few sequences as found.
 
     Null and empty texts are the end token alone; ties in length go to any place of that
-    length; repeated rows are packed each; an empty table gives an empty result.
+    length; repeated rows are packed each; an empty table gives an empty result. A very long text
+    is tokenized whole and cut; other columns, whatever their names, are not read.
     """
     return pack_sequences(token_pieces(docs, path, end_id, capacity, with_ids), capacity)

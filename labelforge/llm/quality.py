@@ -96,7 +96,8 @@ def judge_quality(docs: DataFrame, host: str = "source", min_words: int = 50, mi
     windows. ``kept``: not so, and at least ``min_left`` of the characters in worded lines is
     left once lines above the limits are taken out. Null and empty texts have no words and
     fail; a null host is a host of its own; repeated rows are judged each, the same way; an
-    empty table gives an empty result.
+    empty table gives an empty result. A very long text is split where it is read, and its
+    lines leave as hashes; other columns, whatever their names, are not read.
     """
     per_row = checkpointed(figures(docs, host))
     gone = removed_lines(per_row, common_lines(per_row, min_docs, share))

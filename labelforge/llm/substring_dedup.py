@@ -154,7 +154,8 @@ def remove_repeated_words(docs: DataFrame, window: int = 13) -> DataFrame:
     Each word covered by a ``window``-word sequence that also starts in a document with a
     smaller id is removed; windows are judged on the input. Null and empty texts have no
     words; shorter texts have no window; repeated rows get the same answer each and do not
-    remove one another; an empty table gives an empty result.
+    remove one another; an empty table gives an empty result. A very long text is a part of its
+    own and its windows go to many buckets; other columns, whatever their names, are not read.
     """
     return with_spans(docs, repeated_spans(docs, window)).mapInArrow(
         _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
@@ -162,7 +163,8 @@ def remove_repeated_words(docs: DataFrame, window: int = 13) -> DataFrame:
 
 def without_repeated_words(docs: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` (any columns) with the repeated words taken out of ``text``: the words left are
-    joined by one space, untouched texts stay as they are, and documents that lose every word go."""
+    joined by one space, untouched texts stay as they are, and documents that lose every word go.
+    Columns of any name stay; only names that start with ``__lf_`` are taken."""
     spans = checkpointed(repeated_spans(docs, window))
     size = spans.agg(F.sum(F.size("spans") * 16 + 32)).first()[0] or 0
     spans = spans.select(F.col("doc").alias("__lf_doc"), F.col("mark").alias("__lf_mark"), F.col("spans").alias("__lf_spans"))

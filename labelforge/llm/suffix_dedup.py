@@ -153,7 +153,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100) -> DataFrame:
     document, or earlier in the same one) is removed; overlaps count and strings are judged on
     the input. What is left is bytes, since a cut may fall inside a character. Null and empty
     texts have no bytes; shorter texts have no window; rows that repeat a document whole get
-    one answer each and do not remove one another; an empty table gives an empty result.
+    one answer each and do not remove one another; rows of one id with other texts stand in the
+    order of a 64-bit hash; an empty table gives an empty result. A very long text is a part of
+    its own and its strings go to many buckets; other columns, whatever their names, are not read.
     """
     return with_spans(docs, repeated_byte_spans(docs, window)).mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")

@@ -89,7 +89,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     Null and empty texts have 0 tokens; a null doc_id stays null; repeated rows are each
     counted; an empty table gives an empty result. Special strings inside a text count as
-    the tokenizer's special tokens. The proved set is bounded by the vocabulary file.
+    the tokenizer's special tokens. The proved set is bounded by the vocabulary file. A very
+    long text is counted whole, pre-token by pre-token. Other columns, whatever their names, are not read.
     """
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 

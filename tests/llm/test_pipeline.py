@@ -65,3 +65,23 @@ def test_defaults_keep_clean_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     judged = judge_quality(docs)
     assert judged.where("not kept and not base_failed").count() <= 0.02 * judged.count()
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_texts_without_words(spark, tmp_path):
+    """Null, empty and blank texts, null ids and sources, repeated rows (a null text is the empty one): every stage answers."""
+    rows = [(None, None, None), (None, "", "s"), (1, " \n", None), (1, " \n", None), (2, None, "s")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {name: stage(spark, docs, str(tmp_path)).count() for name, stage in corpus_pipeline.STAGES}
+    assert kept == {"quality_rules": 0, "near_duplicates": 3, "substring_dedup": 5, "decontamination": 5, "packing": 5}
