@@ -33,12 +33,15 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go. Null and empty texts have no words and go; a null source is a source
+    of its own; repeated rows share a verdict; an empty table stays empty."""
     return _without(docs, judge_quality(docs).where(~F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays; of repeated rows, one."""
+    """Of each group of similar documents the one with the smallest id stays; of repeated rows, one (ties go to any,
+    they are equal in id and text). Texts without words link with nothing and stay; a null id is the smallest;
+    an empty table stays empty."""
     joined = checkpointed(similar_documents(docs))
     gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(doc_key(F.col("doc_id")).alias(KEYS[0])).distinct()
     rows = with_small(_keyed(docs), gone, [KEYS[0]], "left_anti", 8 * gone.count())
@@ -51,7 +54,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated word sequences are cut out of the texts; documents that lose every word go."""
+    """Repeated word sequences are cut out of the texts, and ``n_chars`` follows; documents that lose every word go.
+    Null, empty and short texts have no window and stay as they are; very long ones are cut whole; an empty table stays empty."""
     cut = without_repeated_words(docs)
     if "n_chars" not in docs.columns:
         return cut
@@ -59,13 +63,15 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a window of words with a benchmark item go."""
+    """Documents that share a window of words with a benchmark item go. Null and empty texts and items share
+    none; an empty table or benchmark takes nothing away."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _without(docs, find_contamination(docs, benchmark).where("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of what is left, packed into sequences."""
+    """Token pieces of what is left, packed into sequences. Null and empty texts are one end token each, very long ones
+    are cut; an empty table gives no piece."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
