@@ -181,7 +181,7 @@ def encode_labels(df: DataFrame, name_col: str, drop: tuple[str, ...] = ("_silen
     names = kept.select(name_col).distinct()
     dic = names.select(F.col(name_col),
                        (F.dense_rank().over(Window.orderBy(name_col)) - 1).cast("int").alias(label))
-    return kept.join(F.broadcast(dic), name_col), dic
+    return kept.join(dic, name_col), dic
 
 
 def class_distribution(df: DataFrame, K: int, label: str = "label") -> DataFrame:
@@ -206,14 +206,18 @@ def normalize_labels(df: DataFrame, label: str = "label") -> DataFrame:
 # Views each algorithm reads from a text row (fixed values).
 TWO_STRONG = ("comatch", "remixmatch")
 WEAK_AS_STRONG = ("pimodel", "meanteacher", "mixmatch")
-WEAK_ONLY = ("pseudolabel", "vat", "fullysupervised", "supervised")
+WEAK_ONLY = ("pseudolabel", "vat")
+WITH_LABEL = ("fullysupervised", "supervised")
 
 
-def project_views(df: DataFrame, algorithm: str, seed: int = 0, idx: str = "idx") -> DataFrame:
+def project_views(df: DataFrame, algorithm: str, seed: int = 0, idx: str = "idx", labelled: bool = False) -> DataFrame:
     """Weak view ``text`` = ori; ``text_s`` / ``text_s_`` per algorithm;
-    a random choice between aug_0 and aug_1 is the seeded hash of the row."""
+    a random choice between aug_0 and aug_1 is the seeded hash of the row. Labelled rows are the
+    weak view and their label whatever the algorithm; unlabelled ones carry a label for the supervised algorithms alone."""
     r = u(F.col(idx), f"s{seed}-view")
-    base = df.select(idx, F.col("ori").alias("text"), *[c for c in df.columns if c == "label"])
+    base = df.select(idx, F.col("ori").alias("text"))
+    if labelled or algorithm in WITH_LABEL:
+        return df.select(idx, F.col("ori").alias("text"), *[c for c in df.columns if c == "label"])
     if algorithm in WEAK_ONLY:
         return base
     if algorithm in WEAK_AS_STRONG:
@@ -221,8 +225,7 @@ def project_views(df: DataFrame, algorithm: str, seed: int = 0, idx: str = "idx"
     first0 = r < 0.5
     pick = F.when(first0, F.col("aug_0")).otherwise(F.col("aug_1"))
     other = F.when(first0, F.col("aug_1")).otherwise(F.col("aug_0"))
-    out = df.select(idx, F.col("ori").alias("text"), pick.alias("text_s"), other.alias("text_s_"),
-                    *[c for c in df.columns if c == "label"])
+    out = df.select(idx, F.col("ori").alias("text"), pick.alias("text_s"), other.alias("text_s_"))
     return out if algorithm in TWO_STRONG else out.drop("text_s_")
 
 

@@ -110,16 +110,16 @@ def a6_read_array_records(spark, sf_dir):
 
 
 @query("a8_write_splits", sql=f"""
-WITH s AS (SELECT label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {q.md5key('vec_id', 's0')}, vec_id) <= 4
+WITH s AS (SELECT vec_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {q.md5key('vec_id', 's0')}, vec_id) <= 4
              THEN 'train_lb' ELSE 'train_ulb' END AS split FROM embeddings)
-SELECT split, label, count(*) AS n FROM s GROUP BY split, label""")
+SELECT vec_id AS idx, label, split FROM s""")
 def a8_write_splits(spark, sf_dir):
     s = sp.ssl_split(fx.embeddings(spark, sf_dir), 4 * fx.K_EMB, fx.K_EMB, 0)
     s = s.withColumn("split", F.when(F.col("is_lb"), F.lit("train_lb")).otherwise(F.lit("train_ulb"))).drop("feat")
     path = scratch_path(spark, "a8")
     wr.write_splits(s.select("idx", "label", "split"), path, "json")
     back = spark.read.schema("idx long, label int, split string").json(path)
-    return back.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    return back.select("idx", "label", "split")
 
 
 @query("a10_split_manifest", sql=f"""

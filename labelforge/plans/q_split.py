@@ -364,6 +364,25 @@ def b3_drop_lead_words(spark, sf_dir):
     return d.select("idx", F.md5("t").alias("text_md5"), F.length("t").cast("bigint").alias("n_chars"))
 
 
+@query("b5_project_views_by_side", sql=f"""
+WITH v AS (SELECT doc_id AS idx, text AS ori, "right"(text, 1024) AS aug_0, {B3_SQL} AS aug_1, n_chars % 3 = 0 AS lb, source AS label FROM documents)
+SELECT idx, 'lb' AS side, md5(ori) AS text, NULL AS text_s, label FROM v WHERE lb
+UNION ALL SELECT idx, 'supervised', md5(ori), NULL, label FROM v WHERE NOT lb
+UNION ALL SELECT idx, 'fixmatch', md5(ori), md5(CASE WHEN {q.u('idx', 's0-view')} < 0.5 THEN aug_0 ELSE aug_1 END), NULL FROM v WHERE NOT lb""")
+def b5_project_views_by_side(spark, sf_dir):
+    """Labelled rows and unlabelled ones of two algorithms: who keeps a label, who gets a strong view."""
+    d = fx.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("idx"), F.col("text").alias("ori"), tx.tail_chars("text", 1024).alias("aug_0"),
+        tx.drop_lead_words("text", 100).alias("aug_1"), (F.col("n_chars") % 3 == 0).alias("lb"), F.col("source").alias("label"))
+    lb, ulb = d.where("lb"), d.where("NOT lb")
+    parts = [("lb", sp.project_views(lb, "fixmatch", labelled=True)), ("supervised", sp.project_views(ulb, "supervised")), ("fixmatch", sp.project_views(ulb, "fixmatch"))]
+    out = None
+    for name, part in parts:
+        one = part.withColumn("side", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out.select("idx", "side", F.md5("text").alias("text"), F.md5("text_s").alias("text_s"), "label")
+
+
 @query("b5_project_views", sql=f"""
 WITH v AS (SELECT doc_id AS idx, text AS ori, "right"(text, 1024) AS aug_0, {B3_SQL} AS aug_1 FROM documents)
 SELECT idx, md5(ori) AS text, md5(CASE WHEN {q.u('idx', 's0-view')} < 0.5 THEN aug_0 ELSE aug_1 END) AS text_s,

@@ -81,7 +81,7 @@ def read_text_tree(spark: SparkSession, root: str, classes: dict[str, int] | Non
         return d.join(F.broadcast(m), "class_name")
     names = d.select("class_name").distinct()
     names = names.withColumn("label", (F.dense_rank().over(Window.orderBy("class_name")) - 1).cast("int"))
-    return d.join(F.broadcast(names), "class_name")
+    return d.join(names, "class_name")  # Spark broadcasts them by their measured size
 
 
 def read_labeled_csv(spark: SparkSession, path: str, label_col: str, body_cols: list[str],
@@ -103,7 +103,7 @@ def index_file_tree(spark: SparkSession, root: str, glob: str = "*", extensions:
     f = f.withColumn("class_name", _class_name(F.col("path"), root))
     names = f.select("class_name").distinct().withColumn(
         "class_id", (F.dense_rank().over(Window.orderBy("class_name")) - 1).cast("int"))
-    return f.join(F.broadcast(names), "class_name")
+    return f.join(names, "class_name")
 
 
 def read_split_list(spark: SparkSession, path: str, root: str, extra: str | None = None) -> DataFrame:
