@@ -12,8 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.functions.hashing import hkey, split_key, u
-from labelforge.operators.ranking import default_buckets, rank_by_hash, rank_within
+from labelforge.functions.hashing import split_key, u
+from labelforge.operators.ranking import default_buckets, rank_by_hash
 
 
 def _buckets(df: DataFrame, buckets: int | None) -> int:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelforge.functions import vec
-from labelforge.operators import align as al
 from labelforge.operators import rebalance as rb
 from labelforge.operators import scorers as sc
 from labelforge.operators import split as sp

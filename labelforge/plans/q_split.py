@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelforge.functions import text as tx
-from labelforge.functions import vec
 from labelforge.functions.hashing import u
 from labelforge.operators import sample as smp
 from labelforge.operators import split as sp

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 from labelforge.functions.beta import series, total
-from labelforge.plans.fixtures import B_LB, B_ULB, K_EMB, N_PER_CLASS, SEED, T_PROTO
+from labelforge.plans.fixtures import B_LB, B_ULB, N_PER_CLASS, SEED, T_PROTO
 
 
 def md5key(idx: str, salt: str) -> str:

@@ -1,12 +1,10 @@
 """Stateful operators against sequential loops written from the reference's semantics."""
 
 import math
-
-import pytest
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
 
 from conftest import SF
 from labelforge.functions import vec
