@@ -48,13 +48,24 @@ def flex_status(df: DataFrame, cutoff: float, N: int, K: int, warmup: bool = Tru
     conf = F.col("conf") >= F.lit(cutoff)
     # labels after the last confident visit before this one
     prev = F.last(F.when(conf, F.col("pred")), ignorenulls=True).over(Window.partitionBy(idx).orderBy(batch).rowsBetween(Window.unboundedPreceding, -1))
-    v = df.select(batch, "pred", conf.alias("__c"), F.coalesce(prev, F.lit(-1)).alias("prev"))
-    moved = lambda k: F.sum(F.when(F.col("__c"), (F.col("pred") == k).cast("double") - (F.col("prev") == k).cast("double")).otherwise(0.0))
-    deltas = v.groupBy(batch).agg(F.array(*[moved(k) for k in range(-1, K)]).alias("__d"))
-    c = vector_scan(deltas, batch, "__d", "sum", "__n", init=[float(N)] + [0.0] * K)
-    most = F.array_max("__n") if warmup else F.array_max(F.slice("__n", 2, K))
-    fresh = F.when(F.array_max("__n") < N, vec.let(most, lambda d: F.transform(F.slice("__n", 2, K), lambda x: x / d)))
-    return vector_scan(c.select(batch, fresh.alias("__a")), batch, "__a", "last", "status", init=[0.0] * K, before=True).select(batch, "status")
+    visits = df.select(batch, "pred", "conf", F.coalesce(prev, F.lit(-1)).alias("prev"))
+    return flex_states(visits, cutoff, N, K, warmup, batch).select(batch, "status")
+
+
+def flex_states(visits: DataFrame, cutoff: float, N: int, K: int, warmup: bool = True, batch: str = "batch_id",
+                counts: list[float] | None = None, status: list[float] | None = None) -> DataFrame:
+    """(batch, counts, status, after): bucket counts after each batch (first the rows without a label), the status it finds and the one it leaves.
+
+    ``visits`` hold conf, pred and ``prev``, the row's label before the visit (-1: none); ``counts`` and ``status`` are those before the first batch.
+    """
+    conf = F.col("conf") >= F.lit(cutoff)
+    moved = lambda k: F.sum(F.when(conf, (F.col("pred") == k).cast("double") - (F.col("prev") == k).cast("double")).otherwise(0.0))
+    deltas = visits.groupBy(batch).agg(F.array(*[moved(k) for k in range(-1, K)]).alias("__d"))
+    c = vector_scan(deltas, batch, "__d", "sum", "counts", init=counts or [float(N)] + [0.0] * K)
+    most = F.array_max("counts") if warmup else F.array_max(F.slice("counts", 2, K))
+    fresh = F.when(F.array_max("counts") < N, vec.let(most, lambda d: F.transform(F.slice("counts", 2, K), lambda x: x / d)))
+    s = vector_scan(c.select(batch, "counts", fresh.alias("__a")), batch, "__a", "last", "status", init=status or [0.0] * K, before=True)
+    return s.select(batch, "counts", "status", F.coalesce("__a", "status").alias("after"))
 
 
 def mask_flex(df: DataFrame, cutoff: float, K: int, N: int | None = None, warmup: bool = True,
@@ -70,21 +81,23 @@ def mask_flex(df: DataFrame, cutoff: float, K: int, N: int | None = None, warmup
     return j.withColumn("threshold", thr).withColumn(out, (F.col("conf") >= F.col("threshold")).cast("int"))
 
 
-def _selfadaptive_scan(d: DataFrame, K: int, m: float, quantile: bool, probs: str, batch: str, clip: float | None) -> DataFrame:
-    """(batch, __s): time_p, then p_model and label_hist of the K classes, after each batch's update, in one scan."""
+def selfadaptive_scan(d: DataFrame, K: int, m: float, quantile: bool, probs: str, batch: str, clip: float | None,
+                      init: list[float] | None = None) -> DataFrame:
+    """(batch, __s): time_p, then p_model and label_hist of the K classes, after each batch's update, in one scan.
+    ``init`` is the state before the first batch, 1/K if it is not given."""
     stat = F.percentile(F.col("conf"), 0.8) if quantile else F.avg("conf")
     mean = [F.avg(F.col(probs)[k]) for k in range(K)]
     hits = [F.avg((F.col("pred") == k).cast("double")) for k in range(K)]
     stats = d.groupBy(batch).agg(F.array(stat, *mean, *hits).alias("__x"))
     bounds = None if clip is None else [clip] + [math.inf] * (2 * K)
-    return vector_scan(stats, batch, "__x", "ema", "__s", m, [1.0 / K] * (2 * K + 1), bounds).select(batch, "__s")
+    return vector_scan(stats, batch, "__x", "ema", "__s", m, init or [1.0 / K] * (2 * K + 1), bounds).select(batch, "__s")
 
 
 def selfadaptive_state(d: DataFrame, K: int, m: float, quantile: bool, probs: str, batch: str,
                        clip: float | None = None) -> tuple[DataFrame, DataFrame]:
     """E4 state after each batch's update: time_p per batch (optionally clipped
     to [0, clip] at every update), (p_model, label_hist) per (batch, class)."""
-    s = materialize_small(_selfadaptive_scan(d, K, m, quantile, probs, batch, clip))
+    s = materialize_small(selfadaptive_scan(d, K, m, quantile, probs, batch, clip))
     tp = s.select(batch, F.col("__s")[0].alias("time_p"))
     both = F.arrays_zip(F.slice("__s", 2, K).alias("p"), F.slice("__s", 2 + K, K).alias("h"))
     cs = s.select(batch, F.posexplode(both).alias("cls", "z")).select(batch, "cls", F.col("z.p").alias("p_model"), F.col("z.h").alias("label_hist"))
@@ -99,7 +112,7 @@ def mask_selfadaptive(df: DataFrame, K: int, m: float = 0.999, quantile: bool =
     reference uses 0.95) bounds time_p after every update (inputs are ≥ 0, so
     the lower bound 0 never binds)."""
     d = _conf_pred(df, probs)
-    s = _selfadaptive_scan(d, K, m, quantile, probs, batch, clip)
+    s = selfadaptive_scan(d, K, m, quantile, probs, batch, clip)
     p = F.slice("__s", 2, K)
     s = s.select(batch, vec.let(F.array_max(p), lambda top: F.transform(p, lambda x: F.col("__s")[0] * (x / top))).alias("__t"))
     j = d.join(s, batch).withColumn("threshold", vec.element("__t", "pred")).drop("__t")

@@ -103,3 +103,54 @@ def test_counts_and_evaluation_of_an_uneven_stream(spark):
         accs.append(sum(int(np.argmax(x[2])) == x[3] for x in seen) / len(seen))
     best = [accs[0], max(accs)]
     assert evals == sorted((1 if k == 0 or accs[1] <= accs[0] else 3, round(accs[k], 9), round(best[k], 9)) for k in range(2))
+
+
+def _files(spark, rows, schema, per_file, name):
+    src = scratch_path(spark, name)
+    on.write_stream_input(spark.createDataFrame(rows, schema), "batch_id", src, per_file)
+    fs, p = on.file_system(spark, src)
+    return src, spark.createDataFrame([], schema).schema, sum(s.isDirectory() for s in fs.listStatus(p))
+
+
+def test_files_of_many_training_batches_give_the_same_rows(spark):
+    """State moves with every training batch, however many of them a micro-batch holds (5 batches: 3 files and 1)."""
+    r = random.Random(5)
+    rows = [(20 * b + k, b, [r.uniform(-2, 2) for _ in range(K)], r.randrange(K)) for b in range(5) for k in range(r.randint(1, 5))]
+    schema = "idx long, batch_id long, logits_w array<double>, label int"
+    streams = {
+        "align": lambda s, t: on.stream_align(spark, s, t, K, 0.8, 0.5).select("idx", "mask", F.transform("probs_aligned", lambda x: F.round(x, 9))),
+        "selfadaptive": lambda s, t: on.stream_selfadaptive(spark, s, t, K, 0.8).select("idx", "mask", F.round("threshold", 9)),
+        "counts": lambda s, t: on.stream_label_counts(spark, s, t, 2, probs="logits_w").select("win", "cls", "cnt"),
+        "eval": lambda s, t: on.stream_eval(spark, s, t, 2).select(F.round("acc", 9), F.round("best_acc", 9), "best_epoch"),
+    }
+    want = {}
+    for per_file, files in ((2, 3), (8, 1)):
+        src, t, n = _files(spark, rows, schema, per_file, "t6")
+        assert n == files
+        for name, run in streams.items():
+            got = sorted(map(tuple, run(src, t).collect()))
+            assert got == want.setdefault(name, got) and got, (name, per_file)
+
+
+def test_remembered_labels_within_a_micro_batch(spark):
+    """A row comes several times in one micro-batch: its visits are taken in the order of their training batches."""
+    r = random.Random(6)
+    rows = []
+    for b in range(6):
+        for i in r.sample(range(9), 6):
+            p = [r.random() ** 3 + 0.01 for _ in range(K)]
+            rows.append((i, b, [x / sum(p) for x in p]))
+    r.shuffle(rows)
+    want = {}
+    for per_file in (1, 4):
+        src, t, _ = _files(spark, rows, "idx long, batch_id long, probs array<double>", per_file, "t7")
+        got = sorted((x.idx, x.batch_id, round(x.threshold, 12), x.mask) for x in on.stream_flex(spark, src, t, K, 9, 0.5).collect())
+        assert len(got) == 36 and got == want.setdefault("flex", got), per_file
+
+
+def test_queries_replay_few_files(spark):
+    """The number of micro-batches is that of files, not that of training batches."""
+    d = spark.range(3000).select(F.col("id").alias("idx"), F.floor(F.col("id") / 5).alias("batch_id"))
+    from labelforge.plans import q_stream
+    src, _ = q_stream._replay(spark, d, "batch_id", "t8")
+    assert len(spark.read.parquet(src).inputFiles()) == -(-600 // on.PER_FILE)
