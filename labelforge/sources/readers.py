@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from labelforge.operators.state import materialize_small
+
 VIEW_SCHEMA = "map<string, struct<ori: string, aug_0: string, aug_1: string, label: string>>"
 
 
@@ -100,7 +102,7 @@ def index_file_tree(spark: SparkSession, root: str, glob: str = "*", extensions:
     f = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
          .option("pathGlobFilter", _globs(extensions, glob))
          .load(root).select(_decoded(F.col("_metadata.file_path")).alias("path"), "length"))
-    f = f.withColumn("class_name", _class_name(F.col("path"), root))
+    f = materialize_small(f.withColumn("class_name", _class_name(F.col("path"), root)))  # files are met once, their classes and rows come from it
     names = f.select("class_name").distinct().withColumn(
         "class_id", (F.dense_rank().over(Window.orderBy("class_name")) - 1).cast("int"))
     return f.join(names, "class_name")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelforge.session import file_system
+
 
 def write_splits(df: DataFrame, path: str, fmt: str = "json", split: str = "split") -> None:
     """One directory per split (partitioned write)."""
@@ -60,7 +67,42 @@ def write_views(df: DataFrame, path: str, rows_per_file: int = 1000, idx: str =
     objs.write.mode("overwrite").partitionBy("shard").text(path)
 
 
+def _path_name(value) -> str:
+    """A value as Spark writes it into the name of a partition's directory."""
+    if value is None or value == "":
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", value)
+
+
 def write_text_tree(df: DataFrame, root: str, class_col: str, name_col: str, text_col: str) -> None:
-    """Inverse of A2/A4: one file per row below ``root/cls=<class>/`` (the directory name is the class)."""
-    (df.select(F.col(class_col).alias("cls"), F.col(name_col).alias("name"), F.col(text_col).alias("value"))
-       .write.mode("overwrite").partitionBy("cls", "name").text(root))
+    """Inverse of A2/A4: one file ``root/cls=<class>/name=<name>.txt`` per row (the directory name is the class);
+    rows of one class and name are lines of one file.
+
+    Spark's own writer makes a directory for each file, and all of them are listed again when the
+    tree is read. In a folder of a local file system, which all tasks share, tasks write the files themselves (a repeated
+    task writes the same names); elsewhere Spark writes ``root/cls=<class>/name=<name>/part-…``.
+    """
+    rows = df.select(F.col(class_col).cast("string").alias("cls"), F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("value"))
+    fs, p = file_system(df.sparkSession, root)
+    if fs.getUri().getScheme() != "file":
+        rows.write.mode("overwrite").partitionBy("cls", "name").text(root)
+        return
+    base = p.toUri().getPath()
+
+    def write(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, made = None, set()
+        for pdf in pdfs:
+            for cls, name, value in zip(pdf["cls"], pdf["name"], pdf["value"], strict=True):
+                folder = f"{base}/cls={_path_name(cls)}"
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                file = f"{folder}/name={_path_name(name)}.txt"
+                with open(file, "ab" if file == last else "wb") as f:
+                    f.write((value or "").encode() + b"\n")
+                last = file
+        yield pd.DataFrame({"done": [True]})
+
+    # equal names meet in one task, one after the other; null and empty names are one
+    same = [F.coalesce(F.col(c), F.lit("")) for c in ("cls", "name")]
+    rows.repartition(*same).sortWithinPartitions(*same).mapInPandas(write, "done boolean").write.format("noop").mode("overwrite").save()

@@ -81,3 +81,18 @@ def test_views_are_read_in_splits(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_text_trees_hold_one_file_a_row_and_no_folder_for_each(spark, tmp_path):
+    from labelforge.sources import writers as wr
+    root = tmp_path / "tree"
+    rows = [("a/b", 1, "x\ny"), ("a/b", 2, None), (None, 3, "é"), ("", 4, "z"), ("a/b", 5, "p"), ("a/b", 5, "p"), ("c=%d", None, "n")]
+    wr.write_text_tree(spark.createDataFrame(rows, "c string, n long, t string").repartition(5), str(root), "c", "n", "t")
+    found = {str(f.relative_to(root)): f.read_bytes().decode() for f in root.rglob("*") if f.is_file()}
+    none = "__HIVE_DEFAULT_PARTITION__"
+    assert found == {"cls=a%2Fb/name=1.txt": "x\ny\n", "cls=a%2Fb/name=2.txt": "\n", "cls=a%2Fb/name=5.txt": "p\np\n", f"cls={none}/name=3.txt": "é\n",
+                     f"cls={none}/name=4.txt": "z\n", f"cls=c%3D%25d/name={none}.txt": "n\n"}
+    assert sorted(f.name for f in root.rglob("*") if f.is_dir()) == sorted([f"cls={none}", "cls=a%2Fb", "cls=c%3D%25d"])  # listed when the tree is read
+    texts = {r.path.split("/")[-1]: (r.class_name, r.value) for r in rd.read_text_tree(spark, str(root)).collect()}
+    assert len(texts) == 6 and texts["name=1.txt"] == ("cls=a%2Fb", "x\ny\n")
+    assert {r["length"] for r in rd.index_file_tree(spark, str(root), extensions=[".txt"]).collect()} == {1, 2, 3, 4}
