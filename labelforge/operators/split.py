@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import split_key, u
 from labelforge.operators.ranking import default_buckets, rank_by_hash
+from labelforge.operators.state import materialize_small
 
 
 def _buckets(df: DataFrame, buckets: int | None) -> int:
@@ -181,7 +182,18 @@ def encode_labels(df: DataFrame, name_col: str, drop: tuple[str, ...] = ("_silen
     names = kept.select(name_col).distinct()
     dic = names.select(F.col(name_col),
                        (F.dense_rank().over(Window.orderBy(name_col)) - 1).cast("int").alias(label))
-    return kept.join(dic, name_col), dic
+    dic = materialize_small(dic)
+    return join_names(kept, dic, name_col), dic
+
+
+#: Names that are sent to every task; a longer dictionary is joined by Spark's own choice.
+NAMES = 100_000
+
+
+def join_names(rows: DataFrame, dic: DataFrame, name_col: str) -> DataFrame:
+    """``rows`` with the columns of the written dictionary ``dic``. Few names go to the rows: dealt
+    out by name, all rows of a name would be read by one task."""
+    return rows.join(F.broadcast(dic) if dic.count() <= NAMES else dic, name_col)
 
 
 def class_distribution(df: DataFrame, K: int, label: str = "label") -> DataFrame:

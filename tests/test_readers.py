@@ -96,3 +96,49 @@ def test_text_trees_hold_one_file_a_row_and_no_folder_for_each(spark, tmp_path):
     texts = {r.path.split("/")[-1]: (r.class_name, r.value) for r in rd.read_text_tree(spark, str(root)).collect()}
     assert len(texts) == 6 and texts["name=1.txt"] == ("cls=a%2Fb", "x\ny\n")
     assert {r["length"] for r in rd.index_file_tree(spark, str(root), extensions=[".txt"]).collect()} == {1, 2, 3, 4}
+
+
+def test_csv_is_read_in_splits(spark, tmp_path):
+    """Records over many lines and splits, in files with either line break, with quotes in odd places, are those of the multi-line reader."""
+    import random
+    from collections import Counter
+    r = random.Random(5)
+    bits = ["a", " ", ",", '"', "\n", "\r\n", "é", '""', '",', "text", "\\"]
+    word = lambda: "".join(r.choice(bits) for _ in range(r.randint(0, 12)))
+    field = lambda: '"' + word().replace('"', '""') + '"' if r.random() < 0.6 else r.choice(["", "x", "1", 'a"b', "é y"])
+    for k, br in enumerate(["\n", "\r\n", "\n", "\r", "\n"]):
+        lines = [""] * (k % 3) + ["l,t,b"] + [",".join(field() for _ in range(3)) if r.random() < 0.95 else "" for _ in range(60)]
+        if k == 4:
+            lines.insert(50, '"odd" end,"x"y,"z" "w')
+        (tmp_path / f"{k}.csv").write_text(br.join(lines) + br, newline="", encoding="utf-8")
+    plain = lambda head: spark.read.option("quote", '"').option("escape", '"').option("multiLine", "true").option("header", head)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for columns in (None, ["l", "t", "b"]):
+            d = plain("false").csv(str(tmp_path)).toDF(*columns) if columns else plain("true").csv(str(tmp_path))
+            want = Counter((x.l, x.text) for x in d.select("l", F.concat_ws(" ", "t", "b").alias("text")).collect())
+            for size in (700, 1 << 27):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+                got = rd.read_labeled_csv(spark, str(tmp_path), "l", ["t", "b"], columns=columns)
+                assert Counter((x.label, x.text) for x in got.collect()) == want
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        (tmp_path / "one").mkdir()
+        (tmp_path / "one" / "a.csv").write_text("l,t\n" + "".join(f'{k},"x\n{k}"\n' for k in range(300)))
+        plan = rd.read_labeled_csv(spark, str(tmp_path / "one"), "l", ["t"])
+        assert plan.count() == 300 and "Scan csv" not in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_names_are_joined_without_dealing_rows_out_by_name(spark):
+    from labelforge.operators import split as sp
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows, _ = sp.encode_labels(spark.range(60).select("id", F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 3 == 1, "a").alias("name")), "name")
+        assert {(x.name, x.label) for x in rows.collect()} == {("a", 0), ("b", 1)} and rows.count() == 40
+        assert "hashpartitioning(name" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
