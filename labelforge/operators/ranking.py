@@ -69,6 +69,16 @@ def rank_by_hash(df: DataFrame, by: list[str], hex_key: str, idx: str, buckets:
                        rank_col, total_col, bounded_groups)
 
 
+def _below(bounds: str, n: int, key: Column, equal: bool = False) -> Column:
+    """How many of the ``n`` ascending ``bounds`` are below ``key`` (or ``equal``), by halving: a row's work grows with log n."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+
+    def step(at, by):
+        x = F.get(F.col(bounds), at + by - 1)
+        return F.when((at + by <= F.lit(n)) & ((x <= key) if equal else (x < key)), at + by).otherwise(at)
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def rank_by_value(df: DataFrame, by: list[str], key: str, idx: str, buckets: int,
                   descending: bool = False, rank_col: str = "rn",
                   total_col: str | None = None, bounded_groups: bool = True) -> DataFrame:
@@ -87,15 +97,13 @@ def rank_by_value(df: DataFrame, by: list[str], key: str, idx: str, buckets: int
         if bounded_groups:
             bounds = F.broadcast(bounds)
         d = _null_safe_join(df, bounds, list(by))
-        if descending:
-            bucket = F.when(F.col(key).isNull(), F.lit(buckets)).otherwise(
-                F.size(F.filter("__bounds", lambda x: x > F.col(key))))
-        else:
-            bucket = F.size(F.filter("__bounds", lambda x: x < F.col(key)))
+        n = len(probs)
+        lower, upper = _below("__bounds", n, F.col(key)), _below("__bounds", n, F.col(key), True)
+        bucket = F.when(F.col(key).isNull(), F.lit(buckets)).otherwise(n - upper) if descending else lower
         if split_ties:
             # rows below the repeated bound keep the first piece of its bucket, the ties take the following ones
-            held = F.size(F.filter("__bounds", lambda x: x == F.col(key)))
-            below = F.size(F.filter("__ibounds", lambda x: x < F.col(idx)))
+            held = upper - lower
+            below = _below("__ibounds", n, F.col(idx))
             piece = F.when(held > 1, F.lit(1) + F.floor(below * (held + 1) / F.lit(buckets)).cast("int")).otherwise(0)
             bucket = bucket * F.lit(buckets + 2) + piece
     else:

@@ -504,16 +504,18 @@ def self_train(lb: DataFrame, pool: DataFrame, K: int, gens: int = 6, alpha: flo
     alignment → CReST pick → refit, ``gens`` times. Each generation's
     labelled table is checkpointed (reliable storage), cutting the lineage."""
     from labelforge.operators.split import batch_ids
-    cur = lb.select("idx", "feat", "label")
+    lb = materialize_small(lb.select("idx", "feat", "label"))
+    cur = lb
     prior = [c / sum(lb_counts) for c in lb_counts] if lb_counts else class_prior(lb, K)
-    pool_b = batch_ids(pool.select("idx", "feat"), 64, 0, "st")
+    pool_b = materialize_small(batch_ids(pool.select("idx", "feat"), 64, 0, "st"))
+    feats = pool_b.select("idx", "feat").unionByName(lb.select("idx", "feat"))
     picked = None
     for g in range(gens):
         protos = sc.fit_prototypes(cur)
         scored = sc.score_prototypes(pool_b, protos, K, T, out="logits").withColumn("probs", vec.softmax("logits"))
+        scored = materialize_small(scored.select("idx", "batch_id", "probs"))  # numbers alone; alignment and ranking read them several times
         a = al.align_progressive(scored, K, prior, g, gens, t_min, m=0.999, out="probs_a")
         pred = a.select("idx", vec.argmax("probs_a").alias("pred"), vec.max_prob("probs_a").alias("conf"))
-        picked = rb.crest_pick(pred, lb.select("idx", "label"), K, alpha, lb_counts=lb_counts)
-        cur = (picked.join(pool.select("idx", "feat").unionByName(lb.select("idx", "feat")), "idx")
-                     .select("idx", "feat", "label").checkpoint(eager=True))
+        picked = materialize_small(rb.crest_pick(materialize_small(pred), lb.select("idx", "label"), K, alpha, lb_counts=lb_counts))
+        cur = picked.join(feats, "idx").select("idx", "feat", "label").checkpoint(eager=True)
     return picked.withColumn("generation", F.lit(gens))

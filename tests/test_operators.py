@@ -85,3 +85,13 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["pseudo_label", "n", "kept", "mean_conf"]
+
+
+def test_bounds_below_a_key_are_counted_by_halving(spark):
+    from pyspark.sql import functions as F
+    from labelforge.operators.ranking import _below
+    for bounds in ([1.0], [0.0, 1.0, 1.0, 1.0, 2.5, float("inf")], [0.5] * 8):
+        d = spark.createDataFrame([(x, bounds) for x in (-1.0, 0.0, 0.5, 1.0, 2.5, 9.0, float("inf"), None)], "x double, b array<double>")
+        n = len(bounds)
+        for r in d.select("x", _below("b", n, F.col("x")).alias("lt"), _below("b", n, F.col("x"), True).alias("le")).collect():
+            assert (r.lt, r["le"]) == ((0, 0) if r.x is None else (sum(v < r.x for v in bounds), sum(v <= r.x for v in bounds)))
