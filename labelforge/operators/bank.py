@@ -194,13 +194,17 @@ def smooth_bank_asof(ulb: DataFrame, lb: DataFrame, Q: int, K: int, T: float = 0
     run = max(1, round(Q / mean))
     place = F.row_number().over(Window.partitionBy("__rank").orderBy("__side", idx)) - 1  # a batch is bounded
     numbered = entries.join(ends.select("__rank", "__hi"), "__rank").withColumn("seq", F.col("__hi") + place)
-    stored = (numbered.withColumn("__at", F.floor(F.col("seq") / block)).groupBy("__at")
+    piece = max(1, min(block, Q))  # a short bank is not met as a part of a long block
+    stored = (numbered.withColumn("__at", F.floor(F.col("seq") / piece)).groupBy("__at")
               .agg(F.sort_array(F.collect_list(F.struct("seq", "bfeat", "bprobs"))).alias("__items")))
     seen = ends.select("__rank", "__hi", F.greatest(F.col("__hi") - Q, F.lit(0)).alias("__lo"), F.floor(F.col("__rank") / run).alias("__run"))
     seen = seen.where((F.col("__rank") > warm) & (F.col("__hi") > 0))
-    needs = seen.groupBy("__run").agg(F.floor(F.min("__lo") / block).alias("a"), F.floor((F.max("__hi") - 1) / block).alias("b"))
-    needs = needs.select("__run", F.posexplode(F.sequence("a", "b")).alias("__blk", "__at"))
-    items = needs.join(stored, "__at").drop("__at")
+    needs = seen.groupBy("__run").agg(F.min("__lo").alias("lo"), F.max("__hi").alias("hi"))
+    needs = needs.select("__run", "lo", "hi", F.posexplode(F.sequence(F.floor(F.col("lo") / piece), F.floor((F.col("hi") - 1) / piece))).alias("__k", "__at"))
+    met = F.filter("__items", lambda it: (it["seq"] >= F.col("lo")) & (it["seq"] < F.col("hi")))  # by any batch of the run
+    blk = F.floor(F.col("__k") / max(1, block // piece)).cast("int")
+    items = needs.join(stored, "__at").groupBy("__run", blk.alias("__blk")).agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__k", met.alias("m")))), lambda x: x["m"])).alias("__items"))
     alive = lambda it: (it["seq"] >= F.col("__lo")) & (it["seq"] < F.col("__hi"))
     add, width = _by_probs(K, "bprobs")
     bounds = ranks.join(seen, "__rank", "left").drop("__rank")

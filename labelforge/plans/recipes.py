@@ -273,6 +273,7 @@ def comatch(ulb, lb, K=10, T=0.5, alpha=0.9, Q=256, p_cutoff=0.95, contrast_cuto
     Batches up to rank ``warm`` are not smoothed."""
     d = al.align_queue(_probs(ulb), K, da_len, out="probs_a").withColumn("probs", F.col("probs_a")).drop("probs_a")
     d = bk.smooth_bank_asof(d, _probs(lb), Q, K, T, alpha, warm).withColumn("probs", F.col("probs_smoothed"))
+    d = materialize_small(d)  # the contrast reads it twice
     d = _finish(mk.mask_fixed(d, p_cutoff), target="probs")
     return cs.contrast(d, contrast_cutoff, T, "probs", feat_s, feat_s2)
 

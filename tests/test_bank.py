@@ -109,3 +109,13 @@ def test_instances_as_of_the_batch(spark):
             new = np.array(f)
             old = bank.get(i)
             bank[i] = (new if old is None else (0.7 * old[0] + 0.3 * new) / np.linalg.norm(0.7 * old[0] + 0.3 * new), y)
+
+
+def test_a_short_queue_is_not_met_as_part_of_a_long_block(spark, monkeypatch):
+    _, ulb = _rows(spark, range(40), 3, 1)
+    _, lb = _rows(spark, [0, 1], 2, 2)
+    met = []
+    real = bk._fold_blocks
+    monkeypatch.setattr(bk, "_fold_blocks", lambda rows, items, *a: met.append(items.agg(F.max(F.size("__items"))).first()[0]) or real(rows, items, *a))
+    bk.smooth_bank_asof(ulb, lb, 10, K)
+    assert met[0] <= 2 * 10 + 5
